@@ -1,27 +1,55 @@
-"""The corpus pipeline: quality classifier, line deduplication, near-duplicate join, packing."""
+"""The corpus pipeline: quality classifier, line deduplication, n-gram Jaccard join, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
+columns of documents. Null, empty and repeated rows: as each stage's operator defines."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexweave.llm import quality
+from lexweave.llm.common import materialize
+from lexweave.llm.linededup import line_dedup
+from lexweave.llm.ngramjoin import ngram_join
 from lexweave.llm.packing import pack
+from lexweave.llm.queries import quality_weights
+
+
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it is fitted on all the documents that carry a label."""
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    weights = quality_weights(whole, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality.score(F.col("text"), weights) >= 0.7)
+
 
+def line_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without cross-site boilerplate lines; n_chars follows the text."""
+    clean = line_dedup(docs)
+    return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each class of linked documents; of its repeated rows one stays. A row
+    without a doc_id stays unless its class has a member with one."""
+    classes = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    once = docs.where("doc_id is not null").join(classes, F.col("doc_id") == F.col("kept")).dropDuplicates(["doc_id"])
+    return once.select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' pieces in sequences of at most 1024 tokens, as op2_packing returns them."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality", classified), ("lines", line_deduplicated), ("near", near_deduplicated), ("packing", packed)]
+#: The classifier and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexweave.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{k}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

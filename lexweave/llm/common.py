@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,22 @@ class Words(dict):
     def __missing__(self, word):
         self[word] = n = len(self)
         return n
+
+
+class WordHashes:
+    """64-bit hashes of words, each distinct word being hashed once; forgets them all beyond a number of words."""
+
+    def __init__(self, remembered: int = 300_000):
+        self.words, self.remembered, self.hash = Words(), remembered, np.zeros(1 << 12, np.uint64)
+
+    def of(self, words: list) -> np.ndarray:
+        if len(self.words) > self.remembered:
+            self.words = Words()
+        known = len(self.words)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        while len(self.words) > len(self.hash):
+            self.hash = np.concatenate([self.hash, self.hash])
+        if len(self.words) > known:
+            new = itertools.islice(reversed(self.words), len(self.words) - known)
+            self.hash[known : len(self.words)] = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64)[::-1]
+        return self.hash[at]

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexweave.llm import quality
+from lexweave.llm.linededup import line_dedup
+from lexweave.llm.ngramjoin import ngram_join
 from lexweave.llm.packing import pack
 
 
@@ -14,9 +18,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(id_col: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n (null id: null)."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing}
-ORACLE_SQL: dict[str, str] = {}
+def quality_weights(docs: DataFrame, labels: DataFrame):
+    """The classifier's weights, from labelled rows outside the held-out fold."""
+    return quality.fit(docs, labels.where(fold("doc_id", 4) != 2))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    weights = quality_weights(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), quality.score(F.col("text"), weights).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP4_SQL = """
+with lines as (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+wide as (select trim(line) as line from lines where trim(line) <> '' group by 1 having count(distinct source) >= 8),
+marked as (select doc_id, text, lines.line, pos, wide.line is not null as bad from lines left join wide on trim(lines.line) = wide.line),
+cut as (select doc_id, any_value(text) as text, coalesce(string_agg(line, chr(10) order by pos) filter (where not bad), '') as rest, count(*) as n_lines, count(*) filter (where bad) as n_bad from marked group by doc_id),
+judged as (select *, n_bad > 0 and length(text) - length(rest) <= 0.5 * length(text) as cut from cut)
+select documents.doc_id, case when cut then rest else documents.text end as text, coalesce(n_lines, 0) as n_lines, case when cut then n_bad else 0 end as n_removed
+from documents left join judged using (doc_id)
+"""
+
+
+def op8_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op4_linededup": op4_linededup, "op6_quality": op6_quality, "op8_ngramjoin": op8_ngramjoin}
+ORACLE_SQL: dict[str, str] = {"op4_linededup": OP4_SQL}
