@@ -31,11 +31,11 @@ def line_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of linked documents; of its repeated rows one stays. A row
-    without a doc_id stays unless its class has a member with one."""
-    classes = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    once = docs.where("doc_id is not null").join(classes, F.col("doc_id") == F.col("kept")).dropDuplicates(["doc_id"])
-    return once.select(docs.columns)
+    """The document with the smallest doc_id of each class of linked documents. A row that repeats another's doc_id and
+    text goes; rows without a doc_id stay."""
+    classes = ngram_join(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept")).distinct()
+    named = docs.join(classes, F.col("doc_id") == F.col("kept"), "left_semi").withColumn("_text", F.xxhash64("text"))
+    return named.dropDuplicates(["doc_id", "_text"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
