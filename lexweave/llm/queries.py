@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import quality
+from lexweave.llm import bpe, itq, lm, quality, sharding, topk, warc
 from lexweave.llm.linededup import line_dedup
 from lexweave.llm.ngramjoin import ngram_join
 from lexweave.llm.packing import pack
@@ -23,6 +23,10 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), 40)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
@@ -58,5 +62,58 @@ def op8_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op4_linededup": op4_linededup, "op6_quality": op6_quality, "op8_ngramjoin": op8_ngramjoin}
-ORACLE_SQL: dict[str, str] = {"op4_linededup": OP4_SQL}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.revisit(_table(spark, sf_dir, "pages"))
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body) as n, sha1(body) as digest from p),
+t as (select digest, max(page_id) as top from d where n >= 1000 group by 1 having count(*) > 1)
+select page_id, n as payload_bytes, d.digest as payload_digest, case when n >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id <> top then top end as refers_to
+from d left join t on d.digest = t.digest
+"""
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.interpolated(_table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 7) != 2, F.lit(True)))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP7_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), output="digest")
+
+
+def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
+    "op4_linededup": op4_linededup,
+    "op5_lm": op5_lm,
+    "op6_quality": op6_quality,
+    "op7_topk": op7_topk,
+    "op8_ngramjoin": op8_ngramjoin,
+    "op9_bpe": op9_bpe,
+    "op10_itq": op10_itq,
+}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_linededup": OP4_SQL, "op7_topk": OP7_SQL}
