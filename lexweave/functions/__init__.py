@@ -1 +1 @@
-
+"""Column functions: regular expressions, text cleaning, association measures."""

@@ -1,0 +1,20 @@
+"""Schemas of the tables that the operators exchange."""
+
+from __future__ import annotations
+
+DOCUMENT = "doc_id string, field string, path string, html string"
+PARAGRAPH = "doc_id string, page int, para int, text string"
+SENTENCE = "doc_id string, page int, para int, sent int, text string"
+TOKEN = "doc_id string, pos int, word string, lemma string, tag string"
+LEMMAS = "id_lemmas long, lemma string, id_pos int"
+POS = "id_pos int, pos string"
+UNIGRAMS = "id_unigram long, unigram string, lemma long, freq_all long, morph string"
+NGRAM2 = "id_bigram long, wordform_1 long, wordform_2 long, raw_frequency long"
+NGRAM3 = "id_trigram long, bigram long, token long, raw_frequency long"
+NGRAM3_TOKENS = "id_trigram long, w1 long, w2 long, w3 long"
+SYNONYMS = "word string, synonym string"
+LEXICON = "wordform string, lemma string, pos string"
+VECTORS = "word string, vec array<float>"
+EVALUATION = "collocation string, lemma string, t1 string, t2 string, t3 string, t4 string"
+ERRORS = "pos string, ngram string, context string"
+RESULTS = "original string, suggested string, rank long, cosScore double, numReplaced int, pmi double, t_score double, ngram_freq long"
