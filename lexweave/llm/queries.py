@@ -96,6 +96,35 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+#: Pairs of ids with a link in table l (a < b) to the smallest id that each reaches.
+_REACH = """
+e as (select a, b from l union all select b, a from l),
+r as (select a as d, a as m from e union select e.b, r.m from r join e on e.a = r.d),
+c as (select d, min(m) as m from r group by d),
+k as (select a, count(*) as n from e group by a)
+"""
+OP8_SQL = f"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') as w from documents),
+t as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as i from w where len(w) >= 5),
+q as (select doc_id, concat_ws(' ', w, lead(w) over o, lead(w, 2) over o, lead(w, 3) over o, lead(w, 4) over o) as g from t window o as (partition by doc_id order by i) qualify lead(w, 4) over o is not null),
+s as (select distinct doc_id, g from q union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 4),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 5 * c >= 4 * (na.n + nb.n - c)),
+{_REACH}
+select documents.doc_id, coalesce(c.m, documents.doc_id) as class_id, coalesce(k.n, 0) as n_links, coalesce(n.n, 0) as n_shingles
+from documents left join c on c.d = documents.doc_id left join k on k.a = documents.doc_id left join n on n.doc_id = documents.doc_id
+"""
+OP10_SQL = f"""
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where embedding is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id < y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.93),
+{_REACH}
+select vec_id, coalesce(k.n, 0) as n_links, coalesce(c.m, vec_id) as component_id, coalesce(c.m, vec_id) = vec_id as kept
+from embeddings left join c on c.d = vec_id left join k on k.a = vec_id
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), output="digest")
 
@@ -116,4 +145,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_itq": op10_itq,
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_linededup": OP4_SQL, "op7_topk": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_linededup": OP4_SQL, "op7_topk": OP7_SQL, "op8_ngramjoin": OP8_SQL, "op10_itq": OP10_SQL}
