@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions import patterns as P
 from lexweave.functions import text as T
 from lexweave.operators import audit, evalset, html, ngrams, plain, suggest, tokens, vectors
 
@@ -284,20 +285,32 @@ def nested_brackets(spark, sf_dir):
     return _changed(spark, sf_dir, T.strip_brackets)
 
 
-@query("oov_mask")
+_BREAK = (P.in_class(P.WHITESPACE) + P.in_class(P.PUNCTUATION)).replace("'", "''")
+_KNOWN = P.ROMAN + P.ARABIC + P.ALPHABETS["latin"]
+
+
+@query("oov_mask", f"select doc_id, regexp_replace(text, '[{_KNOWN}]*[^{_BREAK}{_KNOWN}][^{_BREAK}]*', 'UNK', 'g') as text from documents")
 def oov_mask(spark, sf_dir):
     return _changed(spark, sf_dir, lambda t: T.mask_unknown(t, "latin"))
 
 
-@query("number_mask")
+@query("number_mask", f"select doc_id, regexp_replace(regexp_replace(text, '[{P.ARABIC}]+($|[{_BREAK}])', 'NUM_arab\\1', 'g'), '[{P.ROMAN}]+($|[{_BREAK}])', 'NUM_lat\\1', 'g') as text from documents")
 def number_mask(spark, sf_dir):
     return _changed(spark, sf_dir, T.mask_numbers)
 
 
-@query("sentence_quality")
+_SENTENCES = """s as (select doc_id, x, generate_subscripts(x, 1) as i, unnest(x) as text from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?][)"»”]?)\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') as x from documents))"""
+
+
+@query("sentence_split", f"with {_SENTENCES} select doc_id, cast(i - 1 as int) as sent, text from s")
+def sentence_split(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent", "text"))
+
+
+@query("sentence_quality", f"""with {_SENTENCES}, w as (select doc_id, i, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '' and x <> 'NUM_arab') as w from s)
+  select doc_id, cast(i - 1 as int) as sent, text from w where len(w) >= 5 and list_sum(list_transform(w, lambda x: length(x))) > 5.0 * len(w) and regexp_matches(text, '^[A-ZÀ-ÖØ-ÞN]') and text like '%.' and not contains(text, '//')""")
 def sentence_quality(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent", "text"))
-    return rows.where(T.well_formed(F.col("text"), "latin"))
+    return sentence_split(spark, sf_dir).where(T.well_formed(F.col("text"), "latin"))
 
 
 @query("clean_articles")
