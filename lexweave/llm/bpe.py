@@ -9,8 +9,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ from lexweave.llm.common import Words
 #: The split before merging; white space is spelled out, as the Unicode property that the merging library uses.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Characters of text whose pre-tokens make one chunk, the unit in which positions are counted and put together.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 12_000_000
+#: Pre-tokens of a chunk that are numbered by their frequency.
+TOP = 4096
 
 
 @lru_cache(maxsize=2)
@@ -45,62 +48,76 @@ def _bytes_of(path: str) -> np.ndarray:
     return table
 
 
-def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Little-endian base-128 bytes of values below 2 ** 28, and the number of bytes of each."""
-    size = 1 + (values >= 1 << 7).astype(np.int64) + (values >= 1 << 14) + (values >= 1 << 21)
-    out, start = np.empty(int(size.sum()), np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]])
-    for k in range(4):
-        here = size > k
-        more = (size[here] > k + 1).astype(np.uint8) << 7
-        out[start[here] + k] = ((values[here] >> (7 * k)) & 127).astype(np.uint8) | more
-    return out, size
-
-
-def _unvarints(raw: np.ndarray) -> np.ndarray:
-    ends = np.flatnonzero(raw < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    out = (raw[starts] & 127).astype(np.int64)
-    for k in range(1, 4):
-        more = starts + k <= ends
-        out[more] |= (raw[starts[more] + k] & 127).astype(np.int64) << (7 * k)
-    return out
-
-
 def _offsets(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
-def explode_words(docs: DataFrame) -> DataFrame:
-    """docs (i, t) -> a row for each chunk and distinct pre-token of it: chunk, word (UTF-8), at (its positions in the
-    chunk, gaps as varints); and a row for each chunk with a null word, whose at is an Arrow table of ids and sizes."""
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32: the planes of their bytes, each compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    press = zstandard.ZstdCompressor(level=3).compress
+    packed = [press(x.tobytes()) if x.any() else b"" for x in planes]
+    return np.array([len(values), *map(len, packed)], np.int64).tobytes() + b"".join(packed)
+
+
+def _expand(raw: bytes) -> np.ndarray:
+    n, *sizes = np.frombuffer(raw, np.int64, 5).tolist()
+    out, at = np.zeros((4, n), np.uint8), 40
+    for k, size in enumerate(sizes):
+        if size:
+            out[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[at : at + size], max_output_size=n), np.uint8)
+        at += size
+    return np.ascontiguousarray(out.T).view("<u4").ravel().astype(np.int64)
+
+
+def _join(parts: list[bytes]) -> bytes:
+    return b"".join(np.int64(len(x)).tobytes() + x for x in parts)
+
+
+def _cut(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int(np.frombuffer(raw, np.int64, 1, at)[0])
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def explode_words(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (i, t) -> bucket, chunk, kind, raw, of every chunk: a row of kind 0 for each bucket, the sorted distinct
+    pre-tokens of the chunk whose hash is of that bucket; and one of kind 1 (in any bucket), which has for every
+    position of the chunk the number of its pre-token, with the ids and sizes of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk, find = TaskContext.get().partitionId() << 32, regex.compile(PATTERN).findall
+        names = ("bucket", "chunk", "kind", "raw")
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
 
         def rows(keys: list, sizes: list[int], words: Words, at: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             sink = pa.BufferOutputStream()
             ids = pa.table({"i": pa.array(keys, kind), "n": pa.array(sizes, pa.int64())})
             with pa.ipc.new_stream(sink, ids.schema) as f:
                 f.write_table(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "word", "at"])
-            if not words:
-                return
             flat = np.concatenate(at)
-            order = np.argsort(flat, kind="stable")
-            counts = np.bincount(flat, minlength=len(words))
-            gaps = np.diff(order, prepend=0)
-            first = _offsets(counts)[:-1]
-            gaps[first] = order[first]
-            raw, width = _varints(gaps)
-            ends = _offsets(width)[_offsets(counts)]
             text = [w.encode() for w in words]
-            for lo in range(0, len(text), 50_000):
-                hi = min(lo + 50_000, len(text))
-                where = ends[lo : hi + 1]
-                blob = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((where - where[0]).astype(np.int32)), pa.py_buffer(raw[where[0] : where[-1]])])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, chunk)), pa.array(text[lo:hi], pa.binary()), blob], ["chunk", "word", "at"])
+            bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in text), np.int64, len(text))
+            order = np.array(sorted(range(len(text)), key=text.__getitem__), np.int64)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            place = np.empty(len(text), np.int64)
+            place[order] = np.arange(len(text))
+            # The most frequent pre-tokens get the smallest numbers: this is what makes the numbers compress.
+            top = np.argsort(-np.bincount(flat, minlength=len(text)), kind="stable")[:TOP] if len(text) else place
+            number = place + TOP
+            number[top] = np.arange(len(top))
+            out = [(int(chunk % buckets), chunk, 1, _join([sink.getvalue().to_pybytes(), _squeeze(place[top]), _squeeze(number[flat])]))]
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            press = zstandard.ZstdCompressor(level=3).compress
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                mine = [text[k] for k in order[ends[b] : ends[b + 1]].tolist()]
+                out.append((b, chunk, 0, _join([_squeeze(np.fromiter(map(len, mine), np.int64, len(mine))), press(b"".join(mine))])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         kind = None
         keys, sizes, words, at, held = [], [], Words(), [], 0
@@ -119,49 +136,49 @@ def explode_words(docs: DataFrame) -> DataFrame:
         if keys:
             yield from rows(keys, sizes, words, at)
 
-    return docs.mapInArrow(run, "chunk long, word binary, at binary")
+    return docs.mapInArrow(run, "bucket int, chunk long, kind int, raw binary")
 
 
-def encode_words(rows: DataFrame, ranks: str) -> DataFrame:
-    """chunk, at and ids (unsigned 32-bit, little-endian) of rows sorted by word, so that a word met in many chunks is
-    merged once; rows without a word pass."""
+def encode_words(rows: DataFrame, ranks: str, remembered: int = 1_000_000) -> DataFrame:
+    """bucket, chunk, kind, raw: in rows of kind 0 the words give way to their ids (number of each, then all). A task
+    has all the rows of its buckets and merges a word that many chunks have once (anew after each remembered words,
+    which bounds its memory)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge, last, ids = _merger(ranks), None, b""
+        merge = _merger(ranks)
+
+        class Merged(dict):
+            def __missing__(self, word):
+                self[word] = ids = np.array(merge(word), np.uint32)
+                return ids
+
+        known = Merged()
         for batch in batches:
             out = []
-            for word in batch.column(1).to_pylist():
-                if word is None:
-                    out.append(None)
-                    continue
-                if word != last:
-                    last, ids = word, np.array(merge(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["chunk", "at", "ids"])
-
-    return rows.mapInArrow(run, "chunk long, at binary, ids binary")
-
-
-def _raw(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """A binary column's bytes and each value's number of bytes."""
-    joined = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(joined, pa.ChunkedArray):
-        joined = pa.concat_arrays(joined.chunks)
-    if len(joined) == 0:
-        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    width = np.int64 if pa.types.is_large_binary(joined.type) else np.int32
-    ends = np.frombuffer(joined.buffers()[1], width)[joined.offset : joined.offset + len(joined) + 1].astype(np.int64)
-    return np.frombuffer(joined.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+            for kind, raw in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                raw = raw.as_py()
+                if kind == 0:
+                    sizes, packed = _cut(raw)
+                    ends = np.cumsum(_expand(sizes)).tolist()
+                    text = zstandard.ZstdDecompressor().decompress(packed, max_output_size=ends[-1])
+                    ids = [known[text[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                    raw = _join([_squeeze(np.fromiter(map(len, ids), np.int64, len(ids))), _squeeze(np.concatenate(ids))])
+                    if len(known) > remembered:
+                        known.clear()
+                out.append(raw)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["bucket", "chunk", "kind", "raw"])
+
+    return rows.mapInArrow(run, "bucket int, chunk long, kind int, raw binary")
 
 
 def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", output: str = "ids") -> DataFrame:
     """The token ids of every whole text by a file of ranks, each match of PATTERN merged separately, no special tokens.
 
-    Pre-tokens are exploded with their positions: in a chunk of about CHUNK_CHARS characters a distinct one is one row
-    with a list of positions, however often it occurs. These rows are shuffled by word and sorted, each distinct word of
-    the whole table is merged once, its ids go back to its chunks by a second shuffle, and there are put at their
-    positions. Hot words have a row a chunk, like any common word. The ids are decoded by the table of token bytes,
-    which has the size of the rank file.
+    Pre-tokens are exploded with their positions: of a chunk of about CHUNK_CHARS characters each distinct one is sent
+    once, to the task that its hash gives, whatever the number of its occurrences, so none is hot; there each distinct
+    word of the whole table is merged once. Its ids go back to its chunks by a second shuffle, together with the
+    chunk's positions, and are put at these. Rows of both shuffles hold many words, compressed. The ids are decoded by
+    the table of token bytes, which has the size of the rank file.
 
     Returns the id, n_tokens and, by output, "ids" (array<int>) and text (decoded), or "digest": ids_sha256 (of the ids
     as little-endian unsigned 32-bit integers) and decoded_sha256 (of the decoded bytes).
@@ -171,37 +188,26 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     id_kind = docs.schema[id_col].dataType.simpleString()
     typed = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    words = explode_words(typed)
-    words = words.withColumn("k", F.when(F.col("word").isNull(), F.xxhash64("chunk")).otherwise(F.xxhash64("word")))
-    coded = encode_words(words.repartition(tasks, "k").sortWithinPartitions("k", "word").select("chunk", "word", "at"), ranks)
+    words = explode_words(typed, tasks)
+    coded = encode_words(words.repartitionById(tasks, F.col("bucket")), ranks)
     digest = output == "digest"
 
     def assemble(group: pa.Table) -> pa.Table:
-        table, null = _bytes_of(ranks), pc.is_null(group.column("ids"))
-        head = group.filter(null).column("at")[0].as_py()
-        docs_ = pa.ipc.open_stream(head).read_all()
-        group = group.filter(pc.invert(null))
-        sizes = docs_.column("n").to_numpy()
-        raw, width = _raw(group.column("at"))
-        ids, id_bytes = _raw(group.column("ids"))
-        ids, per = ids.view("<u4") if ids.size else np.zeros(0, "<u4"), id_bytes // 4
-        n = int(sizes.sum())
-        if n:
-            gaps = _unvarints(raw)
-            owner = np.cumsum(np.bincount(np.cumsum(width)[:-1], minlength=len(raw)))[np.flatnonzero(raw < 128)]
-            counts = np.bincount(owner, minlength=len(per))
-            start = _offsets(counts)[:-1]
-            total = np.cumsum(gaps)
-            places = total - np.repeat(total[start] - gaps[start], counts)
-            at = np.empty(n, np.int64)
-            at[places] = owner
-            tokens = per[at]
-            ends = _offsets(tokens)
-            source = np.repeat(_offsets(per)[:-1][at] - ends[:-1], tokens) + np.arange(ends[-1])
-            flat = ids[source]
-            bounds = ends[_offsets(sizes)]
-        else:
-            flat, bounds = np.zeros(0, "<u4"), np.zeros(len(sizes) + 1, np.int64)
+        table = _bytes_of(ranks)
+        group = group.sort_by([("kind", "descending"), ("bucket", "ascending")])
+        head, *parts = (x.as_py() for x in group.column("raw"))
+        ids_, top, numbers = _cut(head)
+        docs_ = pa.ipc.open_stream(ids_).read_all()
+        sizes, number, top = docs_.column("n").to_numpy(), _expand(numbers), _expand(top)
+        pairs = [_cut(x) for x in parts]
+        per = np.concatenate([_expand(a) for a, _ in pairs] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([_expand(b) for _, b in pairs] or [np.zeros(0, np.int64)]).astype("<u4")
+        at = np.where(number < TOP, top[np.minimum(number, max(0, len(top) - 1))], number - TOP) if len(number) else number
+        tokens = per[at]
+        ends = _offsets(tokens)
+        source = np.repeat(_offsets(per)[:-1][at] - ends[:-1], tokens) + np.arange(ends[-1])
+        flat = ids[source]
+        bounds = ends[_offsets(sizes)]
         cols: list[list] = [[], []]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             own = np.ascontiguousarray(flat[a:b])

@@ -425,7 +425,7 @@ def test_bpe(odd, empty, monkeypatch):
     assert bpe.encode(empty, RANKS).count() == 0
 
 
-def test_varints():
-    x = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1])
-    raw, size = bpe._varints(x)
-    assert size.tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4] and (bpe._unvarints(raw) == x).all()
+def test_squeeze():
+    for x in (np.array([0, 1, 255, 256, 2**24, 2**32 - 1]), np.zeros(0, np.int64), np.zeros(5, np.int64)):
+        assert bpe._expand(bpe._squeeze(x)).tolist() == x.tolist()
+    assert bpe._cut(bpe._join([b"", b"ab", b"c"])) == [b"", b"ab", b"c"]
