@@ -162,7 +162,7 @@ def unless_short(old: Column, new: Column, share: float = 0.7) -> Column:
 
 def strip_beginning(text: Column) -> Column:
     """Each line's beginning up to the word for introduction becomes that word."""
-    return F.regexp_replace(text, r"(?d).*?Введение(\.)?", "Введение. ")
+    return F.regexp_replace(text, r"(?md)(?:^|\G).*?Введение(?:\.)?", "Введение. ")
 
 
 def strip_ending(text: Column, words: str = P.BIBLIOGRAPHY) -> Column:

@@ -199,10 +199,11 @@ def drop_examples(rows: DataFrame) -> DataFrame:
 
 
 def map_text(rows: DataFrame, *steps) -> DataFrame:
-    text = F.col("text")
+    """text through the steps, a projection each: the planner merges those that use their input once, and a step that
+    uses it more often does not have it computed as often."""
     for step in steps:
-        text = step(text)
-    return rows.withColumn("text", text)
+        rows = rows.withColumn("text", step(F.col("text")))
+    return rows
 
 
 def split_sentences(rows: DataFrame) -> DataFrame:

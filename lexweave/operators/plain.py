@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
+from lexweave.operators.html import map_text
 
 
 def clean_articles(docs: DataFrame, alphabet: str = "cyrillic") -> DataFrame:
     """(doc_id, text) to (doc_id, sent, text), sentences that are long-worded and well formed."""
-    text = F.col("text")
-    for step in (T.terminal_periods, T.mask_quotes, T.close_hanging, T.strip_brackets, lambda t: T.mask_unknown(t, alphabet), T.mask_numbers):
-        text = step(text)
-    rows = docs.select("doc_id", F.posexplode(T.sentences(text)).alias("sent", "text")).where(T.wanted_sentence(F.col("text"), alphabet))
+    masked = map_text(docs, T.terminal_periods, T.mask_quotes, T.close_hanging, T.strip_brackets, lambda t: T.mask_unknown(t, alphabet), T.mask_numbers)
+    rows = masked.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent", "text")).where(T.wanted_sentence(F.col("text"), alphabet))
     tidy = rows.withColumn("text", T.strip_glued_numbers(T.tidy_spaces(F.col("text"), marks=True)))
     return tidy.where(T.well_formed(F.col("text"), alphabet))
 
@@ -68,20 +67,23 @@ def restore_paragraphs(rows: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.col("_all")[0]["para"].alias("para"), F.array_join(F.transform("_all", lambda x: x["_p"]), "").alias("text"))
 
 
-def drop_leading(rows: DataFrame, most: int = 15, foreign: int = 35) -> DataFrame:
+def drop_leading(rows: DataFrame, most: int = 15, foreign: int = 35, unless: str | None = None) -> DataFrame:
     """Without the paragraphs up to the last of the first min(most, a quarter) that has more than foreign Latin
-    words, if that is not among the first three; else without the first five."""
+    words, if that is not among the first three; else without the first five. Documents for which unless (a column)
+    holds stay whole."""
     n = F.row_number().over(_doc().orderBy("para")) - 1
     marked = rows.withColumn("_n", n).withColumn("_of", F.count("*").over(_doc()))
     words = F.size(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0)))
     hit = F.max(F.when((F.col("_n") < F.least(F.lit(most), F.floor(F.col("_of") / 4))) & (words > foreign), F.col("_n"))).over(_doc())
     marked = marked.withColumn("_hit", hit)
-    return marked.where(F.when(F.col("_hit") > 2, F.col("_n") > F.col("_hit")).otherwise(F.col("_n") >= 5)).drop("_n", "_of", "_hit")
+    kept = F.when(F.col("_hit") > 2, F.col("_n") > F.col("_hit")).otherwise(F.col("_n") >= 5)
+    return marked.where(kept if unless is None else F.col(unless) | kept).drop("_n", "_of", "_hit")
 
 
-def drop_trailing(rows: DataFrame, n: int = 2) -> DataFrame:
-    """L7."""
-    return rows.withColumn("_n", F.row_number().over(_doc().orderBy(F.desc("para")))).where(F.col("_n") > n).drop("_n")
+def drop_trailing(rows: DataFrame, n: int = 2, unless: str | None = None) -> DataFrame:
+    """Without the last n paragraphs, but for documents for which unless (a column) holds."""
+    kept = F.col("_n") > n
+    return rows.withColumn("_n", F.row_number().over(_doc().orderBy(F.desc("para")))).where(kept if unless is None else F.col(unless) | kept).drop("_n")
 
 
 def keep_alphabet(rows: DataFrame, alphabet: str = "cyrillic", share: float = 0.2) -> DataFrame:
@@ -101,18 +103,15 @@ def drop_tables(rows: DataFrame, short: int = 15, share: float = 0.33) -> DataFr
 
 def clean_extracted(docs: DataFrame, alphabet: str = "cyrillic") -> DataFrame:
     """(doc_id, text) to (doc_id, text). The paragraph steps need no second exchange: all are by doc_id."""
-    cut = docs.select("doc_id", T.strip_beginning(F.col("text")).alias("_b"), F.length("text").alias("_n"))
-    cut = cut.withColumn("_e", T.strip_ending(F.col("_b"))).select("doc_id", (F.length("_b") < F.col("_n")).alias("headed"), (F.length("_e") < F.length("_b")).alias("ended"), F.col("_e").alias("text"))
-    flags = cut.select("doc_id", "headed", "ended")
-    rows = restore_paragraphs(drop_repeated_lines(drop_repeated(paragraphs(cut)))).join(flags, "doc_id")
-    rows = rows.where("headed").unionByName(drop_leading(rows.where("not headed")))
-    rows = rows.where("ended").unionByName(drop_trailing(rows.where("not ended"))).select("doc_id", "para", "text")
+    cut = docs.select("doc_id", F.length("text").alias("_n"), T.strip_beginning(F.col("text")).alias("_b"))
+    cut = cut.withColumn("text", T.strip_ending(F.col("_b"))).select("doc_id", "text", (F.length("_b") < F.col("_n")).alias("headed"), (F.length("text") < F.length("_b")).alias("ended"))
+    rows = restore_paragraphs(drop_repeated_lines(drop_repeated(paragraphs(cut)))).join(cut.select("doc_id", "headed", "ended"), "doc_id")
+    rows = drop_trailing(drop_leading(rows, unless="headed"), unless="ended").select("doc_id", "para", "text")
     rows = drop_tables(keep_alphabet(rows, alphabet)).withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
     joined = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para", "text"))).alias("_p"))
-    text = F.array_join(F.transform("_p", lambda x: x["text"]), "\n\n")
-    for step in (T.strip_quotations, lambda t: T.strip_bad_sentences(t, alphabet), T.strip_square, T.mask_urls, T.tidy_legacy):
-        text = step(text)
-    return docs.select("doc_id").join(joined.select("doc_id", text.alias("text")), "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    joined = joined.select("doc_id", F.array_join(F.transform("_p", lambda x: x["text"]), "\n\n").alias("text"))
+    joined = map_text(joined, T.strip_quotations, lambda t: T.strip_bad_sentences(t, alphabet), T.strip_square, T.mask_urls, T.tidy_legacy)
+    return docs.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def prefilter_lines(lines: DataFrame) -> DataFrame:
