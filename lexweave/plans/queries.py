@@ -280,7 +280,13 @@ def slugs(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
-@query("nested_brackets")
+_FOLD = """list_reduce(list_transform(string_split(text, ''), lambda c: {'s': 0, 'r': 0, 'o': c}), lambda a, x:
+  case when x.o = '[' then {'s': a.s + 1, 'r': a.r, 'o': a.o} when x.o = '(' then {'s': a.s, 'r': a.r + 1, 'o': a.o}
+    when x.o = ']' and a.s > 0 then {'s': a.s - 1, 'r': a.r, 'o': a.o} when x.o = ')' and a.r > 0 then {'s': a.s, 'r': a.r - 1, 'o': a.o}
+    when a.s = 0 and a.r = 0 then {'s': 0, 'r': 0, 'o': a.o || x.o} else a end, {'s': 0, 'r': 0, 'o': ''}).o"""
+
+
+@query("nested_brackets", f"select doc_id, case when regexp_matches(text, '[\\[(]') then {_FOLD} else text end as text from documents")
 def nested_brackets(spark, sf_dir):
     return _changed(spark, sf_dir, T.strip_brackets)
 
@@ -528,10 +534,14 @@ def phrases(spark, sf_dir):
     return evalset.phrase_scores(tokens.tokens(docs(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
-@query("static_suggest")
+@query("static_suggest", """with v as (select vec_id, 'w' || vec_id || '_l' || label as word, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+  c as (select a.word as w1, b.word as w2, a.label as l1, b.label as l2 from v a join v b on a.vec_id % 50 = 0 and b.vec_id = a.vec_id + 1),
+  t as (select w1 as word from c union select w2 from c), s as (select q.word as k, x.word, x.label, list_cosine_similarity(q.e, x.e) as score from t join v q using (word) join v x on x.word <> q.word),
+  r as (select *, row_number() over (partition by k order by score desc, word) as rank from s), n as (select * from r where rank <= 50)
+  select w1 || ' ' || w2 as colloc, 1 as level, n.word || ' ' || w2 as suggested, rank, round(score, 6) as score from c join n on n.k = w1 and n.label = l1
+  union all select w1 || ' ' || w2, 1, w1 || ' ' || n.word, rank, round(score, 6) from c join n on n.k = w2 and n.label = l2""")
 def static_suggest(spark, sf_dir):
-    """E10, F4 on pairs of vectors: words are vec_id_label, a collocation is a vector and the next, and every pair that
-    a document of that number of characters modulo the table's size gives is attested."""
+    """Words are vec_id_label, the label standing for the part of speech; a collocation is a vector and the next."""
     v = table(spark, sf_dir, "embeddings").select(F.concat_ws("_", F.concat(F.lit("w"), "vec_id"), F.concat(F.lit("l"), "label")).alias("word"), F.col("embedding").alias("vec"), "vec_id")
     next_ = v.select(F.col("word").alias("w2"), (F.col("vec_id") - 1).alias("vec_id"))
     colloc = v.where("vec_id % 50 = 0").join(next_, "vec_id").select(F.concat_ws(" ", "word", "w2").alias("colloc"))
