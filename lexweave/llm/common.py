@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = found.get() if found.isDefined() else None
     if not base:
         if spark.sparkContext.master.startswith("local["):
-            base = "file://" + tempfile.mkdtemp(prefix="lexweave-")
+            base = "file://" + (folder := tempfile.mkdtemp(prefix="lexweave-"))
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
