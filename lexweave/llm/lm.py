@@ -19,29 +19,33 @@ _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", 1)), np.uint64(xxhash.xxh64
 _ZERO = -32768
 #: Text of one chunk, the unit whose distinct n-grams are counted together, in bytes on average.
 CHUNK_BYTES = 12 << 20
+#: Context-frequency buckets: none, and a power of two each.
+BUCKETS = 65
 
 
 @dataclass
 class Counts:
     """What every task needs to know of the training tokens: frequent words (their hashes sorted; their counts, in all
-    and outside the tuning part), the number of tokens, in all and outside, the number of distinct tokens."""
+    and outside the tuning part), the number of tokens and of texts, in all and outside, the number of distinct tokens."""
 
     hash: np.ndarray
     all: np.ndarray
     main: np.ndarray
     tokens: int
     tokens_main: int
+    starts: int
+    starts_main: int
     distinct: int
-    share: float
 
-    def bucket(self, context: np.ndarray) -> np.ndarray:
-        """0 for contexts that are not frequent (context 0), else 1 and up by powers of two of the frequency."""
-        share = np.concatenate([[0.0], self.all / max(1, self.tokens) / self.share])
-        return np.where(share > 0, 1 + np.floor(np.log2(np.maximum(share, 1))), 0).astype(np.int64)[context]
+
+def frequency_bucket(n: np.ndarray) -> np.ndarray:
+    """0 for contexts that never occur, else 1 and up by powers of two of their counts."""
+    return np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1))), 0).astype(np.int64)
 
 
 class Chunk:
-    """The tokens of some texts: hashes, contexts (1 and up: number of a frequent word, or 0), and distinct pairs."""
+    """The tokens of some texts, and their distinct (word, context) pairs in an order that the texts' own order does not
+    change: hashes of both, the numbers of those that are frequent words (1 and up; else 0), places among the words."""
 
     def __init__(self, texts: list[str], known: Counts, buckets: int):
         split = [t.encode().lower().split() for t in texts]
@@ -53,25 +57,37 @@ class Chunk:
         frequent = np.searchsorted(known.hash, hashes)
         number = np.where(known.hash[np.minimum(frequent, len(known.hash) - 1)] == hashes, frequent + 1, 0) if len(known.hash) else np.zeros(len(hashes), np.int64)
         ends = np.cumsum(self.sizes)
-        self.ends = ends
+        self.ends, self.width = ends, len(hashes)
         at = np.full(int(ends[-1]), len(words), np.int64)
         inner = np.ones(len(at), bool)
         inner[ends - 1] = False
         at[inner] = plain
         before = np.concatenate([[0], at[:-1]])
         before[ends - self.sizes] = len(words) + 1
-        word, context = at, number[before]
-        width = int(known.hash.size) + 1
-        keys, self.pair = np.unique(word * width + context, return_inverse=True)
-        word, context = keys // width, keys % width
-        h, own = hashes[word], number[word]
-        spread = mix(np.where(own > 0, h + context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), h))
+        keys, self.pair = np.unique(at * self.width + before, return_inverse=True)
+        word, before = keys // self.width, keys % self.width
+        h, own, context = hashes[word], number[word], hashes[before]
+        spread = mix(np.where(own > 0, h + context * np.uint64(0x9E3779B97F4A7C15), h))
         bucket = (spread >> np.uint64(33)).astype(np.int64) % buckets
         order = np.lexsort((context, h, bucket))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.pair = place[self.pair]
-        self.hash, self.context, self.own, self.bucket = h[order], context[order], own[order], bucket[order]
+        self.hash, self.own, self.bucket = h[order], own[order], bucket[order]
+        self.context, self.number = context[order], number[before][order]
+        self.word, self.before = word[order], before[order]
+
+    def counts(self, answers: dict, which: int, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every pair the count of its word, of itself and of its context; which chooses among an answer's sets."""
+        cw, pairs = np.empty(len(self.hash), np.int64), np.empty(len(self.hash), np.int64)
+        for bucket, s in self.parts():
+            one, two = _unpack(answers[bucket].as_py(), *[np.int64] * (2 * which + 2))[-2:]
+            _, per = np.unique(self.hash[s], return_counts=True)
+            cw[s], pairs[s] = np.repeat(one, per), two
+        word = np.zeros(self.width, np.int64)
+        word[self.word] = cw
+        word[-1] = starts
+        return cw, pairs, word[self.before]
 
     def parts(self) -> Iterator[tuple[int, slice]]:
         cuts = np.flatnonzero(np.diff(self.bucket)) + 1
@@ -128,7 +144,7 @@ def learn_weights(cells: list[tuple[int, int, int, int]], buckets: int, distinct
     """The weights (bigram, unigram, uniform) of each context bucket, by expectation-maximisation on tuning tokens.
 
     cells: (bucket, tenths of the log10 of the bigram and of the unigram estimate, tokens). A bucket without tokens
-    takes the weights of all. Bucket 0 has no bigram estimate."""
+    takes those of the next lower one that has some. Bucket 0 (contexts that do not occur) has no bigram estimate."""
     out = np.zeros((buckets, 3))
     table = np.array(cells, np.int64).reshape(-1, 4)
 
@@ -145,9 +161,7 @@ def learn_weights(cells: list[tuple[int, int, int, int]], buckets: int, distinct
     pooled = em(table[table[:, 0] > 0]) if (table[:, 0] > 0).any() else np.array([0.4, 0.5, 0.1])
     for b in range(buckets):
         own = table[table[:, 0] == b]
-        out[b] = em(own) if len(own) else pooled
-    if not (table[:, 0] == 0).any():
-        out[0] = [0, 0.9, 0.1]
+        out[b] = em(own) if len(own) else [0, 0.9, 0.1] if b == 0 else out[b - 1] if b > 1 and (table[:, 0] < b)[table[:, 0] > 0].any() else pooled
     return out
 
 
@@ -156,16 +170,17 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
 
     Tokens: the words of the text (A to Z lower-cased, ended by ASCII white space), then an end. P(w | h) mixes the
     maximum-likelihood estimates c(h, w) / c(h) and c(w) / N and the uniform 1 / (V + 1). The weights depend on the
-    frequency bucket of the context h and are learned by expectation-maximisation on the training rows whose text's
-    crc32 is divisible by tune_one_in, with estimates from the other training rows; the scores use all. Contexts whose
-    share of the tokens is below share (at most 1 / share words are above, which bounds what is broadcast) are one
-    bucket without bigram estimates.
-
-    Texts are dealt to chunks by a hash of id and text. A chunk's distinct (context, word) pairs go once to the bucket
-    of tasks that a hash of the word gives (of word and context, where the word is frequent, so no pair or word is
-    hot: a pair has a row's share a chunk). There the counts of all chunks add up, give the tuning statistics, and go
-    back to the chunks, which meet their texts again. So a text is shuffled twice, and no table of n-grams is ever in
-    one place.
+    frequency bucket of the context h (powers of two of its count) and are learned by expectation-maximisation on the
+    training rows whose text's crc32 is divisible by tune_one_in, with estimates from the other training rows; the
+    scores use all. Every context and every pair that occurs has its estimate, so what is learned grows with the input.
+
+    Texts are dealt to chunks by a hash of id and text, tuning rows to chunks of their own. A chunk's distinct
+    (context, word) pairs go once to the bucket of tasks that a hash of the word gives (of word and context, where the
+    word is frequent, so no pair or word is hot: a pair has a row's share a chunk). There the counts of all chunks add
+    up and go back to the chunks, which meet their texts again; a context's count comes back as that of a word of the
+    chunk. So a text is shuffled twice (a tuning text three times), and no table of n-grams is ever in one place.
+    Words whose share of the tokens is at least share (at most 1 / share words, which bounds what is broadcast) are the
+    frequent ones; results do not depend on it.
 
     Returns the id, n_tokens, n_known, train_tokens, base_score (unigrams with one added to each count) and score, both
     log10 of the whole text's probability. Null or empty text: the end alone. Null train: learns nothing. Null and
@@ -183,27 +198,28 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     if starts >= max(1, share * tokens):
         found = np.concatenate([found, np.array([[_START.view(np.int64), starts, starts_main]], np.int64)])
     found = found[np.argsort(found[:, 0].view(np.uint64), kind="stable")]
-    known = Counts(found[:, 0].copy().view(np.uint64), found[:, 1].copy(), found[:, 2].copy(), tokens, main, distinct, share)
+    known = Counts(found[:, 0].copy().view(np.uint64), found[:, 1].copy(), found[:, 2].copy(), tokens, main, starts, starts_main, distinct)
 
-    size = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    chunks = max(1, math.ceil(size / CHUNK_BYTES))
-    buckets = chunks
-    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("i", "t"), F.lit(chunks)).cast("int"))
+    tuning = F.col("train") & F.col("tune")
+    sizes = base.agg(*(F.coalesce(F.sum(F.when(c, F.octet_length("t"))), F.lit(0)) for c in (~tuning, tuning))).first()
+    plain, tuned = (max(1, math.ceil(x / CHUNK_BYTES)) for x in sizes)
+    buckets = plain + tuned
+    dealt = base.withColumn("chunk", F.when(tuning, F.pmod(F.xxhash64("i", "t"), F.lit(tuned)) + plain).otherwise(F.pmod(F.xxhash64("i", "t"), F.lit(plain))).cast("int"))
 
     def ask(group: pa.Table) -> pa.Table:
         made = Chunk(group.column("t").to_pylist(), known, buckets)
-        train_, tune = (np.asarray(group.column(c)) for c in ("train", "tune"))
-        counts = []
-        for wanted in (train_ & ~tune, train_ & tune):
-            counts.append(np.bincount(made.pair[np.repeat(wanted, made.sizes)], minlength=len(made.hash)).astype(np.uint32))
+        wanted = np.repeat(np.asarray(group.column("train")), made.sizes)
+        counts = np.bincount(made.pair[wanted], minlength=len(made.hash)).astype(np.uint32)
         out = []
         for bucket, s in made.parts():
             h, first, per = np.unique(made.hash[s], return_index=True, return_counts=True)
-            out.append((bucket, group.column("chunk")[0].as_py(), _pack(h, per.astype(np.uint32), made.own[s][first].astype(np.uint32), made.context[s].astype(np.uint32), counts[0][s], counts[1][s])))
+            number = made.number[s]
+            out.append((bucket, group.column("chunk")[0].as_py(), _pack(h, per.astype(np.uint32), made.own[s][first].astype(np.uint32), number.astype(np.uint32), made.context[s][number == 0], counts[s])))
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("bucket", "chunk", "pairs"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)})
 
     def answer(group: pa.Table) -> pa.Table:
-        asked = [_unpack(x.as_py(), np.uint64, *[np.uint32] * 5) for x in group.column("pairs")]
+        asked = [_unpack(x.as_py(), np.uint64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint32) for x in group.column("pairs")]
+        chunk = group.column("chunk").to_numpy()
         per_word = [len(x[0]) for x in asked]
         per_pair = [len(x[3]) for x in asked]
         word = np.concatenate([x[0] for x in asked])
@@ -213,55 +229,47 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
         number = np.zeros(len(unique), np.int64)
         number[at] = own
         context = np.concatenate([x[3] for x in asked]).astype(np.int64)
-        pairs, pair = np.unique(owner * (len(known.hash) + 1) + context, return_inverse=True)
-        main_, tune = (np.concatenate([x[k] for x in asked]).astype(np.int64) for k in (4, 5))
-        both = [np.bincount(pair, x, len(pairs)).astype(np.int64) for x in (main_, tune)]
-        words = [np.bincount(owner, x, len(unique)).astype(np.int64) for x in (main_, tune)]
-        frequent = number > 0
-        for k, of in enumerate((known.main, known.all - known.main)):
-            words[k][frequent] = of[number[frequent] - 1]
-        out = [(c, _pack(a, b)) for c, a, b in zip(
-            group.column("chunk").to_pylist(), np.split((words[0] + words[1])[at], np.cumsum(per_word)[:-1]), np.split((both[0] + both[1])[pair], np.cumsum(per_pair)[:-1]), strict=True
-        )]
-        seen = both[1] > 0
-        o, c = pairs[seen] // (len(known.hash) + 1), pairs[seen] % (len(known.hash) + 1)
-        with np.errstate(divide="ignore"):
-            one = np.log10(words[0][o] / max(1, known.tokens_main))
-            two = np.log10(np.where(c > 0, both[0][seen] / np.maximum(1, np.concatenate([[1], known.main])[c]), 0.0))
-        cell = np.stack([known.bucket(c)] + [np.where(np.isfinite(x), np.round(10 * x), _ZERO).astype(np.int64) for x in (two, one)])
-        cell, place = np.unique(cell, axis=1, return_inverse=True)
-        out.append((-1, _pack(cell, np.bincount(place.ravel(), both[1][seen], cell.shape[1]).astype(np.int64))))
-        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()] * len(out), pa.int32()), "chunk": pa.array([x[0] for x in out], pa.int32()), "counts": pa.array([x[1] for x in out], pa.binary())})
+        rare, which = np.unique(np.concatenate([x[4] for x in asked]), return_inverse=True)
+        context[context == 0] = len(known.hash) + 1 + which
+        pairs, pair = np.unique(owner * (len(known.hash) + 1 + len(rare)) + context, return_inverse=True)
+        n, later = np.concatenate([x[5] for x in asked]).astype(np.int64), np.repeat(chunk >= plain, per_pair)
+        sets = []
+        for x, frequent in ((n, known.all), (np.where(later, 0, n), known.main)):
+            words = np.bincount(owner, x, len(unique)).astype(np.int64)
+            words[number > 0] = frequent[number[number > 0] - 1]
+            both = np.bincount(pair, x, len(pairs)).astype(np.int64)
+            sets += [np.split(words[at], np.cumsum(per_word)[:-1]), np.split(both[pair], np.cumsum(per_pair)[:-1])]
+        out = [_pack(*(x[k] for x in (sets if c >= plain else sets[:2]))) for k, c in enumerate(chunk)]
+        return pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "counts": pa.array(out, pa.binary())})
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, pairs binary")
     answered = materialize(asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk int, counts binary"), "counts")
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                cell, n = _unpack(x.as_py(), np.int64, np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in cell.reshape(3, -1)), pa.array(n)], ["b", "two", "one", "n"])
+    def answers(counts: pa.Table) -> dict:
+        return dict(zip(counts.column("bucket").to_pylist(), counts.column("counts"), strict=True))
 
-    tuned = answered.where("chunk < 0").select("counts").mapInArrow(cells, "b long, two long, one long, n long").groupBy("b", "two", "one").agg(F.sum("n").alias("n"))
-    weights = learn_weights([tuple(r) for r in tuned.collect()], 2 + math.ceil(math.log2(1 / share)), distinct)
+    def tune(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        made = Chunk(texts.column("t").to_pylist(), known, buckets)
+        cw, pairs, ch = made.counts(answers(counts), 1, known.starts_main)
+        with np.errstate(divide="ignore"):
+            one, two = np.log10(cw / max(1, known.tokens_main)), np.log10(pairs / np.maximum(1, ch))
+        cell = np.stack([frequency_bucket(ch), *(np.where(np.isfinite(x), np.round(10 * x), _ZERO).astype(np.int64) for x in (two, one))])
+        cell, place = np.unique(cell, axis=1, return_inverse=True)
+        n = np.bincount(place.ravel(), np.bincount(made.pair, minlength=len(made.hash)), cell.shape[1]).astype(np.int64)
+        return pa.table({k: pa.array(x) for k, x in zip(("b", "two", "one", "n"), (*cell, n), strict=True)})
+
+    late = dealt.where(tuning).select("chunk", "t").groupBy("chunk").cogroup(answered.where(F.col("chunk") >= plain).groupBy("chunk"))
+    cells = late.applyInArrow(tune, "b long, two long, one long, n long").groupBy("b", "two", "one").agg(F.sum("n").alias("n"))
+    weights = learn_weights([tuple(r) for r in cells.collect()], BUCKETS, distinct)
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        made = Chunk(texts.column("t").to_pylist(), known, buckets) if len(texts) else None
-        if made is None:
-            return pa.table({k: pa.array([], t) for k, t in (("i", texts.schema.field("i").type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        blobs = dict(zip(counts.column("bucket").to_pylist(), counts.column("counts"), strict=True))
-        cw, chw = np.empty(len(made.hash), np.int64), np.empty(len(made.hash), np.int64)
-        for bucket, s in made.parts():
-            one, two = _unpack(blobs[bucket].as_py(), np.int64, np.int64)
-            _, per = np.unique(made.hash[s], return_counts=True)
-            cw[s], chw[s] = np.repeat(one, per), two
-        w = weights[known.bucket(made.context)]
-        ch = np.maximum(1, np.concatenate([[1], known.all])[made.context])
-        p = w[:, 0] * np.where(made.context > 0, chw / ch, 0.0) + w[:, 1] * cw / max(1, known.tokens) + w[:, 2] / (known.distinct + 1)
+        made = Chunk(texts.column("t").to_pylist(), known, buckets)
+        cw, pairs, ch = made.counts(answers(counts), 0, known.starts)
+        w = weights[frequency_bucket(ch)]
+        p = w[:, 0] * pairs / np.maximum(1, ch) + w[:, 1] * cw / max(1, known.tokens) + w[:, 2] / (known.distinct + 1)
         each = np.stack([cw > 0, np.log10((cw + 1) / (known.tokens + known.distinct + 1)), np.log10(p)])
-        known_, plain, full = (np.add.reduceat(x[made.pair], made.ends - made.sizes) for x in each)
-        return pa.table({"i": texts.column("i"), "n_tokens": pa.array(made.sizes), "n_known": pa.array(known_.astype(np.int64)), "base_score": pa.array(plain), "score": pa.array(full)})
+        in_, unigrams, full = (np.add.reduceat(x[made.pair], made.ends - made.sizes) for x in each)
+        return pa.table({"i": texts.column("i"), "n_tokens": pa.array(made.sizes), "n_known": pa.array(in_.astype(np.int64)), "base_score": pa.array(unigrams), "score": pa.array(full)})
 
-    back = answered.where("chunk >= 0")
-    out = dealt.select("chunk", "i", "t").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, f"i {kind}, n_tokens long, n_known long, base_score double, score double")
+    out = dealt.select("chunk", "i", "t").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored, f"i {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("i").alias(id_col), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -248,12 +248,13 @@ def test_interpolated_is_a_bigram_model(spark):
     for i, t in rows[:20]:
         w, score = ["<s>", *t.split(), "</s>"], 0.0
         for h, x in zip(w, w[1:], strict=False):
-            often = one[h] >= 1e-2 * n
-            a = weights["w"][1 + int(np.log2(one[h] / n / 1e-2)) if often else 0]
-            score += np.log10((a[0] * two[h, x] / one[h] if often else 0) + a[1] * one[x] / n + a[2] / (v + 1))
+            a = weights["w"][1 + int(np.log2(one[h])) if one[h] else 0]
+            score += np.log10((a[0] * two[h, x] / one[h] if one[h] else 0) + a[1] * one[x] / n + a[2] / (v + 1))
         assert got[i].score == pytest.approx(score, rel=1e-9)
     held = [r for i, r in got.items() if i % 4 == 0]
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+    again = lm.interpolated(docs, F.col("doc_id") % 4 != 0, share=0.2).collect()
+    assert {r.doc_id: r.score for r in again} == pytest.approx({i: r.score for i, r in got.items()}, rel=1e-12)
 
 
 def test_quality(spark, odd, empty):
