@@ -9,10 +9,12 @@ from lexweave.llm.common import materialize, unbound
 
 #: Line hashes up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: All white space, for blanks below.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
-def _hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+def _hash(line: Column, blanks: str) -> Column:
+    return F.xxhash64(F.trim(line, F.lit(blanks)))
 
 
 def _among(lines: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -22,15 +24,16 @@ def _among(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     return lines.join(chosen, "h")
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = 8, lg_k: int = 9) -> DataFrame:
+def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = 8, lg_k: int = 9, blanks: str = " ") -> DataFrame:
     """Hashes h (long) of the lines that occur on at least min_sites distinct sites.
 
     Each task sketches the sites of its lines (HyperLogLog, one sketch a line hash), the sketches of a hash merge by
     aggregation, and lines whose estimate lies within four standard errors of min_sites get an exact distinct count.
-    A line is compared without the spaces around it; blank lines never count. A null site is no evidence of a site."""
+    A line is compared without the characters of blanks around it; blank lines never count. A null site is no evidence
+    of a site."""
     lines = docs.select(
         F.col(site_col).cast("string").alias("site"),
-        F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), _hash))).alias("h"),
+        F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), lambda x: _hash(x, blanks)))).alias("h"),
     ).where(F.col("h") != F.xxhash64(F.lit("")))
     error = 4 * 1.04 / 2 ** (lg_k / 2)
     spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("n"))
@@ -41,29 +44,32 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, max_share: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, max_share: float | None = 0.5, blanks: str = " "
 ) -> DataFrame:
     """docs without cross-site boilerplate lines, with every column and n_lines, n_removed (long) added.
 
     All copies of a line on min_sites or more distinct sites go, blank lines stay. Where they would make up more than
     max_share of a text's characters the text stays whole: it is then a copy of something, to be judged as a document,
-    not a document with boilerplate. Only line hashes are shuffled, and each text once; a text is rejoined with its own
-    lines' hashes by a hash of its id and text, so repeated and null ids need no care and a hot one can be split.
+    not a document with boilerplate. With max_share None they go from every text that keeps a line of its own that is
+    not blank, whatever their share; only a text without one stays whole. Only line hashes are shuffled, and each text
+    once; a text is rejoined with its own lines' hashes by a hash of its id and text, so repeated and null ids need no
+    care and a hot one can be split.
 
     Null text: stays null, 0 lines. Empty text: one blank line, unchanged. Null site: see boilerplate(). Repeated rows:
     each treated alike. Very long texts: lines are hashed where they are read. Empty table: no rows. Columns of docs
     named n_lines or n_removed are replaced."""
-    chosen = boilerplate(docs, text_col, site_col, min_sites)
+    chosen = boilerplate(docs, text_col, site_col, min_sites, blanks=blanks)
     rows = docs.drop("n_lines", "n_removed").select(F.struct("*").alias("r"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"))
-    hits = _among(rows.select("k", F.explode(F.array_distinct(F.transform(F.split("t", "\n"), _hash))).alias("h")), chosen)
+    hits = _among(rows.select("k", F.explode(F.array_distinct(F.transform(F.split("t", "\n"), lambda x: _hash(x, blanks)))).alias("h")), chosen)
     hits = hits.groupBy("k").agg(F.collect_set("h").alias("hs")).select(unbound("k"), "hs")
     lines = F.split("t", "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("hs"), _hash(x)))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("hs"), _hash(x, blanks)))
     found = rows.join(hits, "k", "left").select(
         "r", "t", F.when(F.col("hs").isNull(), lines).otherwise(kept).alias("kept"), F.size(F.coalesce(lines, F.array())).cast("long").alias("n_lines")
     )
     cut = F.length("t") - F.length(F.array_join("kept", "\n"))
-    found = found.withColumn("cut", (F.size("kept") < F.col("n_lines")) & (cut <= max_share * F.length("t")))
+    fits = F.exists("kept", lambda x: F.trim(x, F.lit(blanks)) != "") if max_share is None else cut <= max_share * F.length("t")
+    found = found.withColumn("cut", (F.size("kept") < F.col("n_lines")) & fits)
     text = F.when(F.col("cut"), F.array_join("kept", "\n")).otherwise(F.col("t"))
     n_removed = F.when(F.col("cut"), F.col("n_lines") - F.size("kept")).otherwise(F.lit(0)).cast("long")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import bpe, itq, lm, quality, sharding, topk, warc
-from lexweave.llm.linededup import line_dedup
+from lexweave.llm.linededup import WHITE, line_dedup
 from lexweave.llm.ngramjoin import ngram_join
 from lexweave.llm.packing import pack
 
@@ -58,6 +58,24 @@ from documents left join judged using (doc_id)
 """
 
 
+def op4_linededup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_linededup without a limit on the share that goes, lines compared without any white space around them."""
+    return line_dedup(_table(spark, sf_dir, "documents"), max_share=None, blanks=WHITE).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP4_WHOLE_SQL = f"""
+with lines as (select doc_id, source, text, line, trim(line, '{WHITE}') as bare, pos
+  from (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)),
+wide as (select bare from lines where bare <> '' group by 1 having count(distinct source) >= 8),
+marked as (select doc_id, text, line, bare, pos, wide.bare is not null as bad from lines left join wide using (bare)),
+cut as (select doc_id, any_value(text) as text, coalesce(string_agg(line, chr(10) order by pos) filter (where not bad), '') as rest, count(*) as n_lines,
+  count(*) filter (where bad) as n_bad, count(*) filter (where not bad and bare <> '') as n_own from marked group by doc_id),
+judged as (select *, n_bad > 0 and n_own > 0 as cut from cut)
+select documents.doc_id, case when cut then rest else documents.text end as text, coalesce(n_lines, 0) as n_lines, case when cut then n_bad else 0 end as n_removed
+from documents left join judged using (doc_id)
+"""
+
+
 def op8_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -144,5 +162,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngramjoin": op8_ngramjoin,
     "op9_bpe": op9_bpe,
     "op10_itq": op10_itq,
+    "op4_linededup_whole": op4_linededup_whole,
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_linededup": OP4_SQL, "op7_topk": OP7_SQL, "op8_ngramjoin": OP8_SQL, "op10_itq": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_linededup": OP4_SQL, "op4_linededup_whole": OP4_WHOLE_SQL, "op7_topk": OP7_SQL, "op8_ngramjoin": OP8_SQL, "op10_itq": OP10_SQL}

@@ -196,6 +196,14 @@ def test_line_dedup(spark, empty):
     assert line_dedup(empty).count() == 0
 
 
+def test_line_dedup_whole_cuts_all_that_keep_own_lines(spark):
+    passage = "a long passage on many sites " * 9
+    rows = [(i, f"own {i}\n{passage}\n", f"s{i}") for i in range(8)] + [(8, f"{passage}\n  ", "s1"), (9, passage, "s2"), (10, "own\n\nmore", "s3")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(table, max_share=None).collect()}
+    assert got == {**{i: (f"own {i}\n", 1) for i in range(8)}, 8: (f"{passage}\n  ", 0), 9: (passage, 0), 10: ("own\n\nmore", 0)}
+
+
 def test_interpolated(odd, empty):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 0
     got = lm.interpolated(odd, train, share=1e-3).collect()
