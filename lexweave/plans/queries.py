@@ -116,13 +116,15 @@ def unattested_bigrams(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir, least: int = 5) -> DataFrame:
-    """Bigrams of at least 5 occurrences with the counts of their words and the number of distinct words."""
+    """Bigrams of at least so many occurrences with their measures from the counts of their words and the number of
+    distinct words."""
     one = frequencies(spark, sf_dir, 1)
     return ngrams.statistics(frequencies(spark, sf_dir, 2).where(F.col("freq") >= least), one, one, 2, one.agg(F.count("*").alias("n")))
 
 
-_PAIRS = f"""with {F1}, {F2}, p as (select f2.w1, f2.w2, f2.freq, cast(a.freq as double) as a, cast(b.freq as double) as b, cast((select count(*) from f1) as double) as n
-  from f2 join f1 a on a.w1 = f2.w1 join f1 b on b.w1 = f2.w2 where f2.freq >= 5)"""
+_ALL_PAIRS = f"""with {F1}, {F2}, p as (select f2.w1, f2.w2, f2.freq, cast(a.freq as double) as a, cast(b.freq as double) as b, cast((select count(*) from f1) as double) as n
+  from f2 join f1 a on a.w1 = f2.w1 join f1 b on b.w1 = f2.w2)"""
+_PAIRS = f"{_ALL_PAIRS[:-1]} where f2.freq >= 5)"
 
 
 @query("bigram_pmi", f"{_PAIRS} select w1, w2, freq, round(log10(n * freq / (a * b)), 6) as pmi from p")
@@ -140,27 +142,58 @@ def bigram_logdice(spark, sf_dir):
     return _pairs(spark, sf_dir).select("w1", "w2", "freq", F.round("log_dice", 6).alias("log_dice"))
 
 
+@query("bigram_pmi_all", f"{_ALL_PAIRS} select w1, w2, freq, round(log10(n * freq / (a * b)), 6) as pmi from p")
+def bigram_pmi_all(spark, sf_dir):
+    return _pairs(spark, sf_dir, 1).select("w1", "w2", "freq", F.round("pmi", 6).alias("pmi"))
+
+
+@query("bigram_tscore_all", f"{_ALL_PAIRS} select w1, w2, freq, round((freq - a * b / n) / sqrt(freq), 6) as t_score from p")
+def bigram_tscore_all(spark, sf_dir):
+    return _pairs(spark, sf_dir, 1).select("w1", "w2", "freq", F.round("t_score", 6).alias("t_score"))
+
+
+@query("bigram_logdice_all", f"{_ALL_PAIRS} select w1, w2, freq, round(14 + log2(2.0 * freq / (a + b)), 6) as log_dice from p")
+def bigram_logdice_all(spark, sf_dir):
+    return _pairs(spark, sf_dir, 1).select("w1", "w2", "freq", F.round("log_dice", 6).alias("log_dice"))
+
+
 @query("top_collocations", f"{_PAIRS} select w1, w2, freq, round(log10(n * freq / (a * b)), 6) as pmi, round((freq - a * b / n) / sqrt(freq), 6) as t_score, round(14 + log2(2.0 * freq / (a + b)), 6) as log_dice from p order by round(14 + log2(2.0 * freq / (a + b)), 6) desc, w1, w2 limit 50")
 def top_collocations(spark, sf_dir):
     rounded = _pairs(spark, sf_dir).select("w1", "w2", "freq", *(F.round(c, 6).alias(c) for c in ("pmi", "t_score", "log_dice")))
     return rounded.orderBy(F.desc("log_dice"), "w1", "w2").limit(50)
 
 
-@query("trigram_stats", f"""with {F1}, {F2}, {F3}, p as (select f3.w1, f3.w2, f3.w3, f3.freq, cast(f2.freq as double) as a, cast(f1.freq as double) as b, cast((select count(*) from f1) as double) as n
-  from f3 join f2 on f2.w1 = f3.w1 and f2.w2 = f3.w2 join f1 on f1.w1 = f3.w3 where f3.freq >= 3)
-  select w1, w2, w3, freq, round(log10(n * freq / (a * b)), 6) as pmi, round((freq - a * b / n) / sqrt(freq), 6) as t_score from p""")
-def trigram_stats(spark, sf_dir):
+_TRIPLES = f"""with {F1}, {F2}, {F3}, p as (select f3.w1, f3.w2, f3.w3, f3.freq, cast(f2.freq as double) as a, cast(f1.freq as double) as b, cast((select count(*) from f1) as double) as n
+  from f3 join f2 on f2.w1 = f3.w1 and f2.w2 = f3.w2 join f1 on f1.w1 = f3.w3{{}})
+  select w1, w2, w3, freq, round(log10(n * freq / (a * b)), 6) as pmi, round((freq - a * b / n) / sqrt(freq), 6) as t_score from p"""
+
+
+@query("trigram_stats", _TRIPLES.replace("{}", " where f3.freq >= 3"))
+def trigram_stats(spark, sf_dir, least: int = 3):
     one, two, three = (frequencies(spark, sf_dir, n) for n in (1, 2, 3))
-    found = ngrams.statistics(three.where("freq >= 3"), two, one, 3, one.agg(F.count("*").alias("n")))
+    found = ngrams.statistics(three.where(F.col("freq") >= least), two, one, 3, one.agg(F.count("*").alias("n")))
     return found.select("w1", "w2", "w3", "freq", F.round("pmi", 6).alias("pmi"), F.round("t_score", 6).alias("t_score"))
 
 
-@query("c_value", f"""with {F2}, {F3}, i as (select w1, w2, freq from f3 union all select w2, w3, freq from f3 where not (w1 = w2 and w2 = w3)),
+@query("trigram_stats_all", _TRIPLES.replace("{}", ""))
+def trigram_stats_all(spark, sf_dir):
+    return trigram_stats(spark, sf_dir, 1)
+
+
+_C_VALUES = f"""with {F2}, {F3}, i as (select w1, w2, freq from f3 union all select w2, w3, freq from f3 where not (w1 = w2 and w2 = w3)),
   h as (select w1, w2, count(*) as longer, sum(freq) as longer_freq from i group by all)
-  select w1, w2, freq, round(cast(freq as double) - coalesce(longer_freq / cast(longer as double), 0.0), 6) as c_value from f2 left join h using (w1, w2) where freq >= 3""")
-def c_value(spark, sf_dir):
+  select w1, w2, freq, round(cast(freq as double) - coalesce(longer_freq / cast(longer as double), 0.0), 6) as c_value from f2 left join h using (w1, w2)"""
+
+
+@query("c_value", f"{_C_VALUES} where freq >= 3")
+def c_value(spark, sf_dir, least: int = 3):
     two, three = frequencies(spark, sf_dir, 2), frequencies(spark, sf_dir, 3)
-    return ngrams.c_values(two.where("freq >= 3"), three, 2).withColumn("c_value", F.round(F.col("c_value").cast("double"), 6))
+    return ngrams.c_values(two.where(F.col("freq") >= least), three, 2).withColumn("c_value", F.round(F.col("c_value").cast("double"), 6))
+
+
+@query("c_value_all", _C_VALUES)
+def c_value_all(spark, sf_dir):
+    return c_value(spark, sf_dir, 1)
 
 
 # ---- the wordform star: a lemma is the lower-case word, the tag comes from its ending
@@ -198,7 +231,10 @@ def _top_sql(n: int, wanted: str, least: int) -> str:
   select * from t where {wanted}"""
 
 
-@query("top_bigrams_by_pos", _top_sql(2, "(pos1 = 'V' and pos2 in ('V', 'N')) or (pos1 in ('N', 'A') and pos2 = 'N')", 4))
+_POS2, _POS3 = "(pos1 = 'V' and pos2 in ('V', 'N')) or (pos1 in ('N', 'A') and pos2 = 'N')", "pos1 in ('N', 'V') and pos2 = 'S' and pos3 = 'N'"
+
+
+@query("top_bigrams_by_pos", _top_sql(2, _POS2, 4))
 def top_bigrams_by_pos(spark, sf_dir):
     """The scan is cut at a frequency, not a number of rows, so that ties decide nothing in either engine."""
     return _by_pos(spark, sf_dir, 2, 4)
@@ -213,11 +249,21 @@ def _by_pos(spark, sf_dir, n, least):
     return found.select("raw_frequency", *(f"{c}{k}" for k in range(1, n + 1) for c in ("n", "l", "pos")))
 
 
-@query("top_trigrams_by_pos", _top_sql(3, "pos1 in ('N', 'V') and pos2 = 'S' and pos3 = 'N'", 3))
+@query("top_trigrams_by_pos", _top_sql(3, _POS3, 3))
 def top_trigrams_by_pos(spark, sf_dir):
     return _by_pos(spark, sf_dir, 3, 3)
 
 
+@query("bigrams_by_pos_all", _top_sql(2, _POS2, 1))
+def bigrams_by_pos_all(spark, sf_dir):
+    return _by_pos(spark, sf_dir, 2, 1)
+
+
+@query("trigrams_by_pos_all", _top_sql(3, _POS3, 1))
+def trigrams_by_pos_all(spark, sf_dir):
+    return _by_pos(spark, sf_dir, 3, 1)
+
+
 @query("top_bigrams_limited")
 def top_bigrams_limited(spark, sf_dir):
     """R13 with its own limits, in a total order."""

@@ -39,3 +39,14 @@ def test_query(spark, db, name):
         want = db.sql(own.SQL[name])
         assert sorted(got.columns) == sorted(want.columns) and n == len(want)
     assert n > 0
+
+
+@pytest.mark.parametrize(("name", "of"), [("bigram_pmi_all", "bigram_freq"), ("bigram_tscore_all", "bigram_freq"), ("bigram_logdice_all", "bigram_freq"), ("trigram_stats_all", "trigram_freq"), ("c_value_all", "bigram_freq")])
+def test_measures_of_every_ngram(spark, name, of):
+    got, want = own.QUERIES[name](spark, DIR), own.QUERIES[of](spark, DIR)
+    assert got.where("freq = 1").count() > 0 and got.dropna().select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+@pytest.mark.parametrize("name", ["bigrams_by_pos_all", "trigrams_by_pos_all"])
+def test_rare_ngrams_by_pos(spark, name):
+    assert own.QUERIES[name](spark, DIR).where("raw_frequency = 1").count() > 0
