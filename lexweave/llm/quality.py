@@ -24,7 +24,7 @@ _SMALL = 8
 
 def _shape(word: str) -> str:
     """Letters to X or x, digits to 9, other characters as they are; a run of one class is marked by +."""
-    return _RUN.sub(r"\1+", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]))
+    return _RUN.sub(r"\1+", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
 class Features:

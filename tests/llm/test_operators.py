@@ -265,6 +265,10 @@ def test_interpolated_is_a_bigram_model(spark):
     assert {r.doc_id: r.score for r in again} == pytest.approx({i: r.score for i, r in got.items()}, rel=1e-12)
 
 
+def test_shape_of_a_whole_word():
+    assert quality._shape("a" * 64 + "B9-") == "x+X9-" and quality._shape("你" * 5000 + "7") == "x+9"
+
+
 def test_quality(spark, odd, empty):
     rng = random.Random(6)
     rows = []
