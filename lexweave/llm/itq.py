@@ -41,7 +41,8 @@ def near_dedup(
 
     Equal vectors of a label are one node with a count. The rotation is learned from the sample_rows nodes with the
     smallest fingerprints; all nodes are coded. A code is cut into bits / per_table parts, a Hamming table each; vectors
-    with a part in common are candidates, reranked by their cosines. A bucket of more than block nodes is cut into
+    with a part in common are candidates, reranked by their cosines. Where the vectors or the sample give fewer columns
+    than bits, all vectors of a label and length are candidates. A bucket of more than block nodes is cut into
     blocks, a pair of blocks being a piece of work of bounded memory; a pair that several tables find counts in the
     first. Pieces return a row a node, never a row a pair. Recall is that of the tables: a pair is missed if its codes
     differ in every part (tests measure it against brute force; pairs below the threshold are never linked).
@@ -62,7 +63,8 @@ def near_dedup(
     d = int(lengths[n.argmax()]) if len(taken) else 0
     unit = np.array([x / np.linalg.norm(x) for x in taken if len(x) == d]).reshape(-1, max(1, d))
     mean, projection = learn_rotation(unit, min(bits, d)) if len(unit) else (np.zeros(d), np.zeros((d, 0)))
-    tables = max(1, projection.shape[1] // per_table)
+    whole = projection.shape[1] < bits  # too few tables for the recall: all nodes of a label are compared
+    tables = 1 if whole else max(1, projection.shape[1] // per_table)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 1 << np.arange(per_table)
@@ -70,7 +72,7 @@ def near_dedup(
             size = np.asarray(batch.column(1).value_lengths())
             out = np.zeros((len(size), tables), np.int64)
             usual = np.flatnonzero(size == d)
-            if len(usual) and projection.shape[1] >= per_table:
+            if len(usual) and not whole and projection.shape[1] >= per_table:
                 x = batch.column(1).take(pa.array(usual)).flatten().to_numpy().reshape(len(usual), d)
                 signs = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projection >= 0
                 out[usual] = signs[:, : tables * per_table].reshape(len(usual), tables, per_table) @ powers

@@ -354,6 +354,21 @@ def test_itq(spark):
     assert itq.near_dedup(table.limit(0)).count() == 0
 
 
+def test_itq_finds_all_links_of_a_small_table(spark):
+    rng = np.random.default_rng(4)
+    for n, d in ((8, 64), (150, 16)):
+        rows = []
+        for k in range(n):
+            x, y = rng.normal(size=(2, d))
+            x /= np.linalg.norm(x)
+            y -= (y @ x) * x
+            rows += [(2 * k, x.tolist(), "a"), (2 * k + 1, (0.935 * x + (1 - 0.935**2) ** 0.5 * y / np.linalg.norm(y)).tolist(), "a")]
+        v = np.array([r[1] for r in rows])
+        want = ((v @ v.T) / np.outer(*[np.linalg.norm(v, axis=1)] * 2) >= 0.93).sum(1) - 1
+        got = itq.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+        assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist())) and min(want) >= 1
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1064)] + [(5, 5)]
