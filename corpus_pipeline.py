@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import quality
 from lexweave.llm.common import materialize
-from lexweave.llm.linededup import line_dedup
+from lexweave.llm.linededup import WHITE, line_dedup
 from lexweave.llm.ngramjoin import ngram_join
 from lexweave.llm.packing import pack
 from lexweave.llm.queries import quality_weights
@@ -25,8 +25,8 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; n_chars follows the text."""
-    clean = line_dedup(docs)
+    """Documents without cross-site boilerplate lines, compared without white space around them; n_chars follows the text."""
+    clean = line_dedup(docs, blanks=WHITE)
     return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -204,6 +204,16 @@ def test_line_dedup_whole_cuts_all_that_keep_own_lines(spark):
     assert got == {**{i: (f"own {i}\n", 1) for i in range(8)}, 8: (f"{passage}\n  ", 0), 9: (passage, 0), 10: ("own\n\nmore", 0)}
 
 
+def test_pipeline_lines_without_white_space_around(spark):
+    import corpus_pipeline
+
+    text = lambda k, end: f"a longer line of the document's own {k}\n\r\nlicence{end}"
+    rows = [(k, text(k, "\r" if k % 2 else "\t"), "en", f"s{k}", 0) for k in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_deduplicated(spark, table, "").collect()}
+    assert got == {k: f"a longer line of the document's own {k}\n\r" for k in range(8)}
+
+
 def test_interpolated(odd, empty):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 0
     got = lm.interpolated(odd, train, share=1e-3).collect()
