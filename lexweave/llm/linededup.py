@@ -24,7 +24,7 @@ def _among(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     return lines.join(chosen, "h")
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = 8, lg_k: int = 9, blanks: str = " ") -> DataFrame:
+def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = 8, lg_k: int = 9, blanks: str = WHITE) -> DataFrame:
     """Hashes h (long) of the lines that occur on at least min_sites distinct sites.
 
     Each task sketches the sites of its lines (HyperLogLog, one sketch a line hash), the sketches of a hash merge by
@@ -44,33 +44,34 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, max_share: float | None = 0.5, blanks: str = " "
-) -> DataFrame:
-    """docs without cross-site boilerplate lines, with every column and n_lines, n_removed (long) added.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, keep_whole: bool = False,
+    blanks: str = WHITE, names: tuple[str, str, str] = ("n_lines", "n_removed", "exempt"),
+) -> DataFrame:
+    """docs without cross-site boilerplate lines, with every column and, by names, n_lines, n_removed (long) and exempt
+    (boolean) added.
 
-    All copies of a line on min_sites or more distinct sites go, blank lines stay. Where they would make up more than
-    max_share of a text's characters the text stays whole: it is then a copy of something, to be judged as a document,
-    not a document with boilerplate. With max_share None they go from every text that keeps a line of its own that is
-    not blank, whatever their share; only a text without one stays whole. Only line hashes are shuffled, and each text
-    once; a text is rejoined with its own lines' hashes by a hash of its id and text, so repeated and null ids need no
-    care and a hot one can be split.
+    All copies of a line on min_sites or more distinct sites go from every text, blank lines stay. exempt marks texts
+    that have such lines and no line of their own that is not blank; with keep_whole they keep all their lines (such a
+    text may be a copy of something, to be judged as a document). Only line hashes are shuffled, and each text once; a
+    text is rejoined with its own lines' hashes by a hash of its id and text, so repeated and null ids need no care and
+    a hot one can be split.
 
     Null text: stays null, 0 lines. Empty text: one blank line, unchanged. Null site: see boilerplate(). Repeated rows:
     each treated alike. Very long texts: lines are hashed where they are read. Empty table: no rows. Columns of docs
-    named n_lines or n_removed are replaced."""
+    that have one of the added names are replaced; other names can be given."""
     chosen = boilerplate(docs, text_col, site_col, min_sites, blanks=blanks)
-    rows = docs.drop("n_lines", "n_removed").select(F.struct("*").alias("r"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"))
+    rows = docs.drop(*names).select(F.struct("*").alias("r"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"))
     hits = _among(rows.select("k", F.explode(F.array_distinct(F.transform(F.split("t", "\n"), lambda x: _hash(x, blanks)))).alias("h")), chosen)
     hits = hits.groupBy("k").agg(F.collect_set("h").alias("hs")).select(unbound("k"), "hs")
     lines = F.split("t", "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("hs"), _hash(x, blanks)))
     found = rows.join(hits, "k", "left").select(
-        "r", "t", F.when(F.col("hs").isNull(), lines).otherwise(kept).alias("kept"), F.size(F.coalesce(lines, F.array())).cast("long").alias("n_lines")
+        "r", "t", F.when(F.col("hs").isNull(), lines).otherwise(kept).alias("kept"), F.size(F.coalesce(lines, F.array())).cast("long").alias("n")
     )
-    cut = F.length("t") - F.length(F.array_join("kept", "\n"))
-    fits = F.exists("kept", lambda x: F.trim(x, F.lit(blanks)) != "") if max_share is None else cut <= max_share * F.length("t")
-    found = found.withColumn("cut", (F.size("kept") < F.col("n_lines")) & fits)
+    bare = F.coalesce((F.size("kept") < F.col("n")) & ~F.exists("kept", lambda x: F.trim(x, F.lit(blanks)) != ""), F.lit(False))
+    found = found.withColumn("bare", bare).withColumn("cut", (F.size("kept") < F.col("n")) & (F.lit(not keep_whole) | ~F.col("bare")))
     text = F.when(F.col("cut"), F.array_join("kept", "\n")).otherwise(F.col("t"))
-    n_removed = F.when(F.col("cut"), F.col("n_lines") - F.size("kept")).otherwise(F.lit(0)).cast("long")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return found.select(*(text.alias(c) if c == text_col else F.col("r").getField(c).alias(c) for c in names), "n_lines", n_removed.alias("n_removed"))
+    n_removed = F.when(F.col("cut"), F.col("n") - F.size("kept")).otherwise(F.lit(0)).cast("long")
+    own = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
+    added = (c.alias(x) for c, x in zip((F.col("n"), n_removed, F.col("bare")), names, strict=True))
+    return found.select(*(text.alias(c) if c == text_col else F.col("r").getField(c).alias(c) for c in own), *added)

@@ -44,36 +44,26 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
-
-
-OP4_SQL = """
-with lines as (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
-wide as (select trim(line) as line from lines where trim(line) <> '' group by 1 having count(distinct source) >= 8),
-marked as (select doc_id, text, lines.line, pos, wide.line is not null as bad from lines left join wide on trim(lines.line) = wide.line),
-cut as (select doc_id, any_value(text) as text, coalesce(string_agg(line, chr(10) order by pos) filter (where not bad), '') as rest, count(*) as n_lines, count(*) filter (where bad) as n_bad from marked group by doc_id),
-judged as (select *, n_bad > 0 and length(text) - length(rest) <= 0.5 * length(text) as cut from cut)
-select documents.doc_id, case when cut then rest else documents.text end as text, coalesce(n_lines, 0) as n_lines, case when cut then n_bad else 0 end as n_removed
-from documents left join judged using (doc_id)
-"""
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "exempt")
 
 
 def op4_linededup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_linededup without a limit on the share that goes, lines compared without any white space around them."""
-    return line_dedup(_table(spark, sf_dir, "documents"), max_share=None, blanks=WHITE).select("doc_id", "text", "n_lines", "n_removed")
+    """op4_linededup as the pipeline has it: a text without a line of its own stays whole."""
+    return line_dedup(_table(spark, sf_dir, "documents"), keep_whole=True).select("doc_id", "text", "n_lines", "n_removed", "exempt")
 
 
-OP4_WHOLE_SQL = f"""
+_OP4_SQL = f"""
 with lines as (select doc_id, source, text, line, trim(line, '{WHITE}') as bare, pos
   from (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)),
 wide as (select bare from lines where bare <> '' group by 1 having count(distinct source) >= 8),
 marked as (select doc_id, text, line, bare, pos, wide.bare is not null as bad from lines left join wide using (bare)),
 cut as (select doc_id, any_value(text) as text, coalesce(string_agg(line, chr(10) order by pos) filter (where not bad), '') as rest, count(*) as n_lines,
   count(*) filter (where bad) as n_bad, count(*) filter (where not bad and bare <> '') as n_own from marked group by doc_id),
-judged as (select *, n_bad > 0 and n_own > 0 as cut from cut)
-select documents.doc_id, case when cut then rest else documents.text end as text, coalesce(n_lines, 0) as n_lines, case when cut then n_bad else 0 end as n_removed
+judged as (select *, n_bad > 0 and n_own = 0 as exempt, n_bad > 0 and {{}} as cut from cut)
+select documents.doc_id, case when cut then rest else documents.text end as text, coalesce(n_lines, 0) as n_lines, case when cut then n_bad else 0 end as n_removed, coalesce(exempt, false) as exempt
 from documents left join judged using (doc_id)
 """
+OP4_SQL, OP4_WHOLE_SQL = _OP4_SQL.format("true"), _OP4_SQL.format("n_own > 0")
 
 
 def op8_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:

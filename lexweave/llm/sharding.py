@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.llm.common import materialize
+
 #: Virtual nodes a ring may have; its tables of arcs and placements are broadcast, a few numbers for each.
 MOST_NODES = 1 << 16
 _SPACE = 1 << 62
@@ -56,8 +58,13 @@ def place(nodes: list[tuple[int, int]], loads: list[int], capacity: list[int]) -
     return sorted(out)
 
 
+def pieces_of(loads: dict[int, int], most: int) -> dict[int, int]:
+    """Into how many pieces the arcs with more than most rows are cut."""
+    return {arc: -(-n // most) for arc, n in loads.items() if n > most}
+
+
 def shard(
-    rows: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", virtual: int = 128, slack: float = 0.0
+    rows: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", virtual: int = 128, slack: float = 0.0, split: float = 32.0
 ) -> DataFrame:
     """Assign every row to one of shards shards, none of which gets more rows than its bound.
 
@@ -66,8 +73,10 @@ def shard(
     is "rows": counts are at most one apart. Keys that overflow a full shard go on clockwise, and everything else stays
     where plain consistent hashing has it (home_shard).
 
-    Only ids and sizes are shuffled, once, by arc of the ring: rows of an arc are numbered there, and the driver, which
-    gets a count for each arc (at most MOST_NODES), works out which numbers go to which shard and slot.
+    Ids, sizes and places are written once. They are shuffled by arc of the ring: rows of an arc are numbered there,
+    and the driver, which gets a count for each arc (at most MOST_NODES), works out which numbers go to which shard and
+    slot. An arc with more than split times the mean (one id, or one text without an id, that very many rows have) is
+    cut into pieces by a number that its rows were written with; a piece is numbered from the end of the one before.
 
     Returns the id, size (UTF-8 bytes of the text plus 16), text_crc32, law, shard, slot (gapless from 0 in a shard),
     grown_shard (null under this law), home_shard, overflowed. Null text: no bytes; its crc32 is that of nothing (0).
@@ -90,25 +99,41 @@ def shard(
         [(c, [p for p, _ in inside], bisect_left(points, c * width)) for c, inside in cells.items()], "cell long, inside array<long>, before int"
     )
     found = base.withColumn("cell", F.shiftrightunsigned("p", 62 - bits)).join(F.broadcast(table), "cell")
-    found = found.withColumn("arc", ((F.col("before") + F.size(F.filter("inside", lambda x: x < F.col("p")))) % len(nodes)).cast("int"))
-
-    loads = [0] * len(nodes)
-    for arc, n in found.groupBy("arc").count().collect():
-        loads[arc] = n
-    total = sum(loads)
+    arc = ((F.col("before") + F.size(F.filter("inside", lambda x: x < F.col("p")))) % len(nodes)).cast("int")
+    found = materialize(found.select("i", "size", "crc", "h", arc.alias("arc"), F.monotonically_increasing_id().alias("salt")), "places")
+
+    load = dict(map(tuple, found.groupBy("arc").count().collect()))
+    loads, total = [load.get(k, 0) for k in range(len(nodes))], sum(load.values())
+    # Numbers of salt fall in pieces by a hash, so pieces are about equal; there are at most 1 / split as many as arcs.
+    cut = pieces_of(load, max(1000, int(split * total / len(nodes))))
+    first: dict[int, list[int]] = {}
+    if cut:
+        found = found.join(F.broadcast(spark.createDataFrame(list(cut.items()), "arc int, pieces int")), "arc", "left")
+        found = found.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("salt"), F.col("pieces")), F.lit(0)).cast("int"))
+        sizes: dict[int, dict[int, int]] = {}
+        for k, piece, n in found.where("pieces is not null").groupBy("arc", "piece").count().collect():
+            sizes.setdefault(k, {})[piece] = n
+        for k, by in sizes.items():
+            first[k] = [0]
+            for piece in range(cut[k] - 1):
+                first[k].append(first[k][-1] + by.get(piece, 0))
+    else:
+        found = found.withColumn("piece", F.lit(0))
     if slack:
         bound = [int(-(-total * (1 + slack) // shards))] * shards
     else:
         bound = [total // shards + (s < total % shards) for s in range(shards)]
     placed: dict[int, list] = {}
-    for arc, start, s, slot in place(nodes, loads, bound):
-        placed.setdefault(arc, []).append((start, s, slot))
-    where = spark.createDataFrame([(a, nodes[a][1], x) for a, x in placed.items()], "arc int, home int, parts array<struct<start: long, shard: int, slot: long>>")
-
-    order = Window.partitionBy("arc").orderBy("h", "i", "crc", "size")
-    numbered = found.select("i", "size", "crc", "h", "arc").withColumn("n", F.row_number().over(order).cast("long") - 1)
-    part = F.element_at(F.filter("parts", lambda x: x["start"] <= F.col("n")), -1)
-    out = numbered.join(F.broadcast(where), "arc").withColumn("part", part)
+    for k, start, s, slot in place(nodes, loads, bound):
+        placed.setdefault(k, []).append((start, s, slot))
+    where = spark.createDataFrame(
+        [(k, nodes[k][1], x, first.get(k, [0])) for k, x in placed.items()], "arc int, home int, parts array<struct<start: long, shard: int, slot: long>>, first array<long>"
+    )
+
+    order = Window.partitionBy("arc", "piece").orderBy("h", "i", "crc", "size")
+    numbered = found.select("i", "size", "crc", "h", "arc", "piece").withColumn("n", F.row_number().over(order).cast("long") - 1)
+    out = numbered.join(F.broadcast(where), "arc").withColumn("n", F.col("n") + F.get("first", F.col("piece")))
+    out = out.withColumn("part", F.element_at(F.filter("parts", lambda x: x["start"] <= F.col("n")), -1))
     return out.select(
         F.col("i").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bounded" if slack else "rows").alias("law"), F.col("part.shard").alias("shard"),
         (F.col("part.slot") + F.col("n") - F.col("part.start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

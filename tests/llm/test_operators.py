@@ -67,6 +67,61 @@ def test_place_fills_every_shard_and_loses_nothing():
     assert [seen[a] for a in range(len(nodes))] == loads and [got[s] for s in range(7)] == bound
 
 
+def test_place_is_a_walk_of_the_ring_key_by_key():
+    """Each key in its turn goes to its own node while that has room; the rest go clockwise, first come first served."""
+    rng = random.Random(9)
+    nodes = sharding.ring(5, 8)
+    loads = [rng.choice([0, 1, 3, 40, 7]) for _ in nodes]
+    total = sum(loads)
+    bound = [total // 5 + (s < total % 5) for s in range(5)]
+    room, where, over = list(bound), {}, []
+    for arc, (_, shard) in enumerate(nodes):
+        for n in range(loads[arc]):
+            if room[shard]:
+                room[shard] -= 1
+                where[arc, n] = shard
+            else:
+                over.append((arc, n))
+    at = 0
+    waiting = []
+    while over or waiting:
+        arc = at % len(nodes)
+        waiting += [x for x in over if x[0] == arc] if at < len(nodes) else []
+        over = [x for x in over if x[0] != arc] if at < len(nodes) else over
+        while waiting and room[nodes[arc][1]]:
+            room[nodes[arc][1]] -= 1
+            where[waiting.pop(0)] = nodes[arc][1]
+        at += 1
+    got = {}
+    parts = sharding.place(nodes, loads, bound)
+    for (arc, start, shard, _), after in zip(parts, [*parts[1:], (None, 0, 0, 0)], strict=True):
+        for n in range(start, after[1] if after[0] == arc else loads[arc]):
+            got[arc, n] = shard
+    assert got == where
+
+
+def test_shard_moves_few_keys(spark):
+    table = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for slack, most in ((0.0, 0.08), (0.05, 0.06)):
+        few, more = (sharding.shard(table, n, slack=slack).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (40, 41))
+        moved = few.join(more, "doc_id").where("s40 <> s41")
+        assert 1 / 41 * 0.8 < moved.count() / 40_000 < most
+
+
+def test_shard_splits_hot_keys(spark):
+    """One row 10,000 times over, and many rows without an id, do not meet in one task."""
+    hot = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("hot").alias("text"))
+    none = spark.range(8_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("none").alias("text"))
+    table = hot.unionByName(none).unionByName(spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("y").alias("text"))).repartition(5)
+    out = sharding.shard(table, 9, virtual=16, split=4.0)
+    rows = out.collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 20_000 and all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sharding.pieces_of({3: 10_000, 4: 5}, 1000) == {3: 10}
+
+
 def test_shard(odd, empty):
     rows = sharding.shard(odd, 7, virtual=32).collect()
     assert len(rows) == odd.count() and {r.law for r in rows} == {"rows"}
@@ -158,22 +213,23 @@ def test_warc_rotates_files(spark, tmp_path):
     assert warc.read_archives(manifest).select("id").distinct().count() == 50
 
 
-def line_brute(rows, min_sites, share):
+def line_brute(rows, min_sites, keep_whole):
     sites = defaultdict(set)
     for _, t, s in rows:
         for x in (t or "").split("\n"):
             if s is not None and t is not None:
-                sites[x.strip(" ")].add(s)
+                sites[x.strip()].add(s)
     bad = {x for x, s in sites.items() if x and len(s) >= min_sites}
     out = Counter()
     for i, t, _ in rows:
         if t is None:
-            out[(i, None, 0, 0)] += 1
+            out[(i, None, 0, 0, False)] += 1
             continue
         lines = t.split("\n")
-        rest = [x for x in lines if x.strip(" ") not in bad]
-        cut = len(rest) < len(lines) and len(t) - len("\n".join(rest)) <= share * len(t)
-        out[(i, "\n".join(rest) if cut else t, len(lines), len(lines) - len(rest) if cut else 0)] += 1
+        rest = [x for x in lines if x.strip() not in bad]
+        exempt = len(rest) < len(lines) and not any(x.strip() for x in rest)
+        cut = len(rest) < len(lines) and not (exempt and keep_whole)
+        out[(i, "\n".join(rest) if cut else t, len(lines), len(lines) - len(rest) if cut else 0, exempt)] += 1
     return out
 
 
@@ -182,16 +238,18 @@ def test_line_dedup(spark, empty):
     shared = [f"shared line {k} with some words" for k in range(30)]
     rows = [(None, None, "a"), (1, "", "b"), (1, "x\n\n y ", None), (2, "licence", "s1"), (2, "licence", "s1")]
     for i in range(400):
-        body = [words(rng, rng.randrange(5, 30)) for _ in range(rng.randrange(1, 6))]
+        body = [words(rng, rng.randrange(5, 30)) for _ in range(rng.randrange(6))]
         for k, x in enumerate(shared):
             if rng.random() < (k + 1) / 150:
                 body.insert(rng.randrange(len(body) + 1), x if rng.random() < 0.8 else f" {x} ")
         rows.append((i if i % 9 else None, "\n".join(body), f"site{rng.randrange(2 + i % 40)}" if i % 11 else None))
     table = spark.createDataFrame([(*r, 1, "clash", 5) for r in rows], "doc_id long, text string, source string, n_lines int, k string, r int")
-    got = line_dedup(table, min_sites=8)
-    assert set(got.columns) == {*table.columns, "n_removed"}
-    want = line_brute(rows, 8, 0.5)
-    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == want
+    for whole in (False, True):
+        got = line_dedup(table, min_sites=8, keep_whole=whole)
+        assert set(got.columns) == {*table.columns, "n_removed", "exempt"}
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed, r.exempt) for r in got.collect()) == line_brute(rows, 8, whole)
+    named = line_dedup(table, min_sites=8, names=("a", "b", "c"))
+    assert set(named.columns) == {*table.columns, "a", "b", "c"} and named.where("n_lines <> 1").count() == 0
     assert 5 < boilerplate(table).count() < 30
     assert line_dedup(empty).count() == 0
 
@@ -200,7 +258,8 @@ def test_line_dedup_whole_cuts_all_that_keep_own_lines(spark):
     passage = "a long passage on many sites " * 9
     rows = [(i, f"own {i}\n{passage}\n", f"s{i}") for i in range(8)] + [(8, f"{passage}\n  ", "s1"), (9, passage, "s2"), (10, "own\n\nmore", "s3")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(table, max_share=None).collect()}
+    assert {r.doc_id: (r.text, r.exempt) for r in line_dedup(table).where("doc_id > 7").collect()} == {8: ("  ", True), 9: ("", True), 10: ("own\n\nmore", False)}
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(table, keep_whole=True).collect()}
     assert got == {**{i: (f"own {i}\n", 1) for i in range(8)}, 8: (f"{passage}\n  ", 0), 9: (passage, 0), 10: ("own\n\nmore", 0)}
 
 
@@ -399,30 +458,40 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def jaccard_brute(rows):
+def jaccard_links(texts):
+    """The set of each text, its links and the number of the first text that links lead to."""
     sets = []
-    for _, t in rows:
+    for t in texts:
         w = (t or "").lower().split()
         sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    parent, links = list(range(len(rows))), Counter()
+    parent, links = list(range(len(texts))), Counter()
 
     def root(k):
         while parent[k] != k:
             k = parent[k]
         return k
 
-    for a in range(len(rows)):
+    for a in range(len(texts)):
         for b in range(a):
             both = len(sets[a] & sets[b])
             if both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
                 links[a] += 1
                 links[b] += 1
                 parent[max(root(a), root(b))] = min(root(a), root(b))
+    return sets, links, [root(k) for k in range(len(texts))]
+
+
+def jaccard_classes(texts):
+    return jaccard_links(texts)[2]
+
+
+def jaccard_brute(rows):
+    sets, links, roots = jaccard_links([t for _, t in rows])
     low = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
-            low[root(k)] = min(i, low.get(root(k), i))
-    return Counter((i, low.get(root(k)) if sets[k] else i, links[k], len(sets[k])) for k, (i, _) in enumerate(rows))
+            low[roots[k]] = min(i, low.get(roots[k], i))
+    return Counter((i, low.get(roots[k]) if sets[k] else i, links[k], len(sets[k])) for k, (i, _) in enumerate(rows))
 
 
 @pytest.mark.parametrize("block", [4, 256])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lexweave.llm import quality
 from lexweave.llm.queries import quality_weights
-from tests.llm.test_operators import JSON, jaccard_brute, line_brute, words
+from tests.llm.test_operators import JSON, jaccard_classes, line_brute, words
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,13 +61,13 @@ def test_stages_against_brute_force(spark, sf_dir):
         if name == "quality":
             assert got == Counter((r.doc_id, r.text) for r in want)
         if name == "lines":
-            lines = line_brute([(r.doc_id, r.text, r.source) for r in want], 8, 0.5)
-            assert got == Counter((i, t) for i, t, _, _ in lines.elements()) and any(n for *_, n in lines)
+            lines = line_brute([(r.doc_id, r.text, r.source) for r in want], 8, True)
+            assert got == Counter((i, t) for i, t, *_ in lines.elements()) and any(x[3] for x in lines)
             assert all(r.n_chars == len(r.text) for r in docs.collect() if r.text and r.n_chars and r.doc_id < 500)
         if name == "near":
-            rows = [(i, t) for i, t, _, _ in lines.elements()]
-            classes = {i: low for i, low, _, _ in jaccard_brute(rows)}
-            kept = {(i, t) for i, t in rows if i is None or classes[i] == i}
+            rows = sorted(((i, t) for i, t, *_ in lines.elements()), key=lambda r: (r[0] is None, r[0] or 0))
+            classes = jaccard_classes([t for _, t in rows])
+            kept = [r for k, r in enumerate(rows) if classes[k] == k]
             assert got == Counter(kept) and sum(500 <= (i or 0) < 530 for i, _ in kept) <= 15
     pieces = corpus_pipeline.packed(spark, docs, sf_dir).collect()
     tokenizer, total = Tokenizer.from_file(JSON), Counter()
@@ -78,6 +78,20 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in pieces) == total
 
 
+def test_clashing_columns_and_repeated_ids(spark, sf_dir):
+    rng = random.Random(12)
+    one, two = (words(rng, 30) for _ in range(2))
+    texts = [(1, one), (2, one), (2, two), (3, None), (3, None), (None, one), (None, two), (None, words(rng, 30)), (4, " ")]
+    names = ("kept", "_text", "n_lines", "n_removed", "exempt", "key", "row", "class_id", "n_shingles", "worded")
+    rows = [(i, t, "en", f"s{k}", 0, *range(70, 70 + len(names))) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, COLUMNS + "".join(f", {c} int" for c in names))
+    lines = corpus_pipeline.line_deduplicated(spark, docs, sf_dir)
+    assert lines.dtypes == docs.dtypes and sorted(map(str, lines.collect())) == sorted(map(str, docs.collect()))
+    near = corpus_pipeline.near_deduplicated(spark, docs, sf_dir)
+    assert near.dtypes == docs.dtypes and all(tuple(r)[5:] == tuple(range(70, 70 + len(names))) for r in near.collect())
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter([(1, one), (2, two), (3, None), (3, None), (None, texts[7][1]), (4, " ")])
+
+
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
