@@ -10,32 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import quality
-from lexweave.llm.common import materialize
-from lexweave.llm.linededup import WHITE, line_dedup
+from lexweave.llm.common import fresh, materialize
+from lexweave.llm.linededup import line_dedup
 from lexweave.llm.ngramjoin import ngram_join
 from lexweave.llm.packing import pack
 from lexweave.llm.queries import quality_weights
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it is fitted on all the documents that carry a label."""
+    """Documents that the classifier does not reject. It is fitted on labelled documents outside the held-out fold, on
+    8,192 of them at most (quality.fit's max_rows)."""
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
     weights = quality_weights(whole, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.score(F.col("text"), weights) >= 0.7)
 
 
 def line_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines, compared without white space around them; n_chars follows the text."""
-    clean = line_dedup(docs, blanks=WHITE)
-    return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Documents without cross-site boilerplate lines, compared without white space around them; n_chars follows the
+    text. A document without a line of its own stays whole: it may be a copy, which the next stage judges."""
+    names = tuple(fresh(docs, c) for c in ("n_lines", "n_removed", "exempt"))
+    clean = line_dedup(docs, keep_whole=True, names=names)
+    return clean.withColumn("n_chars", F.when(F.col(names[1]) > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of linked documents. A row that repeats another's doc_id and
-    text goes; rows without a doc_id stay."""
-    classes = ngram_join(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept")).distinct()
-    named = docs.join(classes, F.col("doc_id") == F.col("kept"), "left_semi").withColumn("_text", F.xxhash64("text"))
-    return named.dropDuplicates(["doc_id", "_text"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each class of linked documents: that with the smallest doc_id, a row with an id before one without.
+    Rows are told apart by doc_id and text, so neither a null nor a repeated doc_id keeps a copy. Rows without a word
+    are no copies of each other, and stay."""
+    key, row = fresh(docs, "key"), fresh(docs, "row")
+    named = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")))
+    found = ngram_join(named, key)
+    heads = found.where(F.col(key) == F.col("class_id")).select(F.col(key).alias(row), (F.col("n_shingles") > 0).alias("worded")).distinct()
+    heads = materialize(heads.select(F.struct(row, "worded").alias(row)), "heads")
+    kept = named.join(heads, named[key] == heads[row][row])
+    worded = kept.where(F.col(row)["worded"]).dropDuplicates([key])
+    return worded.unionByName(kept.where(~F.col(row)["worded"])).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
