@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,263 +15,263 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import Words, materialize, mix
 
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", 1)), np.uint64(xxhash.xxh64_intdigest(b"", 2))
-_ZERO = -32768
-#: Text of one chunk, the unit whose distinct n-grams are counted together, in bytes on average.
-CHUNK_BYTES = 12 << 20
-#: Context-frequency buckets: none, and a power of two each.
-BUCKETS = 65
+#: Characters of text whose distinct n-grams are counted together, and tokens for which there is a bucket of counts.
+CHUNK_CHARS, BUCKET_TOKENS = 8_000_000, 1_300_000
+#: Context-frequency buckets: of one word (none, and a power of two each), then of two words (a power of two each).
+ONE_WORD, BUCKETS = 65, 130
+#: Bits of an n-gram's hash beyond the logarithm of the number of tokens: one in a million shares another's number.
+SPARE_BITS = 20
 
 
-@dataclass
-class Counts:
-    """What every task needs to know of the training tokens: frequent words (their hashes sorted; their counts, in all
-    and outside the tuning part), the number of tokens and of texts, in all and outside, the number of distinct tokens."""
-
-    hash: np.ndarray
-    all: np.ndarray
-    main: np.ndarray
-    tokens: int
-    tokens_main: int
-    starts: int
-    starts_main: int
-    distinct: int
-
-
-def frequency_bucket(n: np.ndarray) -> np.ndarray:
-    """0 for contexts that never occur, else 1 and up by powers of two of their counts."""
-    return np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1))), 0).astype(np.int64)
-
-
-class Chunk:
-    """The tokens of some texts, and their distinct (word, context) pairs in an order that the texts' own order does not
-    change: hashes of both, the numbers of those that are frequent words (1 and up; else 0), places among the words."""
-
-    def __init__(self, texts: list[str], known: Counts, buckets: int):
-        split = [t.encode().lower().split() for t in texts]
-        self.sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
-        words = Words()
-        plain = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64)
-        del split
-        hashes = np.concatenate([np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), [_END, _START]]).astype(np.uint64)
-        frequent = np.searchsorted(known.hash, hashes)
-        number = np.where(known.hash[np.minimum(frequent, len(known.hash) - 1)] == hashes, frequent + 1, 0) if len(known.hash) else np.zeros(len(hashes), np.int64)
-        ends = np.cumsum(self.sizes)
-        self.ends, self.width = ends, len(hashes)
-        at = np.full(int(ends[-1]), len(words), np.int64)
-        inner = np.ones(len(at), bool)
-        inner[ends - 1] = False
-        at[inner] = plain
-        before = np.concatenate([[0], at[:-1]])
-        before[ends - self.sizes] = len(words) + 1
-        keys, self.pair = np.unique(at * self.width + before, return_inverse=True)
-        word, before = keys // self.width, keys % self.width
-        h, own, context = hashes[word], number[word], hashes[before]
-        spread = mix(np.where(own > 0, h + context * np.uint64(0x9E3779B97F4A7C15), h))
-        bucket = (spread >> np.uint64(33)).astype(np.int64) % buckets
-        order = np.lexsort((context, h, bucket))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.pair = place[self.pair]
-        self.hash, self.own, self.bucket = h[order], own[order], bucket[order]
-        self.context, self.number = context[order], number[before][order]
-        self.word, self.before = word[order], before[order]
-
-    def counts(self, answers: dict, which: int, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every pair the count of its word, of itself and of its context; which chooses among an answer's sets."""
-        cw, pairs = np.empty(len(self.hash), np.int64), np.empty(len(self.hash), np.int64)
-        for bucket, s in self.parts():
-            one, two = _unpack(answers[bucket].as_py(), *[np.int64] * (2 * which + 2))[-2:]
-            _, per = np.unique(self.hash[s], return_counts=True)
-            cw[s], pairs[s] = np.repeat(one, per), two
-        word = np.zeros(self.width, np.int64)
-        word[self.word] = cw
-        word[-1] = starts
-        return cw, pairs, word[self.before]
-
-    def parts(self) -> Iterator[tuple[int, slice]]:
-        cuts = np.flatnonzero(np.diff(self.bucket)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.bucket)], strict=True):
-            if hi > lo:
-                yield int(self.bucket[lo]), slice(lo, hi)
+def frequency_bucket(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The bucket of a context: by the count of both of its words if that is not 0, else by that of the last word."""
+    log = lambda n: 1 + np.floor(np.log2(np.maximum(n, 1)))
+    return np.where(two > 0, ONE_WORD + log(two) - 1, np.where(one > 0, log(one), 0)).astype(np.int64)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """The arrays' bytes, compressed; bytes of the same place in their numbers stand together, as most are zero."""
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
-    return zstandard.compress(b"".join(np.int64(len(x)).tobytes() + x for x in planes), 1)
+    """Whole numbers, none negative, compressed; bytes of the same place in the numbers stand together, as most are 0."""
+    out = []
+    for a in arrays:
+        kind = np.dtype("<u1 <u2 <u4 <u8".split()[int(np.searchsorted([1 << 8, 1 << 16, 1 << 32], int(a.max(initial=0)), "right"))])
+        planes = np.ascontiguousarray(a.astype(kind)).view(np.uint8).reshape(len(a), kind.itemsize).T.tobytes()
+        out.append(np.array([len(a), kind.itemsize], np.int64).tobytes() + planes)
+    return zstandard.compress(b"".join(out), 1)
 
 
-def _unpack(raw: bytes, *kinds) -> list[np.ndarray]:
+def _unpack(raw: bytes) -> list[np.ndarray]:
     out, at, raw = [], 0, zstandard.decompress(raw)
-    for kind in kinds:
-        n, size = int(np.frombuffer(raw, np.int64, 1, at)[0]), np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, n, at + 8).reshape(size, n // size)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += 8 + n
+    while at < len(raw):
+        n, size = np.frombuffer(raw, np.int64, 2, at).tolist()
+        planes = np.frombuffer(raw, np.uint8, n * size, at + 16).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(n).astype(np.uint64))
+        at += 16 + n * size
     return out
 
 
-def count_words(docs: DataFrame, remembered: int = 400_000) -> DataFrame:
-    """docs (t, train, tune) -> h, n, m: the hash of each distinct training token, its count in all and outside the
-    tuning part. Each task counts, the counts are added by hash."""
+def number_words(docs: DataFrame) -> DataFrame:
+    """docs (i, t, train, tune) -> chunk, tune, tokens, ids, raw: texts of one part (tune or not) as the numbers of their
+    words, the most frequent words of the chunk first, and the words' hashes. A row is a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, m = Words(), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        ends = np.zeros(2, np.int64)
-
-        def rows() -> pa.RecordBatch:
-            h = np.concatenate([np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), [_END]]).astype(np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.append(n[: len(words)], ends[0])), pa.array(np.append(m[: len(words)], ends[1]))], ["h", "n", "m"])
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        empty = lambda: ([], [], [], Words(), [], [0])  # ids, sizes, train, words, numbers, characters
+        held = {False: empty(), True: empty()}
+
+        def row(tune: bool) -> pa.RecordBatch:
+            nonlocal chunk
+            ids, sizes, train, words, at, _ = held[tune]
+            held[tune], chunk = empty(), chunk + 1
+            sink = pa.BufferOutputStream()
+            table = pa.table({"i": pa.array(ids, kind)})
+            with pa.ipc.new_stream(sink, table.schema) as f:
+                f.write_table(table)
+            flat = np.concatenate(at)
+            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[order]
+            raw = _pack(np.array(sizes), np.array(train, np.uint8), rank[flat], hashes)
+            tokens = len(flat) + len(sizes)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, tune, tokens, sink.getvalue().to_pybytes(), raw), (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "tune", "tokens", "ids", "raw"])
 
         for batch in batches:
-            for text, tune in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                split = text.as_py().encode().lower().split()
-                at = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
-                while len(words) > len(n):
-                    n, m = np.concatenate([n, np.zeros_like(n)]), np.concatenate([m, np.zeros_like(m)])
-                np.add.at(n, at, 1)
-                if not tune:
-                    np.add.at(m, at, 1)
-                ends += 1, not tune
-                if len(words) > remembered:
-                    yield rows()
-                    words, n, m, ends = Words(), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(2, np.int64)
-        if ends[0]:
-            yield rows()
-
-    return docs.where("train").select("t", "tune").mapInArrow(run, "h long, n long, m long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-
-
-def learn_weights(cells: list[tuple[int, int, int, int]], buckets: int, distinct: int, rounds: int = 40) -> np.ndarray:
-    """The weights (bigram, unigram, uniform) of each context bucket, by expectation-maximisation on tuning tokens.
-
-    cells: (bucket, tenths of the log10 of the bigram and of the unigram estimate, tokens). A bucket without tokens
-    takes those of the next lower one that has some. Bucket 0 (contexts that do not occur) has no bigram estimate."""
-    out = np.zeros((buckets, 3))
-    table = np.array(cells, np.int64).reshape(-1, 4)
-
-    def em(rows: np.ndarray) -> np.ndarray:
-        p = np.stack([np.where(rows[:, k] == _ZERO, 0.0, 10.0 ** (rows[:, k] / 10)) for k in (1, 2)] + [np.full(len(rows), 1 / (distinct + 1))], axis=1)
-        w = np.where(p.sum(axis=0) > 0, 1.0, 0.0)
-        w /= w.sum()
-        for _ in range(rounds):
-            share = p * w
-            share /= share.sum(axis=1, keepdims=True)
-            w = (share * rows[:, 3:]).sum(axis=0) / rows[:, 3].sum()
-        return np.maximum(w, [0, 1e-6, 1e-6]) / np.maximum(w, [0, 1e-6, 1e-6]).sum()
-
-    pooled = em(table[table[:, 0] > 0]) if (table[:, 0] > 0).any() else np.array([0.4, 0.5, 0.1])
-    for b in range(buckets):
-        own = table[table[:, 0] == b]
-        out[b] = em(own) if len(own) else [0, 0.9, 0.1] if b == 0 else out[b - 1] if b > 1 and (table[:, 0] < b)[table[:, 0] > 0].any() else pooled
-    return out
-
-
-def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", share: float = 1e-5, tune_one_in: int = 10) -> DataFrame:
-    """Score every whole text with a bigram model learned from the rows where train holds.
+            kind = batch.column(0).type
+            for i, text, train, tune in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                ids, sizes, learns, words, at, characters = held[tune and train]
+                text = text.as_py().encode()
+                split = text.lower().split()
+                ids.append(i.as_py())
+                sizes.append(len(split))
+                learns.append(train)
+                at.append(np.fromiter(map(words.__getitem__, split), np.int64, len(split)))
+                characters[0] += len(text)
+                if characters[0] >= CHUNK_CHARS:
+                    yield row(tune and train)
+        for tune in (False, True):
+            if held[tune][0]:
+                yield row(tune)
+
+    return docs.mapInArrow(run, "chunk long, tune boolean, tokens long, ids binary, raw binary")
 
-    Tokens: the words of the text (A to Z lower-cased, ended by ASCII white space), then an end. P(w | h) mixes the
-    maximum-likelihood estimates c(h, w) / c(h) and c(w) / N and the uniform 1 / (V + 1). The weights depend on the
-    frequency bucket of the context h (powers of two of its count) and are learned by expectation-maximisation on the
-    training rows whose text's crc32 is divisible by tune_one_in, with estimates from the other training rows; the
-    scores use all. Every context and every pair that occurs has its estimate, so what is learned grows with the input.
 
-    Texts are dealt to chunks by a hash of id and text, tuning rows to chunks of their own. A chunk's distinct
-    (context, word) pairs go once to the bucket of tasks that a hash of the word gives (of word and context, where the
-    word is frequent, so no pair or word is hot: a pair has a row's share a chunk). There the counts of all chunks add
-    up and go back to the chunks, which meet their texts again; a context's count comes back as that of a word of the
-    chunk. So a text is shuffled twice (a tuning text three times), and no table of n-grams is ever in one place.
-    Words whose share of the tokens is at least share (at most 1 / share words, which bounds what is broadcast) are the
-    frequent ones; results do not depend on it.
+class Chunk:
+    """The distinct words, pairs and triples of some texts, each with its hash; which triple stands at each token."""
+
+    def __init__(self, raw: bytes, bits: int):
+        sizes, train, plain, hashes = _unpack(raw)
+        self.sizes = sizes.astype(np.int64) + 1
+        self.hash, self.end = np.concatenate([hashes, [_END, _START, mix(_START[None])[0]]]), len(hashes)
+        width = len(self.hash)
+        self.stops = np.cumsum(self.sizes)
+        first = self.stops - self.sizes
+        at = np.full(int(self.stops[-1]), self.end, np.int64)
+        inner = np.ones(len(at), bool)
+        inner[self.stops - 1] = False
+        at[inner] = plain.astype(np.int64)
+        before = np.concatenate([[0], at[:-1]])
+        before[first] = self.end + 1
+        pairs, pair = np.unique(before * width + at, return_inverse=True)
+        #: The context of a triple is a pair, or (at the start of a text) the number of pairs.
+        context = np.concatenate([[0], pair[:-1]])
+        context[first] = len(pairs)
+        triples, some, self.triple = np.unique(context * width + at, return_index=True, return_inverse=True)
+        self.context, self.pair = triples // width, pair[some]
+        self.before, self.word = before[some], at[some]
+        two = mix(mix(self.hash[pairs // width]) + self.hash[pairs % width])
+        three = mix(mix(np.append(two, _START)[self.context] + np.uint64(3)) + self.hash[self.word])
+        # Words stand in the order of their hashes, and so do pairs and triples together.
+        self.words = np.argsort(self.hash[: self.end + 1], kind="stable")
+        self.grams, self.place = np.unique(np.concatenate([two, three]) >> np.uint64(64 - bits), return_inverse=True)
+        self.split = len(pairs)
+        learns = np.repeat(train.astype(bool), self.sizes)
+        count = lambda x, n: np.bincount(x[learns], minlength=n)
+        self.own_words = count(at, width)[: self.end + 1]
+        self.own_grams = np.bincount(self.place, np.concatenate([count(pair, len(pairs)), count(self.triple, len(triples))]), len(self.grams)).astype(np.int64)
+
+    def parts(self, buckets: int, bits: int) -> Iterator[tuple[int, slice, slice]]:
+        """(bucket, its words, its pairs and triples): a bucket has a range of the hashes."""
+        edges = lambda hashes, of: np.searchsorted((hashes >> np.uint64(max(0, of - 32))).astype(np.int64) * buckets >> min(of, 32), np.arange(buckets + 1))
+        one, more = edges(self.hash[self.words], 64), edges(self.grams, bits)
+        for b in np.flatnonzero(np.diff(one) + np.diff(more)).tolist():
+            yield b, slice(one[b], one[b + 1]), slice(more[b], more[b + 1])
+
+    def counts(self, answers: dict, buckets: int, bits: int, main: bool) -> tuple[np.ndarray, ...]:
+        """For every triple: its count, that of its context, of its last two words, of the middle word, of the last."""
+        words, grams = np.empty(len(self.words), np.int64), np.empty(len(self.grams), np.int64)
+        for b, one, more in self.parts(buckets, bits):
+            found = _unpack(answers[b].as_py())[2 * main : 2 * main + 2]
+            words[one], grams[more] = found[0], found[1]
+        own = np.empty(len(self.words) + 1, np.int64)
+        own[self.words] = words
+        own[self.end + 1] = starts = own[self.end]
+        two, three = grams[self.place[: self.split]], grams[self.place[self.split :]]
+        context = np.append(two, starts)[self.context]
+        return np.minimum(three, context), context, np.minimum(two[self.pair], own[self.before]), own[self.before], own[self.word]
+
+
+def learn_weights(cells: DataFrame, tokens: int, distinct: int, rounds: int = 30) -> np.ndarray:
+    """The weights (of three words, two, one, none) of each context bucket, by expectation-maximisation on tuning tokens:
+    each round is a sum over all cells.
+
+    cells: b, c3, ctx, c2, mid, c1, n: bucket, the counts of Chunk.counts() outside the tuning part, number of tokens. A
+    bucket without tokens takes the weights of the next lower one of its kind (contexts of one or of two words) that
+    has some, else of all cells of its kind."""
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    p = [share("c3", "ctx"), share("c2", "mid"), F.col("c1") / F.lit(max(1, tokens)), F.lit(1.0 / (distinct + 1))]
+    kind = (F.col("b") >= ONE_WORD).cast("int") + BUCKETS
+    both = cells.select("n", *(x.alias(f"p{k}") for k, x in enumerate(p)), F.explode(F.array("b", F.when(F.col("b") > 0, kind))).alias("b")).where("b is not null")
+    weights = np.full((BUCKETS + 2, 4), 0.25)
+    weights[[*range(ONE_WORD), BUCKETS]] = [0, 1 / 3, 1 / 3, 1 / 3]
+    weights[0] = [0, 0, 0.5, 0.5]
+    seen: set[int] = set()
+    for _ in range(rounds):
+        terms = [F.get(F.array(*map(F.lit, weights[:, k].tolist())), F.col("b")) * F.col(f"p{k}") for k in range(4)]
+        each = both.select("b", "n", *(t.alias(f"t{k}") for k, t in enumerate(terms))).withColumn("s", F.col("n") / (F.col("t0") + F.col("t1") + F.col("t2") + F.col("t3")))
+        for b, *sums in each.groupBy("b").agg(*(F.sum(F.col(f"t{k}") * F.col("s")) for k in range(4))).collect():
+            weights[b] = np.array(sums) / sum(sums)
+            seen.add(b)
+        if not seen:
+            break
+    out = weights[:BUCKETS].copy()
+    for b in range(1, BUCKETS):
+        if b not in seen:
+            lowest = ONE_WORD if b >= ONE_WORD else 1
+            out[b] = out[b - 1] if b > lowest and any(k in seen for k in range(lowest, b)) else weights[BUCKETS + (b >= ONE_WORD)]
+    out = np.maximum(out, [0, 0, 1e-6, 1e-6])
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", tune_one_in: int = 10) -> DataFrame:
+    """Score every whole text with a trigram model learned from the rows where train holds.
+
+    Tokens: the words of the text (A to Z lower-cased, ended by ASCII white space), then an end. P(w | u v) mixes the
+    maximum-likelihood estimates c(u v w) / c(u v), c(v w) / c(v), c(w) / N and the uniform 1 / (V + 1). The weights
+    depend on the frequency bucket of the context (powers of two of c(u v), or of c(v) where that is 0) and are learned by
+    expectation-maximisation on the training rows whose text's crc32 is divisible by tune_one_in, with exact estimates
+    from the other training rows; the scores use all. Every n-gram that occurs has its count, however rare, so what is
+    learned grows with the input.
+
+    Texts are written once, as chunks of word numbers, tuning rows in chunks of their own; a chunk is a row, so nothing
+    later depends on how tasks divide the input. A chunk's distinct words, pairs and triples go once, as sorted hashes
+    with counts, to the buckets that ranges of the hashes give: a frequent n-gram is a number a chunk, so none is hot.
+    There the counts of all chunks add up and go back to the chunks. So no text is shuffled, and no table of n-grams is
+    ever in one place or collected. Words have hashes of 64 bits; pairs and triples of SPARE_BITS more than the logarithm
+    of the number of tokens (at most 64), so about one in a million has the count of another added to its own.
 
     Returns the id, n_tokens, n_known, train_tokens, base_score (unigrams with one added to each count) and score, both
     log10 of the whole text's probability. Null or empty text: the end alone. Null train: learns nothing. Null and
     repeated ids, repeated rows: each a text. Very long texts: whole. Ties do not occur. No training rows: the uniform
     estimate over one type. Empty table: no rows. Other columns are not read."""
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("i"), text.alias("t"), F.coalesce(train, F.lit(False)).alias("train"), (F.crc32(text.cast("binary")) % tune_one_in == 0).alias("tune"))
+    chunks = materialize(number_words(base), "chunks")
+    total = chunks.agg(F.sum("tokens")).first()[0] or 0
+    bits, buckets = min(64, max(32, total.bit_length() + SPARE_BITS)), max(1, math.ceil(total / BUCKET_TOKENS))
 
-    table = materialize(count_words(base), "words")
-    distinct, tokens, main = (x or 0 for x in table.agg(F.count("*"), F.sum("n"), F.sum("m")).first())
-    starts, starts_main = (x or 0 for x in base.where("train").agg(F.count("*"), F.count_if(~F.col("tune"))).first())
-    found = np.array([tuple(r) for r in table.where(F.col("n") >= max(1, share * tokens)).collect()], np.int64).reshape(-1, 3)
-    if starts >= max(1, share * tokens):
-        found = np.concatenate([found, np.array([[_START.view(np.int64), starts, starts_main]], np.int64)])
-    found = found[np.argsort(found[:, 0].view(np.uint64), kind="stable")]
-    known = Counts(found[:, 0].copy().view(np.uint64), found[:, 1].copy(), found[:, 2].copy(), tokens, main, starts, starts_main, distinct)
-
-    tuning = F.col("train") & F.col("tune")
-    sizes = base.agg(*(F.coalesce(F.sum(F.when(c, F.octet_length("t"))), F.lit(0)) for c in (~tuning, tuning))).first()
-    plain, tuned = (max(1, math.ceil(x / CHUNK_BYTES)) for x in sizes)
-    buckets = plain + tuned
-    dealt = base.withColumn("chunk", F.when(tuning, F.pmod(F.xxhash64("i", "t"), F.lit(tuned)) + plain).otherwise(F.pmod(F.xxhash64("i", "t"), F.lit(plain))).cast("int"))
-
-    def ask(group: pa.Table) -> pa.Table:
-        made = Chunk(group.column("t").to_pylist(), known, buckets)
-        wanted = np.repeat(np.asarray(group.column("train")), made.sizes)
-        counts = np.bincount(made.pair[wanted], minlength=len(made.hash)).astype(np.uint32)
-        out = []
-        for bucket, s in made.parts():
-            h, first, per = np.unique(made.hash[s], return_index=True, return_counts=True)
-            number = made.number[s]
-            out.append((bucket, group.column("chunk")[0].as_py(), _pack(h, per.astype(np.uint32), made.own[s][first].astype(np.uint32), number.astype(np.uint32), made.context[s][number == 0], counts[s])))
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("bucket", "chunk", "pairs"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)})
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, tune, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                made, out = Chunk(raw.as_py(), bits), []
+                hashes = made.hash[made.words]
+                steps = lambda x: np.diff(x, prepend=np.uint64(0))
+                for b, one, more in made.parts(buckets, bits):
+                    out.append((b, chunk, tune, _pack(steps(hashes[one]), made.own_words[made.words[one]], steps(made.grams[more]), made.own_grams[more])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "chunk", "tune", "grams"])
 
     def answer(group: pa.Table) -> pa.Table:
-        asked = [_unpack(x.as_py(), np.uint64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint32) for x in group.column("pairs")]
-        chunk = group.column("chunk").to_numpy()
-        per_word = [len(x[0]) for x in asked]
-        per_pair = [len(x[3]) for x in asked]
-        word = np.concatenate([x[0] for x in asked])
-        own = np.concatenate([x[2] for x in asked]).astype(np.int64)
-        unique, at = np.unique(word, return_inverse=True)
-        owner = at[np.repeat(np.arange(len(word)), np.concatenate([x[1] for x in asked]))]
-        number = np.zeros(len(unique), np.int64)
-        number[at] = own
-        context = np.concatenate([x[3] for x in asked]).astype(np.int64)
-        rare, which = np.unique(np.concatenate([x[4] for x in asked]), return_inverse=True)
-        context[context == 0] = len(known.hash) + 1 + which
-        pairs, pair = np.unique(owner * (len(known.hash) + 1 + len(rare)) + context, return_inverse=True)
-        n, later = np.concatenate([x[5] for x in asked]).astype(np.int64), np.repeat(chunk >= plain, per_pair)
-        sets = []
-        for x, frequent in ((n, known.all), (np.where(later, 0, n), known.main)):
-            words = np.bincount(owner, x, len(unique)).astype(np.int64)
-            words[number > 0] = frequent[number[number > 0] - 1]
-            both = np.bincount(pair, x, len(pairs)).astype(np.int64)
-            sets += [np.split(words[at], np.cumsum(per_word)[:-1]), np.split(both[pair], np.cumsum(per_pair)[:-1])]
-        out = [_pack(*(x[k] for x in (sets if c >= plain else sets[:2]))) for k, c in enumerate(chunk)]
-        return pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "counts": pa.array(out, pa.binary())})
-
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, pairs binary")
-    answered = materialize(asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk int, counts binary"), "counts")
-
-    def answers(counts: pa.Table) -> dict:
-        return dict(zip(counts.column("bucket").to_pylist(), counts.column("counts"), strict=True))
-
-    def tune(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        made = Chunk(texts.column("t").to_pylist(), known, buckets)
-        cw, pairs, ch = made.counts(answers(counts), 1, known.starts_main)
-        with np.errstate(divide="ignore"):
-            one, two = np.log10(cw / max(1, known.tokens_main)), np.log10(pairs / np.maximum(1, ch))
-        cell = np.stack([frequency_bucket(ch), *(np.where(np.isfinite(x), np.round(10 * x), _ZERO).astype(np.int64) for x in (two, one))])
-        cell, place = np.unique(cell, axis=1, return_inverse=True)
-        n = np.bincount(place.ravel(), np.bincount(made.pair, minlength=len(made.hash)), cell.shape[1]).astype(np.int64)
-        return pa.table({k: pa.array(x) for k, x in zip(("b", "two", "one", "n"), (*cell, n), strict=True)})
-
-    late = dealt.where(tuning).select("chunk", "t").groupBy("chunk").cogroup(answered.where(F.col("chunk") >= plain).groupBy("chunk"))
-    cells = late.applyInArrow(tune, "b long, two long, one long, n long").groupBy("b", "two", "one").agg(F.sum("n").alias("n"))
-    weights = learn_weights([tuple(r) for r in cells.collect()], BUCKETS, distinct)
-
-    def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        made = Chunk(texts.column("t").to_pylist(), known, buckets)
-        cw, pairs, ch = made.counts(answers(counts), 0, known.starts)
-        w = weights[frequency_bucket(ch)]
-        p = w[:, 0] * pairs / np.maximum(1, ch) + w[:, 1] * cw / max(1, known.tokens) + w[:, 2] / (known.distinct + 1)
-        each = np.stack([cw > 0, np.log10((cw + 1) / (known.tokens + known.distinct + 1)), np.log10(p)])
-        in_, unigrams, full = (np.add.reduceat(x[made.pair], made.ends - made.sizes) for x in each)
-        return pa.table({"i": texts.column("i"), "n_tokens": pa.array(made.sizes), "n_known": pa.array(in_.astype(np.int64)), "base_score": pa.array(unigrams), "score": pa.array(full)})
-
-    out = dealt.select("chunk", "i", "t").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored, f"i {kind}, n_tokens long, n_known long, base_score double, score double")
+        asked = [_unpack(x.as_py()) for x in group.column("grams")]
+        tune, stats = np.asarray(group.column("tune")), [0, 0, 0]
+        sets: list[list[np.ndarray]] = []
+        for k in (0, 2):
+            per = np.cumsum([len(x[k]) for x in asked])
+            unique, at = np.unique(np.concatenate([np.cumsum(x[k], dtype=np.uint64) for x in asked]), return_inverse=True)
+            n, later = np.concatenate([x[k + 1] for x in asked]).astype(np.int64), np.repeat(tune, np.diff(per, prepend=0))
+            both = [np.bincount(at, x, len(unique)).astype(np.int64) for x in (n, np.where(later, 0, n))]
+            sets += [np.split(x[at], per[:-1]) for x in both]
+            if k == 0:
+                stats = [int((both[0] > 0).sum()), int(both[0].sum()), int(both[1].sum())]
+        out = [_pack(*((sets[0][j], sets[2][j], sets[1][j], sets[3][j]) if late else (sets[0][j], sets[2][j]))) for j, late in enumerate(tune)]
+        column = lambda x: pa.array([None] * len(out) + [x], pa.int64())
+        bucket = group.column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array([bucket] * (len(out) + 1), pa.int32()), "chunk": pa.array([*group.column("chunk").to_pylist(), -1], pa.int64()), "counts": pa.array([*out, None], pa.binary())}
+                        | {c: column(x) for c, x in zip(("words", "tokens", "main"), stats, strict=True)})
+
+    asked = chunks.select("chunk", "tune", "raw").mapInArrow(ask, "bucket int, chunk long, tune boolean, grams binary")
+    answered = materialize(asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, counts binary, words long, tokens long, main long"), "counts")
+    distinct, tokens, main = (x or 0 for x in answered.agg(F.sum("words"), F.sum("tokens"), F.sum("main")).first())
+    replies = answered.where("chunk >= 0").select("chunk", "bucket", "counts")
+
+    def of(texts: pa.Table, replies: pa.Table, main: bool) -> tuple[Chunk, tuple[np.ndarray, ...]]:
+        made = Chunk(texts.column("raw")[0].as_py(), bits)
+        return made, made.counts(dict(zip(replies.column("bucket").to_pylist(), replies.column("counts"), strict=True)), buckets, bits, main)
+
+    names = ("c3", "ctx", "c2", "mid", "c1")
+
+    def tune(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        made, counts = of(texts, replies, True)
+        cell = np.stack([frequency_bucket(counts[1], counts[3]), *counts])
+        order = np.lexsort(cell)
+        cell = cell[:, order]
+        new = np.append(True, (cell[:, 1:] != cell[:, :-1]).any(axis=0))
+        n = np.bincount(np.cumsum(new) - 1, np.bincount(made.triple, minlength=cell.shape[1])[order]).astype(np.int64)
+        return pa.table({k: pa.array(x) for k, x in zip(("b", *names, "n"), (*cell[:, new], n), strict=True)})
+
+    late = chunks.where("tune").select("chunk", "raw").groupBy("chunk").cogroup(replies.join(chunks.where("tune").select("chunk"), "chunk", "left_semi").groupBy("chunk"))
+    cells = materialize(late.applyInArrow(tune, "b long, " + ", ".join(f"{c} long" for c in names) + ", n long"), "cells")
+    weights = learn_weights(cells, main, distinct)
+
+    def scored(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        made, (c3, context, c2, middle, c1) = of(texts, replies, False)
+        w = weights[frequency_bucket(context, middle)]
+        p = w[:, 0] * c3 / np.maximum(1, context) + w[:, 1] * c2 / np.maximum(1, middle) + w[:, 2] * c1 / max(1, tokens) + w[:, 3] / (distinct + 1)
+        each = (c1 > 0, np.log10((c1 + 1) / (tokens + distinct + 1)), np.log10(p))
+        in_, unigrams, full = (np.add.reduceat(x[made.triple], made.stops - made.sizes, dtype=np.float64) for x in each)
+        ids = pa.ipc.open_stream(texts.column("ids")[0].as_py()).read_all().column("i")
+        return pa.table({"i": ids, "n_tokens": pa.array(made.sizes), "n_known": pa.array(in_.astype(np.int64)), "base_score": pa.array(unigrams), "score": pa.array(full)})
+
+    out = chunks.select("chunk", "ids", "raw").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(scored, f"i {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("i").alias(id_col), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -275,7 +275,7 @@ def test_pipeline_lines_without_white_space_around(spark):
 
 def test_interpolated(odd, empty):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 0
-    got = lm.interpolated(odd, train, share=1e-3).collect()
+    got = lm.interpolated(odd, train).collect()
     rows = odd.withColumn("train", F.coalesce(train, F.lit(False))).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     counts = Counter(w for r in rows if r.train for w in tokens(r.text))
@@ -290,48 +290,104 @@ def test_interpolated(odd, empty):
     assert all(r.train_tokens == 0 and np.isfinite(r.score) for r in lm.interpolated(odd, F.lit(False)).collect())
 
 
-def test_interpolated_is_a_bigram_model(spark):
-    """Against counts taken in Python and the same weights; and better than unigrams on held-out texts with order."""
+def trigram_brute(rows, train, tune_one_in=10, rounds=30):
+    """Scores by counts taken in Python, and expectation-maximisation token by token on exact estimates."""
+    tokens = {i: ["<2>", "<1>", *t.split(), "</>"] for i, t in rows}
+    tuning = {i for i, t in rows if train(i) and zlib.crc32(t.encode()) % tune_one_in == 0}
+
+    def counts(ids):
+        c = [Counter(), Counter(), Counter()]
+        for i in ids:
+            w = tokens[i]
+            c[0].update(w[1:])
+            c[1].update(zip(w, w[1:], strict=False))
+            c[2].update(zip(w, w[1:], w[2:], strict=False))
+        return c, sum(c[0].values()) - c[0]["<1>"]
+
+    every, main = counts([i for i, _ in rows if train(i)]), counts([i for i, _ in rows if train(i) and i not in tuning])
+    types = len(every[0][0]) - 1
+
+    def estimates(c, n, u, v, w):
+        context = c[1][u, v]
+        b = lm.ONE_WORD + int(np.log2(context)) if context else 1 + int(np.log2(c[0][v])) if c[0][v] else 0
+        return b, np.array([c[2][u, v, w] / context if context else 0, c[1][v, w] / c[0][v] if c[0][v] else 0, c[0][w] / n, 1 / (types + 1)])
+
+    cells, weights = defaultdict(list), {}
+    for i in tuning:
+        for gram in zip(tokens[i], tokens[i][1:], tokens[i][2:], strict=False):
+            b, p = estimates(*main, *gram)
+            cells[b].append(p)
+            if b:
+                cells["two" if b >= lm.ONE_WORD else "one"].append(p)
+    for b, ps in cells.items():
+        ps, w = np.array(ps), np.full(4, 0.25)
+        w = np.array([0, 0, 0.5, 0.5]) if b == 0 else np.array([0, 1 / 3, 1 / 3, 1 / 3]) if b == "one" or b != "two" and b < lm.ONE_WORD else w
+        for _ in range(rounds):
+            share = ps * w
+            w = (share / share.sum(axis=1, keepdims=True)).sum(axis=0) / len(ps)
+        weights[b] = np.maximum(w, [0, 0, 1e-6, 1e-6]) / np.maximum(w, [0, 0, 1e-6, 1e-6]).sum()
+
+    def weight(b):
+        low = lm.ONE_WORD if b >= lm.ONE_WORD else 1
+        return next((weights[k] for k in range(b, low - 1, -1) if k in weights), weights["two" if b >= lm.ONE_WORD else "one"]) if b else weights[0]
+
+    out = {}
+    for i, w in tokens.items():
+        found = [estimates(*every, *gram) for gram in zip(w, w[1:], w[2:], strict=False)]
+        out[i] = sum(np.log10(weight(b) @ p) for b, p in found)
+    return weights, out
+
+
+def test_interpolated_against_a_trigram_model_in_python(spark, monkeypatch):
+    """Weights and scores, over several chunks and buckets; and better than unigrams on held-out texts with order."""
     rng = random.Random(4)
-    follow = {a: [rng.choice("abcdefghij") for _ in range(2)] for a in "abcdefghij"}
+    follow = {(a, b): [rng.choice("abcdefghij") for _ in range(2)] for a in "abcdefghij" for b in "abcdefghij"}
 
     def text() -> str:
-        w = [rng.choice("abcdefghij")]
-        for _ in range(80):
-            w.append(rng.choice(follow[w[-1]]))
+        w = [rng.choice("abcdefghij"), rng.choice("abcdefghij")]
+        for _ in range(rng.randrange(80)):
+            w.append(rng.choice(follow[w[-2], w[-1]]) if rng.random() < 0.9 else f"rare{rng.randrange(60)}")
+            if w[-1][0] == "r":
+                w.append(rng.choice("abcdefghij"))
+                w.append(rng.choice("abcdefghij"))
         return " ".join(w)
 
-    rows = [(i, text()) for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    weights = {}
+    rows = [(i, text()) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learned = {}
     original = lm.learn_weights
 
     def spy(*args, **kw):
-        weights["w"] = original(*args, **kw)
-        return weights["w"]
-
-    lm.learn_weights = spy
-    try:
-        got = {r.doc_id: r for r in lm.interpolated(docs, F.col("doc_id") % 4 != 0, share=1e-2).collect()}
-    finally:
-        lm.learn_weights = original
-    one, two = Counter(), Counter()
-    for i, t in rows:
-        if i % 4:
-            w = ["<s>", *t.split(), "</s>"]
-            one.update(w)
-            two.update(zip(w, w[1:], strict=False))
-    n, v = sum(one.values()) - one["<s>"], len(one) - 1
-    for i, t in rows[:20]:
-        w, score = ["<s>", *t.split(), "</s>"], 0.0
-        for h, x in zip(w, w[1:], strict=False):
-            a = weights["w"][1 + int(np.log2(one[h])) if one[h] else 0]
-            score += np.log10((a[0] * two[h, x] / one[h] if one[h] else 0) + a[1] * one[x] / n + a[2] / (v + 1))
-        assert got[i].score == pytest.approx(score, rel=1e-9)
+        learned["w"] = original(*args, **kw)
+        return learned["w"]
+
+    monkeypatch.setattr(lm, "learn_weights", spy)
+    weights, want = trigram_brute(rows, lambda i: i % 4 != 0)
+    got = {}
+    for chars, tokens in ((8_000_000, 1_300_000), (3000, 200)):
+        monkeypatch.setattr(lm, "CHUNK_CHARS", chars)
+        monkeypatch.setattr(lm, "BUCKET_TOKENS", tokens)
+        got = {r.doc_id: r for r in lm.interpolated(docs, F.col("doc_id") % 4 != 0).collect()}
+        assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-9)
+        for b, w in weights.items():
+            if isinstance(b, int):
+                assert learned["w"][b] == pytest.approx(w, abs=1e-9)
     held = [r for i, r in got.items() if i % 4 == 0]
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
-    again = lm.interpolated(docs, F.col("doc_id") % 4 != 0, share=0.2).collect()
-    assert {r.doc_id: r.score for r in again} == pytest.approx({i: r.score for i, r in got.items()}, rel=1e-12)
+
+
+def test_interpolated_splits_hot_rows(spark, monkeypatch):
+    """One row many times over, and many rows without id and text, make chunks like any others."""
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 2000)
+    hot = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 5).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "one hot text").alias("text"))
+    rows = lm.interpolated(hot.repartition(4), F.lit(True)).collect()
+    assert len(rows) == 3000 and {(r.doc_id, r.n_tokens, r.n_known) for r in rows} == {(5, 4, 4), (None, 1, 1)} and {r.train_tokens for r in rows} == {7500}
+    assert len({r.score for r in rows}) == 2
+
+
+def test_packed_numbers():
+    for x in ([0, 1, 255], [256, 0], [2**32, 2**64 - 1, 3], []):
+        assert lm._unpack(lm._pack(np.array(x, np.uint64), np.array([7])))[0].tolist() == x
 
 
 def test_shape_of_a_whole_word():
