@@ -8,6 +8,8 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,20 +57,24 @@ def shingle_sets(texts: list[str | None], hashes: WordHashes, n: int) -> list[np
     return out
 
 
-def _signatures(docs: DataFrame, id_kind: str, n: int, bands: int, rows: int) -> DataFrame:
-    """i, node (fingerprint of the text), n (shingles), bands (array of long) of every row."""
+def _signatures(docs: DataFrame, id_kind: str, n: int, bands: int, rows: int, id_bits: int) -> DataFrame:
+    """i, tf (given), node and more (two fingerprints of the n-gram set; null if it is empty), n (n-grams), bands (array
+    of long) of every row."""
     factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, prints = [], [], []
             for lo, hi in _slices(batch.column(2)):
                 for s in shingle_sets(batch.column(2).slice(lo, hi - lo).to_pylist(), hashes, n):
                     sizes.append(len(s))
                     if not len(s):
                         keys.append(None)
+                        prints.append((None, None))
                         continue
+                    one, two = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
+                    prints.append((one >> (64 - id_bits), two))
                     low = np.full(bands * rows, np.uint64(2**64 - 1))
                     for k in range(0, len(s), 1024):
                         np.minimum(low, (s[k : k + 1024] * factors[:, None]).min(axis=1), out=low)
@@ -76,9 +82,10 @@ def _signatures(docs: DataFrame, id_kind: str, n: int, bands: int, rows: int) ->
                     for k in range(rows):
                         key = mix(key) + low[:, k]
                     keys.append(mix(key).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["i", "node", "n", "bands"])
+            node, more = (pa.array(x, pa.int64()) for x in zip(*prints, strict=True)) if prints else [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, more, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["i", "tf", "node", "more", "n", "bands"])
 
-    return docs.mapInArrow(run, f"i {id_kind}, node long, n long, bands array<long>")
+    return docs.mapInArrow(run, f"i {id_kind}, tf long, node long, more long, n long, bands array<long>")
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -133,80 +140,159 @@ def lowest(ok: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _pack_sets(nodes: list[int], copies: list[int], sets: list[np.ndarray]) -> bytes:
+    """A block of nodes: their distinct n-grams once, and each set as places among these. Sets that are nearly alike have
+    long runs in common, which compress to little."""
+    unique, at = np.unique(np.concatenate(sets), return_inverse=True)
+    head = np.array([len(nodes), len(unique), *nodes, *copies, *map(len, sets)], np.int64)
+    return zstandard.compress(head.tobytes() + unique.tobytes() + at.astype(np.uint32).tobytes(), 3)
+
+
+def _unpack_sets(raw: bytes) -> tuple[list[int], list[int], list[np.ndarray]]:
+    raw = zstandard.decompress(raw)
+    m, n = np.frombuffer(raw, np.int64, 2).tolist()
+    nodes, copies, sizes = np.frombuffer(raw, np.int64, 3 * m, 16).reshape(3, m)
+    unique = np.frombuffer(raw, np.uint64, n, 16 + 24 * m)
+    at = np.frombuffer(raw, np.uint32, int(sizes.sum()), 16 + 24 * m + 8 * n)
+    return nodes.tolist(), copies.tolist(), np.split(unique[at], np.cumsum(sizes)[:-1])
+
+
+_DECIDED = "node long, label long, links long"
+
+
+def _decided(nodes: list[int], copies: list[int], sets: list[np.ndarray], left: int, threshold: float) -> list[dict]:
+    """Rows (node, label, links) of the nodes of a piece that have a link in it; left as in linked()."""
+    ok = linked(sets, left, threshold)
+    links = ok @ np.array(copies, np.int64)
+    order = np.argsort(nodes, kind="stable")
+    label = np.empty(len(nodes), np.int64)
+    label[order] = order[lowest(ok[np.ix_(order, order)])]
+    return [{"node": nodes[k], "label": nodes[label[k]], "links": int(links[k])} for k in np.flatnonzero(links).tolist()]
+
+
 def ngram_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 256
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 512,
+    block_grams: int = 4_000_000, id_bits: int = 64,
+) -> DataFrame:
     """Links between texts whose sets of word n-grams have a Jaccard similarity of threshold or more.
 
     Returns a row for each row of docs: the id, class_id (the smallest id that links lead to, its own included),
     n_links (other rows linked directly, copies counted) and n_shingles. Words are lower-cased and end at white space.
 
-    Rows with equal texts are one node with a count. Nodes that share a MinHash band (bands_for() gives a pair at the
-    threshold the stated recall) are candidates; a band's nodes are tied to its smallest only, so a band of any size
-    makes as many rows as it has nodes. Connected candidates form groups, and in a group all pairs are decided on the
-    whole n-gram sets, in one task where a group has at most block nodes; a larger group is cut into blocks and each
-    pair of blocks is a piece of work of its own, of bounded memory. Pieces return a row a node, never a row a pair.
+    Rows with equal n-gram sets are one node with a count. Nodes that share a MinHash band (bands_for() gives a pair at
+    the threshold the stated recall) are candidates; a band's nodes are tied to its smallest only, so a band of any size
+    makes as many rows as it has nodes. Connected candidates form groups. Of a group each node's set is made from one
+    text and shipped once; all pairs are decided on whole sets, in one task where the group has at most block nodes and
+    about block_grams n-grams. A larger group is cut into blocks; a block becomes one compressed row, in which an n-gram
+    that many of its sets have is kept once, and each pair of blocks is a piece of work of bounded memory. So no text or
+    set of a large group is shipped again, only blocks are, and pieces return a row a node, never a row a pair.
 
     Null and blank texts have no n-gram and link with nothing, not even each other; texts of fewer than n words link
     with equal word sequences. A null id is never a class_id while the class has another. Repeated rows are copies.
     Ties do not occur (class_id is a minimum). Empty table: no rows. Columns besides the two named are not read.
-    Texts are told apart by 64-bit fingerprints."""
+    N-grams are 64-bit hashes. Nodes are told apart by two fingerprints: where sets with one first fingerprint (of
+    id_bits bits) have different second ones, all of these get other numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
     bands, rows = bands_for(threshold, recall)
-    base = docs.select(F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    signed = materialize(_signatures(base, kind, n, bands, rows), "signatures")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("i").alias("low"), F.count("*").alias("copies"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("tf"), text.alias("t"))
+    signed = materialize(_signatures(base, kind, n, bands, rows, id_bits), "signatures")
+
+    def counted(signed: DataFrame) -> DataFrame:
+        by = signed.where("n > 0").groupBy("node")
+        found = by.agg(F.min("i").alias("low"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min(F.struct("tf", "i")).alias("one"), F.min("more").alias("least"), F.max("more").alias("most"))
+        return materialize(found, "nodes")
+
+    nodes = counted(signed)
+    clash = nodes.where("least <> most").select("node", F.lit(True).alias("clash"))
+    if not clash.isEmpty():
+        signed = materialize(signed.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "more")).otherwise(F.col("node"))).drop("clash"), "signatures")
+        nodes = counted(signed)
 
-    keys = signed.where("n > 0").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
+    keys = signed.where("n > 0").select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w")
     edges = keys.join(shared.select(unbound("key"), "v"), "key").where("node <> v").select(F.col("node").alias("u"), "v")
     groups = components(edges)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = materialize(groups.join(sizes, "component").join(nodes, "node"), "candidates").where("size > 1")
-
-    parts = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), parts).cast("int")
-    picked = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    chosen = picked.select(F.col("node").alias("m"), F.col("low"), "component", "size", "copies")
-    texts = base.join(chosen, (F.col("node") == F.col("m")) & F.col("i").eqNullSafe(F.col("low"))).select("node", "component", "size", "copies", "t")
-    pieces = texts.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    pieces = pieces.select("component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), F.col("mine").alias("side"), "node", "size", "copies", "t")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    candidates = groups.join(nodes.select("node", "n", "copies", "one"), "node")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / F.lit(block_grams))).cast("int").alias("parts")
+    sizes = candidates.groupBy("component").agg(F.count("*").alias("size"), parts).where("size > 1")
+    members = materialize(candidates.join(sizes.select(unbound("component"), "parts"), "component"), "candidates")
+    few = members.count() <= BROADCAST_ROWS
 
-        def stream():
+    def sets_of(members: DataFrame) -> DataFrame:
+        """component, part, parts, node, copies, grams: a row a node, or a few where rows repeat its id and text."""
+        chosen = (F.broadcast(members) if few else members).select(F.col("one.tf").alias("f"), F.col("one.i").alias("j"), "component", "parts", "node", "copies")
+        texts = base.join(chosen, (F.col("tf") == F.col("f")) & F.col("i").eqNullSafe(F.col("j")))
+        part = F.pmod(F.xxhash64("node", F.lit(7)), "parts").cast("int").alias("part")
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, seen = WordHashes(), set()
             for batch in batches:
-                for lo, hi in _slices(batch.column(7)):
+                for lo, hi in _slices(batch.column(5)):
                     cut = batch.slice(lo, hi - lo)
-                    yield from zip(*(cut.column(k).to_pylist() for k in range(7)), shingle_sets(cut.column(7).to_pylist(), hashes, n), strict=True)
+                    new = []
+                    for k, node in enumerate(cut.column(3).to_pylist()):
+                        if node not in seen:
+                            new.append(k)
+                            seen.add(node)
+                    cut = cut.take(pa.array(new, pa.int64()))
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    sets = shingle_sets(cut.column(5).to_pylist(), hashes, n)
+                    yield pa.RecordBatch.from_arrays([*cut.columns[:5], pa.array([s.tobytes() for s in sets], pa.binary())], ["component", "part", "parts", "node", "copies", "grams"])
+
+        return texts.select("component", part, "parts", "node", "copies", "t").mapInArrow(make, "component long, part int, parts int, node long, copies long, grams binary")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[int], list[int], list[np.ndarray]]]:
+        """Nodes of one component and part, with their sets."""
+
+        def stream():
+            for batch in batches:
+                for lo in range(0, len(batch), 256):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True)
+
+        for key, piece in groupby(stream(), key=lambda x: (x[0], x[1])):
+            found = {x[3]: (x[4], np.frombuffer(x[5], np.uint64)) for x in piece}
+            yield key, list(found), [x for x, _ in found.values()], [x for _, x in found.values()]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, members, copies, sets in pieces(batches):
+            if found := _decided(members, copies, sets, 0, threshold):
+                yield pa.RecordBatch.from_pylist(found)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (component, part), *piece in pieces(batches):
+            yield pa.RecordBatch.from_pylist([{"component": component, "part": part, "block": _pack_sets(*piece)}])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stream():
+            for batch in batches:
+                for k in range(len(batch)):
+                    yield tuple(c[k].as_py() for c in batch.columns)
 
-        found: list[tuple] = []
         for (_, a, b), piece in groupby(stream(), key=lambda x: x[:3]):
-            unique = {x[4]: x for x in piece}
-            piece = sorted(unique.values(), key=lambda x: (x[3], x[4]))
-            ok = linked([x[7] for x in piece], 0 if a == b else sum(x[3] == a for x in piece), threshold)
-            copies = np.array([x[6] for x in piece], np.int64)
-            links = ok @ copies
-            by_node = np.argsort([x[4] for x in piece], kind="stable")
-            label = np.empty(len(piece), np.int64)
-            label[by_node] = by_node[lowest(ok[np.ix_(by_node, by_node)])]
-            for k, x in enumerate(piece):
-                if links[k]:
-                    found.append((x[4], piece[label[k]][4], int(links[k]), x[5] <= block))
-            if len(found) >= 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(("node", "label", "links", "whole"), x, strict=True)) for x in found])
-                found = []
-        if found:
-            yield pa.RecordBatch.from_pylist([dict(zip(("node", "label", "links", "whole"), x, strict=True)) for x in found])
-
-    decided = pieces.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(decide, "node long, label long, links long, whole boolean")
-    decided = materialize(decided, "links")
+            members, copies, sets, left = [], [], [], 0
+            for _, _, _, side, raw in sorted(piece, key=lambda x: x[3]):
+                ids, counts, own = _unpack_sets(raw)
+                left = len(ids) if side == a and a != b else left
+                members, copies, sets = members + ids, copies + counts, sets + own
+            # A pair of blocks of which one is empty has no pairs.
+            if (a == b or len(members) > left > 0) and (found := _decided(members, copies, sets, left, threshold)):
+                yield pa.RecordBatch.from_pylist(found)
+
+    by = ("component", "part")
+    decided = materialize(sets_of(members.where("parts = 1")).repartition(*by).sortWithinPartitions(*by).mapInArrow(whole, _DECIDED), "links")
+    labels = decided.select("node", "label")
+    large = members.where("parts > 1")
+    if not large.isEmpty():
+        made = materialize(sets_of(large).repartition(*by).sortWithinPartitions(*by).mapInArrow(blocks, "component long, part long, block binary"), "blocks")
+        of = large.select("component", "parts").distinct()
+        pairs = made.join(of, "component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pairs = pairs.select("component", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), F.col("part").alias("side"), "block")
+        wide = materialize(pairs.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(across, _DECIDED), "links")
+        decided = decided.unionByName(wide)
+        labels = labels.unionByName(components(wide.select(F.col("node").alias("u"), F.col("label").alias("v"))).withColumnRenamed("component", "label"))
     links = decided.groupBy("node").agg(F.sum("links").alias("links"))
-    spread = decided.where("not whole").select(F.col("node").alias("u"), F.col("label").alias("v"))
-    labels = decided.where("whole").select("node", "label")
-    if not spread.isEmpty():
-        labels = labels.unionByName(components(spread).withColumnRenamed("component", "label"))
     classed = nodes.join(links, "node", "left").join(labels, "node", "left").select("node", "low", "copies", "links", F.coalesce("label", "node").alias("class"))
     classed = materialize(classed, "classes")
     least = classed.groupBy("class").agg(F.min("low").alias("class_id"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexweave.llm import bpe, itq, lm, quality, sharding, topk, warc
 from lexweave.llm.common import components
 from lexweave.llm.linededup import boilerplate, line_dedup
-from lexweave.llm.ngramjoin import bands_for, ngram_join
+from lexweave.llm.ngramjoin import _pack_sets, _unpack_sets, bands_for, ngram_join
 from lexweave.llm.packing import encoder, pack
 
 DOCS = "doc_id long, text string, source string, ids long, t string"
@@ -550,8 +550,8 @@ def jaccard_brute(rows):
     return Counter((i, low.get(roots[k]) if sets[k] else i, links[k], len(sets[k])) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_ngram_join(spark, odd, empty, block):
+@pytest.mark.parametrize(("block", "bits"), [(4, 64), (512, 3)])
+def test_ngram_join(spark, odd, empty, block, bits):
     rng = random.Random(7)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     base = [words(rng, n).split() for n in (12, 40, 200)]
@@ -561,12 +561,36 @@ def test_ngram_join(spark, odd, empty, block):
             w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
         rows.append((1000 + i, " ".join(w)))
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, class_id string").repartition(3)
-    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_shingles) for r in ngram_join(table, block=block).collect())
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_shingles) for r in ngram_join(table, block=block, id_bits=bits).collect())
     assert got == jaccard_brute(rows)
     if block == 4:
         assert ngram_join(empty).count() == 0
 
 
+def test_ngram_join_of_a_large_group_of_near_copies(spark):
+    """Long enough for many blocks; rows without id and rows of one id and text many times over are one node."""
+    rng = random.Random(13)
+    base, rows = words(rng, 120).split(), []
+    for i in range(700):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(None, rows[3][1])] * 200 + [(5, rows[5][1])] * 200 + [(700, rows[0][1].upper().replace(" ", "  "))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_shingles) for r in ngram_join(table, block=64).collect())
+    assert got == jaccard_brute(rows)
+
+
+def test_packed_sets_share_what_they_have_in_common():
+    rng = np.random.default_rng(0)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = [np.unique(np.append(np.delete(base, rng.integers(0, 400, 20)), rng.integers(0, 2**63, 5).astype(np.uint64))) for _ in range(200)]
+    raw = _pack_sets(list(range(200)), [1] * 200, sets)
+    nodes, copies, again = _unpack_sets(raw)
+    assert nodes == list(range(200)) and copies == [1] * 200 and all((a == b).all() for a, b in zip(sets, again, strict=True))
+    assert len(raw) < sum(s.nbytes for s in sets) / 8
+
+
 def test_bands():
     bands, rows = bands_for(0.8, 0.999)
     assert bands * rows <= 192 and 1 - (1 - 0.8**rows) ** bands >= 0.999
