@@ -40,11 +40,12 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     key, row = fresh(docs, "key"), fresh(docs, "row")
     named = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")))
     found = ngram_join(named, key)
-    heads = found.where(F.col(key) == F.col("class_id")).select(F.col(key).alias(row), (F.col("n_shingles") > 0).alias("worded")).distinct()
-    heads = materialize(heads.select(F.struct(row, "worded").alias(row)), "heads")
-    kept = named.join(heads, named[key] == heads[row][row])
-    worded = kept.where(F.col(row)["worded"]).dropDuplicates([key])
-    return worded.unionByName(kept.where(~F.col(row)["worded"])).select(docs.columns)
+    heads = found.where(F.col(key) == F.col("class_id")).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("rows"), F.first(F.col("n_shingles") > 0).alias("worded"))
+    heads = materialize(heads.select(F.struct("key", ((F.col("rows") > 1) & F.col("worded")).alias("repeated")).alias(row)), "heads")
+    kept = named.join(heads, named[key] == heads[row]["key"])
+    # Of rows with one doc_id and text, which are few, one stays; only these are shuffled once more.
+    once = kept.where(F.col(row)["repeated"]).dropDuplicates([key])
+    return once.unionByName(kept.where(~F.col(row)["repeated"])).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
