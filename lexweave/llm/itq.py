@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -9,109 +10,177 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from lexweave.llm.common import components, materialize, unbound
 from lexweave.llm.ngramjoin import lowest
 from lexweave.llm.topk import finite
 
+#: Rows (a key and a count) up to which the keys of large buckets are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
-def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+
+def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) of iterative quantisation (Gong and Lazebnik 2011): principal directions, then the rotation
-    that brings the sample closest to the corners of a cube."""
+    that brings the sample closest to the corners of a cube, from a random one."""
     mean = sample.mean(axis=0)
     x = sample - mean
     _, _, vt = np.linalg.svd(x, full_matrices=False)
     top = vt[:bits].T
     x = x @ top
-    rotation = np.linalg.qr(np.random.default_rng(0).normal(size=(top.shape[1], top.shape[1])))[0]
+    rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(top.shape[1], top.shape[1])))[0]
     for _ in range(rounds):
         u, _, wt = np.linalg.svd(x.T @ np.where(x @ rotation >= 0, 1.0, -1.0))
         rotation = u @ wt
     return mean, top @ rotation
 
 
+def table_plan(largest: int, columns: int, threshold: float, per_bucket: int = 256, recall: float = 0.97) -> tuple[int, int, int]:
+    """(bits of a table's key, tables of a rotation, rotations) for a label of so many vectors.
+
+    The key grows with the logarithm of the vectors, so a bucket holds about per_bucket of them at any size (8 bits at
+    least). A wider key is missed more often: a bit of two vectors at the threshold differs with probability angle / pi.
+    So many tables are made that independent bits would give the recall; the bits of one rotation, being orthogonal,
+    give more (measured in the tests). Tables beyond those of one rotation take further rotations."""
+    key = min(max(8, math.ceil(math.log2(max(1, largest) / per_bucket))), columns, 30)
+    hit = (1 - math.acos(threshold) / math.pi) ** key
+    return key, columns // key, math.ceil(math.ceil(math.log(1 - recall) / math.log(1 - hit)) / (columns // key))
+
+
 def near_dedup(
     vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    bits: int = 64, per_table: int = 8, sample_rows: int = 4096, block: int = 1024,
+    bits: int = 64, key_bits: int | None = None, sample_rows: int = 4096, block: int = 1024, node_bits: int = 64,
 ) -> DataFrame:
     """Links between vectors of one label whose cosine, in double precision, is threshold or more.
 
     Returns a row a vector: the id, n_links (others linked directly, copies counted), component_id (the smallest id that
     links lead to) and kept (whether that is its own).
 
-    Equal vectors of a label are one node with a count. The rotation is learned from the sample_rows nodes with the
-    smallest fingerprints; all nodes are coded. A code is cut into bits / per_table parts, a Hamming table each; vectors
-    with a part in common are candidates, reranked by their cosines. Where the vectors or the sample give fewer columns
-    than bits, all vectors of a label and length are candidates. A bucket of more than block nodes is cut into
-    blocks, a pair of blocks being a piece of work of bounded memory; a pair that several tables find counts in the
-    first. Pieces return a row a node, never a row a pair. Recall is that of the tables: a pair is missed if its codes
-    differ in every part (tests measure it against brute force; pairs below the threshold are never linked).
+    Equal vectors of a label are one node with a count. Rotations of bits columns are learned from the sample_rows nodes
+    with the smallest fingerprints; all nodes are coded. Codes are cut into keys of Hamming tables by table_plan() (or
+    key_bits). Vectors with a key in common are candidates if their codes differ in no more bits than four and a half
+    standard deviations over the mean of pairs at the threshold. Only codes are shuffled to find these; vectors go to
+    the buckets where they have a candidate that no earlier table has, and cosines decide. A bucket of more than block
+    nodes is cut into blocks, a pair of blocks being a piece of work of bounded memory. Pieces return a row a node,
+    never a row a pair. Recall is that of the tables: a pair is missed if its codes differ in every key (tests measure
+    it against brute force; pairs below the threshold are never linked). A table of at most block nodes, and one whose
+    sample gives less than 8 columns, is compared in full, by label and length.
 
     Null labels; null, empty and zero vectors; vectors with null or non-finite components: no links, a component of
     their own. Null ids: never a component_id while the component has another; not kept. Repeated rows are copies.
     Vectors of another length than most of the sample share a bucket a length; different lengths never link. Ties do
-    not occur. Empty table: no rows. Other columns are not read."""
+    not occur. Empty table: no rows. Other columns are not read. Nodes are told apart by two fingerprints, as in
+    ngram_join (node_bits: of the first)."""
     kind = vectors.schema[id_col].dataType.simpleString()
-    v = F.transform(vector_col, lambda x: x.cast("double"))
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
+    v = F.col(vector_col) if single else F.transform(vector_col, lambda x: x.cast("double"))
     good = F.coalesce(finite(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0), F.lit(False)) & F.col(label_col).isNotNull()
-    rows = vectors.select(F.col(id_col).alias("i"), F.when(good, F.xxhash64(F.col(label_col), v)).alias("node"), F.when(good, v).alias("v"), F.col(label_col).cast("string").alias("l"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("i").alias("low"), F.count("*").alias("copies"), F.any_value("v").alias("v"), F.any_value("l").alias("l"))
-    nodes = materialize(nodes, "nodes")
-
-    taken = [np.array(r[0]) for r in nodes.orderBy("node").limit(sample_rows).select("v").collect()]
+    rows = vectors.select(
+        F.col(id_col).alias("i"), F.when(good, F.shiftright(F.xxhash64(F.col(label_col), v), 64 - node_bits) if node_bits < 64 else F.xxhash64(F.col(label_col), v)).alias("node"),
+        F.when(good, F.xxhash64(F.lit(1), F.col(label_col), v)).alias("more"), F.when(good, v).alias("v"), F.col(label_col).cast("string").alias("l"),
+    )
+
+    def counted(rows: DataFrame) -> DataFrame:
+        by = rows.where("node is not null").groupBy("node")
+        return materialize(by.agg(F.min("i").alias("low"), F.count("*").alias("copies"), F.any_value("v").alias("v"), F.any_value("l").alias("l"), F.min("more").alias("least"), F.max("more").alias("most")), "nodes")
+
+    nodes = counted(rows)
+    clash = nodes.where("least <> most").select("node", F.lit(True).alias("clash"))
+    if not clash.isEmpty():
+        rows = rows.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "more")).otherwise(F.col("node"))).drop("clash")
+        nodes = counted(rows)
+
+    taken = [np.array(r[0], np.float64) for r in nodes.orderBy("node").limit(sample_rows).select("v").collect()]
     lengths, n = np.unique([len(x) for x in taken], return_counts=True)
     d = int(lengths[n.argmax()]) if len(taken) else 0
     unit = np.array([x / np.linalg.norm(x) for x in taken if len(x) == d]).reshape(-1, max(1, d))
-    mean, projection = learn_rotation(unit, min(bits, d)) if len(unit) else (np.zeros(d), np.zeros((d, 0)))
-    whole = projection.shape[1] < bits  # too few tables for the recall: all nodes of a label are compared
-    tables = 1 if whole else max(1, projection.shape[1] // per_table)
+    total, largest = (x or 0 for x in nodes.groupBy("l").count().agg(F.sum("count"), F.max("count")).first())
+    columns = min(bits, d, len(unit))
+    whole = total <= block and key_bits is None or columns < 8
+    key, per_rotation, rotations = (1, 1, 1) if whole else table_plan(largest, columns, threshold) if key_bits is None else (key_bits, columns // key_bits, 1)
+    learned = [] if whole else [learn_rotation(unit, columns, seed=k) for k in range(rotations)]
+    tables, differ = per_rotation * rotations, math.acos(threshold) / math.pi
+    radius = math.ceil(columns * rotations * differ + 4.5 * math.sqrt(columns * rotations * differ * (1 - differ)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 1 << np.arange(per_table)
+        powers = np.uint64(1) << np.arange(columns, dtype=np.uint64)
         for batch in batches:
             size = np.asarray(batch.column(1).value_lengths())
-            out = np.zeros((len(size), tables), np.int64)
+            out = np.zeros((len(size), rotations), np.uint64)
             usual = np.flatnonzero(size == d)
-            if len(usual) and not whole and projection.shape[1] >= per_table:
-                x = batch.column(1).take(pa.array(usual)).flatten().to_numpy().reshape(len(usual), d)
-                signs = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projection >= 0
-                out[usual] = signs[:, : tables * per_table].reshape(len(usual), tables, per_table) @ powers
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(out), pa.list_(pa.int64()))], ["node", "v", "l", "copies", "code"])
-
-    coded = nodes.select("node", "v", "l", "copies").mapInArrow(code, "node long, v array<double>, l string, copies long, code array<long>")
-    coded = materialize(coded, "codes")
-    indexed = coded.select("*", F.posexplode("code").alias("table", "part")).withColumn("key", F.xxhash64("l", F.size("v"), "table", "part"))
-    sizes = indexed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    pieces = indexed.join(sizes.select(unbound("key"), "size"), "key").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+            if len(usual) and not whole:
+                x = batch.column(1).take(pa.array(usual)).flatten().to_numpy().astype(np.float64).reshape(len(usual), d)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                for k, (mean, projection) in enumerate(learned):
+                    out[usual, k] = ((x - mean) @ projection >= 0) @ powers
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int32()), pa.array(list(out.view(np.int64)), pa.list_(pa.int64()))], ["node", "l", "d", "code"])
+
+    coded = materialize(nodes.select("node", "v", "l").mapInArrow(code, "node long, l string, d int, code array<long>"), "codes")
+    part = lambda t: F.get("code", F.lit(t // per_rotation)) if whole else F.shiftright(F.get("code", F.lit(t // per_rotation)), t % per_rotation * key).bitwiseAND(F.lit((1 << key) - 1))
+    keys = F.array(*(F.xxhash64("l", "d", F.lit(t), part(t)) for t in range(tables)))
+    indexed = coded.select("node", "code", F.posexplode(keys).alias("table", "key"))
+    large = materialize(indexed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block), "buckets")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    pieces = indexed.join(large, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int"))
     pieces = pieces.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pieces = pieces.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), F.col("mine").alias("side"), "table", "node", "copies", "l", "v", "code")
+    pieces = pieces.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), F.col("mine").alias("side"), "table", "node", "code")
+
+    def streamed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[tuple]]:
+        """Pieces, in the order of side and node."""
 
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream():
             for batch in batches:
-                for lo in range(0, len(batch), 2048):
-                    yield from zip(*(c.to_pylist() for c in batch.slice(lo, 2048).columns), strict=True)
+                for lo in range(0, len(batch), rows):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(lo, rows).columns), strict=True)
+
+        for _, piece in groupby(stream(), key=lambda x: x[:3]):
+            yield sorted(piece, key=lambda x: (x[3], x[5]))
+
+    def near(piece: list[tuple]) -> np.ndarray:
+        """Which pairs of a piece are candidates that no earlier table has."""
+        a, b, table = piece[0][1], piece[0][2], piece[0][4]
+        words = np.array([x[6] for x in piece], np.int64).view(np.uint64)
+        distance, ok = np.zeros((len(piece), len(piece)), np.int32), np.ones((len(piece), len(piece)), bool)
+        for k in range(0 if whole else rotations):
+            differ = words[:, None, k] ^ words[:, k]
+            distance += np.bitwise_count(differ)
+            for t in range(min(per_rotation, table - k * per_rotation)):
+                ok &= (differ >> np.uint64(t * key)) & np.uint64((1 << key) - 1) != 0
+        ok &= distance <= radius
+        np.fill_diagonal(ok, False)
+        if a != b:
+            left = sum(x[3] == a for x in piece)
+            ok[:left, :left] = ok[left:, left:] = False
+        return ok
+
+    names = ["key", "a", "b", "side", "table", "node", "code"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for piece in streamed(batches, 8192):
+            if len(piece) > 1:
+                found += [x for x, some in zip(piece, near(piece).any(axis=1), strict=True) if some]
+            if len(found) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
-        for (_, a, b), piece in groupby(stream(), key=lambda x: x[:3]):
-            piece = sorted(piece, key=lambda x: (x[3], x[5]))
-            left, table = sum(x[3] == a for x in piece) if a != b else 0, piece[0][4]
+        for piece in streamed(batches, 2048):
+            ok = near(piece)
             labels = np.unique([x[7] for x in piece], return_inverse=True)[1]
             size = np.array([len(x[8]) for x in piece])
-            code_ = np.array([x[9] for x in piece])
-            ok = np.zeros((len(piece), len(piece)), bool)
+            same = np.zeros(ok.shape, bool)
             for d_ in np.unique(size):
                 at = np.flatnonzero(size == d_)
-                x = np.array([piece[k][8] for k in at])
+                x = np.array([piece[k][8] for k in at], np.float64)
                 norm = np.linalg.norm(x, axis=1)
-                ok[np.ix_(at, at)] = (x @ x.T) / (norm[:, None] * norm) >= threshold
-            ok &= labels[:, None] == labels
-            for t in range(table):
-                ok &= code_[:, None, t] != code_[:, t]
-            np.fill_diagonal(ok, False)
-            if left:
-                ok[:left, :left] = ok[left:, left:] = False
-            links = ok @ np.array([x[6] for x in piece], np.int64)
+                same[np.ix_(at, at)] = (x @ x.T) / (norm[:, None] * norm) >= threshold
+            ok &= same & (labels[:, None] == labels)
+            links = ok @ np.array([x[9] for x in piece], np.int64)
             by_node = np.argsort([x[5] for x in piece], kind="stable")
             label = np.empty(len(piece), np.int64)
             label[by_node] = by_node[lowest(ok[np.ix_(by_node, by_node)])]
@@ -122,8 +191,10 @@ def near_dedup(
         if found:
             yield pa.RecordBatch.from_pylist([dict(zip(("node", "label", "links"), x, strict=True)) for x in found])
 
-    keys = ("key", "a", "b")
-    decided = materialize(pieces.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(rerank, "node long, label long, links long"), "links")
+    by = ("key", "a", "b")
+    picked = pieces.repartition(*by).sortWithinPartitions(*by).mapInArrow(candidates, "key long, a int, b int, side int, table int, node long, code array<long>")
+    sent = materialize(picked, "picked").join(nodes.select(unbound("node"), "l", "v", "copies"), "node").select(*names, "l", "v", "copies")
+    decided = materialize(sent.repartition(*by).sortWithinPartitions(*by).mapInArrow(rerank, "node long, label long, links long"), "links")
     links = decided.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(decided.select(F.col("node").alias("u"), F.col("label").alias("v")))
     classed = nodes.select("node", "low", "copies").join(links, "node", "left").join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))

@@ -442,11 +442,38 @@ def test_block_index_prunes_and_breaks_ties():
     q = np.ones(3)
     got, scores = index.search(0, q, index.bounds(q[None])[0], 5)
     assert got.tolist() == [1, 2, 3, 4, 5] and scores.tolist() == [3.0] * 5
-
-
-def test_itq(spark):
+    assert index.search(0, q, index.bounds(q[None])[0], 5, 4.0)[0].tolist() == []
+
+
+def test_block_index_skips_most_blocks_of_vectors_around_few_directions():
+    rng = np.random.default_rng(3)
+    centres = np.eye(20)
+    v = np.floor(256 * (centres[rng.integers(20, size=12_800)] * rng.uniform(0.5, 1.5, (12_800, 1)) + rng.normal(scale=0.01, size=(12_800, 20))))
+    index = topk.BlockIndex(np.arange(len(v)), v)
+    bounds = index.bounds(v[:50])
+    for k in range(50):
+        before = index.scored
+        ids, scores = index.search(k, v[k], bounds[k], 5)
+        want = sorted(((-s, j) for j, s in enumerate(v @ v[k]) if j != k))[:5]
+        assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+        assert index.scored - before <= 200 / 4
+        again = index.scored
+        assert index.search(k, v[k], bounds[k], 5, scores[-1])[0].tolist() == ids.tolist() and index.scored - again <= index.scored - before
+
+
+def test_topk_of_very_large_components(spark):
+    rows = [(k, [x, 1.0], "a", k) for k, x in enumerate([1.0, 5e9, -5e9, 2.0**50, 1e300, 3.0, -1e300])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(table, F.col("vec_id") == 1, scale=1).collect()}
+    exact = [(k, min(max(int(np.floor(x)), -(2**63)), 2**63 - 1) * 5 * 10**9 + 1) for k, (_, (x, _), *_) in enumerate(rows) if k != 1]
+    want = sorted((-min(max(-s, -(2**63)), 2**63 - 1), k) for s, k in sorted((-s, k) for k, s in exact)[:5])
+    assert got == {(1, n + 1): (k, -s) for n, (s, k) in enumerate(want)}
+
+
+@pytest.mark.parametrize("bits", [64, 7])
+def test_itq(spark, bits):
     table, rows = vector_rows(spark, np.random.default_rng(1), 900)
-    got = itq.near_dedup(table, bits=16, per_table=4, block=40, sample_rows=300).collect()
+    got = itq.near_dedup(table, bits=16, key_bits=4, block=40, sample_rows=300, node_bits=bits).collect()
     assert len(got) == len(rows)
     good = [(k, v) for k, (_, v, y) in enumerate(rows) if y is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     pairs, parent = 0, list(range(len(rows)))
@@ -494,6 +521,33 @@ def test_itq_finds_all_links_of_a_small_table(spark):
         assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist())) and min(want) >= 1
 
 
+@pytest.mark.parametrize("key_bits", [None, 12])
+def test_itq_recall_with_the_registered_parameters(spark, monkeypatch, key_bits):
+    """Pairs hardly above the threshold, among vectors around centres; the second time with the keys of a larger table."""
+    rng = np.random.default_rng(5)
+    rows, centres = [], rng.normal(size=(40, 64))
+    for k in range(3000):
+        x = centres[k % 40] * 0.4 + rng.normal(size=64)
+        x /= np.linalg.norm(x)
+        y = rng.normal(size=64)
+        y -= (y @ x) * x
+        c = rng.uniform(0.931, 0.95)
+        rows += [(2 * k, x.tolist(), "a"), (2 * k + 1, (c * x + (1 - c * c) ** 0.5 * y / np.linalg.norm(y)).tolist(), "a")]
+    v = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    want = ((v @ v.T) / np.outer(*[np.linalg.norm(v, axis=1)] * 2) >= 0.93).sum(1) - 1
+    if key_bits:
+        plan = itq.table_plan
+        monkeypatch.setattr(itq, "table_plan", lambda largest, *args: plan(256 << key_bits, *args))
+    got = itq.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()
+    assert all(r.n_links <= want[r.vec_id] for r in got) and sum(r.n_links for r in got) >= 0.99 * want.sum()
+
+
+def test_table_plan_grows_with_the_vectors():
+    assert itq.table_plan(5000, 64, 0.93) == (8, 8, 1)
+    key, tables, rotations = itq.table_plan(1 << 28, 64, 0.93)
+    assert key == 20 and tables == 3 and tables * rotations >= 40
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1064)] + [(5, 5)]
