@@ -21,6 +21,8 @@ from lexweave.llm.common import Words
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Characters of text whose pre-tokens make one chunk, the unit in which positions are counted and put together.
 CHUNK_CHARS = 12_000_000
+#: Characters of text for which there is a bucket of distinct pre-tokens.
+BUCKET_CHARS = 64_000_000
 #: Pre-tokens of a chunk that are numbered by their frequency.
 TOP = 4096
 
@@ -178,7 +180,9 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     once, to the task that its hash gives, whatever the number of its occurrences, so none is hot; there each distinct
     word of the whole table is merged once. Its ids go back to its chunks by a second shuffle, together with the
     chunk's positions, and are put at these. Rows of both shuffles hold many words, compressed. The ids are decoded by
-    the table of token bytes, which has the size of the rank file.
+    the table of token bytes, which has the size of the rank file. Buckets grow in number with the text, chunks do not
+    grow. A chunk's number is its place in its task: where the rows of docs come from a stage whose order is not fixed,
+    Spark runs that stage's dependents again as a whole.
 
     Returns the id, n_tokens and, by output, "ids" (array<int>) and text (decoded), or "digest": ids_sha256 (of the ids
     as little-endian unsigned 32-bit integers) and decoded_sha256 (of the decoded bytes).
@@ -186,8 +190,9 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     Null text: empty; empty text: no ids. Null or repeated ids, repeated rows: a row each. Very long texts: a chunk of
     their own. Ties do not occur. Empty table: no rows. Columns besides the two named are not read."""
     id_kind = docs.schema[id_col].dataType.simpleString()
-    typed = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    typed = docs.select(F.col(id_col).cast(id_kind).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    total = typed.agg(F.sum(F.length("t"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, -(-total // BUCKET_CHARS))
     words = explode_words(typed, tasks)
     coded = encode_words(words.repartitionById(tasks, F.col("bucket")), ranks)
     digest = output == "digest"

@@ -207,7 +207,7 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     estimate over one type. Empty table: no rows. Other columns are not read."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("i"), text.alias("t"), F.coalesce(train, F.lit(False)).alias("train"), (F.crc32(text.cast("binary")) % tune_one_in == 0).alias("tune"))
+    base = docs.select(F.col(id_col).cast(kind).alias("i"), text.alias("t"), F.coalesce(train, F.lit(False)).alias("train"), (F.crc32(text.cast("binary")) % tune_one_in == 0).alias("tune"))
     chunks = materialize(number_words(base), "chunks")
     total = chunks.agg(F.sum("tokens")).first()[0] or 0
     bits, buckets = min(64, max(32, total.bit_length() + SPARE_BITS)), max(1, math.ceil(total / BUCKET_TOKENS))

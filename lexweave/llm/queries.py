@@ -31,6 +31,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
 
+def op2_packing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations, of which the assistant's alone bear loss: at most 512 of 1024 tokens of a sequence."""
+    plain = F.when(F.col("role") == "assistant", 0).otherwise((1 << 31) - 1)
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text", plain.alias("plain"))
+    return pack(turns, public_tokenizers.path("byte_bpe_50k.json"), "turn_id", loss_from="plain", max_loss=512, digest=True)
+
+
 def quality_weights(docs: DataFrame, labels: DataFrame):
     """The classifier's weights, from labelled rows outside the held-out fold."""
     return quality.fit(docs, labels.where(fold("doc_id", 4) != 2))
@@ -153,5 +160,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_itq": op10_itq,
     "op4_linededup_whole": op4_linededup_whole,
+    "op2_packing_turns": op2_packing_turns,
 }
 ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_linededup": OP4_SQL, "op4_linededup_whole": OP4_WHOLE_SQL, "op7_topk": OP7_SQL, "op8_ngramjoin": OP8_SQL, "op10_itq": OP10_SQL}

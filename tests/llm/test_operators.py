@@ -11,13 +11,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexweave.llm import bpe, itq, lm, quality, sharding, topk, warc
 from lexweave.llm.common import components
 from lexweave.llm.linededup import boilerplate, line_dedup
 from lexweave.llm.ngramjoin import _pack_sets, _unpack_sets, bands_for, ngram_join
-from lexweave.llm.packing import encoder, pack
+from lexweave.llm.packing import _Pool, encoder, pack
 
 DOCS = "doc_id long, text string, source string, ids long, t string"
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -177,6 +178,55 @@ def test_pack_limits_loss(spark):
         assert loss <= 200 and sum(r.length for r in group) <= 512 and len(group) <= 6
 
 
+@pytest.mark.parametrize("limits", [(64, 8, 40), (100, 3, 100), (50, 50, 10)])
+def test_bins_are_those_of_the_dot_product_heuristic(limits):
+    """Piece by piece in Python: of the pieces that fit the one with the largest dot product, the earliest of equal ones."""
+    rng = random.Random(sum(limits))
+    waiting = []
+    for k in range(120):
+        t = rng.randrange(1, min(limits[0], 45))
+        waiting.append((t, 1, min(rng.randrange(t + 1), limits[2]), k))
+    pool = _Pool(limits, 100)
+    for t, _, loss, k in waiting:
+        pool.add(t, loss, k)
+    got, want = list(pool.bins(30)), []
+    while len(waiting) > 30:
+        room, bin_ = [1.0, 1.0, 1.0], []
+        while True:
+            best = None
+            for piece in waiting:
+                share = [x / m for x, m in zip(piece, limits, strict=False)]
+                if all(x <= r + 1e-12 for x, r in zip(share, room, strict=True)):
+                    dot = share[0] * room[0] + share[1] * room[1] + share[2] * room[2]
+                    if best is None or dot > best[0]:
+                        best = dot, piece, share
+            if best is None:
+                break
+            waiting.remove(best[1])
+            bin_.append(best[1][3])
+            room = [r - x for r, x in zip(room, best[2], strict=True)]
+        want.append(bin_)
+    assert got == want and sorted(pool.items[: pool.used]) == sorted(x[3] for x in waiting)
+
+
+def test_packing_of_turns(spark, tmp_path):
+    from lexweave.llm.queries import op2_packing_turns
+
+    rng = random.Random(14)
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", words(rng, rng.randrange(300)) if c % 7 else None) for c in range(60) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    role, sequences = {f"{c}:{t}": r for c, t, r, _ in turns}, defaultdict(list)
+    pieces = op2_packing_turns(spark, str(tmp_path)).collect()
+    for r in pieces:
+        sequences[r.sequence_id].append(r)
+    assert {r.turn_id for r in pieces} == set(role) and all(sum(r.length for r in g) <= 1024 and sum(r.length for r in g if role[r.turn_id] == "assistant") <= 512 for g in sequences.values())
+    assert sum(sum(r.length for r in g if role[r.turn_id] == "assistant") > 450 for g in sequences.values()) > 10
+    total = defaultdict(int)
+    for r in pieces:
+        total[r.turn_id] += r.length
+    assert all(total[r.turn_id] == r.doc_tokens for r in pieces)
+
+
 def test_encoder_agrees_with_the_library():
     from tokenizers import Tokenizer
 
@@ -411,6 +461,60 @@ def test_quality(spark, odd, empty):
     assert not quality.fit(empty, labels).any()
 
 
+_ALL = (1 << 64) - 1
+
+
+def mixed(a: int) -> int:
+    a = ((a ^ (a >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    a = ((a ^ (a >> 27)) * 0x94D049BB133111EB) & _ALL
+    return a ^ (a >> 31)
+
+
+def plain_features(text, bits):
+    """Feature -> how often, and the number of words: n-grams of words (1, 2) and of shapes (1 to 3), one at a time."""
+    w, out = (text or "").split(), Counter()
+    same = [k > 0 and w[k] == w[k - 1] for k in range(len(w))]
+    for orders, salt, seed, form in ((2, 1, 0, lambda x: x), (3, 7, 1, quality._shape)):
+        h = [int(quality._SAME) if s else xxhash.xxh64_intdigest(form(x), seed) for x, s in zip(w, same, strict=True)]
+        for k in range(len(w)):
+            gram = h[k]
+            for order in range(orders):
+                if order:
+                    gram = (mixed(gram) + (h[k - order] if k >= order else int(quality._START))) & _ALL
+                out[mixed((gram + salt + order) & _ALL) & ((1 << bits) - 1)] += 1
+    return out, len(w)
+
+
+def test_quality_against_plain_ftrl(spark):
+    """Weights and scores by dictionaries, an update at a time; contradicting labels and clashing columns."""
+    rng = random.Random(15)
+    texts = [words(rng, rng.randrange(1, 30)) if i % 3 else ("spam " * rng.randrange(2, 9) + words(rng, 3)) for i in range(60)] + ["", None, " x  x "]
+    docs = spark.createDataFrame([(i, t, 7, 0.5, "q") for i, t in enumerate(texts)], "doc_id long, text string, i int, y double, quality string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), "x", 3) for i in range(60)] + [(4, 0, "x", 3), (4, 1, "x", 3)], "doc_id long, quality int, text string, t int")
+    bits, epochs, alpha, beta, l1, l2 = 12, 3, 1.0, 0.1, 1e-4, 1e-3
+    got = quality.fit(docs, labels, bits=bits, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    order = [r.doc_id for r in docs.where("doc_id < 60").orderBy(F.xxhash64("doc_id")).collect()]
+    y = {i: int(i % 3 > 0 and i != 4) for i in order}
+    ones = sum(y.values())
+    bias = np.log((ones + 0.5) / (len(order) - ones + 0.5))
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda f: 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((beta + n[f] ** 0.5) / alpha + l2)
+    share = lambda t: (lambda c, m: {f: k / (5 * (m + 8)) for f, k in c.items()})(*plain_features(t, bits))
+    for _ in range(epochs):
+        for i in order:
+            x = share(texts[i])
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + np.exp(-(sum(w[f] * v for f, v in x.items()) + bias)))
+            for f, v in x.items():
+                g = (p - y[i]) * v
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha * w[f]
+                n[f] += g * g
+    want = np.array([*(weight(f) for f in range(1 << bits)), bias])
+    assert got == pytest.approx(want, rel=1e-5, abs=1e-6) and np.count_nonzero(got) > 500
+    for r in docs.withColumn("p", quality.score(F.col("text"), got)).collect():
+        assert r.p == pytest.approx(1 / (1 + np.exp(-(sum(want[f] * v for f, v in share(r.text).items()) + bias))), abs=1e-6)
+
+
 def vector_rows(spark, rng, n, d=16, spread=0.02):
     rows, centre = [], [rng.normal(size=d) for _ in range(n // 6 + 1)]
     for i in range(n):
@@ -666,6 +770,17 @@ def test_bpe(odd, empty, monkeypatch):
     assert bpe.encode(empty, RANKS).count() == 0
 
 
+def test_bpe_of_hot_rows_with_ids_of_other_types(spark, monkeypatch):
+    """One row many times over in one bucket a few characters wide; struct and text ids, clashing columns."""
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 5000)
+    monkeypatch.setattr(bpe, "BUCKET_CHARS", 3000)
+    hot = spark.range(2000).select(F.struct(F.lit("a").alias("chunk"), F.lit(1).alias("raw")).alias("kind"), F.when(F.col("id") % 4 != 0, "the hot text, again").alias("text"), F.lit(3).alias("bucket"), F.lit("x").alias("i"))
+    rows = bpe.encode(hot.repartition(3), RANKS, "kind").collect()
+    assert len(rows) == 2000 and {(tuple(r.kind), r.text) for r in rows} == {(("a", 1), "the hot text, again"), (("a", 1), "")}
+    named = bpe.encode(hot.withColumn("kind", F.lit("id")).limit(5), RANKS, "kind", output="digest")
+    assert named.dtypes[0] == ("kind", "string") and named.count() == 5
+
+
 def test_squeeze():
     for x in (np.array([0, 1, 255, 256, 2**24, 2**32 - 1]), np.zeros(0, np.int64), np.zeros(5, np.int64)):
         assert bpe._expand(bpe._squeeze(x)).tolist() == x.tolist()
