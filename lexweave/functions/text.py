@@ -36,6 +36,11 @@ def unify_symbols(text: Column) -> Column:
     return F.translate(_replace(text, ("…", "...")), LATIN, PLAIN)
 
 
+def replace_each(text: Column, search: str, replacement: str) -> Column:
+    """Each character of search by replacement (any text)."""
+    return F.regexp_replace(text, f"[{P.in_class(search)}]", replacement)
+
+
 def slug(text: Column, most: int = 200) -> Column:
     """A file-safe name of at most most characters."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"(?U)[^\w\s-]", ""), r"(?U)[-\s]+", "-")
@@ -82,7 +87,7 @@ def join_lines(text: Column, compat: bool = False) -> Column:
 def strip_brackets(text: Column) -> Column:
     """Without what stands in parentheses or brackets, however nested; an opener without its closer takes the rest of
     the text, a closer without an opener stays. One fold over the characters, and none for texts without openers."""
-    start = F.struct(F.lit(0).alias("square"), F.lit(0).alias("round"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("square"), F.lit(0).alias("round"), F.array().cast("array<string>").alias("out"))
 
     def step(at: Column, c: Column) -> Column:
         outside = (at["square"] == 0) & (at["round"] == 0)
@@ -91,12 +96,12 @@ def strip_brackets(text: Column) -> Column:
         return F.struct(
             F.when(c == "[", at["square"] + 1).when(closes_square, at["square"] - 1).otherwise(at["square"]).alias("square"),
             F.when(c == "(", at["round"] + 1).when(closes_round, at["round"] - 1).otherwise(at["round"]).alias("round"),
-            F.when(outside & ~mark, F.concat(at["out"], c)).otherwise(at["out"]).alias("out"),
+            F.when(outside & ~mark, F.array_append(at["out"], c)).otherwise(at["out"]).alias("out"),
         )
 
     # Runs without a mark are one step each, so the fold has as many steps as the text has marks, twice.
     runs = F.regexp_extract_all(text, F.lit(r"[\[\]()]|[^\[\]()]+"), F.lit(0))
-    return F.when(text.rlike(r"[\[(]"), F.aggregate(runs, start, step, lambda at: at["out"])).otherwise(text)
+    return F.when(text.rlike(r"[\[(]"), F.aggregate(runs, start, step, lambda at: F.array_join(at["out"], ""))).otherwise(text)
 
 
 def strip_footnote_references(text: Column, strict: bool = True) -> Column:

@@ -216,21 +216,52 @@ def drop_unwanted(rows: DataFrame, alphabet: str = "cyrillic") -> DataFrame:
     return rows.where(T.wanted_sentence(F.col("text"), alphabet))
 
 
-def preprocess(rows: DataFrame, alphabet: str = "cyrillic") -> DataFrame:
-    """C20: paragraphs to clean sentences. The steps' order is part of the result."""
-    rows = renumber(cut_footnotes(drop_headers(cut_through_keywords(renumber(cut_references(drop_blank(rows)))))))
-    rows = map_text(rows, T.mask_quotes)
-    rows = join_broken(map_text(dehyphenate(drop_blank(rows)), T.terminal_periods), alphabet)
+#: The checkpoints of C20, after each of which a document may turn out to be empty.
+CHECKPOINTS = ("keywords", "footnotes", "quotations", "unwanted sentences")
+
+
+def checkpoints(rows: DataFrame, alphabet: str = "cyrillic", headings: tuple[str, ...] | None = None, keywords: str = P.KEYWORD_HEADING) -> list[DataFrame]:
+    """C20: the paragraphs, at last the sentences, after each of CHECKPOINTS. The steps' order is part of the result."""
+    cut = cut_references(drop_blank(rows)) if headings is None else cut_from(drop_blank(rows), *headings)
+    one = cut_through_keywords(renumber(cut), keywords)
+    two = renumber(cut_footnotes(drop_headers(one)))
+    three = drop_blank(map_text(two, T.mask_quotes))
+    rows = join_broken(map_text(dehyphenate(three), T.terminal_periods), alphabet)
     rows = drop_examples(map_text(rows, T.mask_styles))
     rows = map_text(rows, T.strip_brackets, T.strip_footnote_references, lambda t: T.mask_unknown(t, alphabet), T.mask_numbers)
-    return drop_unwanted(split_sentences(rows), alphabet)
+    return [one, two, three, drop_unwanted(split_sentences(rows), alphabet)]
+
 
+def preprocess(rows: DataFrame, alphabet: str = "cyrillic", headings: tuple[str, ...] | None = None, keywords: str = P.KEYWORD_HEADING) -> DataFrame:
+    """C20: paragraphs to clean sentences."""
+    return checkpoints(rows, alphabet, headings, keywords)[-1]
 
-def status(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """For every document of docs (doc_id) the number of sentences left, and whether any is."""
-    n = cleaned.groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
-    left = docs.select("doc_id").distinct().join(n, "doc_id", "left")
-    return left.select("doc_id", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.col("n_sentences").isNotNull().alias("kept"))
+
+def clean_subset(rows: DataFrame, alphabet: str = "cyrillic") -> DataFrame:
+    """Paragraphs to sentences by C10, C8, C3, C15 to C19, without a document's first two paragraphs (title and
+    journal) of those with a sentence; no mark after a space, no space before the final period."""
+    rows = drop_blank(map_text(rows, T.terminal_periods, T.mask_quotes))
+    rows = map_text(rows, T.strip_brackets, T.strip_footnote_references, lambda t: T.mask_unknown(t, alphabet), T.mask_numbers)
+    rows = drop_unwanted(split_sentences(rows), alphabet)
+    rows = rows.withColumn("_n", F.dense_rank().over(_in_doc())).where("_n > 2").drop("_n")
+    return map_text(rows, lambda t: F.regexp_replace(t, P.LOOSE_MARK, ""), lambda t: F.regexp_replace(t, r"(?d) \.$", "."))
+
+
+def removed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """doc_id, n_removed: how many rows of each document of before a step (C3, C6, C7, C19, ...) has left out."""
+    count = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    both = count(before, "_b").join(count(after, "_a"), "doc_id", "left")
+    return both.select("doc_id", (F.col("_b") - F.coalesce("_a", F.lit(0))).alias("n_removed"))
+
+
+def status(docs: DataFrame, rows: list[DataFrame]) -> DataFrame:
+    """For every document of docs (doc_id) the number of sentences left, whether any is, and (emptied) after which of
+    CHECKPOINTS none was; rows: checkpoints(). A count a document and checkpoint is all that is joined."""
+    out = docs.select("doc_id").distinct()
+    for k, at in enumerate(rows):
+        out = out.join(at.groupBy("doc_id").agg(F.count("*").alias(f"_{k}")), "doc_id", "left")
+    emptied = F.coalesce(*(F.when(F.col(f"_{k}").isNull(), F.lit(c)) for k, c in enumerate(CHECKPOINTS)))
+    return out.select("doc_id", F.coalesce(f"_{len(rows) - 1}", F.lit(0)).alias("n_sentences"), emptied.isNull().alias("kept"), emptied.alias("emptied"))
 
 
 def render(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import association as A
+from lexweave.sources.scratch import keep
+
+log = logging.getLogger(__name__)
 
 # Abbreviations and marks that are no members of a combination.
 NO_WORDS = ("А", "В", "Д", "Л", "И", "УК", "Н", "М", "КС", "Ф", "Оп")
@@ -30,7 +35,7 @@ def array_occurrences(docs: DataFrame, words: Column, n: int, id_col: str = "doc
     """As occurrences(), from an array of words, without any exchange: the array is zipped with itself, shifted."""
     count = F.greatest(F.size("_w") - (n - 1), F.lit(0))
     shifted = F.arrays_zip(*(F.slice("_w", k, count).alias(f"w{k}") for k in range(1, n + 1)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("_w")).where(F.size("_w") >= n)
+    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("_w"))
     return rows.select("doc_id", F.posexplode(shifted).alias("pos", "g")).select("doc_id", "pos", *(F.col("g").getField(f"w{k}").alias(f"w{k}") for k in range(1, n + 1)))
 
 
@@ -51,19 +56,32 @@ def domain_size(table: DataFrame, column: str = "word", approximate: bool = Fals
     return table.agg(count(column).alias("domain_size"))
 
 
-def lookup(candidates: DataFrame, freq: DataFrame, n: int) -> DataFrame:
-    """Every candidate row (w1 .. wn and others), with freq, 0 where the table has none; duplicates stay."""
-    return candidates.join(freq, names(n), "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+def lookup(candidates: DataFrame, freq: DataFrame, n: int, ordinal: str | None = None) -> DataFrame:
+    """Every candidate row (w1 .. wn and others), with freq, 0 where the table has none; duplicates stay. With
+    ordinal, a column of the candidates, in its order."""
+    found = candidates.join(freq, names(n), "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    return found if ordinal is None else found.orderBy(ordinal)
 
 
 def attested(grams: DataFrame, *components: DataFrame) -> DataFrame:
-    """Distinct n-grams whose k-th word is in the k-th component set (word); for 2 or 3 components."""
+    """Distinct n-grams whose k-th word is in the k-th component set (word); for 2 or 3 components. R8: another
+    number is logged and gives no rows."""
+    w = names(len(components))
     if len(components) not in (2, 3):
-        raise ValueError("attestation is for combinations of two or three words")
-    out = grams
+        log.warning("attestation is for combinations of two or three words, not %d", len(components))
+        return grams.select(*(F.lit(None).cast("string").alias(x) for x in w)).where(F.lit(False))
+    return _of_components(grams, components).select(*w).distinct()
+
+
+def _of_components(grams: DataFrame, components: tuple[DataFrame, ...]) -> DataFrame:
     for k, c in enumerate(components, 1):
-        out = out.join(c.select(F.col("word").alias(f"w{k}")), f"w{k}", "left_semi")
-    return out.select(*names(len(components))).distinct()
+        grams = grams.join(c.select(F.col("word").alias(f"w{k}")), f"w{k}", "left_semi")
+    return grams
+
+
+def attested_frequencies(grams: DataFrame, *components: DataFrame) -> DataFrame:
+    """R9 with its filters: document_frequencies() of the n-grams whose k-th word is in the k-th component set."""
+    return document_frequencies(_of_components(grams, components), len(components))
 
 
 def unattested(candidates: DataFrame, freq: DataFrame, n: int) -> DataFrame:
@@ -94,7 +112,9 @@ def c_values(shorter: DataFrame, longer: DataFrame, n: int) -> DataFrame:
 
 def star(tokens: DataFrame) -> dict[str, DataFrame]:
     """The wordform star of tagged tokens (doc_id, pos, word, lemma, tag): lemmas, pos, unigrams, ngram2, ngram3,
-    ngram3_tokens. Keys are hashes of what they stand for, so no table needs a global numbering."""
+    ngram3_tokens. Keys are hashes of what they stand for, so no table needs a global numbering. The tokens are written
+    once, in the shared scratch folder, and all six tables read what they need of them."""
+    tokens = keep(tokens.select("doc_id", "pos", "word", "lemma", "tag"), "tokens")
     key = lambda *c: F.xxhash64(*c)
     t = tokens.withColumn("form", F.struct("word", "lemma", "tag"))
     w = Window.partitionBy("doc_id").orderBy("pos")
@@ -129,41 +149,73 @@ def lemma_unigrams(tables: dict[str, DataFrame], candidates: DataFrame | None =
     return joined.groupBy("lemma").agg(F.coalesce(F.sum("freq_all"), F.lit(0)).alias("freq"))
 
 
-def lemma_bigrams(tables: dict[str, DataFrame]) -> DataFrame:
-    """w1, w2, freq by lemma."""
+def _wanted_forms(tables: dict[str, DataFrame], k: int, candidates: DataFrame | None) -> DataFrame:
+    """_forms(), of the candidates' k-th lemmas only, so that the facts are cut down by the first joins."""
+    forms = _forms(tables, k).select(f"u{k}", f"l{k}")
+    return forms if candidates is None else forms.join(candidates.select(F.col(f"w{k}").alias(f"l{k}")), f"l{k}", "left_semi")
+
+
+def _summed(facts: DataFrame, n: int, candidates: DataFrame | None) -> DataFrame:
+    out = facts.groupBy(*(F.col(f"l{k}").alias(f"w{k}") for k in range(1, n + 1))).agg(F.coalesce(F.sum("raw_frequency"), F.lit(0)).alias("freq"))
+    return out if candidates is None else out.join(candidates.select(*names(n)), names(n), "left_semi")
+
+
+def lemma_bigrams(tables: dict[str, DataFrame], candidates: DataFrame | None = None) -> DataFrame:
+    """w1, w2, freq by lemma, of the candidates (w1, w2) if given."""
     facts = tables["ngram2"].select(F.col("wordform_1").alias("u1"), F.col("wordform_2").alias("u2"), "raw_frequency")
-    joined = facts.join(_forms(tables, 1), "u1").join(_forms(tables, 2), "u2")
-    return joined.groupBy(F.col("l1").alias("w1"), F.col("l2").alias("w2")).agg(F.sum("raw_frequency").alias("freq"))
+    for k in (1, 2):
+        facts = facts.join(_wanted_forms(tables, k, candidates), f"u{k}")
+    return _summed(facts, 2, candidates)
 
 
-def lemma_trigrams(tables: dict[str, DataFrame]) -> DataFrame:
-    """w1, w2, w3, freq by lemma: the tokens' table joined with the frequencies' by id_trigram."""
+def lemma_trigrams(tables: dict[str, DataFrame], candidates: DataFrame | None = None) -> DataFrame:
+    """w1, w2, w3, freq by lemma, of the candidates if given: the tokens' table joined with the frequencies' by
+    id_trigram."""
     facts = tables["ngram3_tokens"].select("id_trigram", *(F.col(f"w{k}").alias(f"u{k}") for k in (1, 2, 3))).join(tables["ngram3"].select("id_trigram", "raw_frequency"), "id_trigram", "left")
     for k in (1, 2, 3):
-        facts = facts.join(_forms(tables, k), f"u{k}")
-    return facts.groupBy(*(F.col(f"l{k}").alias(f"w{k}") for k in (1, 2, 3))).agg(F.coalesce(F.sum("raw_frequency"), F.lit(0)).alias("freq"))
+        facts = facts.join(_wanted_forms(tables, k, candidates), f"u{k}")
+    return _summed(facts, 3, candidates)
+
+
+def _most_frequent(facts: DataFrame, most: int | None) -> DataFrame:
+    """The most frequent facts, all of the last one's frequency included, or all. Below the joins this is part of the
+    question asked, not only of its speed."""
+    if most is None:
+        return facts
+    least = facts.select("raw_frequency").orderBy(F.desc("raw_frequency")).limit(most).agg(F.min("raw_frequency").alias("_least"))
+    return facts.crossJoin(F.broadcast(least)).where("raw_frequency >= _least").drop("_least")
+
+
+def _kept(rows: DataFrame, n: int, most: int | None) -> DataFrame:
+    forms = [f"{c}{k}" for c in ("n", "l", "pos") for k in range(1, n + 1)]
+    return rows if most is None else rows.orderBy(F.desc("raw_frequency"), *forms).limit(most)
 
 
-def _top(facts: DataFrame, most: int | None, tie: str) -> DataFrame:
-    """The most frequent facts, or all. Below the joins this is part of the question asked, not only of its speed."""
-    return facts if most is None else facts.orderBy(F.desc("raw_frequency"), tie).limit(most)
+def _members(tables: dict[str, DataFrame], k: int, member: Callable[[int], Column] | None, scanned: int | None) -> tuple[DataFrame, str]:
+    """The forms of position k, and how facts are joined with them: where all facts are scanned those that cannot be
+    wanted there are left out before the join."""
+    return (_forms(tables, k), "left") if member is None or scanned is not None else (_forms(tables, k).where(member(k)), "inner")
 
 
-def top_bigrams(tables: dict[str, DataFrame], wanted: Column, scanned: int | None = 10_000, kept: int | None = 300) -> DataFrame:
-    """Of the most frequent bigrams those for which wanted (on n1, n2, morph1, .., l1, .., pos1, ..) holds."""
-    facts = _top(tables["ngram2"].select("id_bigram", F.col("wordform_1").alias("u1"), F.col("wordform_2").alias("u2"), "raw_frequency"), scanned, "id_bigram")
-    out = facts.join(_forms(tables, 1), "u1", "left").join(_forms(tables, 2), "u2", "left").where(wanted)
-    return _top(out, kept, "id_bigram").drop("u1", "u2", "id_bigram")
+def top_bigrams(tables: dict[str, DataFrame], wanted: Column, scanned: int | None = 10_000, kept: int | None = 300, member: Callable[[int], Column] | None = None) -> DataFrame:
+    """Of the scanned most frequent bigrams those for which wanted (on n1, n2, morph1, .., l1, .., pos1, ..)
+    holds, the kept most frequent of them; ties go by the words. member(k): what wanted implies for position k alone."""
+    facts = _most_frequent(tables["ngram2"].select(F.col("wordform_1").alias("u1"), F.col("wordform_2").alias("u2"), "raw_frequency"), scanned)
+    for k in (1, 2):
+        forms, how = _members(tables, k, member, scanned)
+        facts = facts.join(forms, f"u{k}", how)
+    return _kept(facts.where(wanted), 2, kept).drop("u1", "u2")
 
 
-def top_trigrams(tables: dict[str, DataFrame], wanted: Column, scanned: int | None = 20_000, kept: int | None = 300) -> DataFrame:
+def top_trigrams(tables: dict[str, DataFrame], wanted: Column, scanned: int | None = 20_000, kept: int | None = 300, member: Callable[[int], Column] | None = None) -> DataFrame:
     """The same for trigrams."""
-    facts = _top(tables["ngram3"], scanned, "id_trigram")
+    facts = _most_frequent(tables["ngram3"], scanned)
     two = tables["ngram2"].select(F.col("id_bigram").alias("bigram"), F.col("wordform_1").alias("u1"), F.col("wordform_2").alias("u2"))
     out = facts.join(two, "bigram", "left").withColumnRenamed("token", "u3")
     for k in (1, 2, 3):
-        out = out.join(_forms(tables, k), f"u{k}", "left")
-    return _top(out.where(wanted), kept, "id_trigram").drop("u1", "u2", "u3", "bigram", "id_trigram")
+        forms, how = _members(tables, k, member, scanned)
+        out = out.join(forms, f"u{k}", how)
+    return _kept(out.where(wanted), 3, kept).drop("u1", "u2", "u3", "bigram", "id_trigram")
 
 
 def by_morphology(n: int, compat: bool = False) -> Column:
@@ -194,7 +246,9 @@ def read_tagged(lines: DataFrame) -> DataFrame:
 
 
 def measure_tagged(ngrams: DataFrame, patterns: DataFrame, unigrams: DataFrame, n: int) -> DataFrame:
-    """M5 on read_tagged() tables: ngram, log_dice, pmi, t_score; a pattern of frequency 0 counts as 1."""
-    out = ngrams.join(patterns.select(F.col("ngram").alias("pattern"), F.col("freq").alias("p")), "pattern").join(unigrams.select(F.col("ngram").alias("last"), F.col("freq").alias("l")), "last")
-    args = F.col("freq"), F.when(F.col("p") == 0, 1).otherwise(F.col("p")), F.col("l")
+    """M5 on read_tagged() tables: ngram, log_dice, pmi, t_score; a pattern that is missing or of frequency 0 counts as
+    1, a missing last word as 0."""
+    out = ngrams.join(patterns.select(F.col("ngram").alias("pattern"), F.col("freq").alias("p")), "pattern", "left")
+    out = out.join(unigrams.select(F.col("ngram").alias("last"), F.col("freq").alias("l")), "last", "left")
+    args = F.col("freq"), F.coalesce(F.nullif("p", F.lit(0)), F.lit(1)), F.coalesce("l", F.lit(0))
     return out.select("ngram", A.log_dice(*args).alias("log_dice"), A.pmi(*args, F.lit(n)).alias("pmi"), A.t_score(*args, F.lit(n)).alias("t_score"))

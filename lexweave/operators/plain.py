@@ -12,9 +12,11 @@ from lexweave.operators.html import map_text
 def clean_articles(docs: DataFrame, alphabet: str = "cyrillic") -> DataFrame:
     """(doc_id, text) to (doc_id, sent, text), sentences that are long-worded and well formed."""
     masked = map_text(docs, T.terminal_periods, T.mask_quotes, T.close_hanging, T.strip_brackets, lambda t: T.mask_unknown(t, alphabet), T.mask_numbers)
-    rows = masked.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent", "text")).where(T.wanted_sentence(F.col("text"), alphabet))
-    tidy = rows.withColumn("text", T.strip_glued_numbers(T.tidy_spaces(F.col("text"), marks=True)))
-    return tidy.where(T.well_formed(F.col("text"), alphabet))
+    # In the array, before rows are made of it: a filter on the tidied text would repeat the tidying for each of its uses.
+    item = lambda s, i: F.struct(i.alias("sent"), s.alias("text"))
+    found = F.filter(F.transform(T.sentences(F.col("text")), item), lambda x: T.wanted_sentence(x["text"], alphabet))
+    tidy = F.transform(found, lambda x: F.struct(x["sent"].alias("sent"), T.strip_glued_numbers(T.tidy_spaces(x["text"], marks=True)).alias("text")))
+    return masked.select("doc_id", F.inline(F.filter(tidy, lambda x: T.well_formed(x["text"], alphabet))))
 
 
 def good_lines(lines: DataFrame) -> DataFrame:

@@ -75,6 +75,22 @@ def tokenize_with(rows: DataFrame, make: Callable[[], Callable[[list[str]], list
     return rows.select(F.col(key).alias("k"), "text").mapInPandas(run, f"k {kind}, pos int, lemma string, tag string").withColumnRenamed("k", key)
 
 
+def numerals(text: Column) -> Column:
+    """Number masks that the tagger took for proper nouns are numerals."""
+    return F.regexp_replace(text, "(numarab|numlat)_PROPN", "$1_NUM")
+
+
+def word_pairs(conllu_docs: DataFrame) -> DataFrame:
+    """T5: doc_id, words: the lower-case lemma_POS tokens of each text of CoNLL-U (as conllu() has them), in order."""
+    rows = conllu(conllu_docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
+    return rows.select("doc_id", F.transform("_t", lambda t: F.lower(t["token"])).alias("words"))
+
+
+def batches(lines: DataFrame, batch: int = 10_000, number: str = "line") -> DataFrame:
+    """T4: lines with the batch (from 0) that each is written with; lines are numbered from 1."""
+    return lines.withColumn("batch", F.floor((F.col(number) - 1) / batch).cast("long"))
+
+
 def line_range(lines: DataFrame, start: int = 0, end: int = -1, number: str = "line") -> DataFrame:
     """T4: lines whose number is start to end, both included; end -1: to the last."""
     kept = lines.where(F.col(number) >= start)

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that a search compares at once: the array that is sent to every task holds no more.
-QUERY_BLOCK = 1000
+from lexweave.sources.scratch import keep
+
+#: Query vectors, and words, that one task compares with each other: a matrix each, and one of their products.
+QUERY_BLOCK, WORD_BLOCK = 1000, 16_384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,27 +26,55 @@ def unit(vec: Column) -> Column:
     return F.when(norm > 0, F.transform(vec, lambda x: x.cast("double") / norm))
 
 
-def _best(scored: DataFrame, keys: list[str], topn: int, score: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), "word")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topn)
-
-
-def _against(table: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row of table with each query (query, q: array of unit vectors, own: words not to return). Up to QUERY_BLOCK
-    queries are sent to all tasks, as one array; more are dealt to blocks, and the table meets a block at a time."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    number = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")
-    dealt = queries.select(number.alias("b"), F.struct("query", "q", "own").alias("s")).groupBy("b").agg(F.collect_list("s").alias("qs"))
-    if blocks == 1:
-        met = table.withColumn("b", F.lit(0)).join(F.broadcast(dealt), "b")
-    else:
-        met = table.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "b")
-    return met.select("word", "u", F.explode("qs").alias("s")).select("word", "u", "s.query", "s.q", "s.own").where(~F.array_contains("own", F.col("word")))
+def _best(scored: DataFrame, topn: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "word")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topn).select("query", "rank", "word", "score")
+
+
+def _against(table: DataFrame, queries: DataFrame, topn: int, multiply: bool) -> DataFrame:
+    """query, rank, word, score: the topn words of table (word, u: unit vectors) with the highest scores for each query
+    (query, q: array of unit vectors, own: words not to return): the cosine with the one vector, or (multiply) the
+    product of (1 + cosine) / 2 over all.
+
+    Queries are dealt to blocks and words to parts; a part meets a block in one task, as a product of matrices, which
+    keeps topn words a query. Scores are compared to 12 places, so that equal vectors tie and go by the word."""
+    parts, blocks = max(1, -(-table.count() // WORD_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    words = table.select("word", "u", F.size("u").alias("d"), deal("word", parts).alias("part"), every(blocks).alias("block"))
+    asked = queries.select("query", "q", "own", F.size(F.get("q", F.lit(0))).alias("d"), deal("query", blocks).alias("block"), every(parts).alias("part"))
+    kinds = {c: of.schema[c].dataType.simpleString() for c, of in (("query", queries), ("word", table))}
+
+    def score(words: pa.Table, asked: pa.Table) -> pa.Table:
+        columns: list[list] = [[], [], []]
+        if len(words) and len(asked):
+            u = words.column("u").combine_chunks().flatten().to_numpy().reshape(len(words), -1)
+            order = pc.sort_indices(words.column("word")).to_numpy()
+            names, u = words.column("word").take(pa.array(order)), u[order]
+            place = {w: k for k, w in enumerate(names.to_pylist())}
+            found = []
+            for query, vecs, own in zip(asked.column("query").to_pylist(), asked.column("q").to_pylist(), asked.column("own").to_pylist(), strict=True):
+                cos = u @ np.array(vecs).T
+                s = np.round(np.prod((1 + cos) / 2, axis=1) if multiply else cos[:, 0], 12)
+                s[[place[w] for w in own if w in place]] = -np.inf
+                # Words are in order, so that a stable sort leaves ties to the smaller one.
+                best = np.argsort(-s, kind="stable")[:topn]
+                best = best[s[best] > -np.inf]
+                columns[0] += [query] * len(best)
+                found.append(best)
+                columns[2] += s[best].tolist()
+            columns[1] = names.take(pa.array(np.concatenate(found)))
+        types = asked.schema.field("query").type, words.schema.field("word").type, pa.float64()
+        return pa.table({c: x if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for c, x, t in zip(("query", "word", "score"), columns, types, strict=True)})
+
+    keys = ("d", "part", "block")
+    scored = words.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(score, f"query {kinds['query']}, word {kinds['word']}, score double")
+    return _best(scored, topn)
 
 
 def _queries(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """queries (query, word): the unit vectors of each query's known words, and the words."""
-    known = queries.join(vectors, "word").select("query", "word", F.col("u").alias("v"))
+    known = queries.join(vectors.select(F.col("word").alias("_w"), F.col("u").alias("v")), F.col("word") == F.col("_w")).select("query", "word", "v")
     return known.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("word", "v"))).alias("_k")).select("query", F.transform("_k", lambda x: x["v"]).alias("q"), F.transform("_k", lambda x: x["word"]).alias("own"))
 
 
@@ -56,16 +89,13 @@ def nearest_cosine(vectors: DataFrame, queries: DataFrame, topn: int = 10) -> Da
     q = _queries(queries, u)
     total = F.aggregate(F.slice("q", 2, F.greatest(F.size("q") - 1, F.lit(0))), F.element_at("q", 1), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
     q = q.select("query", F.array(unit(total)).alias("q"), "own")
-    scored = _against(u, q).select("query", "word", dot(F.col("u"), F.element_at("q", 1)).alias("score"))
-    return _best(scored, ["query"], topn, "score").select("query", "rank", "word", "score")
+    return _against(u, q.where(F.get("q", F.lit(0)).isNotNull()), topn, False)
 
 
 def nearest_cosmul(vectors: DataFrame, queries: DataFrame, topn: int = 10) -> DataFrame:
     """The product over the query's words of (1 + cosine) / 2 (Levy and Goldberg 2014)."""
     u = with_units(vectors)
-    product = lambda row: F.aggregate("q", F.lit(1.0), lambda p, v: p * (1 + dot(row, v)) / 2)
-    scored = _against(u, _queries(queries, u)).select("query", "word", product(F.col("u")).alias("score"))
-    return _best(scored, ["query"], topn, "score").select("query", "rank", "word", "score")
+    return _against(u, _queries(queries, u), topn, True)
 
 
 def nearest_each(vectors: DataFrame, words: DataFrame, topn: int = 10, tag: Column | None = None, measure: str = "cosine") -> DataFrame:
@@ -120,16 +150,30 @@ def cooccurrences(tokens: DataFrame, window: int = 5) -> DataFrame:
 
 def train_glove(pairs: DataFrame, size: int = 50, rounds: int = 10, seed: int = 0) -> DataFrame:
     """E3, as an approximation: word, vec by factorising the logs of co-occurrence weights (alternating least squares
-    in place of weighted stochastic gradients). Words get hash numbers; two of one number share a vector."""
+    in place of weighted stochastic gradients)."""
     from pyspark.ml.recommendation import ALS
 
     both = pairs.unionByName(pairs.select(F.col("context").alias("word"), F.col("word").alias("context"), "weight"))
-    rows = both.select(F.hash("word").alias("i"), F.hash("context").alias("j"), F.log1p("weight").alias("r"))
+    words = numbered(both.select("word").distinct(), "word")
+    other = words.select(F.col("word").alias("context"), F.col("id").alias("j"))
+    rows = both.join(words, "word").join(other, "context").select(F.col("id").alias("i"), "j", F.log1p("weight").alias("r"))
     model = ALS(rank=size, maxIter=rounds, seed=seed, userCol="i", itemCol="j", ratingCol="r", nonnegative=False).fit(rows)
-    words = both.select("word").distinct().withColumn("id", F.hash("word"))
     return words.join(model.userFactors, "id").select("word", F.col("features").alias("vec"))
 
 
+def numbered(words: DataFrame, column: str) -> DataFrame:
+    """column, id: the distinct values with integers from 0, without gaps, in order. Only a count a partition is
+    collected; the values are written before they are counted, so the numbers hold."""
+    parts = keep(words.select(column).repartitionByRange(F.col(column)).select(column, F.spark_partition_id().alias("_p")), "words")
+    counts = dict(map(tuple, parts.groupBy("_p").count().collect()))
+    first, total = {}, 0
+    for p in sorted(counts):
+        first[p], total = total, total + counts[p]
+    start = parts.sparkSession.createDataFrame(list(first.items()), "_p int, _first long")
+    n = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+    return parts.join(F.broadcast(start), "_p").select(column, (F.col("_first") + n).cast("int").alias("id"))
+
+
 def average(tables: list[DataFrame]) -> DataFrame:
     """The mean vector of each word over several tables of one dimension."""
     rows = reduce(DataFrame.unionByName, [t.select("word", "vec") for t in tables]).select("word", F.posexplode("vec").alias("k", "x"))

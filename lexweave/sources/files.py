@@ -5,13 +5,17 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import slug
 from lexweave.operators.audit import stem
+from lexweave.operators.tokens import usable_tokens
+from lexweave.sources.scratch import exists
 
 
 def list_files(spark: SparkSession, root: str, extension: str) -> DataFrame:
@@ -27,6 +31,18 @@ def read_texts(spark: SparkSession, root: str, extension: str = ".html", column:
     return raw.select(stem(path).alias("doc_id"), F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("field"), path.alias("path"), F.col("value").alias(column))
 
 
+def read_fields(spark: SparkSession, root: str, fields: list[str], extension: str = ".html", column: str = "html") -> DataFrame:
+    """read_texts() of a folder for each field. The field of a branch is a constant, so a filter on it leaves the
+    other folders unread."""
+    parts = [read_texts(spark, f"{root}/{f}", extension, column).withColumn("field", F.lit(f)) for f in fields]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_by_field(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """Parquet in a folder field=... for each field, which readers prune by."""
+    docs.write.mode(mode).partitionBy("field").parquet(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, text: a row a line, without its end."""
     return spark.read.text(path).select(stem(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("text"))
@@ -69,7 +85,8 @@ def read_table(spark: SparkSession, path: str | None = None, jdbc: dict[str, str
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Word, vec of the word2vec text format: a word and its numbers a line, after a header of two numbers."""
+    """Word, vec of a text format: a word and its numbers a line, after a header of two numbers (word2vec, subword
+    vectors) or without one (GloVe)."""
     parts = F.split(F.rtrim("value"), " ")
     rows = spark.read.text(path).where(F.size(parts) > 2)
     return rows.select(parts[0].alias("word"), F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.cast("float")).alias("vec"))
@@ -79,6 +96,44 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.select(F.concat_ws(" ", "word", F.array_join(F.transform("vec", lambda x: x.cast("string")), " "))).write.text(path)
 
 
+def read_binary_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Word, vec of the word2vec binary format: a header line, then for each word the word, a space and its numbers
+    as little-endian 32-bit floats. A file is read by one task."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                at = content.index(b"\n") + 1
+                n, size = map(int, content[:at].split())
+                words, vecs = [], []
+                for _ in range(n):
+                    end = content.index(b" ", at)
+                    words.append(content[at:end].strip().decode("utf-8", "replace"))
+                    vecs.append(np.frombuffer(content, "<f4", size, end + 1).tolist())
+                    at = end + 1 + 4 * size
+                yield pd.DataFrame({"word": words, "vec": vecs})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "word string, vec array<float>")
+
+
+def synonyms_of_pages(pages: DataFrame, anchor: str = "F_SYN") -> DataFrame:
+    """Word, synonym of saved dictionary pages (word, html): the text of the first link of each list item between
+    the anchor of that name and the next named anchor, each once, the word itself left out. Pages are not fetched."""
+    rest = F.regexp_extract("html", rf"(?is)<a\b[^>]*\bname=[\"']?{anchor}\b[^>]*>(.*)", 1)
+    section = F.split(rest, r"(?i)<a\b[^>]*\bname=", 2)[0]
+    links = F.regexp_extract_all(section, F.lit(r"(?is)<li\b[^>]*>(?:(?!<li\b).)*?<a\b[^>]*>(.*?)</a>"), F.lit(1))
+    plain = F.trim(F.regexp_replace(F.col("link"), r"(?s)<[^>]*>", ""))
+    return pages.select("word", F.explode(links).alias("link")).select("word", plain.alias("synonym")).where("synonym <> '' and synonym <> word").distinct()
+
+
+def token_sentences(corpus: DataFrame, column: str = "pages") -> DataFrame:
+    """Sentences (array of lemma_POS tokens) of a saved corpus whose column nests pages, paragraphs and sentences,
+    with the usable tokens only; sentences without any are left out."""
+    sentences = F.flatten(F.flatten(F.col(column)))
+    usable = F.transform(sentences, lambda s: usable_tokens(F.array_join(s, " ")))
+    return corpus.select(F.explode(usable).alias("sentence")).where(F.size("sentence") > 0)
+
+
 def convert(spark: SparkSession, path: str, make: Callable[[], Callable[[bytes], str]], extension: str = ".pdf") -> DataFrame:
     """Path, text, error of files by a converter of one's own (PDF to text or HTML), loaded once a worker.
     A file of another extension, and one that the converter fails on, has an error and no text."""
@@ -98,14 +153,25 @@ def convert(spark: SparkSession, path: str, make: Callable[[], Callable[[bytes],
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
-def write_texts(docs: DataFrame, path: str, mode: str = "ignore") -> None:
-    """The text column, in a folder a doc_id; mode ignore leaves what exists, append adds."""
-    docs.select(slug(F.col("doc_id")).alias("doc"), "text").write.mode(mode).partitionBy("doc").text(path)
+def write_texts(docs: DataFrame, path: str, mode: str = "skip", files: bool = False) -> None:
+    """doc_id, text, added to a Parquet table; skip leaves out documents whose doc_id the table has, append
+    does not. files: a folder of text a document instead, named by its slug (of few documents: each is a file)."""
+    spark, name = docs.sparkSession, slug(F.col("doc_id").cast("string"))
+    docs = docs.select(name.alias("doc"), "text") if files else docs.select("doc_id", "text")
+    if mode == "skip" and exists(spark, path):
+        if files:
+            there = list_files(spark, path, ".txt").select(F.regexp_extract("path", "/doc=([^/]+)/", 1).alias("doc")).distinct()
+        else:
+            there = spark.read.schema(docs.schema).parquet(path).select("doc_id")
+        docs = docs.join(there, docs.columns[0], "left_anti")
+    writer = docs.write.mode("append")
+    writer.partitionBy("doc").text(path) if files else writer.parquet(path)
 
 
 def write_results(results: DataFrame, path: str, key: str = "original") -> None:
-    """A folder of CSV files for each value of key."""
-    results.withColumn("_key", slug(F.col(key))).repartition("_key").write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("_key").csv(path)
+    """A folder of CSV files for each value of key, in place of those of the same values that were there."""
+    writer = results.withColumn("_key", slug(F.col(key))).repartition("_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("header", True).option("escape", '"').partitionBy("_key").csv(path)
 
 
 def write_csv(rows: DataFrame, path: str, separator: str = ",", mode: str = "append") -> None:

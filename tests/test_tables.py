@@ -45,8 +45,8 @@ def test_lookup_and_attestation(spark, docs):
     assert sorted(r.freq for r in ngrams.lookup(asked, freq, 2).collect()) == [0, 2, 2]
     words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
     assert [tuple(r) for r in ngrams.attested(two, words("красный", "у"), words("дом")).collect()] == [("красный", "дом")]
-    with pytest.raises(ValueError):
-        ngrams.attested(two, words("a"))
+    assert ngrams.attested(two, words("a")).count() == 0 and ngrams.attested(two, words("a")).columns == ["w1"]
+    assert {(r.w1, r.w2): (r.ngram_freq, r.doc_freq) for r in ngrams.attested_frequencies(two, words("красный", "у"), words("дом")).collect()} == {("красный", "дом"): (2, 1)}
     assert ngrams.unattested(asked, freq, 2).count() == 1
     assert {(r.w1, r.w2): (r.ngram_freq, r.doc_freq) for r in ngrams.document_frequencies(two, 2).collect()}["дом", "стоит"] == (2, 2)
 
@@ -235,8 +235,14 @@ def test_files(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "r")).first().suggested == 'c, "d"'
     files.write_csv(rows, str(tmp_path / "t"), "\t")
     assert files.read_csv(spark, str(tmp_path / "t"), "original string, suggested string", "\t").first().original == "a b"
-    files.write_texts(spark.createDataFrame([("Док 1", "текст")], "doc_id string, text string"), str(tmp_path / "w"))
-    assert files.head(spark.read.text(str(tmp_path / "w")))[0].value == "текст"
+    batch = lambda *rows: spark.createDataFrame(rows, "doc_id string, text string")
+    for as_files, path in ((True, str(tmp_path / "w")), (False, str(tmp_path / "w2"))):
+        files.write_texts(batch(("Док 1", "текст")), path, files=as_files)
+        files.write_texts(batch(("Док 1", "иной"), ("002", "второй")), path, files=as_files)
+        read = spark.read.text(path) if as_files else spark.read.parquet(path).withColumnRenamed("text", "value")
+        assert sorted(r.value for r in files.head(read)) == ["второй", "текст"]
+        files.write_texts(batch(("002", "снова")), path, "append", files=as_files)
+        assert read.sparkSession.read.format("text" if as_files else "parquet").load(path).count() == 3
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in files.convert(spark, root, lambda: lambda b: b.decode().upper(), ".txt").collect()}
     assert got == {"x.txt": ("ONE\nTWO", None), "a.b.html": (None, "not .txt")}
     rows.write.parquet(str(tmp_path / "p"))

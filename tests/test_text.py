@@ -129,7 +129,8 @@ def test_pipeline(spark, paragraphs):
     assert any("продолжается и не кончен но продолжен здесь" in x for x in got)
     assert not any(re.search("QUOTE|UNK|STYLE|Книга|Сноска|Иванов", x) for x in got)
     docs = spark.createDataFrame([("d",), ("e",)], "doc_id string")
-    assert {r.doc_id: r.kept for r in html.status(docs, html.preprocess(paragraphs)).collect()} == {"d": True, "e": False}
+    assert {r.doc_id: r.kept for r in html.status(docs, html.checkpoints(paragraphs)).collect()} == {"d": True, "e": False}
+    assert {r.doc_id: r.emptied for r in html.status(docs, html.checkpoints(paragraphs)).collect()} == {"d": None, "e": "keywords"}
     assert html.render(html.preprocess(paragraphs)).count() == 1
 
 
