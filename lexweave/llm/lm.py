@@ -16,7 +16,7 @@ from lexweave.llm.common import Words, materialize, mix
 
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", 1)), np.uint64(xxhash.xxh64_intdigest(b"", 2))
 #: Characters of text whose distinct n-grams are counted together, and tokens for which there is a bucket of counts.
-CHUNK_CHARS, BUCKET_TOKENS = 5_000_000, 800_000
+CHUNK_CHARS, BUCKET_TOKENS = 3_000_000, 500_000
 #: Context-frequency buckets: of one word (none, and a power of two each), then of two words (a power of two each).
 ONE_WORD, BUCKETS = 65, 130
 #: Bits of an n-gram's hash beyond the logarithm of the number of tokens: one in a million shares another's number.
