@@ -372,7 +372,7 @@ def clean_articles(spark, sf_dir):
 
 @query("clean_extracted")
 def clean_extracted(spark, sf_dir):
-    return plain.clean_extracted(docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "latin")
+    return plain.clean_extracted(docs(spark, sf_dir).withColumn("text", F.replace(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit(". "), F.lit(".\n"))), "latin")
 
 
 _LINES = "l as (select doc_id, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as int) as para, unnest(string_split(text, chr(10))) as text from documents)"
@@ -469,13 +469,19 @@ def join_broken(spark, sf_dir):
     return html.join_broken(_pages(spark, sf_dir), "latin")
 
 
+def shaped_pages(spark, sf_dir) -> DataFrame:
+    """Paragraphs of pages in the expected shape: the text of every paragraph in one div of one div, a sentence a line."""
+    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", "")
+    text = lambda x: F.regexp_replace(F.translate(F.regexp_replace(x, r"(?s)<[^>]*>", ""), "&<>", "   "), r"\. ", ".\n")
+    found = F.transform(F.regexp_extract_all(bare, F.lit("(?s)<p>(.*?)</p>"), F.lit(1)), lambda x: F.concat(F.lit("<p>"), text(x), F.lit("</p>")))
+    shaped = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<body><div><div>"), F.array_join(found, ""), F.lit("</div></div></body>")).alias("html"))
+    return html.extract_paragraphs(shaped, "page_id", "html")
+
+
 @query("clean_html")
 def clean_html(spark, sf_dir):
-    """C1 to C20 on pages put into the expected shape: their plain paragraphs in one div of one div, a sentence a line."""
-    found = F.regexp_extract_all("html", F.lit("<p>[^<]*</p>"), F.lit(0))
-    lines = F.regexp_replace(F.array_join(found, ""), r"\. ", ".\n")
-    shaped = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<body><div><div>"), lines, F.lit("</div></div></body>")).alias("html"))
-    return html.preprocess(html.extract_paragraphs(shaped, "page_id", "html"), "latin")
+    """C1 to C20."""
+    return html.preprocess(shaped_pages(spark, sf_dir), "latin")
 
 
 @query("html_paragraphs", """with b as (select page_id, regexp_replace(regexp_replace(html, '<script\\b.*?</script>', '', 'gis'), '<style\\b.*?</style>', '', 'gis') as h from pages), x as (select page_id, regexp_extract_all(h, '<p>(.*?)</p>', 1, 's') as x from b)
@@ -603,3 +609,6 @@ def file_diff(spark, sf_dir):
     """Finished orders against orders with a returned line."""
     left = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
     return audit.file_diff(left, table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key")), "key")
+
+
+from lexweave.plans import cleaning  # noqa: E402, F401
