@@ -113,16 +113,19 @@ def c_values(shorter: DataFrame, longer: DataFrame, n: int) -> DataFrame:
 def star(tokens: DataFrame) -> dict[str, DataFrame]:
     """The wordform star of tagged tokens (doc_id, pos, word, lemma, tag): lemmas, pos, unigrams, ngram2, ngram3,
     ngram3_tokens. Keys are hashes of what they stand for, so no table needs a global numbering. The tokens are written
-    once, in the shared scratch folder, and all six tables read what they need of them."""
-    tokens = keep(tokens.select("doc_id", "pos", "word", "lemma", "tag"), "tokens")
+    once, in the shared scratch folder, and all six tables read what they need of them. Tokens may have their morphology
+    (morph), which is then part of a wordform."""
+    form = ["word", "lemma", "tag", *(["morph"] if "morph" in tokens.columns else [])]
+    tokens = keep(tokens.select("doc_id", "pos", *form), "tokens")
     key = lambda *c: F.xxhash64(*c)
-    t = tokens.withColumn("form", F.struct("word", "lemma", "tag"))
+    t = tokens
     w = Window.partitionBy("doc_id").orderBy("pos")
     lemmas = t.select("lemma", "tag").distinct().select(key("lemma", "tag").alias("id_lemmas"), "lemma", key("tag").alias("id_pos"))
     pos = t.select("tag").distinct().select(key("tag").alias("id_pos"), F.col("tag").alias("pos"))
-    uni = t.groupBy("word", "lemma", "tag").agg(F.count("*").alias("freq_all"))
-    uni = uni.select(key("word", "lemma", "tag").alias("id_unigram"), F.col("word").alias("unigram"), key("lemma", "tag").alias("lemma"), "freq_all", F.concat(F.lit("Tag="), "tag").alias("morph"))
-    ids = t.select(key("word", "lemma", "tag").alias("w1"), "doc_id", "pos")
+    uni = t.groupBy(*form).agg(F.count("*").alias("freq_all"))
+    morph = F.col("morph") if "morph" in form else F.concat(F.lit("Tag="), "tag").alias("morph")
+    uni = uni.select(key(*form).alias("id_unigram"), F.col("word").alias("unigram"), key("lemma", "tag").alias("lemma"), "freq_all", morph)
+    ids = t.select(key(*form).alias("w1"), "doc_id", "pos")
     ids = ids.select("w1", F.lead("w1", 1).over(w).alias("w2"), F.lead("w1", 2).over(w).alias("w3"))
     two = ids.where("w2 is not null").groupBy("w1", "w2").agg(F.count("*").alias("raw_frequency")).select(key("w1", "w2").alias("id_bigram"), F.col("w1").alias("wordform_1"), F.col("w2").alias("wordform_2"), "raw_frequency")
     three = ids.where("w3 is not null").groupBy("w1", "w2", "w3").agg(F.count("*").alias("raw_frequency")).withColumn("id_trigram", key("w1", "w2", "w3"))

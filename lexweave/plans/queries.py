@@ -245,7 +245,7 @@ def _by_pos(spark, sf_dir, n, least):
     name = f"ngram{n}"
     tables[name] = tables[name].where(F.col("raw_frequency") >= least)
     top = ngrams.top_bigrams if n == 2 else ngrams.top_trigrams
-    found = top(tables, ngrams.by_pos(n, "V", "N", "A", "S"), scanned=None, kept=None)
+    found = top(tables, ngrams.by_pos(n, "V", "N", "A", "S"), scanned=None, kept=None, member=lambda k: F.col(f"pos{k}").isin("V", "N", "A", "S"))
     return found.select("raw_frequency", *(f"{c}{k}" for k in range(1, n + 1) for c in ("n", "l", "pos")))
 
 
@@ -267,7 +267,8 @@ def trigrams_by_pos_all(spark, sf_dir):
 @query("top_bigrams_limited")
 def top_bigrams_limited(spark, sf_dir):
     """R13 with its own limits, in a total order."""
-    return ngrams.top_bigrams(ngrams.star(_tagged(spark, sf_dir)), ngrams.by_pos(2, "V", "N", "A", "S"))
+    found = ngrams.top_bigrams(ngrams.star(_tagged(spark, sf_dir)), ngrams.by_pos(2, "V", "N", "A", "S"))
+    return found.select("raw_frequency", *(f"{c}{k}" for c in ("n", "l", "pos") for k in (1, 2)))
 
 
 # ---- one text at a time
@@ -469,13 +470,16 @@ def join_broken(spark, sf_dir):
     return html.join_broken(_pages(spark, sf_dir), "latin")
 
 
-def shaped_pages(spark, sf_dir) -> DataFrame:
-    """Paragraphs of pages in the expected shape: the text of every paragraph in one div of one div, a sentence a line."""
+def shape(pages: DataFrame) -> DataFrame:
+    """page_id, html in the expected shape: the text of every paragraph in one div of one div, a sentence a line."""
     bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", "")
     text = lambda x: F.regexp_replace(F.translate(F.regexp_replace(x, r"(?s)<[^>]*>", ""), "&<>", "   "), r"\. ", ".\n")
     found = F.transform(F.regexp_extract_all(bare, F.lit("(?s)<p>(.*?)</p>"), F.lit(1)), lambda x: F.concat(F.lit("<p>"), text(x), F.lit("</p>")))
-    shaped = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<body><div><div>"), F.array_join(found, ""), F.lit("</div></div></body>")).alias("html"))
-    return html.extract_paragraphs(shaped, "page_id", "html")
+    return pages.select("page_id", F.concat(F.lit("<body><div><div>"), F.array_join(found, ""), F.lit("</div></div></body>")).alias("html"))
+
+
+def shaped_pages(spark, sf_dir) -> DataFrame:
+    return html.extract_paragraphs(shape(table(spark, sf_dir, "pages")), "page_id", "html")
 
 
 @query("clean_html")
@@ -611,4 +615,4 @@ def file_diff(spark, sf_dir):
     return audit.file_diff(left, table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key")), "key")
 
 
-from lexweave.plans import cleaning  # noqa: E402, F401
+from lexweave.plans import cleaning, mining, stored  # noqa: E402, F401

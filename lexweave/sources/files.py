@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import slug
@@ -126,12 +126,16 @@ def synonyms_of_pages(pages: DataFrame, anchor: str = "F_SYN") -> DataFrame:
     return pages.select("word", F.explode(links).alias("link")).select("word", plain.alias("synonym")).where("synonym <> '' and synonym <> word").distinct()
 
 
+def usable_sentences(pages: Column) -> Column:
+    """The sentences (arrays of lemma_POS tokens) of a document of nested pages, paragraphs and sentences, with the
+    usable tokens only; sentences without any are left out."""
+    usable = F.transform(F.flatten(F.flatten(pages)), lambda s: usable_tokens(F.array_join(s, " ")))
+    return F.filter(usable, lambda s: F.size(s) > 0)
+
+
 def token_sentences(corpus: DataFrame, column: str = "pages") -> DataFrame:
-    """Sentences (array of lemma_POS tokens) of a saved corpus whose column nests pages, paragraphs and sentences,
-    with the usable tokens only; sentences without any are left out."""
-    sentences = F.flatten(F.flatten(F.col(column)))
-    usable = F.transform(sentences, lambda s: usable_tokens(F.array_join(s, " ")))
-    return corpus.select(F.explode(usable).alias("sentence")).where(F.size("sentence") > 0)
+    """A row a sentence of a saved corpus."""
+    return corpus.select(F.explode(usable_sentences(F.col(column))).alias("sentence"))
 
 
 def convert(spark: SparkSession, path: str, make: Callable[[], Callable[[bytes], str]], extension: str = ".pdf") -> DataFrame:

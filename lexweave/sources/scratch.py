@@ -24,6 +24,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(made)
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, written by the driver."""
+    made, fs = file_system(spark, path)
+    stream = fs.create(made, True)
+    stream.write(bytearray(content))
+    stream.close()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir (where that is unset: in a temporary folder under a local master, in the
     warehouse if that is not the driver's own file system), in a folder that goes when the driver ends."""
