@@ -2,63 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import itertools
-import shutil
-import tempfile
-import uuid
-from urllib.parse import urlparse
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one of our own
-    under a local master, or one beside the warehouse if that is not in the driver's own file system."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
-    if not base:
-        base = _own.get(app := spark.sparkContext.applicationId)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            base = "file://" + (folder := tempfile.mkdtemp(prefix="lexweave-"))
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-            if urlparse(base).scheme in ("", "file"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _own[app] = base
-    return base.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    """A path of Hadoop's, and its file system."""
-    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in a folder of this application's, which goes when the driver ends (results may be read until then)."""
-    folder = f"{shared_dir(spark)}/lexweave-{spark.sparkContext.applicationId}"
-    if folder not in _own:
-        _own[folder] = folder
-        made, fs = _path(spark, folder)
-        fs.mkdirs(made)
-        fs.deleteOnExit(made)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+from lexweave.sources.scratch import file_system, scratch
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives a lost executor."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -67,7 +23,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove a table of materialize() that nothing reads any more."""
-    made, fs = _path(df.sparkSession, df._scratch)
+    made, fs = file_system(df.sparkSession, df._scratch)
     fs.delete(made, True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -94,17 +95,17 @@ def _train(texts: list[str | None], labels: np.ndarray, bits: int, epochs: int,
         f, _ = made.of([t])
         at, n = np.unique(f, return_counts=True)
         examples.append((at, n / (f.size + Features.PER_WORD * _SMALL)))
-    z, g2 = np.zeros(size), np.zeros(size)
+    z, root = np.zeros(size), np.zeros(size)  # root: of the sum of squared gradients
     bias = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
     for _ in range(epochs):
         for (at, x), y in zip(examples, labels, strict=True):
-            zi, ni = z[at], g2[at]
-            wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
-            g = (1 / (1 + np.exp(-np.clip(wi @ x + bias, -35, 35))) - y) * x
-            root = np.sqrt(ni + g * g)
-            z[at] = zi + g - (root - np.sqrt(ni)) / alpha * wi
-            g2[at] += g * g
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(g2)) / alpha + l2))
+            zi, was = z[at], root[at]
+            wi = (np.minimum(np.maximum(zi, -l1), l1) - zi) / (was / alpha + (beta / alpha + l2))
+            g = (1 / (1 + math.exp(-min(max(float(wi @ x + bias), -35.0), 35.0))) - y) * x
+            now = np.sqrt(was * was + g * g)
+            z[at] = zi + g - (now - was) * (wi / alpha)
+            root[at] = now
+    w = (np.clip(z, -l1, l1) - z) / (root / alpha + (beta / alpha + l2))
     return np.append(w, bias).astype(np.float32)
 
 

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import materialize, scratch_path
+from lexweave.llm.common import materialize
+from lexweave.sources.scratch import scratch
 
 #: Originals (digest and id of payloads that occur more than once) up to this number are broadcast, more are joined by
 #: a shuffle.
@@ -185,5 +186,5 @@ def revisit(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     group are null, else a revisit; its record has no Row-Id. Rows that repeat the largest id of a group: all responses.
     Null url: empty. Very long payloads: a record each, held in memory one at a time. Empty table: no files, no rows.
     Columns besides the three named are not read."""
-    path = path or scratch_path(pages.sparkSession, "archives")
+    path = path or scratch(pages.sparkSession, "archives")
     return read_archives(write_archives(pages, path, id_col, url_col, payload_col, least_bytes), pages.schema[id_col].dataType.simpleString(), payload)
