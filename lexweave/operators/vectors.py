@@ -130,8 +130,8 @@ def subword_vectors(vectors: DataFrame, words: DataFrame, least: int = 3, most:
     the mean of the known words that have it."""
     def grams(w: Column) -> Column:
         padded = F.concat(F.lit("<"), w, F.lit(">"))
-        each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(least, most + 1)]
-        return F.array_distinct(F.flatten(F.array(*each)))
+        sized = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.array_distinct(F.flatten(F.array(*map(sized, range(least, most + 1)))))
 
     known = vectors.select(F.explode(grams(F.col("word"))).alias("g"), F.posexplode("vec").alias("k", "x")).groupBy("g", "k").agg(F.avg("x").alias("x"))
     asked = words.select("word").distinct().select("word", F.explode(grams(F.col("word"))).alias("g"))

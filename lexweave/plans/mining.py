@@ -160,6 +160,32 @@ def static_suggest_all(spark, sf_dir):
     return found.select("colloc", "level", F.array_join("words", " ").alias("suggested"), "rank", F.round("score", 6).alias("score"))
 
 
+def _guesses():
+    """Stands for a masked language model: the words depend on the text's length and the mask's place."""
+    return lambda texts: [[[f"w{(len(t) + 7 * k + j) % 90}" for j in range(6)] for k in range(t.count("<mask>"))] for t in texts]
+
+
+@query("dynamic_suggest", f"""with {_SUGGEST}, p as (select colloc, n, level, mask, list_transform(t, lambda y: split_part(y, '_', 1)) as b from m), x as (select *, array_to_string(list_transform(b, lambda y, i: case when mask[i] = 0 then '<mask>' else y end), ' ') as text from p),
+  g as (select *, unnest(range(6)) as j1 from x), h as (select *, unnest(case when list_sum(mask) = n - 1 then [0] else range(6) end) as j2 from g), z as (select *, unnest(case when n - list_sum(mask) < 3 then [0] else range(6) end) as j3 from h),
+  o as (select *, list_filter(range(1, n + 1), lambda i: mask[i] = 0) as open from z)
+  select colloc, cast(level as int) as level, array_to_string(list_transform(b, lambda y, i: case when i = open[1] then 'w' || ((length(text) + j1) % 90) when i = open[2] then 'w' || ((length(text) + 7 + j2) % 90) when i = open[3] then 'w' || ((length(text) + 14 + j3) % 90) else y end), ' ') as suggested, cast(j1 + j2 + j3 as bigint) as rank from o""")
+def dynamic_suggest(spark, sf_dir):
+    """E11, E14 with a model of one's own."""
+    masked = suggest.with_masks(_vector_collocations(_tagged_vectors(spark, sf_dir)))
+    found = suggest.propose_with(masked, _guesses, 6)
+    return found.select("colloc", "level", F.array_join("words", " ").alias("suggested"), "rank")
+
+
+@query("subword_vectors", """with w as (select vec_id, '<w' || vec_id || '>' as p, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), n as (select unnest([3, 4, 5, 6]) as n),
+  g as (select distinct vec_id, p, case when length(p) < n then p else substr(p, i, n) end as g from (select vec_id, p, n, unnest(range(1, greatest(length(p) - n + 1, 1) + 1)) as i from w, n)),
+  k as (select g, avg(e[1]) as a, avg(e[2]) as b from g join w using (vec_id) where vec_id % 2 = 0 group by g) select 'w' || vec_id as word, round(avg(a), 6) as a, round(avg(b), 6) as b from g join k using (g) group by vec_id""")
+def subword_vectors(spark, sf_dir):
+    """Vectors of all words from those of every other, the first two numbers of each."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vec"))
+    found = vectors.subword_vectors(v.where("vec_id % 2 = 0"), v)
+    return found.select("word", F.round(F.get("vec", F.lit(0)), 6).alias("a"), F.round(F.get("vec", F.lit(1)), 6).alias("b"))
+
+
 # Combinations that are attested: a vector's word with each of the next 200, and three in a row at any distance up to 40.
 _FACTS = """p as (select 'w' || a.vec_id as w1, 'w' || b.vec_id as w2, (a.vec_id + b.vec_id) % 7 as freq, round(a.vec_id / 3.0, 4) as pmi, round(b.vec_id / 7.0, 4) as t_score from embeddings a join embeddings b on b.vec_id between a.vec_id + 1 and a.vec_id + 200),
   q as (select w1, 'w' || b as w2, 'w' || (b + y) as w3, (b + y) % 5 as freq from (select 'w' || vec_id as w1, vec_id + unnest(range(1, 41)) as b from embeddings), (select unnest(range(1, 41)) as y))"""

@@ -613,6 +613,3 @@ def file_diff(spark, sf_dir):
     """Finished orders against orders with a returned line."""
     left = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
     return audit.file_diff(left, table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key")), "key")
-
-
-from lexweave.plans import cleaning, mining, stored  # noqa: E402, F401
