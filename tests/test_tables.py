@@ -140,6 +140,20 @@ def test_vector_training(spark):
     pairs = vectors.cooccurrences(tokens.tokens(spark.createDataFrame([(1, "а б а в")], "doc_id int, text string")), 2)
     assert {(r.word, r.context): round(r.weight, 6) for r in pairs.collect()} == {("а", "б"): 2.0, ("а", "а"): 0.5, ("б", "в"): 0.5, ("а", "в"): 1.0}
     assert vectors.train_glove(pairs, 4, 2).count() == 3
+    numbers = vectors.numbered(spark.createDataFrame([(f"w{k:03}",) for k in range(300)], "word string").repartition(7), "word").collect()
+    assert sorted((r.id, r.word) for r in numbers) == [(k, f"w{k:03}") for k in range(300)]
+
+
+def test_bags_of_words(spark):
+    """Words of two topics: the losses fall, and a word's neighbours are of its topic; parts are averaged."""
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([([f"{'ab'[g]}{rng.integers(5)}" for _ in range(10)],) for g in rng.integers(2, size=300).tolist()] + [(["rare"],), ([],)], "words array<string>")
+    for parts in (1, 3):
+        v, losses = vectors.train_cbow(rows, size=10, window=4, min_count=2, epochs=6, parts=parts, rate=0.2)
+        assert len(losses) == 6 and losses[-1] < losses[0] and v.count() == 10
+        near = vectors.nearest_each(v, v.select("word"), 4).collect()
+        assert sum(r.query[0] == r.word[0] for r in near) >= 36
+    assert vectors.train_cbow(rows.limit(0), epochs=2)[1] == []
 
 
 @pytest.mark.parametrize(("n", "level", "want"), [(2, 1, [[0, 1], [1, 0]]), (2, 2, [[0, 0]]), (2, 3, [[0, 0]]), (3, 1, [[0, 1, 1], [1, 0, 1], [1, 1, 0]]), (3, 2, [[0, 0, 1], [0, 1, 0], [1, 0, 0]]), (3, 3, [[0, 0, 0]]), (4, 1, []), (2, 0, [])])
