@@ -306,6 +306,17 @@ def tagged_texts(spark, sf_dir):
     return tokens.lemma_text(tokens.keep_tags(tokens.tag(_tokens(spark, sf_dir), lexicon)))
 
 
+def _tagger():
+    """Stands for a tagger that is loaded once a worker."""
+    return lambda texts: [[(w.lower(), "N" if len(w) % 2 else "V") for w in t.split(" ")] for t in texts]
+
+
+@query("plugged_tagger", "select doc_id, cast(generate_subscripts(x, 1) - 1 as int) as pos, lower(unnest(x)) as lemma, case when length(unnest(x)) % 2 = 1 then 'N' else 'V' end as tag from (select doc_id, string_split(text, ' ') as x from documents)")
+def plugged_tagger(spark, sf_dir):
+    """T1, T3 with a tagger of one's own."""
+    return tokens.tokenize_with(docs(spark, sf_dir), _tagger)
+
+
 @query("line_batches", "select (doc_id - 1) // 50 as batch, count(*) as lines, sum(length(text)) as characters from documents where doc_id between 17 and 733 group by 1")
 def line_batches(spark, sf_dir):
     """T4: a range of lines (here documents, by number) in batches."""

@@ -39,6 +39,19 @@ def star_trigram_lookup(spark, sf_dir):
     return ngrams.lemma_trigrams(ngrams.star(_tagged(spark, sf_dir)), grams(spark, sf_dir, 3, "benchmark", "item_id"))
 
 
+@query("attest_any_size", f"with {G2}, {gram_sql(3)}, {_C.format(0, 'benchmark')}, {_C.format(1, 'conversations')} select distinct 2 as size, w1, w2, null as w3 from g2 where w1 in (select word from c0) and w2 in (select word from c1) union all select distinct 3, w1, w2, w3 from g3 where w1 in (select word from c0) and w2 in (select word from c1) and w3 in (select word from c0)")
+def attest_any_size(spark, sf_dir):
+    """One to four components, of which one and four give nothing."""
+    one, two = _components(spark, sf_dir)
+    out = None
+    for parts in ([one], [one, two], [one, two, one], [one, two, one, two]):
+        n = len(parts)
+        found = ngrams.attested(grams(spark, sf_dir, min(n, 3)), *parts)
+        rows = found.select(F.lit(n).alias("size"), *((F.col(w) if w in found.columns else F.lit(None).cast("string")).alias(w) for w in ngrams.names(3)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 _MORPH = "case {0} when 'V' then 'VerbForm=Fin' when 'N' then 'Animacy=Inan' when 'A' then 'Degree=Pos' else '_' end"
 _quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 _CLEAN = f"n1 not in ({_quoted(ngrams.NO_WORDS)}) and n2 not in ({_quoted(ngrams.NO_WORDS)})"

@@ -145,6 +145,13 @@ def page_synonyms(spark, sf_dir):
     return files.synonyms_of_pages(rows.select("word", html.alias("html")))
 
 
+@query("console_rows", "select doc_id, lang, n_chars from documents order by doc_id limit 10")
+def console_rows(spark, sf_dir):
+    """The first rows, as they would be printed."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").orderBy("doc_id")
+    return spark.createDataFrame(files.head(rows, 10), rows.schema)
+
+
 @query("converted_files", "select 'item-' || item_id || case when item_id % 2 = 0 then '.pdf' else '.doc' end as name, case when item_id % 2 = 0 and item_id % 3 > 0 then lower(text) end as text, case when item_id % 2 = 1 then 'not .pdf' when item_id % 3 = 0 then 'ValueError: broken' end as error from benchmark")
 def converted_files(spark, sf_dir):
     """A converter of one's own; files of another kind, and those that it fails on."""

@@ -242,6 +242,11 @@ def test_files(spark, tmp_path):
     assert {r.word: r.vec for r in v.collect()} == {"а": [1.0, 0.5], "б": [0.0, 1.0]}
     files.write_vectors(v, str(tmp_path / "v2"))
     assert files.read_vectors(spark, str(tmp_path / "v2")).count() == 2
+    two = b"2 3\n" + b"".join(w.encode() + b" " + np.array(x, "<f4").tobytes() + b"\n" for w, x in (("слово", [1, 2, 3]), ("b", [0.5, 0, -1])))
+    (tmp_path / "v.bin").write_bytes(two)
+    assert {r.word: r.vec for r in files.read_binary_vectors(spark, str(tmp_path / "v.bin")).collect()} == {"слово": [1.0, 2.0, 3.0], "b": [0.5, 0.0, -1.0]}
+    (tmp_path / "g.txt").write_text("а 1 0.5\nб 0 1\n", encoding="utf-8")
+    assert files.read_vectors(spark, str(tmp_path / "g.txt")).count() == 2
     (tmp_path / "n.tsv").write_text("a b\t1\na b\t5\n", encoding="utf-8")
     assert [(r.ngram, r.freq) for r in files.read_ngrams(spark, str(tmp_path / "n.tsv")).orderBy("line").collect()] == [("a b", "1"), ("a b", "5")]
     rows = spark.createDataFrame([("a b", 'c, "d"')], "original string, suggested string")
