@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import Words, materialize, mix
 
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", 1)), np.uint64(xxhash.xxh64_intdigest(b"", 2))
-#: Characters of text whose distinct n-grams are counted together, and tokens for which there is a bucket of counts.
-CHUNK_CHARS, BUCKET_TOKENS = 3_000_000, 500_000
+#: Characters of text that are held as numbers at a time, and whose distinct n-grams are sent together; tokens for which
+#: there is a bucket of counts. A row goes from each group to each bucket, so with more memory both should be larger.
+CHUNK_CHARS, GROUP_CHARS, BUCKET_TOKENS = 3_000_000, 12_000_000, 1_000_000
 #: Context-frequency buckets: of one word (none, and a power of two each), then of two words (a power of two each).
 ONE_WORD, BUCKETS = 65, 130
 #: Bits of an n-gram's hash beyond the logarithm of the number of tokens: one in a million shares another's number.
@@ -50,63 +51,83 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
 
 
 def number_words(docs: DataFrame) -> DataFrame:
-    """docs (i, t, train, tune) -> chunk, tune, tokens, ids, raw: texts of one part (tune or not) as the numbers of their
-    words, the most frequent words of the chunk first, and the words' hashes. A row is a chunk."""
+    """docs (i, t, train, tune) -> chunk, tune, tokens, ids, raws: a row is a group of texts of one part (tune or not), in
+    chunks: the numbers of their words, the most frequent words of the chunk first, and the words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        class Part:
+            """What is held of a part: the texts of the chunk that is filled, and the chunks before it."""
+
+            def __init__(self):
+                self.ids, self.raws, self.tokens, self.characters = [], [], 0, 0
+                self.begin()
+
+            def begin(self) -> None:
+                self.sizes, self.train, self.words, self.at, self.held = [], [], Words(), [], 0
+
+            def add(self, i, text: bytes, train: bool) -> None:
+                split = text.lower().split()
+                self.ids.append(i)
+                self.sizes.append(len(split))
+                self.train.append(train)
+                self.at.append(np.fromiter(map(self.words.__getitem__, split), np.int64, len(split)))
+                self.held += len(text)
+
+            def end(self) -> None:
+                if not self.sizes:
+                    return
+                flat, words = np.concatenate(self.at), self.words
+                order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), np.int64)
+                rank[order] = np.arange(len(words))
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[order]
+                self.raws.append(_pack(np.array(self.sizes), np.array(self.train, np.uint8), rank[flat], hashes))
+                self.tokens += len(flat) + len(self.sizes)
+                self.characters += self.held
+                self.begin()
+
         chunk = TaskContext.get().partitionId() << 32
-        empty = lambda: ([], [], [], Words(), [], [0])  # ids, sizes, train, words, numbers, characters
-        held = {False: empty(), True: empty()}
+        parts = {False: Part(), True: Part()}
 
         def row(tune: bool) -> pa.RecordBatch:
             nonlocal chunk
-            ids, sizes, train, words, at, _ = held[tune]
-            held[tune], chunk = empty(), chunk + 1
+            part, parts[tune], chunk = parts[tune], Part(), chunk + 1
             sink = pa.BufferOutputStream()
-            table = pa.table({"i": pa.array(ids, kind)})
+            table = pa.table({"i": pa.array(part.ids, kind)})
             with pa.ipc.new_stream(sink, table.schema) as f:
                 f.write_table(table)
-            flat = np.concatenate(at)
-            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[order]
-            raw = _pack(np.array(sizes), np.array(train, np.uint8), rank[flat], hashes)
-            tokens = len(flat) + len(sizes)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, tune, tokens, sink.getvalue().to_pybytes(), raw), (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "tune", "tokens", "ids", "raw"])
+            values = (chunk, tune, part.tokens, sink.getvalue().to_pybytes(), part.raws)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.binary())), strict=True)], ["chunk", "tune", "tokens", "ids", "raws"])
 
         for batch in batches:
             kind = batch.column(0).type
             for i, text, train, tune in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                ids, sizes, learns, words, at, characters = held[tune and train]
-                text = text.as_py().encode()
-                split = text.lower().split()
-                ids.append(i.as_py())
-                sizes.append(len(split))
-                learns.append(train)
-                at.append(np.fromiter(map(words.__getitem__, split), np.int64, len(split)))
-                characters[0] += len(text)
-                if characters[0] >= CHUNK_CHARS:
-                    yield row(tune and train)
+                part = parts[tune and train]
+                part.add(i.as_py(), text.as_py().encode(), train)
+                if part.held >= CHUNK_CHARS:
+                    part.end()
+                    if part.characters >= GROUP_CHARS:
+                        yield row(tune and train)
         for tune in (False, True):
-            if held[tune][0]:
+            parts[tune].end()
+            if parts[tune].ids:
                 yield row(tune)
 
-    return docs.mapInArrow(run, "chunk long, tune boolean, tokens long, ids binary, raw binary")
+    return docs.mapInArrow(run, "chunk long, tune boolean, tokens long, ids binary, raws array<binary>")
 
 
 class Chunk:
-    """The distinct words, pairs and triples of some texts, each with its hash; which triple stands at each token."""
+    """The distinct words, pairs and triples of some texts, each with its hash and its count in training texts; which
+    triple stands at each token."""
 
     def __init__(self, raw: bytes, bits: int):
         sizes, train, plain, hashes = _unpack(raw)
         self.sizes = sizes.astype(np.int64) + 1
-        self.hash, self.end = np.concatenate([hashes, [_END, _START, mix(_START[None])[0]]]), len(hashes)
-        width = len(self.hash)
         self.stops = np.cumsum(self.sizes)
-        first = self.stops - self.sizes
+        self.hash, self.end = np.concatenate([hashes, [_END, _START, mix(_START[None])[0]]]), len(hashes)
+        first, width = self.stops - self.sizes, len(self.hash)
         at = np.full(int(self.stops[-1]), self.end, np.int64)
         inner = np.ones(len(at), bool)
         inner[self.stops - 1] = False
@@ -114,42 +135,59 @@ class Chunk:
         before = np.concatenate([[0], at[:-1]])
         before[first] = self.end + 1
         pairs, pair = np.unique(before * width + at, return_inverse=True)
-        #: The context of a triple is a pair, or (at the start of a text) the number of pairs.
+        # The context of a triple is a pair, or (at the start of a text) the number of pairs.
         context = np.concatenate([[0], pair[:-1]])
         context[first] = len(pairs)
-        triples, some, self.triple = np.unique(context * width + at, return_index=True, return_inverse=True)
-        self.context, self.pair = triples // width, pair[some]
-        self.before, self.word = before[some], at[some]
+        triples, some, triple = np.unique(context * width + at, return_index=True, return_inverse=True)
+        self.split, slim = len(pairs), lambda x: x.astype(np.int32)
+        self.context, self.pair, self.before, self.word, self.triple = map(slim, (triples // width, pair[some], before[some], at[some], triple))
         two = mix(mix(self.hash[pairs // width]) + self.hash[pairs % width])
         three = mix(mix(np.append(two, _START)[self.context] + np.uint64(3)) + self.hash[self.word])
-        # Words stand in the order of their hashes, and so do pairs and triples together.
-        self.words = np.argsort(self.hash[: self.end + 1], kind="stable")
-        self.grams, self.place = np.unique(np.concatenate([two, three]) >> np.uint64(64 - bits), return_inverse=True)
-        self.split = len(pairs)
+        self.grams, place = np.unique(np.concatenate([two, three]) >> np.uint64(64 - bits), return_inverse=True)
+        self.place, self.words = slim(place), self.hash[: self.end + 1]
         learns = np.repeat(train.astype(bool), self.sizes)
         count = lambda x, n: np.bincount(x[learns], minlength=n)
         self.own_words = count(at, width)[: self.end + 1]
-        self.own_grams = np.bincount(self.place, np.concatenate([count(pair, len(pairs)), count(self.triple, len(triples))]), len(self.grams)).astype(np.int64)
+        self.own_grams = np.bincount(place, np.concatenate([count(pair, len(pairs)), count(triple, len(triples))]), len(self.grams)).astype(np.int64)
+
+
+class Group:
+    """The chunks of a row; their distinct words' hashes in order, and those of pairs and triples together in order."""
+
+    def __init__(self, raws: list[bytes], bits: int):
+        self.chunks, self.bits = [Chunk(x, bits) for x in raws], bits
+        self.words = np.unique(np.concatenate([c.words for c in self.chunks]))
+        self.grams = self.chunks[0].grams if len(raws) == 1 else np.unique(np.concatenate([c.grams for c in self.chunks]))
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of words, and of pairs and triples, in the group's training texts."""
+        words, grams = np.zeros(len(self.words), np.int64), np.zeros(len(self.grams), np.int64)
+        for c in self.chunks:
+            words[np.searchsorted(self.words, c.words)] += c.own_words
+            grams[np.searchsorted(self.grams, c.grams)] += c.own_grams
+        return words, grams
 
-    def parts(self, buckets: int, bits: int) -> Iterator[tuple[int, slice, slice]]:
+    def parts(self, buckets: int) -> Iterator[tuple[int, slice, slice]]:
         """(bucket, its words, its pairs and triples): a bucket has a range of the hashes."""
         edges = lambda hashes, of: np.searchsorted((hashes >> np.uint64(max(0, of - 32))).astype(np.int64) * buckets >> min(of, 32), np.arange(buckets + 1))
-        one, more = edges(self.hash[self.words], 64), edges(self.grams, bits)
+        one, more = edges(self.words, 64), edges(self.grams, self.bits)
         for b in np.flatnonzero(np.diff(one) + np.diff(more)).tolist():
             yield b, slice(one[b], one[b + 1]), slice(more[b], more[b + 1])
 
-    def counts(self, answers: dict, buckets: int, bits: int, main: bool) -> tuple[np.ndarray, ...]:
-        """For every triple: its count, that of its context, of its last two words, of the middle word, of the last."""
+    def counts(self, answers: dict, buckets: int, main: bool) -> Iterator[tuple[Chunk, tuple[np.ndarray, ...]]]:
+        """For every triple of each chunk its count, that of its context, of its last two words, of the middle word and
+        of the last."""
         words, grams = np.empty(len(self.words), np.int64), np.empty(len(self.grams), np.int64)
-        for b, one, more in self.parts(buckets, bits):
+        for b, one, more in self.parts(buckets):
             found = _unpack(answers[b].as_py())[2 * main : 2 * main + 2]
             words[one], grams[more] = found[0], found[1]
-        own = np.empty(len(self.words) + 1, np.int64)
-        own[self.words] = words
-        own[self.end + 1] = starts = own[self.end]
-        two, three = grams[self.place[: self.split]], grams[self.place[self.split :]]
-        context = np.append(two, starts)[self.context]
-        return np.minimum(three, context), context, np.minimum(two[self.pair], own[self.before]), own[self.before], own[self.word]
+        for c in self.chunks:
+            own = np.append(words[np.searchsorted(self.words, c.words)], 0)
+            own[-1] = starts = own[c.end]
+            mine = grams[np.searchsorted(self.grams, c.grams)]
+            two, three = mine[c.place[: c.split]], mine[c.place[c.split :]]
+            context = np.append(two, starts)[c.context]
+            yield c, (np.minimum(three, context), context, np.minimum(two[c.pair], own[c.before]), own[c.before], own[c.word])
 
 
 def learn_weights(cells: DataFrame, tokens: int, distinct: int, rounds: int = 30) -> np.ndarray:
@@ -194,10 +232,10 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     from the other training rows; the scores use all. Every n-gram that occurs has its count, however rare, so what is
     learned grows with the input.
 
-    Texts are written once, as chunks of word numbers, tuning rows in chunks of their own; a chunk is a row, so nothing
-    later depends on how tasks divide the input. A chunk's distinct words, pairs and triples go once, as sorted hashes
-    with counts, to the buckets that ranges of the hashes give: a frequent n-gram is a number a chunk, so none is hot.
-    There the counts of all chunks add up and go back to the chunks. So no text is shuffled, and no table of n-grams is
+    Texts are written once, as word numbers in groups of chunks, tuning rows in groups of their own; a group is a row, so
+    nothing later depends on how tasks divide the input. A group's distinct words, pairs and triples go once, as sorted
+    hashes with counts, to the buckets that ranges of the hashes give: a frequent n-gram is a number a group, so none is
+    hot. There the counts of all groups add up and go back to the groups. So no text is shuffled, and no table of n-grams is
     ever in one place or collected. Words have hashes of 64 bits; pairs and triples of SPARE_BITS more than the logarithm
     of the number of tokens (at most 64), so about one in a million has the count of another added to its own.
 
@@ -213,13 +251,13 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     bits, buckets = min(64, max(32, total.bit_length() + SPARE_BITS)), max(1, math.ceil(total / BUCKET_TOKENS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = lambda x: np.diff(x, prepend=np.uint64(0))
         for batch in batches:
-            for chunk, tune, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                made, out = Chunk(raw.as_py(), bits), []
-                hashes = made.hash[made.words]
-                steps = lambda x: np.diff(x, prepend=np.uint64(0))
-                for b, one, more in made.parts(buckets, bits):
-                    out.append((b, chunk, tune, _pack(steps(hashes[one]), made.own_words[made.words[one]], steps(made.grams[more]), made.own_grams[more])))
+            for chunk, tune, raws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                made, out = Group(raws.as_py(), bits), []
+                words, grams = made.own()
+                for b, one, more in made.parts(buckets):
+                    out.append((b, chunk, tune, _pack(steps(made.words[one]), words[one], steps(made.grams[more]), grams[more])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "chunk", "tune", "grams"])
 
     def answer(group: pa.Table) -> pa.Table:
@@ -240,38 +278,42 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
         return pa.table({"bucket": pa.array([bucket] * (len(out) + 1), pa.int32()), "chunk": pa.array([*group.column("chunk").to_pylist(), -1], pa.int64()), "counts": pa.array([*out, None], pa.binary())}
                         | {c: column(x) for c, x in zip(("words", "tokens", "main"), stats, strict=True)})
 
-    asked = chunks.select("chunk", "tune", "raw").mapInArrow(ask, "bucket int, chunk long, tune boolean, grams binary")
+    asked = chunks.select("chunk", "tune", "raws").mapInArrow(ask, "bucket int, chunk long, tune boolean, grams binary")
     answered = materialize(asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, counts binary, words long, tokens long, main long"), "counts")
     distinct, tokens, main = (x or 0 for x in answered.agg(F.sum("words"), F.sum("tokens"), F.sum("main")).first())
     replies = answered.where("chunk >= 0").select("chunk", "bucket", "counts")
 
-    def of(texts: pa.Table, replies: pa.Table, main: bool) -> tuple[Chunk, tuple[np.ndarray, ...]]:
-        made = Chunk(texts.column("raw")[0].as_py(), bits)
-        return made, made.counts(dict(zip(replies.column("bucket").to_pylist(), replies.column("counts"), strict=True)), buckets, bits, main)
+    def of(texts: pa.Table, replies: pa.Table, main: bool) -> Iterator[tuple[Chunk, tuple[np.ndarray, ...]]]:
+        return Group(texts.column("raws")[0].as_py(), bits).counts(dict(zip(replies.column("bucket").to_pylist(), replies.column("counts"), strict=True)), buckets, main)
 
     names = ("c3", "ctx", "c2", "mid", "c1")
 
     def tune(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        made, counts = of(texts, replies, True)
-        cell = np.stack([frequency_bucket(counts[1], counts[3]), *counts])
-        order = np.lexsort(cell)
-        cell = cell[:, order]
-        new = np.append(True, (cell[:, 1:] != cell[:, :-1]).any(axis=0))
-        n = np.bincount(np.cumsum(new) - 1, np.bincount(made.triple, minlength=cell.shape[1])[order]).astype(np.int64)
-        return pa.table({k: pa.array(x) for k, x in zip(("b", *names, "n"), (*cell[:, new], n), strict=True)})
-
-    late = chunks.where("tune").select("chunk", "raw").groupBy("chunk").cogroup(replies.join(chunks.where("tune").select("chunk"), "chunk", "left_semi").groupBy("chunk"))
+        out = []
+        for made, counts in of(texts, replies, True):
+            cell = np.stack([frequency_bucket(counts[1], counts[3]), *counts])
+            order = np.lexsort(cell)
+            cell = cell[:, order]
+            new = np.append(True, (cell[:, 1:] != cell[:, :-1]).any(axis=0))
+            n = np.bincount(np.cumsum(new) - 1, np.bincount(made.triple, minlength=cell.shape[1])[order]).astype(np.int64)
+            out.append(pa.table({k: pa.array(x) for k, x in zip(("b", *names, "n"), (*cell[:, new], n), strict=True)}))
+        return pa.concat_tables(out)
+
+    late = chunks.where("tune").select("chunk", "raws").groupBy("chunk").cogroup(replies.join(chunks.where("tune").select("chunk"), "chunk", "left_semi").groupBy("chunk"))
     cells = materialize(late.applyInArrow(tune, "b long, " + ", ".join(f"{c} long" for c in names) + ", n long"), "cells")
     weights = learn_weights(cells, main, distinct)
 
     def scored(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        made, (c3, context, c2, middle, c1) = of(texts, replies, False)
-        w = weights[frequency_bucket(context, middle)]
-        p = w[:, 0] * c3 / np.maximum(1, context) + w[:, 1] * c2 / np.maximum(1, middle) + w[:, 2] * c1 / max(1, tokens) + w[:, 3] / (distinct + 1)
-        each = (c1 > 0, np.log10((c1 + 1) / (tokens + distinct + 1)), np.log10(p))
-        in_, unigrams, full = (np.add.reduceat(x[made.triple], made.stops - made.sizes, dtype=np.float64) for x in each)
+        columns: list[list] = [[], [], [], []]
+        for made, (c3, context, c2, middle, c1) in of(texts, replies, False):
+            w = weights[frequency_bucket(context, middle)]
+            p = w[:, 0] * c3 / np.maximum(1, context) + w[:, 1] * c2 / np.maximum(1, middle) + w[:, 2] * c1 / max(1, tokens) + w[:, 3] / (distinct + 1)
+            each = (c1 > 0, np.log10((c1 + 1) / (tokens + distinct + 1)), np.log10(p))
+            known, *sums = (np.add.reduceat(x[made.triple], made.stops - made.sizes, dtype=np.float64) for x in each)
+            for column, x in zip(columns, (made.sizes, known.astype(np.int64), *sums), strict=True):
+                column.append(x)
         ids = pa.ipc.open_stream(texts.column("ids")[0].as_py()).read_all().column("i")
-        return pa.table({"i": ids, "n_tokens": pa.array(made.sizes), "n_known": pa.array(in_.astype(np.int64)), "base_score": pa.array(unigrams), "score": pa.array(full)})
+        return pa.table({"i": ids} | {k: pa.array(np.concatenate(x)) for k, x in zip(("n_tokens", "n_known", "base_score", "score"), columns, strict=True)})
 
-    out = chunks.select("chunk", "ids", "raw").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(scored, f"i {kind}, n_tokens long, n_known long, base_score double, score double")
+    out = chunks.select("chunk", "ids", "raws").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(scored, f"i {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("i").alias(id_col), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

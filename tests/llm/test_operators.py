@@ -414,8 +414,9 @@ def test_interpolated_against_a_trigram_model_in_python(spark, monkeypatch):
     monkeypatch.setattr(lm, "learn_weights", spy)
     weights, want = trigram_brute(rows, lambda i: i % 4 != 0)
     got = {}
-    for chars, tokens in ((8_000_000, 1_300_000), (3000, 200)):
+    for chars, group, tokens in ((8_000_000, 8_000_000, 1_300_000), (1000, 1000, 200), (500, 3000, 150)):
         monkeypatch.setattr(lm, "CHUNK_CHARS", chars)
+        monkeypatch.setattr(lm, "GROUP_CHARS", group)
         monkeypatch.setattr(lm, "BUCKET_TOKENS", tokens)
         got = {r.doc_id: r for r in lm.interpolated(docs, F.col("doc_id") % 4 != 0).collect()}
         assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-9)
