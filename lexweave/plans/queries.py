@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import patterns as P
 from lexweave.functions import text as T
 from lexweave.operators import audit, evalset, html, ngrams, plain, suggest, tokens, vectors
+from lexweave.sources.files import read_wide
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,7 +28,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_wide(spark, path) if name in ("documents", "pages") else spark.read.parquet(path)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

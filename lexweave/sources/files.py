@@ -18,6 +18,13 @@ from lexweave.operators.tokens import usable_tokens
 from lexweave.sources.scratch import exists
 
 
+def read_wide(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. Where its files have fewer row groups than there are cores, its rows are dealt to as many tasks
+    as cores, so that a few large row groups do not keep the others waiting; larger tables are read as they lie."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def list_files(spark: SparkSession, root: str, extension: str) -> DataFrame:
     """Path, modificationTime, length of the files below root that end with extension; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").load(root)
