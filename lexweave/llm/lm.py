@@ -144,50 +144,53 @@ class Chunk:
         two = mix(mix(self.hash[pairs // width]) + self.hash[pairs % width])
         three = mix(mix(np.append(two, _START)[self.context] + np.uint64(3)) + self.hash[self.word])
         self.grams, place = np.unique(np.concatenate([two, three]) >> np.uint64(64 - bits), return_inverse=True)
-        self.place, self.words = slim(place), self.hash[: self.end + 1]
+        #: Words stand in the order of their hashes, and so do pairs and triples together.
+        self.place, self.words = slim(place), np.argsort(self.hash[: self.end + 1], kind="stable")
         learns = np.repeat(train.astype(bool), self.sizes)
         count = lambda x, n: np.bincount(x[learns], minlength=n)
         self.own_words = count(at, width)[: self.end + 1]
         self.own_grams = np.bincount(place, np.concatenate([count(pair, len(pairs)), count(triple, len(triples))]), len(self.grams)).astype(np.int64)
 
 
-class Group:
-    """The chunks of a row; their distinct words' hashes in order, and those of pairs and triples together in order."""
-
-    def __init__(self, raws: list[bytes], bits: int):
-        self.chunks, self.bits = [Chunk(x, bits) for x in raws], bits
-        self.words = np.unique(np.concatenate([c.words for c in self.chunks]))
-        self.grams = self.chunks[0].grams if len(raws) == 1 else np.unique(np.concatenate([c.grams for c in self.chunks]))
-
-    def own(self) -> tuple[np.ndarray, np.ndarray]:
-        """The counts of words, and of pairs and triples, in the group's training texts."""
-        words, grams = np.zeros(len(self.words), np.int64), np.zeros(len(self.grams), np.int64)
-        for c in self.chunks:
-            words[np.searchsorted(self.words, c.words)] += c.own_words
-            grams[np.searchsorted(self.grams, c.grams)] += c.own_grams
-        return words, grams
-
-    def parts(self, buckets: int) -> Iterator[tuple[int, slice, slice]]:
-        """(bucket, its words, its pairs and triples): a bucket has a range of the hashes."""
-        edges = lambda hashes, of: np.searchsorted((hashes >> np.uint64(max(0, of - 32))).astype(np.int64) * buckets >> min(of, 32), np.arange(buckets + 1))
-        one, more = edges(self.words, 64), edges(self.grams, self.bits)
-        for b in np.flatnonzero(np.diff(one) + np.diff(more)).tolist():
-            yield b, slice(one[b], one[b + 1]), slice(more[b], more[b + 1])
-
-    def counts(self, answers: dict, buckets: int, main: bool) -> Iterator[tuple[Chunk, tuple[np.ndarray, ...]]]:
-        """For every triple of each chunk its count, that of its context, of its last two words, of the middle word and
-        of the last."""
-        words, grams = np.empty(len(self.words), np.int64), np.empty(len(self.grams), np.int64)
-        for b, one, more in self.parts(buckets):
-            found = _unpack(answers[b].as_py())[2 * main : 2 * main + 2]
-            words[one], grams[more] = found[0], found[1]
-        for c in self.chunks:
-            own = np.append(words[np.searchsorted(self.words, c.words)], 0)
-            own[-1] = starts = own[c.end]
-            mine = grams[np.searchsorted(self.grams, c.grams)]
-            two, three = mine[c.place[: c.split]], mine[c.place[c.split :]]
-            context = np.append(two, starts)[c.context]
-            yield c, (np.minimum(three, context), context, np.minimum(two[c.pair], own[c.before]), own[c.before], own[c.word])
+def edges(hashes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Where each bucket's range of sorted hashes begins, and where the last one's ends."""
+    return np.searchsorted((hashes >> np.uint64(max(0, bits - 32))).astype(np.int64) * buckets >> min(bits, 32), np.arange(buckets + 1))
+
+
+def questions(raws: list[bytes], bits: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, what a group asks it): of each chunk the hashes of the bucket's words, their counts in its training texts,
+    and the same of its pairs and triples."""
+    steps, held = (lambda x: np.diff(x, prepend=np.uint64(0))), []
+    for raw in raws:
+        c = Chunk(raw, bits)
+        words = c.hash[c.words]
+        held.append((words, c.own_words[c.words], c.grams, c.own_grams, edges(words, 64, buckets), edges(c.grams, bits, buckets)))
+    some = sum(np.diff(x[4]) + np.diff(x[5]) for x in held)
+    for b in np.flatnonzero(some).tolist():
+        arrays = []
+        for words, n, grams, m, one, more in held:
+            one, more = slice(one[b], one[b + 1]), slice(more[b], more[b + 1])
+            arrays += [steps(words[one]), n[one], steps(grams[more]), m[more]]
+        yield b, _pack(*arrays)
+
+
+def answered_counts(raws: list[bytes], answers: dict, bits: int, buckets: int, main: bool) -> Iterator[tuple[Chunk, tuple[np.ndarray, ...]]]:
+    """For every triple of each chunk of a group its count, that of its context, of its last two words, of the middle word
+    and of the last."""
+    found = {b: _unpack(x.as_py()) for b, x in answers.items()}
+    for k, raw in enumerate(raws):
+        c = Chunk(raw, bits)
+        words, grams = np.empty(len(c.words), np.int64), np.empty(len(c.grams), np.int64)
+        one, more = edges(c.hash[c.words], 64, buckets), edges(c.grams, bits, buckets)
+        for b, x in found.items():
+            at = k * (len(x) // len(raws)) + 2 * main
+            words[one[b] : one[b + 1]], grams[more[b] : more[b + 1]] = x[at], x[at + 1]
+        own = np.zeros(len(c.words) + 1, np.int64)
+        own[c.words] = words
+        own[-1] = starts = own[c.end]
+        two, three = grams[c.place[: c.split]], grams[c.place[c.split :]]
+        context = np.append(two, starts)[c.context]
+        yield c, (np.minimum(three, context), context, np.minimum(two[c.pair], own[c.before]), own[c.before], own[c.word])
 
 
 def learn_weights(cells: DataFrame, tokens: int, distinct: int, rounds: int = 30) -> np.ndarray:
@@ -233,8 +236,8 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     learned grows with the input.
 
     Texts are written once, as word numbers in groups of chunks, tuning rows in groups of their own; a group is a row, so
-    nothing later depends on how tasks divide the input. A group's distinct words, pairs and triples go once, as sorted
-    hashes with counts, to the buckets that ranges of the hashes give: a frequent n-gram is a number a group, so none is
+    nothing later depends on how tasks divide the input. Each chunk's distinct words, pairs and triples go once, as sorted
+    hashes with counts, to the buckets that ranges of the hashes give: a frequent n-gram is a number a chunk, so none is
     hot. There the counts of all groups add up and go back to the groups. So no text is shuffled, and no table of n-grams is
     ever in one place or collected. Words have hashes of 64 bits; pairs and triples of SPARE_BITS more than the logarithm
     of the number of tokens (at most 64), so about one in a million has the count of another added to its own.
@@ -251,28 +254,30 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     bits, buckets = min(64, max(32, total.bit_length() + SPARE_BITS)), max(1, math.ceil(total / BUCKET_TOKENS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = lambda x: np.diff(x, prepend=np.uint64(0))
         for batch in batches:
             for chunk, tune, raws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                made, out = Group(raws.as_py(), bits), []
-                words, grams = made.own()
-                for b, one, more in made.parts(buckets):
-                    out.append((b, chunk, tune, _pack(steps(made.words[one]), words[one], steps(made.grams[more]), grams[more])))
+                out = [(b, chunk, tune, x) for b, x in questions(raws.as_py(), bits, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "chunk", "tune", "grams"])
 
     def answer(group: pa.Table) -> pa.Table:
-        asked = [_unpack(x.as_py()) for x in group.column("grams")]
+        rows = [_unpack(x.as_py()) for x in group.column("grams")]
+        asked = [x[k : k + 4] for x in rows for k in range(0, len(x), 4)]
         tune, stats = np.asarray(group.column("tune")), [0, 0, 0]
+        size = [len(x) // 4 for x in rows]
+        late = np.repeat(tune, size)
         sets: list[list[np.ndarray]] = []
         for k in (0, 2):
             per = np.cumsum([len(x[k]) for x in asked])
             unique, at = np.unique(np.concatenate([np.cumsum(x[k], dtype=np.uint64) for x in asked]), return_inverse=True)
-            n, later = np.concatenate([x[k + 1] for x in asked]).astype(np.int64), np.repeat(tune, np.diff(per, prepend=0))
+            n, later = np.concatenate([x[k + 1] for x in asked]).astype(np.int64), np.repeat(late, np.diff(per, prepend=0))
             both = [np.bincount(at, x, len(unique)).astype(np.int64) for x in (n, np.where(later, 0, n))]
             sets += [np.split(x[at], per[:-1]) for x in both]
             if k == 0:
                 stats = [int((both[0] > 0).sum()), int(both[0].sum()), int(both[1].sum())]
-        out = [_pack(*((sets[0][j], sets[2][j], sets[1][j], sets[3][j]) if late else (sets[0][j], sets[2][j]))) for j, late in enumerate(tune)]
+        out, first = [], np.cumsum(size) - size
+        for j, some in enumerate(tune):
+            mine = range(first[j], first[j] + size[j])
+            out.append(_pack(*(sets[x][i] for i in mine for x in ((0, 2, 1, 3) if some else (0, 2)))))
         column = lambda x: pa.array([None] * len(out) + [x], pa.int64())
         bucket = group.column("bucket")[0].as_py()
         return pa.table({"bucket": pa.array([bucket] * (len(out) + 1), pa.int32()), "chunk": pa.array([*group.column("chunk").to_pylist(), -1], pa.int64()), "counts": pa.array([*out, None], pa.binary())}
@@ -284,7 +289,8 @@ def interpolated(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     replies = answered.where("chunk >= 0").select("chunk", "bucket", "counts")
 
     def of(texts: pa.Table, replies: pa.Table, main: bool) -> Iterator[tuple[Chunk, tuple[np.ndarray, ...]]]:
-        return Group(texts.column("raws")[0].as_py(), bits).counts(dict(zip(replies.column("bucket").to_pylist(), replies.column("counts"), strict=True)), buckets, main)
+        answers = dict(zip(replies.column("bucket").to_pylist(), replies.column("counts"), strict=True))
+        return answered_counts(texts.column("raws")[0].as_py(), answers, bits, buckets, main)
 
     names = ("c3", "ctx", "c2", "mid", "c1")
 
