@@ -240,6 +240,14 @@ def test_files(spark, tmp_path):
     (tmp_path / "v.txt").write_text("2 2\nа 1 0.5\nб 0 1\n", encoding="utf-8")
     v = files.read_vectors(spark, str(tmp_path / "v.txt"))
     assert {r.word: r.vec for r in v.collect()} == {"а": [1.0, 0.5], "б": [0.0, 1.0]}
+    for folder in ("Law", "Art"):
+        (tmp_path / "g" / folder).mkdir(parents=True)
+        (tmp_path / "g" / folder / f"{folder}1.html").write_text("<p>y</p>", encoding="utf-8")
+    fields = files.read_fields(spark, str(tmp_path / "g"), ["Law", "Art"])
+    one = fields.where("field = 'Art'")
+    assert fields.count() == 2 and one.first().doc_id == "Art1" and one._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    files.write_by_field(fields, str(tmp_path / "fields"))
+    assert "PartitionFilters: [isnotnull(field" in spark.read.parquet(str(tmp_path / "fields")).where("field = 'Art'")._jdf.queryExecution().executedPlan().toString()
     files.write_vectors(v, str(tmp_path / "v2"))
     assert files.read_vectors(spark, str(tmp_path / "v2")).count() == 2
     two = b"2 3\n" + b"".join(w.encode() + b" " + np.array(x, "<f4").tobytes() + b"\n" for w, x in (("слово", [1, 2, 3]), ("b", [0.5, 0, -1])))
