@@ -17,7 +17,7 @@ from lexweave.llm.common import Words, materialize, mix
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", 1)), np.uint64(xxhash.xxh64_intdigest(b"", 2))
 #: Characters of text that are held as numbers at a time, and whose distinct n-grams are sent together; tokens for which
 #: there is a bucket of counts. A row goes from each group to each bucket, so with more memory both should be larger.
-CHUNK_CHARS, GROUP_CHARS, BUCKET_TOKENS = 3_000_000, 12_000_000, 1_000_000
+CHUNK_CHARS, GROUP_CHARS, BUCKET_TOKENS = 3_000_000, 6_000_000, 600_000
 #: Context-frequency buckets: of one word (none, and a power of two each), then of two words (a power of two each).
 ONE_WORD, BUCKETS = 65, 130
 #: Bits of an n-gram's hash beyond the logarithm of the number of tokens: one in a million shares another's number.
