@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave.operators import audit, evalset, ngrams, suggest, tokens, vectors
 from lexweave.sources import files
-from lexweave.streaming import clean_stream, read_stream, write_stream
+from lexweave.streaming import clean_stream, count_words, read_stream, write_stream
 
 TEXTS = {1: "Красный дом, красный дом стоит!", 2: "дом стоит у реки", 3: "река", 4: "", 5: None}
 
@@ -282,3 +282,16 @@ def test_stream(spark, tmp_path):
     rows = clean_stream(read_stream(spark, str(tmp_path / "in"), "doc_id int, text string"))
     write_stream(rows, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_stream_of_windows(spark, tmp_path):
+    """Windows that the watermark has passed come out once; a row that is later than the watermark counts nowhere."""
+    schema = "ts timestamp, word string"
+    batch = lambda *rows: spark.sql("select cast(t as timestamp) as ts, w as word from values " + ", ".join(f"('2024-01-01 {t}', '{w}')" for t, w in rows) + " as x(t, w)")
+    run = lambda: write_stream(count_words(read_stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    batch(("00:01:00", "a"), ("00:02:00", "a"), ("00:06:00", "b"), ("01:00:00", "c")).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    batch(("00:03:00", "a"), ("02:00:00", "c")).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    got = {(r.window.start.strftime("%H:%M"), r.word): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("00:00", "a"): 2, ("00:05", "b"): 1, ("01:00", "c"): 1}
