@@ -86,15 +86,27 @@ def _blocks(texts: pa.Array) -> Iterator[list[str | None]]:
         yield block
 
 
-def _train(texts: list[str | None], labels: np.ndarray, bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
+def _examples(bits: int):
+    """Rows a, b, y, t of texts to a, b, y, at, x: the distinct features of each text and their shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Features(bits)
+        for batch in batches:
+            ats, xs = [], []
+            for t in batch.column(3):
+                f, _ = made.of([t.as_py()])
+                at, n = np.unique(f, return_counts=True)
+                ats.append(at.astype(np.int64).tobytes())
+                xs.append((n / (f.size + Features.PER_WORD * _SMALL)).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ats, pa.binary()), pa.array(xs, pa.binary())], ["a", "b", "y", "at", "x"])
+
+    return run
+
+
+def _train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
     """FTRL-proximal (McMahan et al. 2013) on feature shares; the last weight is the bias, which
     stays the log odds of the labels: a text without evidence is as good as the average."""
-    made, size = Features(bits), 1 << bits
-    examples = []
-    for t in texts:
-        f, _ = made.of([t])
-        at, n = np.unique(f, return_counts=True)
-        examples.append((at, n / (f.size + Features.PER_WORD * _SMALL)))
+    size = 1 << bits
     z, root = np.zeros(size), np.zeros(size)  # root: of the sum of squared gradients
     bias = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
     for _ in range(epochs):
@@ -115,21 +127,22 @@ def fit(
 ) -> np.ndarray:
     """The weights (2 ** bits of n-grams, and the bias) learned from labelled texts.
 
-    Learns from at most max_rows labelled texts, those with the smallest hashes of their ids, in one task of an
-    executor; only the weights come to the driver. Null ids, labels and texts teach nothing; of contradicting labels of
+    Learns from at most max_rows labelled texts, those with the smallest hashes of their ids. Their features are made where
+    they are read; the updates follow one another in one task of an executor; only the weights come to the driver. Null ids, labels and texts teach nothing; of contradicting labels of
     one id the smaller holds. No labelled text at all: zero weights, so every score is 0.5."""
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("double").alias("y"))
     named = named.orderBy(F.xxhash64("i"), "i").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    bounded = texts.join(F.broadcast(named), "i").orderBy(F.xxhash64("i"), F.crc32("t")).limit(max_rows).select("t", "y")
+    labelled = texts.join(F.broadcast(named), "i").select(F.xxhash64("i").alias("a"), F.crc32("t").alias("b"), "y", "t")
+    bounded = labelled.mapInArrow(_examples(bits), "a long, b long, y double, at binary, x binary").orderBy("a", "b").limit(max_rows).select("y", "at", "x")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, y = [], []
+        y, examples = [], []
         for b in batches:
-            t += b.column(0).to_pylist()
-            y += b.column(1).to_pylist()
-        if t:
-            yield pa.RecordBatch.from_arrays([pa.array([_train(t, np.array(y), bits, epochs, alpha, beta, l1, l2).tobytes()], pa.binary())], ["w"])
+            y += b.column(0).to_pylist()
+            examples += [(np.frombuffer(at.as_py(), np.int64), np.frombuffer(x.as_py(), np.float64)) for at, x in zip(b.column(1), b.column(2), strict=True)]
+        if examples:
+            yield pa.RecordBatch.from_arrays([pa.array([_train(examples, np.array(y), bits, epochs, alpha, beta, l1, l2).tobytes()], pa.binary())], ["w"])
 
     found = bounded.mapInArrow(train, "w binary").first()
     return np.frombuffer(found[0], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
