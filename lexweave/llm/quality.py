@@ -87,30 +87,34 @@ def _blocks(texts: pa.Array) -> Iterator[list[str | None]]:
 
 
 def _examples(bits: int):
-    """Rows a, b, y, t of texts to a, b, y, at, x: the distinct features of each text and their shares."""
+    """Rows a, b, y, t of texts to a, b, y, at, n, size: the distinct features of each text, how often each occurs, and the
+    number that makes shares of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features(bits)
-        for batch in batches:
-            ats, xs = [], []
-            for t in batch.column(3):
-                f, _ = made.of([t.as_py()])
-                at, n = np.unique(f, return_counts=True)
-                ats.append(at.astype(np.int64).tobytes())
-                xs.append((n / (f.size + Features.PER_WORD * _SMALL)).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ats, pa.binary()), pa.array(xs, pa.binary())], ["a", "b", "y", "at", "x"])
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                batch, out = whole.slice(lo, 256), ([], [], [])
+                for t in batch.column(3):
+                    f, _ = made.of([t.as_py()])
+                    at, n = np.unique(f, return_counts=True)
+                    for column, x in zip(out, (at.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), float(f.size + Features.PER_WORD * _SMALL)), strict=True):
+                        column.append(x)
+                kinds = (pa.binary(), pa.binary(), pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, out, kinds)], ["a", "b", "y", "at", "n", "size"])
 
     return run
 
 
-def _train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
+def _train(examples: list[tuple[np.ndarray, np.ndarray, float]], labels: np.ndarray, bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
     """FTRL-proximal (McMahan et al. 2013) on feature shares; the last weight is the bias, which
     stays the log odds of the labels: a text without evidence is as good as the average."""
     size = 1 << bits
     z, root = np.zeros(size), np.zeros(size)  # root: of the sum of squared gradients
     bias = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
     for _ in range(epochs):
-        for (at, x), y in zip(examples, labels, strict=True):
+        for (at, n, total), y in zip(examples, labels, strict=True):
+            x = n / total
             zi, was = z[at], root[at]
             wi = (np.minimum(np.maximum(zi, -l1), l1) - zi) / (was / alpha + (beta / alpha + l2))
             g = (1 / (1 + math.exp(-min(max(float(wi @ x + bias), -35.0), 35.0))) - y) * x
@@ -134,13 +138,13 @@ def fit(
     named = named.orderBy(F.xxhash64("i"), "i").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     labelled = texts.join(F.broadcast(named), "i").select(F.xxhash64("i").alias("a"), F.crc32("t").alias("b"), "y", "t")
-    bounded = labelled.mapInArrow(_examples(bits), "a long, b long, y double, at binary, x binary").orderBy("a", "b").limit(max_rows).select("y", "at", "x")
+    bounded = labelled.mapInArrow(_examples(bits), "a long, b long, y double, at binary, n binary, size double").orderBy("a", "b").limit(max_rows).select("y", "at", "n", "size")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, examples = [], []
         for b in batches:
             y += b.column(0).to_pylist()
-            examples += [(np.frombuffer(at.as_py(), np.int64), np.frombuffer(x.as_py(), np.float64)) for at, x in zip(b.column(1), b.column(2), strict=True)]
+            examples += [(np.frombuffer(at.as_py(), np.int32), np.frombuffer(n.as_py(), np.int32), size) for at, n, size in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True)]
         if examples:
             yield pa.RecordBatch.from_arrays([pa.array([_train(examples, np.array(y), bits, epochs, alpha, beta, l1, l2).tobytes()], pa.binary())], ["w"])
 
