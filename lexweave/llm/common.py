@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -105,3 +106,18 @@ class WordHashes:
             new = itertools.islice(reversed(self.words), len(self.words) - known)
             self.hash[known : len(self.words)] = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64)[::-1]
         return self.hash[at]
+
+
+#: A-Z to a-z; every ASCII character but digits and letters to a space.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def plain_words(body: bytes | None, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, A-Z in lower case: runs of digits, letters and characters beyond ASCII; in lists of
+    about piece bytes each, cut between words."""
+    body, at = (body or b"").translate(_PLAIN), 0
+    while at < len(body):
+        end = body.find(b" ", at + piece) if at + piece < len(body) else -1
+        end = len(body) if end < 0 else end
+        yield body[at:end].split()
+        at = end

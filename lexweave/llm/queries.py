@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, itq, lm, quality, sharding, topk, warc
+from lexweave.llm import bpe, exponion, itq, licenses, lm, oracles, quality, resampling, sharding, topk, warc
 from lexweave.llm.linededup import WHITE, line_dedup
 from lexweave.llm.ngramjoin import ngram_join
 from lexweave.llm.packing import pack
@@ -150,6 +150,19 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), licenses.labels().alias("labels"), licenses.score().alias("score"))
+
+
+def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -161,7 +174,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngramjoin": op8_ngramjoin,
     "op9_bpe": op9_bpe,
     "op10_itq": op10_itq,
+    "op11_licenses": op11_licenses,
+    "op12_exponion": op12_exponion,
+    "op13_resampling": op13_resampling,
     "op4_linededup_whole": op4_linededup_whole,
     "op2_packing_turns": op2_packing_turns,
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_linededup": OP4_SQL, "op4_linededup_whole": OP4_WHOLE_SQL, "op7_topk": OP7_SQL, "op8_ngramjoin": OP8_SQL, "op10_itq": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_linededup": OP4_SQL, "op4_linededup_whole": OP4_WHOLE_SQL, "op7_topk": OP7_SQL, "op8_ngramjoin": OP8_SQL, "op10_itq": OP10_SQL, **oracles.SQL}
