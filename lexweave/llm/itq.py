@@ -20,10 +20,15 @@ from lexweave.llm.topk import finite
 BROADCAST_ROWS = 200_000
 
 
-def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+#: Words of code beyond those planned, at most, for links of the sample that share no key.
+MORE_WORDS = 48
+
+
+def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50, seed: int = 0, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) of iterative quantisation (Gong and Lazebnik 2011): principal directions, then the rotation
-    that brings the sample closest to the corners of a cube, from a random one."""
-    mean = sample.mean(axis=0)
+    that brings the sample closest to the corners of a cube, from a random one. Not centred: the mean is zero, so that a
+    bit of two vectors differs with probability angle / pi wherever the sample lies."""
+    mean = sample.mean(axis=0) * centred
     x = sample - mean
     _, _, vt = np.linalg.svd(x, full_matrices=False)
     top = vt[:bits].T
@@ -41,10 +46,66 @@ def table_plan(largest: int, columns: int, threshold: float, per_bucket: int = 2
     The key grows with the logarithm of the vectors, so a bucket holds about per_bucket of them at any size (8 bits at
     least). A wider key is missed more often: a bit of two vectors at the threshold differs with probability angle / pi.
     So many tables are made that independent bits would give the recall; the bits of one rotation, being orthogonal,
-    give more (measured in the tests). Tables beyond those of one rotation take further rotations."""
-    key = min(max(8, math.ceil(math.log2(max(1, largest) / per_bucket))), columns, 30)
+    give more (measured in the tests). Tables beyond those of one rotation take further rotations. Where a rotation has
+    fewer columns than a key, a key, and a word of code, spans several."""
+    key = min(max(8, math.ceil(math.log2(max(1, largest) / per_bucket))), 30)
     hit = (1 - math.acos(threshold) / math.pi) ** key
-    return key, columns // key, math.ceil(math.ceil(math.log(1 - recall) / math.log(1 - hit)) / (columns // key))
+    tables = columns * _spanned(key, columns) // key
+    return key, tables, math.ceil(math.ceil(math.log(1 - recall) / math.log(1 - hit)) / tables)
+
+
+def _spanned(key: int, columns: int) -> int:
+    """The rotations of one word of code."""
+    return -(-key // columns)
+
+
+def _words(x: np.ndarray, learned: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The codes of unit vectors, a word a pair of mean and projection."""
+    out = np.zeros((len(x), len(learned)), np.uint64)
+    for k, (mean, projection) in enumerate(learned):
+        out[:, k] = ((x - mean) @ projection >= 0) @ (np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64))
+    return out
+
+
+def _share(differ: np.ndarray, key: int, tables: int) -> np.ndarray:
+    """Whether words that differ in these bits have a key in common."""
+    mask = np.uint64((1 << key) - 1)
+    return np.any([(differ >> np.uint64(t * key)) & mask == 0 for t in range(tables)], axis=0)
+
+
+def learn_words(unit: np.ndarray, labels: np.ndarray, threshold: float, columns: int, key: int, tables: int, words: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Projections for words of code, and the most bits in which linked vectors of the sample differ.
+
+    words of them are centred; as long as two linked vectors of the sample (rows of unit, with labels) share no key of
+    tables a word, one more is learned that is not centred, MORE_WORDS at most. A table that is no larger than its sample
+    has all its links found so."""
+    span = _spanned(key, columns)
+
+    def word(k: int, centred: bool) -> tuple[np.ndarray, np.ndarray]:
+        # In few columns every start leads to the same rotation: after the first they stay random, as do those added.
+        learned = [centred and (columns >= 8 or k + j == 0) for j in range(span)]
+        made = [learn_rotation(unit, columns, 50 if some else 0, k * span + j, centred) for j, some in enumerate(learned)]
+        return made[0][0], np.hstack([p for _, p in made])
+
+    if not len(unit):
+        return [(np.zeros(1), np.zeros((1, columns * span)))] * words, 0
+    learned = [word(k, True) for k in range(words)]
+    linked = [np.zeros((0, 2), np.int32)]
+    for a in range(0, len(unit), 512):
+        near = (unit[a : a + 512] @ unit.T >= threshold - 1e-9) & (labels[a : a + 512, None] == labels)
+        x, y = np.nonzero(np.triu(near, a + 1))
+        linked.append(np.column_stack([x + a, y]).astype(np.int32))
+    x, y = missed = np.concatenate(linked).T
+    codes, apart = _words(unit, learned), np.zeros(len(x), np.int64)
+    for k in range(len(learned) + MORE_WORDS):
+        if k == len(learned):
+            if not missed.shape[1]:
+                break
+            learned.append(word(k, False))
+            codes = np.column_stack([codes, _words(unit, learned[-1:])])
+        apart += np.bitwise_count(codes[x, k] ^ codes[y, k])
+        missed = missed[:, ~_share(codes[missed[0], k] ^ codes[missed[1], k], key, tables)]
+    return learned, int(apart.max(initial=0))
 
 
 def near_dedup(
@@ -57,14 +118,14 @@ def near_dedup(
     links lead to) and kept (whether that is its own).
 
     Equal vectors of a label are one node with a count. Rotations of bits columns are learned from the sample_rows nodes
-    with the smallest fingerprints; all nodes are coded. Codes are cut into keys of Hamming tables by table_plan() (or
-    key_bits). Vectors with a key in common are candidates if their codes differ in no more bits than four and a half
-    standard deviations over the mean of pairs at the threshold. Only codes are shuffled to find these; vectors go to
+    with the smallest fingerprints (learn_words(), which adds some until the sample's own links are found); all nodes are
+    coded. Codes are cut into keys of Hamming tables by table_plan() (or key_bits), at any size and length. Vectors with
+    a key in common are candidates if their codes differ in no more bits than four and a half standard deviations over
+    the mean of pairs at the threshold, or than linked vectors of the sample do. Only codes are shuffled to find these; vectors go to
     the buckets where they have a candidate that no earlier table has, and cosines decide. A bucket of more than block
     nodes is cut into blocks, a pair of blocks being a piece of work of bounded memory. Pieces return a row a node,
     never a row a pair. Recall is that of the tables: a pair is missed if its codes differ in every key (tests measure
-    it against brute force; pairs below the threshold are never linked). A table of at most block nodes, and one whose
-    sample gives less than 8 columns, is compared in full, by label and length.
+    it against brute force; pairs below the threshold are never linked).
 
     Null labels; null, empty and zero vectors; vectors with null or non-finite components: no links, a component of
     their own. Null ids: never a component_id while the component has another; not kept. Repeated rows are copies.
@@ -90,33 +151,34 @@ def near_dedup(
         rows = rows.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "more")).otherwise(F.col("node"))).drop("clash")
         nodes = counted(rows)
 
-    taken = [np.array(r[0], np.float64) for r in nodes.orderBy("node").limit(sample_rows).select("v").collect()]
-    lengths, n = np.unique([len(x) for x in taken], return_counts=True)
-    d = int(lengths[n.argmax()]) if len(taken) else 0
-    unit = np.array([x / np.linalg.norm(x) for x in taken if len(x) == d]).reshape(-1, max(1, d))
-    total, largest = (x or 0 for x in nodes.groupBy("l").count().agg(F.sum("count"), F.max("count")).first())
-    columns = min(bits, d, len(unit))
-    whole = total <= block and key_bits is None or columns < 8
-    key, per_rotation, rotations = (1, 1, 1) if whole else table_plan(largest, columns, threshold) if key_bits is None else (key_bits, columns // key_bits, 1)
-    learned = [] if whole else [learn_rotation(unit, columns, seed=k) for k in range(rotations)]
-    tables, differ = per_rotation * rotations, math.acos(threshold) / math.pi
-    radius = math.ceil(columns * rotations * differ + 4.5 * math.sqrt(columns * rotations * differ * (1 - differ)))
+    sample = [(np.array(r[0], np.float64), r[1]) for r in nodes.orderBy("node").limit(sample_rows).select("v", "l").collect()]
+    lengths, n = np.unique([len(x) for x, _ in sample], return_counts=True)
+    d = int(lengths[n.argmax()]) if len(sample) else 0
+    unit = np.array([x / np.linalg.norm(x) for x, _ in sample if len(x) == d]).reshape(-1, max(1, d))
+    labels = np.unique([y for x, y in sample if len(x) == d], return_inverse=True)[1]
+    largest = nodes.groupBy("l").count().agg(F.max("count")).first()[0] or 0
+    columns = max(1, min(bits, d, len(unit)))
+    if key_bits is None:
+        key, per_word, planned = table_plan(largest, columns, threshold)
+    else:
+        key, per_word, planned = key_bits, columns * _spanned(key_bits, columns) // key_bits, 1
+    learned, most = learn_words(unit, labels, threshold, columns, key, per_word, planned)
+    tables, width, differ = per_word * len(learned), columns * _spanned(key, columns) * len(learned), math.acos(threshold) / math.pi
+    radius = max(most, math.ceil(width * differ + 4.5 * math.sqrt(width * differ * (1 - differ))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.uint64(1) << np.arange(columns, dtype=np.uint64)
         for batch in batches:
             size = np.asarray(batch.column(1).value_lengths())
-            out = np.zeros((len(size), rotations), np.uint64)
+            out = np.zeros((len(size), len(learned)), np.uint64)
             usual = np.flatnonzero(size == d)
-            if len(usual) and not whole:
+            if len(usual):
                 x = batch.column(1).take(pa.array(usual)).flatten().to_numpy().astype(np.float64).reshape(len(usual), d)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for k, (mean, projection) in enumerate(learned):
-                    out[usual, k] = ((x - mean) @ projection >= 0) @ powers
+                out[usual] = _words(x, learned)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int32()), pa.array(list(out.view(np.int64)), pa.list_(pa.int64()))], ["node", "l", "d", "code"])
 
     coded = materialize(nodes.select("node", "v", "l").mapInArrow(code, "node long, l string, d int, code array<long>"), "codes")
-    part = lambda t: F.get("code", F.lit(t // per_rotation)) if whole else F.shiftright(F.get("code", F.lit(t // per_rotation)), t % per_rotation * key).bitwiseAND(F.lit((1 << key) - 1))
+    part = lambda t: F.shiftright(F.get("code", F.lit(t // per_word)), t % per_word * key).bitwiseAND(F.lit((1 << key) - 1))
     keys = F.array(*(F.xxhash64("l", "d", F.lit(t), part(t)) for t in range(tables)))
     indexed = coded.select("node", "code", F.posexplode(keys).alias("table", "key"))
     large = materialize(indexed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block), "buckets")
@@ -141,11 +203,11 @@ def near_dedup(
         a, b, table = piece[0][1], piece[0][2], piece[0][4]
         words = np.array([x[6] for x in piece], np.int64).view(np.uint64)
         distance, ok = np.zeros((len(piece), len(piece)), np.int32), np.ones((len(piece), len(piece)), bool)
-        for k in range(0 if whole else rotations):
+        for k in range(len(learned)):
             differ = words[:, None, k] ^ words[:, k]
             distance += np.bitwise_count(differ)
-            for t in range(min(per_rotation, table - k * per_rotation)):
-                ok &= (differ >> np.uint64(t * key)) & np.uint64((1 << key) - 1) != 0
+            if (earlier := min(per_word, table - k * per_word)) > 0:
+                ok &= ~_share(differ, key, earlier)
         ok &= distance <= radius
         np.fill_diagonal(ok, False)
         if a != b:

@@ -647,6 +647,30 @@ def test_itq_recall_with_the_registered_parameters(spark, monkeypatch, key_bits)
     assert all(r.n_links <= want[r.vec_id] for r in got) and sum(r.n_links for r in got) >= 0.99 * want.sum()
 
 
+def near_rows(rng, pairs, d, spread=1.0, labels=10):
+    """Pairs of cosine 0.93 to 0.97 around one direction (the narrower, the smaller spread), and what is linked."""
+    rows, centre = [], rng.normal(size=d)
+    for k in range(pairs):
+        x = centre * (1 - spread) + rng.normal(size=d) * spread
+        x /= np.linalg.norm(x)
+        y = rng.normal(size=d)
+        y -= (y @ x) * x
+        c = rng.uniform(0.931, 0.97)
+        rows += [(2 * k, x.tolist(), str(k % labels)), (2 * k + 1, (c * x + (1 - c * c) ** 0.5 * y / np.linalg.norm(y)).tolist(), str(k % labels))]
+    v, label = np.array([r[1] for r in rows], np.float32).astype(np.float64), np.array([r[2] for r in rows])
+    linked = ((v @ v.T) / np.outer(*[np.linalg.norm(v, axis=1)] * 2) >= 0.93) & (label[:, None] == label)
+    return rows, linked.sum(1) - 1
+
+
+@pytest.mark.parametrize(("pairs", "d", "spread"), [(1, 64, 1.0), (250, 64, 1.0), (700, 64, 1.0), (250, 64, 0.1), (2500, 64, 0.2), (300, 5, 1.0), (40, 2, 1.0), (60, 1, 1.0)])
+def test_itq_takes_one_path_at_every_size_length_and_spread(spark, pairs, d, spread):
+    """The registered parameters, on tables with links: tiny, small and larger ones, narrow cones, short vectors."""
+    rows, want = near_rows(np.random.default_rng(pairs + d), pairs, d, spread) if d > 1 else ([(k, [1.0 + k if k % 3 else -1.0 - k], "a") for k in range(pairs)], np.array([(pairs * 2 // 3 if k % 3 else pairs // 3) - 1 for k in range(pairs)]))
+    got = {r.vec_id: r.n_links for r in itq.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert all(got[k] <= want[k] for k in got) and want.sum() >= pairs
+    assert sum(got.values()) >= (1 if len(rows) <= 4096 else 0.97) * want.sum()
+
+
 def test_table_plan_grows_with_the_vectors():
     assert itq.table_plan(5000, 64, 0.93) == (8, 8, 1)
     key, tables, rotations = itq.table_plan(1 << 28, 64, 0.93)
