@@ -84,24 +84,35 @@ def join_lines(text: Column, compat: bool = False) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
+#: Pieces of a text that are joined at a time: what a fold appends to stays short.
+_JOINED = 32
+
+
 def strip_brackets(text: Column) -> Column:
     """Without what stands in parentheses or brackets, however nested; an opener without its closer takes the rest of
-    the text, a closer without an opener stays. One fold over the characters, and none for texts without openers."""
-    start = F.struct(F.lit(0).alias("square"), F.lit(0).alias("round"), F.array().cast("array<string>").alias("out"))
+    the text, a closer without an opener stays. Pairs with no mark between them go by a pattern, three times over; what
+    then has openers left is folded over its marks and the runs between them. Kept runs are gathered in a short
+    array, which is joined when it is full, since appending copies."""
+    for _ in range(3):
+        text = F.regexp_replace(text, r"\([^\[\]()]*\)|\[[^\[\]()]*\]", "")
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("square"), F.lit(0).alias("round"), none.alias("part"), none.alias("done"))
 
     def step(at: Column, c: Column) -> Column:
         outside = (at["square"] == 0) & (at["round"] == 0)
         closes_square, closes_round = (c == "]") & (at["square"] > 0), (c == ")") & (at["round"] > 0)
-        mark = c.isin("[", "(") | closes_square | closes_round
+        kept, full = outside & ~(c.isin("[", "(") | closes_square | closes_round), F.size(at["part"]) >= _JOINED
         return F.struct(
             F.when(c == "[", at["square"] + 1).when(closes_square, at["square"] - 1).otherwise(at["square"]).alias("square"),
             F.when(c == "(", at["round"] + 1).when(closes_round, at["round"] - 1).otherwise(at["round"]).alias("round"),
-            F.when(outside & ~mark, F.array_append(at["out"], c)).otherwise(at["out"]).alias("out"),
+            F.when(kept & full, F.array(c)).when(kept, F.array_append(at["part"], c)).otherwise(at["part"]).alias("part"),
+            F.when(kept & full, F.array_append(at["done"], F.array_join(at["part"], ""))).otherwise(at["done"]).alias("done"),
         )
 
     # Runs without a mark are one step each, so the fold has as many steps as the text has marks, twice.
-    runs = F.regexp_extract_all(text, F.lit(r"[\[\]()]|[^\[\]()]+"), F.lit(0))
-    return F.when(text.rlike(r"[\[(]"), F.aggregate(runs, start, step, lambda at: F.array_join(at["out"], ""))).otherwise(text)
+    head, rest = F.regexp_extract(text, r"^[^\[(]*", 0), F.regexp_extract(text, r"(?s)[\[(].*$", 0)
+    runs = F.regexp_extract_all(rest, F.lit(r"[\[\]()]|[^\[\]()]+"), F.lit(0))
+    return F.when(text.rlike(r"[\[(]"), F.aggregate(runs, start, step, lambda at: F.array_join(F.concat(F.array(head), at["done"], at["part"]), ""))).otherwise(text)
 
 
 def strip_footnote_references(text: Column, strict: bool = True) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.operators import evalset, ngrams, suggest, tokens, vectors
+from lexweave.operators import context, evalset, ngrams, suggest, tokens, vectors
 from lexweave.plans.queries import _C, _FORMS, _LINES, _MATCH, _PARTS, _POS2, _TAG, F1, F2, F3, G1, G2, SQL, _collocations, _components, _lines, _tagged, docs, frequencies, gram_sql, grams, query, table
 
 # ---- n-grams
@@ -136,7 +136,7 @@ def vocabulary(spark, sf_dir):
 #: Vectors as tagged words, collocations of a vector and the next one or two, and the 20 neighbours of every key.
 _SUGGEST = """v as (select vec_id as i, 'w' || vec_id || '_l' || label as word, '_l' || label as tag, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
   u as (select i, word, tag, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as u from v),
-  c as (select [a.word, b.word] as t from v a join v b on b.i = a.i + 1 where a.i % 50 = 0 union all select [a.word, b.word, d.word] from v a join v b on b.i = a.i + 1 join v d on d.i = a.i + 2 where a.i % 100 = 0),
+  c as (select [a.word, b.word] as t from v a join v b on b.i = a.i + 1 union all select [a.word, b.word, d.word] from v a join v b on b.i = a.i + 1 join v d on d.i = a.i + 2),
   m0 as (select t, unnest(case when len(t) = 2 then [{'l': 1, 'm': [0, 1]}, {'l': 1, 'm': [1, 0]}, {'l': 2, 'm': [0, 0]}, {'l': 3, 'm': [0, 0]}] else """ + _MASKS3 + """ end) as x from c),
   m as (select array_to_string(t, ' ') as colloc, len(t) as n, x.l as level, x.m as mask, t, list_filter(t, lambda y, i: x.m[i] = 0) as open from m0),
   k as (select distinct array_to_string(open, ' ') as key, open from m), ko as (select key, unnest(open) as word from k),
@@ -145,11 +145,13 @@ _SUGGEST = """v as (select vec_id as i, 'w' || vec_id || '_l' || label as word,
   s as (select key, word, tag, round(list_cosine_similarity(s, u), 12) as score from ks join u on not list_contains(own, word)),
   near as (select * from (select *, row_number() over (partition by key order by score desc, word) as rank from s) where rank <= 20),
   f as (select m.*, array_to_string(open, ' ') as key from m)"""
-_POSITION = "(select key, word, tag, rank, score, true as o from near union all select null, null, null, 0, 0.0, false)"
-_FOUND = f"""{_SUGGEST}, r as (select colloc, n, level, mask, case when a.o then a.word else t[1] end as a, case when b.o then b.word else t[2] end as b, case when n = 2 then null when d.o then d.word else t[3] end as d, a.rank + b.rank + d.rank as rank, a.score + b.score + d.score as score
-  from f join {_POSITION} a on case when mask[1] = 0 then a.o and a.key = f.key and a.tag = regexp_extract(t[1], '_.*') else not a.o end
-  join {_POSITION} b on case when mask[2] = 0 then b.o and b.key = f.key and b.tag = regexp_extract(t[2], '_.*') else not b.o end
-  join {_POSITION} d on case when n = 3 and mask[3] = 0 then d.o and d.key = f.key and d.tag = regexp_extract(t[3], '_.*') else not d.o end)"""
+# A candidate of each position, fixed or open; positions are joined by their mask alone.
+_CAND = """ca as (select colloc, n, level, mask, t, key, unnest(range(1, n + 1)) as pos from f),
+  cand as (select colloc, n, level, mask, pos, t[pos] as word, 0 as rank, 0.0 as score from ca where mask[pos] = 1
+    union all select colloc, n, level, mask, pos, near.word, near.rank, near.score from (select *, regexp_extract(t[pos], '_.*') as tag from ca where mask[pos] = 0) join near using (key, tag))"""
+_JOINED = """select a.colloc, a.n, a.level, a.mask, a.word as a, b.word as b, null as d, a.rank + b.rank as rank, a.score + b.score as score from (select * from cand where pos = 1) a join (select * from cand where pos = 2) b using (colloc, level, mask) where a.n = 2
+    union all select a.colloc, a.n, a.level, a.mask, a.word, b.word, d.word, a.rank + b.rank + d.rank, a.score + b.score + d.score from (select * from cand where pos = 1) a join (select * from cand where pos = 2) b using (colloc, level, mask) join (select * from cand where pos = 3) d using (colloc, level, mask)"""
+_FOUND = f"{_SUGGEST}, {_CAND}, r as ({_JOINED})"
 
 
 def _tagged_vectors(spark, sf_dir):
@@ -158,9 +160,10 @@ def _tagged_vectors(spark, sf_dir):
 
 
 def _vector_collocations(v):
+    """Each vector with the next one, and with the next two."""
     after = lambda k: v.select(F.col("word").alias(f"w{k}"), (F.col("vec_id") - k).alias("vec_id"))
-    two = v.where("vec_id % 50 = 0").join(after(1), "vec_id")
-    three = two.where("vec_id % 100 = 0").join(after(2), "vec_id")
+    two = v.join(after(1), "vec_id")
+    three = two.join(after(2), "vec_id")
     return two.select(F.concat_ws(" ", "word", "w1").alias("colloc")).unionByName(three.select(F.concat_ws(" ", "word", "w1", "w2").alias("colloc")))
 
 
@@ -173,22 +176,59 @@ def static_suggest_all(spark, sf_dir):
     return found.select("colloc", "level", F.array_join("words", " ").alias("suggested"), "rank", F.round("score", 6).alias("score"))
 
 
-def _guesses():
-    """Stands for a masked language model: the words depend on the text's length and the mask's place."""
-    return lambda texts: [[[f"w{(len(t) + 7 * k + j) % 90}" for j in range(6)] for k in range(t.count("<mask>"))] for t in texts]
+_TOP = 5
+_SHARE = "{0} as (select * from (select *, freq / cast(sum(freq) over (partition by {1}) as double) as p, row_number() over (partition by {1} order by freq desc, w) as z from ({2})) where z <= {3})"
+_CONTEXTS = ", ".join((F1, F2, F3,
+    _SHARE.format("xb", "l, r", "select w1 as l, w3 as r, w2 as w, freq from f3", _TOP), _SHARE.format("xl", "l", "select w1 as l, w2 as w, freq from f2", _TOP),
+    _SHARE.format("xr", "r", "select w2 as r, w1 as w, freq from f2", _TOP), f"xa as (select w1 as w, freq / cast((select sum(freq) from f1) as double) as p from f1 order by freq desc, w limit {_TOP})"))
+_GAPS = "gx as (select text, string_split(text, ' ') as t, unnest(range(1, len(string_split(text, ' ')) + 1)) as pos from mx), gy as (select text, pos, row_number() over (partition by text order by pos) - 1 as k, case when t[pos - 1] <> '<mask>' then t[pos - 1] end as l, case when t[pos + 1] <> '<mask>' then t[pos + 1] end as r from gx where t[pos] = '<mask>')"
+_GUESSED = f"""{_GAPS}, gp as (select text, k, w, p from gy join xb using (l, r) union all select text, k, w, 0.4 * p from gy join xl using (l) union all select text, k, w, 0.4 * p from gy join xr using (r) union all select text, k, w, 0.4 * 0.4 * p from gy, xa),
+  gm as (select text, k, w, max(p) as p from gp group by all), gu as (select * from (select *, row_number() over (partition by text, k order by p desc, w) - 1 as r from gm) where r < {_TOP})"""
+_MASKED_WORDS = f"""{gram_sql(2, 'benchmark', 'item_id', name='q2')}, {gram_sql(3, 'benchmark', 'item_id', name='q3')}, c as (select distinct [w1, w2] as t from q2 union all select distinct [w1, w2, w3] from q3),
+  m0 as (select t, unnest(case when len(t) = 2 then [{{'l': 1, 'm': [0, 1]}}, {{'l': 1, 'm': [1, 0]}}, {{'l': 2, 'm': [0, 0]}}, {{'l': 3, 'm': [0, 0]}}] else {_MASKS3} end) as x from c),
+  m as (select array_to_string(t, ' ') as colloc, len(t) as n, x.l as level, x.m as mask, t, array_to_string(list_transform(t, lambda y, i: case when x.m[i] = 0 then '<mask>' else y end), ' ') as text from m0), mx as (select distinct text from m)"""
+_POSITIONED = """ca as (select colloc, n, level, mask, t, text, unnest(range(1, n + 1)) as pos from m), cb as (select *, len(list_filter(mask[1:pos - 1], lambda y: y = 0)) as k from ca),
+  cand as (select colloc, n, level, mask, pos, t[pos] as word, 0 as rank, 0.0 as score from cb where mask[pos] = 1 union all select colloc, n, level, mask, pos, gu.w, gu.r, 0.0 from cb join gu using (text, k) where mask[pos] = 0)"""
+_DYNAMIC = f"{_CONTEXTS}, {_MASKED_WORDS}, {_GUESSED}, {_POSITIONED}, r as ({_JOINED})"
 
 
-@query("dynamic_suggest", f"""with {_SUGGEST}, p as (select colloc, n, level, mask, list_transform(t, lambda y: split_part(y, '_', 1)) as b from m), x as (select *, array_to_string(list_transform(b, lambda y, i: case when mask[i] = 0 then '<mask>' else y end), ' ') as text from p),
-  g as (select *, unnest(range(6)) as j1 from x), h as (select *, unnest(case when list_sum(mask) = n - 1 then [0] else range(6) end) as j2 from g), z as (select *, unnest(case when n - list_sum(mask) < 3 then [0] else range(6) end) as j3 from h),
-  o as (select *, list_filter(range(1, n + 1), lambda i: mask[i] = 0) as open from z)
-  select colloc, cast(level as int) as level, array_to_string(list_transform(b, lambda y, i: case when i = open[1] then 'w' || ((length(text) + j1) % 90) when i = open[2] then 'w' || ((length(text) + 7 + j2) % 90) when i = open[3] then 'w' || ((length(text) + 14 + j3) % 90) else y end), ' ') as suggested, cast(j1 + j2 + j3 as bigint) as rank from o""")
+def _contexts(spark, sf_dir, topn: int = _TOP):
+    return context.Contexts.learn(*(frequencies(spark, sf_dir, n) for n in (1, 2, 3)), topn)
+
+
+def _passage_collocations(spark, sf_dir):
+    """The benchmark's two and three words in a row."""
+    two, three = (grams(spark, sf_dir, n, "benchmark", "item_id").select(F.concat_ws(" ", *ngrams.names(n)).alias("colloc")) for n in (2, 3))
+    return two.unionByName(three).distinct()
+
+
+@query("masked_guesses", f"with {_CONTEXTS}, {_MASKED_WORDS}, {_GUESSED} select text, cast(k as int) as k, w, r, round(p, 6) as p from gu")
+def masked_guesses(spark, sf_dir):
+    """The likeliest words of each mask, from the documents' words beside it."""
+    masked = suggest.with_masks(_passage_collocations(spark, sf_dir))
+    texts = masked.select(suggest.masked_text(F.col("tokens"), F.col("mask"), tags=False).alias("text"))
+    return _contexts(spark, sf_dir).guesses(texts).withColumn("p", F.round("p", 6))
+
+
+@query("dynamic_suggest", f"with {_DYNAMIC} select colloc, cast(level as int) as level, concat_ws(' ', a, b, d) as suggested, rank from r")
 def dynamic_suggest(spark, sf_dir):
-    """E11, E14 with a model of one's own."""
-    masked = suggest.with_masks(_vector_collocations(_tagged_vectors(spark, sf_dir)))
-    found = suggest.propose_with(masked, _guesses, 6)
+    """Masks of the benchmark's word pairs and triples, filled from what the documents have beside them."""
+    masked = suggest.with_masks(_passage_collocations(spark, sf_dir))
+    texts = masked.select(suggest.masked_text(F.col("tokens"), F.col("mask"), tags=False).alias("text"))
+    found = suggest.propose_from(masked, _contexts(spark, sf_dir).guesses(texts), _TOP)
     return found.select("colloc", "level", F.array_join("words", " ").alias("suggested"), "rank")
 
 
+@query("dynamic_replacements", f"""with {_DYNAMIC}
+  select colloc as original, a || ' ' || b as suggested, rank, cast(level as int) as "numReplaced", freq as ngram_freq from r join f2 on w1 = a and w2 = b where n = 2
+  union all select colloc, a || ' ' || b || ' ' || d, rank, cast(level as int), freq from r join f3 on w1 = a and w2 = b and w3 = d where n = 3""")
+def dynamic_replacements(spark, sf_dir):
+    """F4 with E11: of these, the ones that the documents attest."""
+    stats = {n: frequencies(spark, sf_dir, n).withColumns({"pmi": F.lit(None).cast("double"), "t_score": F.lit(None).cast("double")}) for n in (2, 3)}
+    found = suggest.collocation_replacements(_passage_collocations(spark, sf_dir), stats, guess=_contexts(spark, sf_dir).guesses, topn=_TOP, include=("ngram_freq",))
+    return found.drop("cosScore")
+
+
 @query("subword_vectors", """with w as (select vec_id, '<w' || vec_id || '>' as p, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), n as (select unnest([3, 4, 5, 6]) as n),
   g as (select distinct vec_id, p, case when length(p) < n then p else substr(p, i, n) end as g from (select vec_id, p, n, unnest(range(1, greatest(length(p) - n + 1, 1) + 1)) as i from w, n)),
   k as (select g, avg(e[1]) as a, avg(e[2]) as b from g join w using (vec_id) where vec_id % 2 = 0 group by g) select 'w' || vec_id as word, round(avg(a), 6) as a, round(avg(b), 6) as b from g join k using (g) group by vec_id""")
@@ -214,13 +254,13 @@ def _facts(spark, sf_dir):
     return two, three
 
 
-@query("replacements", f"""with {_FOUND}, {_FACTS}, x as (select *, split_part(a, '_', 1) as w1, split_part(b, '_', 1) as w2, split_part(d, '_', 1) as w3 from r)
+@query("replacements", f"""with {_FOUND.replace("rank <= 20", "rank <= 100")}, {_FACTS}, x as (select *, split_part(a, '_', 1) as w1, split_part(b, '_', 1) as w2, split_part(d, '_', 1) as w3 from r)
   select colloc as original, concat_ws(' ', a, b, d) as suggested, rank, round(score, 6) as "cosScore", cast(level as int) as "numReplaced", pmi, t_score, freq as ngram_freq from x join p using (w1, w2) where n = 2 and freq > 0
   union all select colloc, concat_ws(' ', a, b, d), rank, round(score, 6), cast(level as int), 1.0, 2.0, q.freq from x join q using (w1, w2, w3) where n = 3 and q.freq > 0""")
 def replacements(spark, sf_dir):
     """From collocations to attested, scored replacements in one call."""
     v, (two, three) = _tagged_vectors(spark, sf_dir), _facts(spark, sf_dir)
-    found = suggest.collocation_replacements(_vector_collocations(v), {2: two, 3: three}, v, topn=20)
+    found = suggest.collocation_replacements(_vector_collocations(v), {2: two, 3: three}, v, topn=100)
     return found.withColumn("cosScore", F.round("cosScore", 6))
 
 

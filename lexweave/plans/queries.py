@@ -593,7 +593,7 @@ def phrases(spark, sf_dir):
 
 
 @query("static_suggest", """with v as (select vec_id, 'w' || vec_id || '_l' || label as word, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
-  c as (select a.word as w1, b.word as w2, a.label as l1, b.label as l2 from v a join v b on a.vec_id % 50 = 0 and b.vec_id = a.vec_id + 1),
+  c as (select a.word as w1, b.word as w2, a.label as l1, b.label as l2 from v a join v b on b.vec_id = a.vec_id + 1),
   t as (select w1 as word from c union select w2 from c), s as (select q.word as k, x.word, x.label, list_cosine_similarity(q.e, x.e) as score from t join v q using (word) join v x on x.word <> q.word),
   r as (select *, row_number() over (partition by k order by score desc, word) as rank from s), n as (select * from r where rank <= 50)
   select w1 || ' ' || w2 as colloc, 1 as level, n.word || ' ' || w2 as suggested, rank, round(score, 6) as score from c join n on n.k = w1 and n.label = l1
@@ -602,7 +602,7 @@ def static_suggest(spark, sf_dir):
     """Words are vec_id_label, the label standing for the part of speech; a collocation is a vector and the next."""
     v = table(spark, sf_dir, "embeddings").select(F.concat_ws("_", F.concat(F.lit("w"), "vec_id"), F.concat(F.lit("l"), "label")).alias("word"), F.col("embedding").alias("vec"), "vec_id")
     next_ = v.select(F.col("word").alias("w2"), (F.col("vec_id") - 1).alias("vec_id"))
-    colloc = v.where("vec_id % 50 = 0").join(next_, "vec_id").select(F.concat_ws(" ", "word", "w2").alias("colloc"))
+    colloc = v.join(next_, "vec_id").select(F.concat_ws(" ", "word", "w2").alias("colloc"))
     masked = suggest.with_masks(colloc, (1,))
     words = colloc.select(F.explode(F.split("colloc", " ")).alias("word")).distinct()
     near = vectors.nearest_each(v, words, 50).select(F.col("query").alias("key"), "word", "rank", "score")

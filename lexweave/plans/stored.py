@@ -282,7 +282,7 @@ def job_suggest(spark, sf_dir):
     files.write_vectors(v, f"{root}/vectors")
     for n, facts in zip((2, 3), mining._facts(spark, sf_dir), strict=True):
         facts.select(*ngrams.names(n), "freq", "pmi", "t_score").write.parquet(f"{root}/stats{n}")
-    jobs.suggest_for(spark, f"{root}/colloc", {n: f"{root}/stats{n}" for n in (2, 3)}, f"{root}/out", f"{root}/vectors", topn=20)
+    jobs.suggest_for(spark, f"{root}/colloc", {n: f"{root}/stats{n}" for n in (2, 3)}, f"{root}/out", f"{root}/vectors", topn=100)
     kinds = "original string, suggested string, rank long, cosScore double, numReplaced int, pmi double, t_score double, ngram_freq long"
     found = files.read_csv(spark, f"{root}/out", kinds).select("original", "suggested", "rank", "cosScore", "numReplaced", "pmi", "t_score", "ngram_freq")
     return found.withColumn("cosScore", F.round("cosScore", 6))

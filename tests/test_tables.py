@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zipfile
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import audit, evalset, ngrams, suggest, tokens, vectors
+from lexweave.operators import audit, context, evalset, multiway, ngrams, suggest, tokens, vectors
 from lexweave.sources import files
 from lexweave.streaming import clean_stream, count_words, read_stream, write_stream
 
@@ -194,6 +195,75 @@ def test_ranked(spark):
     assert {(r.suggested, r.num_replacements) for r in few} == {("s", 1), ("t", 2)}
 
 
+def test_combinations_begin_at_the_cheapest_position(spark):
+    """A hundred neighbours a position: what is joined before the last position is decided is no more than the attested
+    n-grams of the position that has fewest, never the product of the positions."""
+    topn, rng = 100, random.Random(5)
+    tokens = [f"{w}_N" for w in "abc"]
+    near = [(" ".join(t for t, m in zip(tokens, mask, strict=True) if not m), f"{w}_N", r, 1 / r) for mask in suggest.masks(3, 3) + suggest.masks(3, 2) + suggest.masks(3, 1) for r, w in enumerate(rng.sample([f"n{k}" for k in range(150)], topn), 1)]
+    near = spark.createDataFrame(near, "key string, word string, rank int, score double")
+    masked = suggest.with_masks(spark.createDataFrame([(" ".join(tokens),)], "colloc string"))
+    grams = {("hub", f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(3000)} | {tuple(f"n{rng.randrange(150)}" for _ in range(3)) for _ in range(2000)}
+    grams |= {("a", f"n{k}", f"n{(7 * k) % 150}") for k in range(150)} | {("a", "b", f"n{k}") for k in range(150)} | {(f"n{k}", "b", "c") for k in range(150)}
+    facts = spark.createDataFrame([(*g, 1 + i % 3, float(i), 2.0) for i, g in enumerate(sorted(grams))], "w1 string, w2 string, w3 string, freq long, pmi double, t_score double")
+    cands = suggest.candidates_near(masked, near, topn)
+    got = suggest.attested_replacements(cands, facts, 3)
+    want = suggest.replacements(suggest.propose(masked, near, topn), facts, 3)
+    key = lambda r: (r.original, r.suggested, r["rank"], round(r.cosScore, 9), r.numReplaced, r.pmi, r.ngram_freq)
+    assert Counter(map(key, got.collect())) == Counter(map(key, want.collect())) and got.count() > 300
+    by = ["level", "mask"]
+    cut = multiway.cut_down(cands, facts, 3)
+    rows = {tuple(r[:2]): r["count"] for r in multiway.started(cands, cut, 3, by, multiway.costs(cands, cut, 3, by)).groupBy(*by).count().collect()}
+    held = {}
+    for r in cands.collect():
+        held.setdefault((r.level, r.mask), {}).setdefault(r.position, set()).add(r.word)
+    known = [tuple(r[:3]) for r in cut.select("w1", "w2", "w3").collect()]
+    for k, n in rows.items():
+        assert n == min(sum(g[p - 1] in held[k][p] for g in known) for p in (1, 2, 3))
+    assert sum(rows.values()) < sum(len(w[1]) * len(w[2]) * len(w[3]) for w in held.values()) / 100
+
+
+def test_contexts(spark):
+    """Against a plain version, held out; gaps at the ends, beside gaps and in unknown company."""
+    rng = random.Random(9)
+    after = {w: rng.sample("abcdefghij", 3) for w in "abcdefghij"}
+
+    def walk(n):
+        out = ["a"]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    texts = [walk(30) for _ in range(200)]
+    counts = [Counter(tuple(t[k : k + n]) for t in texts[:150] for k in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    frames = [spark.createDataFrame([(*g, c) for g, c in table.items()], ", ".join([*(f"w{k} string" for k in range(1, n + 1)), "freq long"])) for n, table in enumerate(counts, 1)]
+    one, two, three = counts
+
+    def plain(left, right):
+        p = Counter()
+        for w in "abcdefghij":
+            shares = [0.4 * 0.4 * one[w,] / one.total()]
+            if left:
+                shares.append(0.4 * two[left, w] / max(1, sum(c for g, c in two.items() if g[0] == left)))
+            if right:
+                shares.append(0.4 * two[w, right] / max(1, sum(c for g, c in two.items() if g[1] == right)))
+            if left and right:
+                shares.append(three[left, w, right] / max(1, sum(c for g, c in three.items() if (g[0], g[2]) == (left, right))))
+            p[w] = max(shares)
+        return sorted(((round(-x, 12), w) for w, x in p.items()))[:4]
+
+    model = context.Contexts.learn(*frames, topn=4)
+    asked = {"a <mask> b": [("a", "b")], "<mask> c": [(None, "c")], "d <mask>": [("d", None)], "x <mask> <mask> e": [("x", None), (None, "e")], "<mask>": [(None, None)], "no gap": []}
+    got = {}
+    for r in model.guesses(spark.createDataFrame([(t,) for t in (*asked, "<mask>", None)], "text string")).collect():
+        got.setdefault((r.text, r.k), []).append((r.r, round(-r.p, 12), r.w))
+    assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {(t, k): plain(*g) for t, gaps in asked.items() for k, g in enumerate(gaps)}
+    held = [(t[k - 1], t[k], t[k + 1]) for t in texts[150:] for k in range(1, 29)]
+    best = {r.text: r.w for r in model.guesses(spark.createDataFrame(sorted({(f"{a} <mask> {c}",) for a, _, c in held}), "text string")).where("r = 0").collect()}
+    assert sum(best[f"{a} <mask> {c}"] == b for a, b, c in held) > 0.5 * len(held)
+    assert context.Contexts.learn(*(f.limit(0) for f in frames), topn=4).guesses(spark.createDataFrame([("<mask> a",)], "text string")).count() == 0
+
+
 def test_evaluation_sets(spark):
     rows = spark.createDataFrame([("d", k, w, t) for k, (w, t) in enumerate(zip("изучать новый тема в доме тема".split(), "VANSNN", strict=True))], "doc_id string, pos int, word string, tag string")
     got = {(r.pos, r.template, r.ngram) for r in evalset.template_matches(rows).collect()}

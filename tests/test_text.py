@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,16 @@ def test_strip_brackets(spark):
     assert apply(spark, T.strip_brackets, *texts) == [brackets(t) for t in texts]
 
 
+def test_strip_brackets_of_many_pairs(spark):
+    """40,000 pairs, flat, nested and unclosed, in seconds."""
+    texts = ["a (b) " * 40_000, "x" + "(" * 40_000 + "y" + ")" * 40_000 + "z", "[a" * 20_000, "]a) " * 20_000 + "(b", "a (b) [c(d[e]f)] ([(x)]))" * 8_000]
+    apply(spark, T.strip_brackets, "((((warm)))) up")
+    for text in texts:
+        began = time.monotonic()
+        assert apply(spark, T.strip_brackets, text) == [brackets(text)]
+        assert time.monotonic() - began < 8
+
+
 def test_sentences(spark):
     assert apply(spark, T.sentences, "Раз два. Три!  Четыре? (Пять.) Шесть", "  ", None) == [["Раз два.", "Три!", "Четыре?", "(Пять.)", "Шесть"], [], None]
 
