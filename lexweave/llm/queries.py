@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexweave.llm import bpe, exponion, itq, licenses, lm, oracles, quality, resampling, sharding, topk, warc
 from lexweave.llm.linededup import WHITE, line_dedup
 from lexweave.llm.ngramjoin import ngram_join
-from lexweave.llm.packing import pack
+from lexweave.llm.packing import pack, pack_conversations
 from lexweave.sources.files import read_wide
 
 
@@ -34,10 +34,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of conversations, of which the assistant's alone bear loss: at most 512 of 1024 tokens of a sequence."""
-    plain = F.when(F.col("role") == "assistant", 0).otherwise((1 << 31) - 1)
-    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text", plain.alias("plain"))
-    return pack(turns, public_tokenizers.path("byte_bpe_50k.json"), "turn_id", loss_from="plain", max_loss=512, digest=True)
+    """Conversations whole, of which the assistant's turns alone bear loss: at most three quarters of 4,096 tokens."""
+    return pack_conversations(_table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame):

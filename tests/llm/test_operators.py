@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -18,7 +19,7 @@ from lexweave.llm import bpe, itq, lm, quality, sharding, topk, warc
 from lexweave.llm.common import components
 from lexweave.llm.linededup import boilerplate, line_dedup
 from lexweave.llm.ngramjoin import _pack_sets, _unpack_sets, bands_for, ngram_join
-from lexweave.llm.packing import _Pool, encoder, pack
+from lexweave.llm.packing import _Pool, encoder, pack, pack_conversations
 
 DOCS = "doc_id long, text string, source string, ids long, t string"
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -209,22 +210,83 @@ def test_bins_are_those_of_the_dot_product_heuristic(limits):
     assert got == want and sorted(pool.items[: pool.used]) == sorted(x[3] for x in waiting)
 
 
-def test_packing_of_turns(spark, tmp_path):
-    from lexweave.llm.queries import op2_packing_turns
+def pieces_plain(turns, limits, ids_of):
+    """Of one conversation (turn, bears loss, text in order): exchanges gathered while they fit, too large ones cut freely."""
+    exchanges, pieces, piece = [], [], []
+    for n, bears, text in turns:
+        if not exchanges or exchanges[-1][-1][1] and not bears:
+            exchanges.append([])
+        exchanges[-1].append((n, bears, ids_of(text)))
 
-    rng = random.Random(14)
-    turns = [(c, t, "user" if t % 2 == 0 else "assistant", words(rng, rng.randrange(300)) if c % 7 else None) for c in range(60) for t in range(4)]
-    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    role, sequences = {f"{c}:{t}": r for c, t, r, _ in turns}, defaultdict(list)
-    pieces = op2_packing_turns(spark, str(tmp_path)).collect()
-    for r in pieces:
+    def size(x):
+        return sum(len(i) for *_, i in x), len(x), sum(len(i) for _, b, i in x if b)
+
+    def fits(x):
+        return all(a <= b for a, b in zip(size(x), limits))
+
+    for e in exchanges:
+        if fits(piece + e):
+            piece = piece + e
+            continue
+        if piece:
+            pieces.append(piece)
+        piece = e if fits(e) else []
+        if not fits(e):
+            for n, bears, ids in e:
+                for i in ids:
+                    grown = [*piece[:-1], (n, bears, [*piece[-1][2], i])] if piece and piece[-1][0] == n else [*piece, (n, bears, [i])]
+                    if not fits(grown):
+                        pieces.append(piece)
+                        grown = [(n, bears, [i])]
+                    piece = grown
+    return pieces + [piece] * bool(piece)
+
+
+def test_packing_of_conversations(spark):
+    """Pieces against plain Python; limits, order and fill of sequences."""
+    rng, limits = random.Random(14), (1024, 12, 600)
+    rows = [(c, t, ("user", "assistant", "assistant", "system", None)[rng.randrange(5)] if c % 5 else ("user", "assistant")[t % 2], words(rng, rng.randrange(60 if c % 9 else 400)) if c % 7 else None) for c in range(150) for t in range(rng.randrange(1, 12))]
+    rows += [(None, t, "user", "no conversation") for t in range(3)] + [(5000, None, "user", "x"), (5001, 100, "assistant", "later"), (5001, 1, "user", "sooner")]
+    table = spark.createDataFrame([(*r, "a", 1) for r in rows], "conv_id long, turn int, role string, text string, c string, n int").repartition(5)
+    got = pack_conversations(table, JSON, max_tokens=1024, max_segments=12, max_loss=600).collect()
+    encode, sequences, found = encoder(JSON), defaultdict(list), defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         sequences[r.sequence_id].append(r)
-    assert {r.turn_id for r in pieces} == set(role) and all(sum(r.length for r in g) <= 1024 and sum(r.length for r in g if role[r.turn_id] == "assistant") <= 512 for g in sequences.values())
-    assert sum(sum(r.length for r in g if role[r.turn_id] == "assistant") > 450 for g in sequences.values()) > 10
-    total = defaultdict(int)
-    for r in pieces:
-        total[r.turn_id] += r.length
-    assert all(total[r.turn_id] == r.doc_tokens for r in pieces)
+        found[r.sequence_id, r.example].append((r.conv_id, r.turn, r.start, tuple(r.ids)))
+    want, by = Counter(), defaultdict(list)
+    for k, (c, t, role, text) in enumerate(rows):
+        by[(c, t // 12 if t is not None else None) if c is not None else k].append((t, role == "assistant", text, c))
+    for turns in by.values():
+        turns.sort(key=lambda x: (x[0] is not None, x[0] or 0))
+        at = defaultdict(int)
+        for piece in pieces_plain([x[:3] for x in turns], limits, lambda text: [*encode(text or "").tolist(), 0]):
+            segments = []
+            for n, _, ids in piece:
+                segments.append((turns[0][3], n, at[n], tuple(ids)))
+                at[n] += len(ids)
+            want[tuple(segments)] += 1
+    assert Counter(map(tuple, found.values())) == want
+    for s in sequences.values():
+        assert sum(r.length for r in s) <= 1024 and len(s) <= 12 and sum(r.length for r in s if r.bears_loss) <= 600
+        assert [r.offset for r in s] == [sum(x.length for x in s[:k]) for k in range(len(s))]
+    digests = pack_conversations(table, JSON, max_tokens=1024, max_segments=12, max_loss=600, digest=True)
+    assert Counter(r.ids_crc32 for r in digests.collect()) == Counter(zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
+    assert pack_conversations(table.limit(0), JSON).count() == 0
+
+
+def test_packing_of_conversations_fills_and_deals_hot_ones(spark, monkeypatch):
+    from lexweave.llm import packing
+
+    rng = random.Random(15)
+    rows = [(c, t, ("user", "assistant")[t % 2], words(rng, rng.randrange(5, 40 if t % 2 == 0 else 120))) for c in range(400) for t in range(6)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = pack_conversations(table, JSON).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum(F.when(F.col("bears_loss"), F.col("length"))).alias("loss")).collect()
+    full = [max(r.n / 4096, (r.loss or 0) / 3072) for r in got]
+    assert np.mean(full) > 0.9
+    monkeypatch.setattr(packing, "_TURNS", 50)
+    hot = spark.createDataFrame([(7, 1, "user", f"same {k}") for k in range(2900)] + [(None, None, "assistant", "none")] * 200, "conv_id long, turn int, role string, text string")
+    many = pack_conversations(hot, JSON, max_tokens=64).collect()
+    assert len({r.sequence_id >> 40 for r in many if r.conv_id == 7}) > 1 and Counter(r.conv_id for r in many if r.start == 0) == {7: 2900, None: 200}
 
 
 def test_encoder_agrees_with_the_library():
@@ -253,9 +315,36 @@ def test_warc(spark, tmp_path):
     assert Counter((r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
     assert sum(len(r.payload or b"") for r in got) == 2 * len(big.encode()) + len(other) + 10
+    ids = {r.record_id: r for r in got}
+    assert len(ids) == len(got) and all(ids[r.refers_to_record].payload_digest == r.payload_digest and ids[r.refers_to_record].record_type == "response" for r in got if r.refers_to is not None)
     assert warc.revisit(pages(spark, []), f"file://{tmp_path}/b").count() == 0
 
 
+def test_warc_of_repeated_ids(spark, tmp_path):
+    """One id and url with other payloads, with equal ones, and null ids of one url: a record id each, all references resolved."""
+    big = "z" * 1500
+    rows = [(1, "u", big), (1, "u", big), (1, "u", big), (1, "u", big + "!"), (1, "v", big), (0, "w", big), (None, "n", "a"), (None, "n", "b"), (None, "n", "a"), (0, "w", big + "!")]
+    got = warc.revisit(pages(spark, [(*r, "a", "b") for r in rows]).repartition(3), f"file://{tmp_path}/d", payload=True).collect()
+    ids = {r.record_id: r for r in got}
+    assert len(ids) == len(got) == len(rows)
+    again = [r for r in got if r.record_type == "revisit"]
+    assert len(again) == 2 and all((ids[r.refers_to_record].id, len(ids[r.refers_to_record].payload)) == (1, r.payload_bytes) for r in again)
+    assert {ids[r.refers_to_record].url for r in again} == {"u", "v"}
+    with pytest.raises(ValueError):
+        warc.revisit(pages(spark, []), "ftp://host/x")
+
+
+def test_warc_files_are_of_the_format(spark, tmp_path):
+    table = pages(spark, [(i, f"u{i}", "same " * 300 if i % 2 else f"{i} " * 400, "a", "b") for i in range(9)])
+    for path in (r.path for r in warc.write_archives(table, f"file://{tmp_path}/e", file_bytes=3000).collect()):
+        with gzip.open(path.removeprefix("file://")) as f:
+            records = list(warc.parse(f))
+        assert records[0][0]["warc-type"] == "warcinfo" and path.endswith(records[0][0]["warc-filename"]) and len(records) > 1
+        for head, block in records:
+            assert head["warc-block-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+            assert head["warc-type"] != "revisit" or {"warc-refers-to", "warc-refers-to-date", "warc-refers-to-target-uri", "warc-profile"} <= set(head)
+
+
 def test_warc_rotates_files(spark, tmp_path):
     table = pages(spark, [(i, f"u{i}", f"{i} " * 700, "a", "b") for i in range(50)])
     manifest = warc.write_archives(table, f"file://{tmp_path}/c", file_bytes=10_000)
