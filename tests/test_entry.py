@@ -52,7 +52,8 @@ def test_query(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(own.QUERIES) == set(own.SQL)
+    """But for decoding by Viterbi, which test_learned.py holds against all paths."""
+    assert set(own.QUERIES) - set(own.SQL) == {"learned_tags"}
 
 
 def plans(spark, name: str) -> str:
