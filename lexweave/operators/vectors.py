@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -121,82 +120,16 @@ def train_word2vec(sentences: DataFrame, size: int = 100, window: int = 8, min_c
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
-#: Numbers of a model that train_cbow() sends to every task.
-MOST_NUMBERS = 1 << 26
-
-
-def _cbow_epoch(sentences: list[list[int]], one: np.ndarray, two: np.ndarray, draw: np.ndarray, window: int, negative: int, rate: float, seed: int) -> tuple[float, int]:
-    """A pass over sentences (word numbers), which changes the matrices of contexts (one) and of words (two) in place, a
-    sentence at a time; the sum of the losses and the number of words. draw: cumulative shares of negative words."""
-    rng, loss, n = np.random.default_rng(seed), 0.0, 0
-    for s in map(np.array, sentences):
-        if len(s) < 2:
-            continue
-        place = np.arange(len(s))[:, None] + np.array([k for k in range(-window, window + 1) if k])
-        there = (place >= 0) & (place < len(s))
-        context = s[np.where(there, place, 0)]
-        share = there / there.sum(axis=1, keepdims=True)
-        mean = np.einsum("lc,lcd->ld", share, one[context])
-        target = np.column_stack([s, np.searchsorted(draw, rng.random((len(s), negative)))])
-        truth = np.zeros(target.shape)
-        truth[:, 0] = 1
-        weight = np.column_stack([np.ones(len(s)), target[:, 1:] != s[:, None]])
-        p = 1 / (1 + np.exp(-np.clip(np.einsum("ld,lkd->lk", mean, two[target]), -30, 30)))
-        loss -= float((weight * np.log(np.where(truth > 0, p, 1 - p) + 1e-12)).sum())
-        n += len(s)
-        error = rate * weight * (truth - p)
-        back = np.einsum("lk,lkd->ld", error, two[target])
-        np.add.at(two, target, error[:, :, None] * mean[:, None, :])
-        np.add.at(one, context, share[:, :, None] * back[:, None, :])
-    return loss, n
-
-
 def train_cbow(
-    sentences: DataFrame, size: int = 100, window: int = 8, min_count: int = 5, epochs: int = 5, seed: int = 0, parts: int = 1, negative: int = 5, rate: float = 0.05,
+    sentences: DataFrame, size: int = 100, window: int = 8, min_count: int = 5, epochs: int = 5, seed: int = 0, parts: int | None = None, negative: int = 5, rate: float = 0.05,
     words_col: str = "words",
 ) -> tuple[DataFrame, list[float]]:
-    """Word, vec by continuous bags of words with negative sampling, and the mean loss of a word in each epoch.
-
-    Sentences are dealt to parts once. In an epoch each part starts from the same model and passes over its sentences;
-    the models are then averaged word by word, over the parts that have met the word. The model itself (two matrices of
-    words by size, MOST_NUMBERS numbers at most: more is an error) is what is sent to tasks and comes back."""
-    spark = sentences.sparkSession
-    counted = sentences.select(F.explode(words_col).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    if 2 * counted.count() * size > MOST_NUMBERS:
-        raise ValueError("the vocabulary is too large for its vectors; raise min_count")
-    table = keep(numbered(counted, "word").join(counted, "word"), "vocabulary").orderBy("id").collect()
-    numbers, counts = {r.word: r.id for r in table}, np.array([r.n for r in table], np.float64)
-    draw = np.cumsum(counts**0.75) / np.sum(counts**0.75) if len(counts) else counts
-    rng = np.random.default_rng(seed)
-    one, two = (rng.random((len(table), size)) - 0.5) / size, np.zeros((len(table), size))
-    dealt = keep(sentences.select(words_col).repartition(parts, F.xxhash64(words_col)).select(F.spark_partition_id().alias("part"), F.col(words_col).alias("words")), "sentences")
-    losses = []
-
-    def learner(epoch: int, model):
-        def learn(group: pd.DataFrame) -> pd.DataFrame:
-            known, one, two, draw = model.value
-            one, two, part = one.copy(), two.copy(), int(group["part"].iloc[0])
-            rows = sorted([known[w] for w in ws if w in known] for ws in group["words"])
-            loss, n = _cbow_epoch(rows, one, two, draw, window, negative, rate * (1 - epoch / epochs), seed + 1000 * epoch + part)
-            met = np.unique(np.concatenate([np.array(r, np.int64) for r in rows] or [np.zeros(0, np.int64)]))
-            return pd.DataFrame({"id": [-1, *met.tolist()], "v": [np.array([loss, n]), *np.concatenate([one[met], two[met]], axis=1)]})
-
-        return learn
-
-    for epoch in range(epochs if len(table) else 0):
-        model = spark.sparkContext.broadcast((numbers, one, two, draw))
-        grouped = dealt.groupBy("part").applyInPandas(learner(epoch, model), "id long, v array<double>")
-        mean = grouped.groupBy("id", F.size("v").alias("k")).agg(F.count("*").alias("n"), *(F.sum(F.get("v", F.lit(k))).alias(f"s{k}") for k in range(2 * size)))
-        one, two = one.copy(), two.copy()
-        for row in mean.collect():
-            values = np.array(row[3 : 3 + row.k], np.float64)
-            if row.id < 0:
-                losses.append(float(values[0] / max(1, values[1])))
-            else:
-                one[row.id], two[row.id] = np.split(values / row.n, 2)
-        model.unpersist()
-    made = spark.createDataFrame([(r.word, one[r.id].tolist()) for r in table], "word string, vec array<double>")
-    return made, losses
+    """Word, vec by continuous bags of words with negative sampling, and the mean loss of a word in each epoch: the
+    model of embed.train_bags(), in parts chunks (by default as many as the words ask for)."""
+    from lexweave.operators.embed import train_bags
+
+    model = train_bags(sentences, size, window, min_count, epochs, seed, negative, rate, chunks=parts, words_col=words_col)
+    return model.vectors(), model.losses
 
 
 def train_by_field(sentences: DataFrame, fields: list[str], **settings) -> dict[str, DataFrame]:
@@ -205,7 +138,7 @@ def train_by_field(sentences: DataFrame, fields: list[str], **settings) -> dict[
 
 
 def subword_vectors(vectors: DataFrame, words: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
-    """E2, as an approximation: vectors of any words (word) as the mean of their character n-grams' vectors, each being
+    """E2 for vectors that were trained without subwords (embed.train_bags() learns them): vectors of any words (word) as the mean of their character n-grams' vectors, each being
     the mean of the known words that have it."""
     def grams(w: Column) -> Column:
         padded = F.concat(F.lit("<"), w, F.lit(">"))
@@ -228,16 +161,10 @@ def cooccurrences(tokens: DataFrame, window: int = 5) -> DataFrame:
 
 
 def train_glove(pairs: DataFrame, size: int = 50, rounds: int = 10, seed: int = 0) -> DataFrame:
-    """E3, as an approximation: word, vec by factorising the logs of co-occurrence weights (alternating least squares
-    in place of weighted stochastic gradients)."""
-    from pyspark.ml.recommendation import ALS
-
-    both = pairs.unionByName(pairs.select(F.col("context").alias("word"), F.col("word").alias("context"), "weight"))
-    words = numbered(both.select("word").distinct(), "word")
-    other = words.select(F.col("word").alias("context"), F.col("id").alias("j"))
-    rows = both.join(words, "word").join(other, "context").select(F.col("id").alias("i"), "j", F.log1p("weight").alias("r"))
-    model = ALS(rank=size, maxIter=rounds, seed=seed, userCol="i", itemCol="j", ratingCol="r", nonnegative=False).fit(rows)
-    return words.join(model.userFactors, "id").select("word", F.col("features").alias("vec"))
+    """Word, vec by the weighted factorisation of co-occurrences (glove.factorise())."""
+    from lexweave.operators.glove import factorise
+
+    return factorise(pairs, size, rounds, seed)[0]
 
 
 def numbered(words: DataFrame, column: str) -> DataFrame:

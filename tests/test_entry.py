@@ -52,8 +52,8 @@ def test_query(spark, db, name):
 
 
 def test_every_query_has_sql():
-    """But for decoding by Viterbi, which test_learned.py holds against all paths."""
-    assert set(own.QUERIES) - set(own.SQL) == {"learned_tags"}
+    """But for decoding by Viterbi and for trained vectors, which test_learned.py and test_embed.py hold against plain versions."""
+    assert set(own.QUERIES) - set(own.SQL) == {"learned_tags", "bag_vectors", "subword_bag_vectors", "glove_vectors"}
 
 
 def plans(spark, name: str) -> str:
