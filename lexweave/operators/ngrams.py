@@ -44,6 +44,20 @@ def frequencies(grams: DataFrame, n: int) -> DataFrame:
     return grams.groupBy(*names(n)).agg(F.count("*").alias("freq"))
 
 
+def frequencies_to(docs: DataFrame, words: Column, n: int, id_col: str = "doc_id") -> dict[int, DataFrame]:
+    """1 to n: w1 .., freq of the n-grams of each order, from one pass over the texts.
+
+    A row a word, with the n - 1 words behind it (null beyond the end), is counted and written; lower orders are sums over
+    that table, which is read in place of the texts."""
+    behind = [F.concat(F.slice("_w", k, F.size("_w")), F.array_repeat(F.lit(None).cast("string"), k - 1)).alias(w) for k, w in enumerate(names(n), 1)]
+    rows = docs.select(words.alias("_w")).where(F.size("_w") > 0).select(F.explode(F.arrays_zip(*behind)).alias("g")).select("g.*")
+    whole = keep(rows.groupBy(*names(n)).agg(F.count("*").alias("freq")), "grams")
+    out = {n: whole.where(F.col(f"w{n}").isNotNull())}
+    for k in range(n - 1, 0, -1):
+        out[k] = whole.where(F.col(f"w{k}").isNotNull()).groupBy(*names(k)).agg(F.sum("freq").alias("freq"))
+    return out
+
+
 def document_frequencies(grams: DataFrame, n: int) -> DataFrame:
     """w1 .. wn, ngram_freq, doc_freq. Counted by document first, so no set of documents is kept for any n-gram."""
     each = grams.groupBy(*names(n), "doc_id").agg(F.count("*").alias("k"))

@@ -12,6 +12,7 @@ from lexweave.functions import patterns as P
 from lexweave.functions import text as T
 from lexweave.operators import audit, evalset, html, ngrams, plain, suggest, tokens, vectors
 from lexweave.sources.files import read_wide
+from lexweave.sources.scratch import keep
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -172,8 +173,10 @@ _TRIPLES = f"""with {F1}, {F2}, {F3}, p as (select f3.w1, f3.w2, f3.w3, f3.freq,
 
 @query("trigram_stats", _TRIPLES.replace("{}", " where f3.freq >= 3"))
 def trigram_stats(spark, sf_dir, least: int = 3):
-    one, two, three = (frequencies(spark, sf_dir, n) for n in (1, 2, 3))
-    found = ngrams.statistics(three.where(F.col("freq") >= least), two, one, 3, one.agg(F.count("*").alias("n")))
+    of = ngrams.frequencies_to(docs(spark, sf_dir), tokens.words(F.col("text")), 3)
+    one = keep(of[1], "words")
+    # A pair is at least as frequent as what begins with it.
+    found = ngrams.statistics(of[3].where(F.col("freq") >= least), of[2].where(F.col("freq") >= least), one, 3, one.agg(F.count("*").alias("n")))
     return found.select("w1", "w2", "w3", "freq", F.round("pmi", 6).alias("pmi"), F.round("t_score", 6).alias("t_score"))
 
 
@@ -189,8 +192,8 @@ _C_VALUES = f"""with {F2}, {F3}, i as (select w1, w2, freq from f3 union all sel
 
 @query("c_value", f"{_C_VALUES} where freq >= 3")
 def c_value(spark, sf_dir, least: int = 3):
-    two, three = frequencies(spark, sf_dir, 2), frequencies(spark, sf_dir, 3)
-    return ngrams.c_values(two.where(F.col("freq") >= least), three, 2).withColumn("c_value", F.round(F.col("c_value").cast("double"), 6))
+    of = ngrams.frequencies_to(docs(spark, sf_dir), tokens.words(F.col("text")), 3)
+    return ngrams.c_values(of[2].where(F.col("freq") >= least), of[3], 2).withColumn("c_value", F.round(F.col("c_value").cast("double"), 6))
 
 
 @query("c_value_all", _C_VALUES)
