@@ -9,6 +9,8 @@ from lexweave.llm.common import materialize, unbound
 
 #: Line hashes up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Buckets of a text's line hashes.
+BUCKETS = 256
 #: All white space, for blanks below.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
@@ -62,9 +64,13 @@ def line_dedup(
     chosen = boilerplate(docs, text_col, site_col, min_sites, blanks=blanks)
     rows = docs.drop(*names).select(F.struct("*").alias("r"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"))
     hits = _among(rows.select("k", F.explode(F.array_distinct(F.transform(F.split("t", "\n"), lambda x: _hash(x, blanks)))).alias("h")), chosen)
-    hits = hits.groupBy("k").agg(F.collect_set("h").alias("hs")).select(unbound("k"), "hs")
+    # A text's hashes lie in buckets, so that a line is compared with a small part of very many.
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    hits = hits.groupBy("k", bucket(F.col("h")).alias("b")).agg(F.collect_set("h").alias("hs"))
+    hits = hits.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("b", "hs"))).alias("hs")).select(unbound("k"), "hs")
     lines = F.split("t", "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("hs"), _hash(x, blanks)))
+    among = lambda h: F.coalesce(F.array_contains(F.try_element_at("hs", bucket(h)), h), F.lit(False))
+    kept = F.filter(lines, lambda x: ~among(_hash(x, blanks)))
     found = rows.join(hits, "k", "left").select(
         "r", "t", F.when(F.col("hs").isNull(), lines).otherwise(kept).alias("kept"), F.size(F.coalesce(lines, F.array())).cast("long").alias("n")
     )

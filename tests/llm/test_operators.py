@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -393,6 +394,16 @@ def test_line_dedup(spark, empty):
     assert line_dedup(empty).count() == 0
 
 
+def test_line_dedup_of_very_many_shared_lines(spark):
+    """40,000 lines on eight sites, and one line of its own, in each text."""
+    shared = "\n".join(f"line {k}" for k in range(40_000))
+    table = spark.createDataFrame([(i, f"{shared}\nown {i}\n{shared}", f"s{i}") for i in range(8)], "doc_id long, text string, source string")
+    began = time.monotonic()
+    got = line_dedup(table).collect()
+    assert {(r.doc_id, r.text, r.n_removed, r.exempt) for r in got} == {(i, f"own {i}", 80_000, False) for i in range(8)}
+    assert time.monotonic() - began < 90
+
+
 def test_line_dedup_whole_cuts_all_that_keep_own_lines(spark):
     passage = "a long passage on many sites " * 9
     rows = [(i, f"own {i}\n{passage}\n", f"s{i}") for i in range(8)] + [(8, f"{passage}\n  ", "s1"), (9, passage, "s2"), (10, "own\n\nmore", "s3")]
