@@ -76,6 +76,13 @@ def stored_archives(spark, sf_dir):
     return files.read_zips(spark, root, lines=True).select("member", "text")
 
 
+@query("stored_members", SQL["stored_archives"])
+def stored_members(spark, sf_dir):
+    """S5 by ranges of members: some tasks an archive."""
+    root = _archives(spark, [(i, t.replace(". ", ".\n\n ")) for i, t in _items(spark, sf_dir)])
+    return files.read_zip_members(spark, root, lines=True, most=4096).select("member", "text")
+
+
 _ROWS = "select n_nationkey as id, n_name || ', \"x' || n_regionkey || '\"' as name from nation"
 
 

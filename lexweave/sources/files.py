@@ -55,6 +55,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(stem(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("text"))
 
 
+def read_zip_members(spark: SparkSession, path: str, lines: bool = False, most: int = 64 << 20) -> DataFrame:
+    """As read_zips(), for large archives: their members are dealt to tasks by ranges of most bytes (zips.read_members())."""
+    from lexweave.sources.zips import read_members
+
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    if lines:
+        stripped = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+        text = F.array_join(F.transform(stripped, lambda x: F.concat(F.lit(" "), x)), "")
+    return read_members(spark, path, most).select("archive", "member", text.alias("text"))
+
+
 def read_zips(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Archive, member, text of the text files in zip archives: whole, or (lines) with the stripped non-empty lines
     each after a space. An archive is read by one task, its members one after the other."""
