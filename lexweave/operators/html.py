@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import patterns as P
 from lexweave.functions import text as T
+from lexweave.sources.scratch import keep
 
 ROWS = ("doc_id", "page", "para", "text")
 
@@ -220,16 +221,18 @@ def drop_unwanted(rows: DataFrame, alphabet: str = "cyrillic") -> DataFrame:
 CHECKPOINTS = ("keywords", "footnotes", "quotations", "unwanted sentences")
 
 
-def checkpoints(rows: DataFrame, alphabet: str = "cyrillic", headings: tuple[str, ...] | None = None, keywords: str = P.KEYWORD_HEADING) -> list[DataFrame]:
-    """C20: the paragraphs, at last the sentences, after each of CHECKPOINTS. The steps' order is part of the result."""
+def checkpoints(rows: DataFrame, alphabet: str = "cyrillic", headings: tuple[str, ...] | None = None, keywords: str = P.KEYWORD_HEADING, written: bool = False) -> list[DataFrame]:
+    """C20: the paragraphs, at last the sentences, after each of CHECKPOINTS. The steps' order is part of the result.
+    written: each is written and read by the next, so that a status of all of them runs no step twice."""
+    held = keep if written else lambda rows, name: rows
     cut = cut_references(drop_blank(rows)) if headings is None else cut_from(drop_blank(rows), *headings)
-    one = cut_through_keywords(renumber(cut), keywords)
-    two = renumber(cut_footnotes(drop_headers(one)))
-    three = drop_blank(map_text(two, T.mask_quotes))
+    one = held(cut_through_keywords(renumber(cut), keywords), "keywords")
+    two = held(renumber(cut_footnotes(drop_headers(one))), "footnotes")
+    three = held(drop_blank(map_text(two, T.mask_quotes)), "quotations")
     rows = join_broken(map_text(dehyphenate(three), T.terminal_periods), alphabet)
     rows = drop_examples(map_text(rows, T.mask_styles))
     rows = map_text(rows, T.strip_brackets, T.strip_footnote_references, lambda t: T.mask_unknown(t, alphabet), T.mask_numbers)
-    return [one, two, three, drop_unwanted(split_sentences(rows), alphabet)]
+    return [one, two, three, held(drop_unwanted(split_sentences(rows), alphabet), "sentences")]
 
 
 def preprocess(rows: DataFrame, alphabet: str = "cyrillic", headings: tuple[str, ...] | None = None, keywords: str = P.KEYWORD_HEADING) -> DataFrame:

@@ -425,7 +425,7 @@ SQL["clean_html"] = f"with {_HTML} select * from four"
   select doc_id, d as n_sentences, a > 0 and b > 0 and c > 0 and d > 0 as kept, case when a = 0 then 'keywords' when b = 0 then 'footnotes' when c = 0 then 'quotations' when d = 0 then 'unwanted sentences' end as emptied from n""")
 def html_status(spark, sf_dir):
     """C20's status."""
-    return html.status(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), html.checkpoints(shaped_pages(spark, sf_dir), "latin"))
+    return html.status(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), html.checkpoints(shaped_pages(spark, sf_dir), "latin", written=True))
 
 
 _SUBSET = f"""l2 as (select doc_id, page, para, {_QUOTES.format(_PERIODS.format('text'))} as text from l), b1 as ({_RENUMBER} l2 where not regexp_matches(text, '^\\s*$')), r17 as (select doc_id, page, para, {_NESTED} as text from b1),
