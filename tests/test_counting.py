@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexweave.operators import counting, ngrams, tokens
+from lexweave.operators import counting, ngrams, tokens, vectors
 
 DIR = "/root/testdata/sf0.001"
 TEXTS = [*("".join(random.Random(k).choice(["а ", "б ", "the ", "of ", "zeta ", "ß "]) for _ in range(k)) for k in range(40)), None, "", "а б а в"]
@@ -64,3 +66,15 @@ def test_lower_orders_come_from_the_highest(spark, texts):
     of = ngrams.frequencies_to(texts, tokens.words(F.col("text")), 3)
     want = Counter(w for t in TEXTS for w in split(t))
     assert {r.w1: r.freq for r in of[1].collect()} == want
+
+
+def test_unit_vectors_and_thresholds(spark):
+    assert str(vectors.unit(F.col("v"))).count("aggregate") == 1
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>").select(vectors.unit(F.col("v")).alias("u")).collect()
+    assert [r.u for r in rows] == [[0.6, 0.8], None, None]
+    rng = np.random.default_rng(2)
+    for n, k in ((5, 5), (40, 3), (3000, 10), (3007, 10), (90, 80)):
+        s = rng.normal(size=(20, n)).astype(np.float32)
+        least = vectors._at_least(s, k)
+        assert (least <= (np.sort(s, axis=1)[:, -k] if k < n else -np.inf)).all()
+        assert k >= n or ((s >= least[:, None]).sum(axis=1) < 3 * k + 10).all()
