@@ -78,3 +78,19 @@ def test_unit_vectors_and_thresholds(spark):
         least = vectors._at_least(s, k)
         assert (least <= (np.sort(s, axis=1)[:, -k] if k < n else -np.inf)).all()
         assert k >= n or ((s >= least[:, None]).sum(axis=1) < 3 * k + 10).all()
+
+
+def test_taggers_get_bounded_runs_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "CHARACTERS", 30)
+    texts = [(k, "аб вг " * (k % 7)) for k in range(50)] + [(99, "x " * 400)]
+
+    def make():
+        def tag(sentences):
+            return [[(str(sum(map(len, sentences))), str(len(sentences)))] + [(w, "N") for w in s.split()] for s in sentences]
+
+        return tag
+
+    got = tokens.tokenize_with(spark.createDataFrame(texts, "doc_id int, text string").coalesce(1), make).collect()
+    assert max(int(r.lemma) for r in got if r.pos == 0 and int(r.tag) > 1) <= 72 and sum(r.pos > 0 for r in got) == sum(len(t.split()) for _, t in texts)
+    nulls = spark.createDataFrame([(1, None), (2, "a")], "doc_id int, text string")
+    assert tokens.tokenize_with(nulls, lambda: lambda found: [[("x", "y")] for _ in found]).count() == 2
