@@ -94,3 +94,19 @@ def test_taggers_get_bounded_runs_of_texts(spark, monkeypatch):
     assert max(int(r.lemma) for r in got if r.pos == 0 and int(r.tag) > 1) <= 72 and sum(r.pos > 0 for r in got) == sum(len(t.split()) for _, t in texts)
     nulls = spark.createDataFrame([(1, None), (2, "a")], "doc_id int, text string")
     assert tokens.tokenize_with(nulls, lambda: lambda found: [[("x", "y")] for _ in found]).count() == 2
+
+
+def test_suffix_tags_need_no_regular_expression(spark):
+    words = ["да", "и", "for", "run", "running", "ed", "бежать", "quickly", "able", "famous", "красный", "дом", "𝔸𝔹", "𝔸𝔹𝔸", ""]
+    assert "RLIKE" not in str(tokens.suffix_tag(F.col("w"))).upper()
+
+    def plain(w):
+        return next((t for p, t in tokens.SUFFIX_TAGS if re.search(p, w)), "N")
+
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", tokens.suffix_tag(F.col("w")).alias("t")).collect()
+    assert {r.w: r.t for r in rows} == {w: plain(w) for w in words}
+
+
+def test_connectors_are_found_without_putting_texts_together(spark):
+    plan = entry.queries()["phrases_bridged"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
