@@ -3,11 +3,17 @@ period and words that start sentences, by log-likelihood ratios; then a decision
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.operators.counting import ROWS
 from lexweave.sources.scratch import keep
 
 # Thresholds of the published method, and the share of periods that follows an abbreviation.
@@ -17,24 +23,33 @@ ABBREVIATION, COLLOCATION, STARTER, CERTAIN = 0.3, 7.88, 30.0, 0.99
 OPENERS, CLOSERS = r"[\"'(\[«„“‘]", r"[\"')\]»”’]"
 #: White space of any script, as a character class of both Java's and other dialects.
 WHITE = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Bytes of texts that are counted at a time; a longer text stands alone.
+BYTES = 1 << 24
 #: The type of every number.
 _NUMBER = "#"
+#: What a run without white space ends with if its bare token ends with a mark.
+_MARKED = rf"[.!?…](?:{CLOSERS}+|[,;:]+)?"
+#: White space in Python's dialect, and as characters.
+_WHITE = re.sub(r"\\x\{(\w+)\}", lambda x: chr(int(x[1], 16)), WHITE)
 
 
-def pieces(text: Column) -> Column:
-    """The runs of a text without white space, each with the white space after it; joined they give the text back, but for
-    leading white space."""
-    return F.regexp_extract_all(text, F.lit(f"[^{WHITE}]+[{WHITE}]*"), F.lit(0))
+def _characters(kind: str) -> str:
+    return "".join(chr(k) for k in range(0x3001) if re.match(kind, chr(k)))
+
+
+_WHITES = _characters(f"[{_WHITE}]")
 
 
 def bare(token: Column) -> Column:
-    """A token without white space, openers before it and closers (or a comma, colon or semicolon) after it."""
-    return F.regexp_replace(F.regexp_replace(token, f"^{OPENERS}+|[{WHITE}]+$", ""), rf"{CLOSERS}+$|[,;:]+$", "")
+    """A token without openers before it and closers (or a comma, colon or semicolon) after it."""
+    whole = F.ltrim(token, F.lit(_characters(OPENERS)))
+    closed = F.rtrim(whole, F.lit(_characters(CLOSERS)))
+    return F.when(closed != whole, closed).otherwise(F.rtrim(whole, F.lit(",;:")))
 
 
 def type_of(token: Column) -> Column:
     """Of a bare token, its lower-case type without a final period; numbers are one type."""
-    word = F.lower(F.regexp_replace(token, r"\.$", ""))
+    word = F.lower(F.when(token.endswith("."), F.left(token, F.length(token) - 1)).otherwise(token))
     return F.when(word.rlike(r"^[-+]?[0-9][0-9.,]*$"), _NUMBER).otherwise(word)
 
 
@@ -62,26 +77,76 @@ def _lower(token: Column) -> Column:
     return token.rlike(r"^\p{Ll}")
 
 
-def candidates(docs: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """keys, pos, mark (period, ellipsis or end, for ! and ?), token, word (bare tokens and types), next, next_word: the
-    tokens that may end a sentence and have another behind them."""
-    at = F.transform(pieces(F.col(text_col)), bare)
-    zipped = F.transform(F.slice(F.col("_t"), F.lit(1), F.greatest(F.size("_t") - 1, F.lit(0))), lambda t, k: F.struct(k.alias("pos"), t.alias("token"), F.get("_t", k + 1).alias("next")))
-    rows = docs.select(*keys, at.alias("_t")).select(*keys, F.explode(F.filter(zipped, lambda x: x["token"].rlike(r"[.!?…]$"))).alias("x")).select(*keys, "x.*")
+def described(rows: DataFrame) -> DataFrame:
+    """rows (raw, next_raw: a run without white space that may end a sentence, and the one behind it) with mark (period, ellipsis or end, for
+    ! and ?), token, word (its bare token and type), next and next_word."""
+    rows = rows.withColumn("token", bare(F.col("raw"))).withColumn("next", bare(F.col("next_raw")))
     mark = F.when(F.col("token").rlike("[!?]$"), "end").when(F.col("token").rlike(r"(\.\.|…)$"), "ellipsis").otherwise("period")
-    return rows.select(*keys, "pos", mark.alias("mark"), "token", type_of(F.col("token")).alias("word"), "next", type_of(F.col("next")).alias("next_word"))
-
-
-def type_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    return rows.withColumn("mark", mark).withColumn("word", type_of(F.col("token"))).withColumn("next_word", type_of(F.col("next")))
+
+
+def _count(texts: pa.StringArray) -> pa.RecordBatch:
+    lists = pc.split_pattern_regex(texts, f"[{WHITE}]+")
+    found = lists.flatten().dictionary_encode()
+    names, number, text = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    there = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[number] if len(number) else np.zeros(0, bool)
+    number, text, none = number[there], text[there], len(names)
+    marked = pc.match_substring_regex(names, f"{_MARKED}$").to_numpy(zero_copy_only=False)
+    same = text[1:] == text[:-1]
+    mid, behind = np.zeros(len(number), np.int64), np.full(len(number), none, np.int64)
+    mid[1:] = same & ~marked[number[:-1]]
+    behind[:-1] = np.where(same & marked[number[:-1]], number[1:], none)
+    key, count = np.unique((number * (none + 1) + behind) * 2 + mid, return_counts=True)
+    key, mid = np.divmod(key, 2)
+    first, behind = np.divmod(key, none + 1)
+    return pa.RecordBatch.from_arrays([names.take(pa.array(first)), names.take(pa.array(behind, mask=behind == none)), pa.array(mid > 0), pa.array(count.astype(np.int64))], ["raw", "next_raw", "mid", "n"])
+
+
+def seen(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """raw, next_raw, mid, n: how often each run without white space occurs where no sentence end is possible before it (mid) and where one is;
+    those that may end a sentence by the run behind them (null: none), others with null. Added up in each batch of texts before their only shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).drop_null()
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, side="right")))
+                rows = _count(texts.slice(a, b - a))
+                for k in range(0, len(rows), ROWS):
+                    yield rows.slice(k, ROWS)
+                a = b
+
+    by = ["raw", "next_raw", "mid"]
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "raw string, next_raw string, mid boolean, n long").repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+def type_counts(seen: DataFrame) -> DataFrame:
     """word, n, n_period, upper_mid, lower_mid: of each type how often it occurs, with a final period, and (no sentence end
     being possible before it) with a capital and a small letter."""
-    at = F.transform(pieces(F.col(text_col)), bare)
-    zipped = F.transform(F.col("_t"), lambda t, k: F.struct(t.alias("token"), F.when(k > 0, F.get("_t", k - 1)).alias("before")))
-    rows = docs.select(at.alias("_t")).select(F.explode(zipped).alias("x")).select("x.token", "x.before")
-    mid = F.col("before").isNotNull() & ~F.col("before").rlike(r"[.!?…]$")
-    period = F.col("token").rlike(r"[^.]\.$")
-    made = rows.select(type_of(F.col("token")).alias("word"), period.cast("int").alias("p"), (mid & _upper(F.col("token"))).cast("int").alias("u"), (mid & _lower(F.col("token"))).cast("int").alias("l"))
-    return made.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.sum("p").alias("n_period"), F.sum("u").alias("upper_mid"), F.sum("l").alias("lower_mid"))
+    token, times = bare(F.col("raw")), lambda what: F.sum(F.when(what, F.col("n")).otherwise(0))
+    rows = seen.groupBy("raw", "mid").agg(F.sum("n").alias("n")).withColumn("token", token).withColumn("word", type_of(F.col("token"))).where("word <> ''")
+    return rows.groupBy("word").agg(
+        F.sum("n").alias("n"), times(F.col("token").rlike(r"[^.]\.$")).alias("n_period"), times(F.col("mid") & _upper(F.col("token"))).alias("upper_mid"), times(F.col("mid") & _lower(F.col("token"))).alias("lower_mid")
+    )
+
+
+def places(docs: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """keys, at, raw, next_raw: where a sentence may begin within a text (the character from 0), the run before and the one that begins there."""
+    pattern = re.compile(rf"(?<![^{_WHITE}])([^{_WHITE}]*{_MARKED})[{_WHITE}]+(?=([^{_WHITE}]+))")
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(n, x.end(), x[1], x[2]) for n, text in enumerate(batch.column(len(keys)).to_pylist()) for x in pattern.finditer(text or "")]
+            row, at, raw, behind = zip(*found, strict=True) if found else [()] * 4
+            row = pa.array(row, pa.int64())
+            made = pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(keys))), pa.array(at, pa.int32()), pa.array(raw, pa.string()), pa.array(behind, pa.string())], [*keys, "at", "raw", "next_raw"])
+            for k in range(0, len(made), ROWS):
+                yield made.slice(k, ROWS)
+
+    return docs.select(*keys, text_col).mapInArrow(run, f"{kinds}, at int, raw string, next_raw string")
 
 
 class Boundaries(NamedTuple):
@@ -94,9 +159,10 @@ class Boundaries(NamedTuple):
     def learn(docs: DataFrame, text_col: str = "text") -> Boundaries:
         """From the texts of docs.
 
-        Types are counted with map-side combining; pairs across a period come from the tokens with a period alone. The only
+        The texts are read once: seen() counts runs as they are written, and only distinct ones are made bare and typed. The only
         numbers that reach the driver are totals. Null and empty texts teach nothing; repeated ones count each."""
-        types = keep(type_counts(docs, text_col), "types")
+        runs = keep(seen(docs, text_col), "runs")
+        types = keep(type_counts(runs), "types")
         n, n_period = types.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_period"), F.lit(0))).first()
         n, n_period = F.lit(float(n)), F.lit(float(n_period))
         dots = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
@@ -104,9 +170,9 @@ class Boundaries(NamedTuple):
         score = bond(F.col("n"), F.col("n_period"), n_period, n) * F.exp(-letters) * (dots + 1) * F.pow(letters.cast("double"), -(F.col("n") - F.col("n_period")).cast("double"))
         score = F.when((F.col("n_period") > 0) & (F.col("word") != _NUMBER) & F.col("word").rlike(r"\p{L}"), score).otherwise(0.0)
         scored = types.withColumn("score", score).withColumn("abbreviation", F.col("score") >= ABBREVIATION)
-        pairs = candidates(docs, (), text_col).where((F.col("mark") != "ellipsis") & (F.col("word") != "") & (F.col("next_word") != ""))
-        lower = _lower(F.col("next")).cast("int")
-        pairs = keep(pairs.groupBy("mark", "word", "next_word").agg(F.count("*").alias("n"), F.sum(lower).alias("lower")), "pairs")
+        pairs = described(runs.where("next_raw is not null")).where((F.col("mark") != "ellipsis") & (F.col("word") != "") & (F.col("next_word") != ""))
+        lower = F.when(_lower(F.col("next")), F.col("n")).otherwise(0)
+        pairs = keep(pairs.groupBy("mark", "word", "next_word").agg(F.sum("n").alias("n"), F.sum(lower).alias("lower")), "pairs")
         known = scored.select("word", F.col("n").alias("n_word"), "n_period", "abbreviation")
         pairs = keep(pairs.join(known, "word"), "pairs")
         ends = pairs.where("mark = 'end' or not abbreviation")
@@ -122,7 +188,7 @@ class Boundaries(NamedTuple):
         return Boundaries(keep(whole, "types"), keep(joined.where(tied).select("word", "next_word"), "collocations"))
 
     def decide(self, found: DataFrame) -> DataFrame:
-        """found (candidates()) with ends: whether the sentence ends there. ! and ? end it. Otherwise what is behind an abbreviation, an initial
+        """found (described()) with ends: whether the sentence ends there. ! and ? end it. Otherwise what is behind an abbreviation, an initial
         or an ellipsis begins a sentence if it has a capital, is written small elsewhere and never has a capital within
         a sentence; behind an abbreviation or an ellipsis also if it has a capital and often starts sentences. A number, an
         initial or an abbreviation that forms a collocation with what follows ends nothing, nor does a number before a
@@ -144,16 +210,26 @@ class Boundaries(NamedTuple):
     def sentences(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Id, sent (from 0), text: the sentences of each text, without white space around them.
 
-        Only tokens that may end a sentence are joined with what was learned; the places where sentences end come back to the
-        text by id and a hash of it, and one expression cuts it. Null and blank texts have no sentence. Rows of equal id and
-        text are cut alike."""
-        keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text")).where("_text is not null")
-        found = candidates(keyed.dropDuplicates(["_id", "_h"]), ("_id", "_h"), "_text")
-        ends = self.decide(found).where("ends").groupBy("_id", "_h").agg(F.array_sort(F.collect_list("pos")).alias("_e"))
-        joined = keyed.join(ends.select(F.col("_id").alias("_i"), F.col("_h").alias("_j"), "_e"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_j")), "left")
-        whole = pieces(F.col("_text"))
-        ends = F.concat(F.coalesce("_e", F.array().cast("array<int>")), F.array(F.size("_p") - 1))
-        first = F.concat(F.array(F.lit(0)), F.transform(F.coalesce("_e", F.array().cast("array<int>")), lambda e: e + 1))
-        cut = F.zip_with(first, ends, lambda a, b: F.regexp_replace(F.array_join(F.slice(F.col("_p"), a + 1, b - a + 1), ""), f"[{WHITE}]+$", ""))
-        rows = joined.withColumn("_p", whole).where(F.size("_p") > 0)
-        return rows.select(F.col("_id").alias(id_col), F.posexplode(cut).alias("sent", "text"))
+        Each distinct pair of a run that may end a sentence and the run behind it is decided once; the places of pairs that do come back to
+        the text by id and a hash of it, and the text, which is shuffled once and not sorted, is cut there. Null and blank texts have no sentence. Rows
+        of equal id and text are cut alike."""
+        keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+        found = keep(places(keyed, ("_id", "_h"), "_text"), "places")
+        ending = self.decide(described(found.select("raw", "next_raw").distinct())).where("ends").select("raw", "next_raw")
+        ends = found.join(ending, ["raw", "next_raw"], "left_semi").groupBy(F.col("_id").alias("_i"), F.col("_h").alias("_j")).agg(F.array_sort(F.collect_set("at")).alias("_e"))
+        joined = keyed.join(ends.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_j")), "left")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, sent, out = [], [], []
+                for n, (text, at) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    if text.strip(_WHITES):
+                        at = [0, *(at or ()), len(text)]
+                        row += [n] * (len(at) - 1)
+                        sent += range(len(at) - 1)
+                        out += [text[a:b].strip(_WHITES) for a, b in zip(at, at[1:], strict=False)]
+                made = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(sent, pa.int32()), pa.array(out, pa.string())], [id_col, "sent", "text"])
+                for k in range(0, len(made), ROWS):
+                    yield made.slice(k, ROWS)
+
+        return joined.select("_id", "_text", "_e").mapInArrow(cut, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sent int, text string")
