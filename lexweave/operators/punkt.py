@@ -27,8 +27,6 @@ WHITE = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 BYTES = 1 << 24
 #: The type of every number.
 _NUMBER = "#"
-#: What a run without white space ends with if its bare token ends with a mark.
-_MARKED = rf"[.!?…](?:{CLOSERS}+|[,;:]+)?"
 #: White space in Python's dialect, and as characters.
 _WHITE = re.sub(r"\\x\{(\w+)\}", lambda x: chr(int(x[1], 16)), WHITE)
 
@@ -40,11 +38,11 @@ def _characters(kind: str) -> str:
 _WHITES = _characters(f"[{_WHITE}]")
 
 
-def bare(token: Column) -> Column:
-    """A token without openers before it and closers (or a comma, colon or semicolon) after it."""
-    whole = F.ltrim(token, F.lit(_characters(OPENERS)))
-    closed = F.rtrim(whole, F.lit(_characters(CLOSERS)))
-    return F.when(closed != whole, closed).otherwise(F.rtrim(whole, F.lit(",;:")))
+def bare(tokens: pa.StringArray) -> pa.StringArray:
+    """Tokens without openers before them and closers (or commas, colons and semicolons) after them."""
+    whole = pc.utf8_ltrim(tokens, _characters(OPENERS))
+    closed = pc.utf8_rtrim(whole, _characters(CLOSERS))
+    return pc.if_else(pc.equal(closed, whole), pc.utf8_rtrim(whole, ",;:"), closed)
 
 
 def type_of(token: Column) -> Column:
@@ -53,6 +51,11 @@ def type_of(token: Column) -> Column:
     return F.when(word.rlike(r"^[-+]?[0-9][0-9.,]*$"), _NUMBER).otherwise(word)
 
 
+def _typed(token: str) -> Column:
+    """Whether the type has a character."""
+    return ~F.col(token).isin("", ".")
+
+
 def _log(x: Column) -> Column:
     return F.log(F.greatest(x, F.lit(1e-300)))
 
@@ -78,20 +81,22 @@ def _lower(token: Column) -> Column:
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """rows (raw, next_raw: a run without white space that may end a sentence, and the one behind it) with mark (period, ellipsis or end, for
-    ! and ?), token, word (its bare token and type), next and next_word."""
-    rows = rows.withColumn("token", bare(F.col("raw"))).withColumn("next", bare(F.col("next_raw")))
-    mark = F.when(F.col("token").rlike("[!?]$"), "end").when(F.col("token").rlike(r"(\.\.|…)$"), "ellipsis").otherwise("period")
+    """rows (token, next: a bare token that may end a sentence, and the one behind it) with mark (period, ellipsis or end, for ! and ?), word
+    and next_word (their types)."""
+    t = F.col("token")
+    mark = F.when(t.endswith("!") | t.endswith("?"), "end").when(t.endswith("..") | t.endswith("…"), "ellipsis").otherwise("period")
     return rows.withColumn("mark", mark).withColumn("word", type_of(F.col("token"))).withColumn("next_word", type_of(F.col("next")))
 
 
 def _count(texts: pa.StringArray) -> pa.RecordBatch:
     lists = pc.split_pattern_regex(texts, f"[{WHITE}]+")
     found = lists.flatten().dictionary_encode()
-    names, number, text = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    there = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[number] if len(number) else np.zeros(0, bool)
-    number, text, none = number[there], text[there], len(names)
-    marked = pc.match_substring_regex(names, f"{_MARKED}$").to_numpy(zero_copy_only=False)
+    number, text = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    there = pc.not_equal(found.dictionary, "").to_numpy(zero_copy_only=False)[number] if len(number) else np.zeros(0, bool)
+    stripped = bare(found.dictionary).dictionary_encode()
+    names, number, text = stripped.dictionary, stripped.indices.to_numpy(zero_copy_only=False).astype(np.int64)[number[there]], text[there]
+    none = len(names)
+    marked = pc.match_substring_regex(names, "[.!?…]$").to_numpy(zero_copy_only=False)
     same = text[1:] == text[:-1]
     mid, behind = np.zeros(len(number), np.int64), np.full(len(number), none, np.int64)
     mid[1:] = same & ~marked[number[:-1]]
@@ -99,12 +104,12 @@ def _count(texts: pa.StringArray) -> pa.RecordBatch:
     key, count = np.unique((number * (none + 1) + behind) * 2 + mid, return_counts=True)
     key, mid = np.divmod(key, 2)
     first, behind = np.divmod(key, none + 1)
-    return pa.RecordBatch.from_arrays([names.take(pa.array(first)), names.take(pa.array(behind, mask=behind == none)), pa.array(mid > 0), pa.array(count.astype(np.int64))], ["raw", "next_raw", "mid", "n"])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(first)), names.take(pa.array(behind, mask=behind == none)), pa.array(mid > 0), pa.array(count.astype(np.int64))], ["token", "next", "mid", "n"])
 
 
 def seen(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """raw, next_raw, mid, n: how often each run without white space occurs where no sentence end is possible before it (mid) and where one is;
-    those that may end a sentence by the run behind them (null: none), others with null. Added up in each batch of texts before their only shuffle."""
+    """token, next, mid, n: how often each bare token occurs where no sentence end is possible before it (mid) and where one is; those that may
+    end a sentence by the token behind them (null: none), others with null. Added up in each batch of texts before their only shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,35 +123,36 @@ def seen(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     yield rows.slice(k, ROWS)
                 a = b
 
-    by = ["raw", "next_raw", "mid"]
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "raw string, next_raw string, mid boolean, n long").repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
+    by = ["token", "next", "mid"]
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "token string, next string, mid boolean, n long").repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def type_counts(seen: DataFrame) -> DataFrame:
     """word, n, n_period, upper_mid, lower_mid: of each type how often it occurs, with a final period, and (no sentence end
     being possible before it) with a capital and a small letter."""
-    token, times = bare(F.col("raw")), lambda what: F.sum(F.when(what, F.col("n")).otherwise(0))
-    rows = seen.groupBy("raw", "mid").agg(F.sum("n").alias("n")).withColumn("token", token).withColumn("word", type_of(F.col("token"))).where("word <> ''")
+    times = lambda what: F.sum(F.when(what, F.col("n")).otherwise(0))
+    rows = seen.where(_typed("token")).groupBy("token", "mid").agg(F.sum("n").alias("n")).withColumn("word", type_of(F.col("token")))
     return rows.groupBy("word").agg(
         F.sum("n").alias("n"), times(F.col("token").rlike(r"[^.]\.$")).alias("n_period"), times(F.col("mid") & _upper(F.col("token"))).alias("upper_mid"), times(F.col("mid") & _lower(F.col("token"))).alias("lower_mid")
     )
 
 
 def places(docs: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """keys, at, raw, next_raw: where a sentence may begin within a text (the character from 0), the run before and the one that begins there."""
-    pattern = re.compile(rf"(?<![^{_WHITE}])([^{_WHITE}]*{_MARKED})[{_WHITE}]+(?=([^{_WHITE}]+))")
+    """keys, at, token, next: where a sentence may begin within a text (the character from 0), the bare token before and the one that begins
+    there."""
+    pattern = re.compile(rf"(?<![^{_WHITE}])([^{_WHITE}]*[.!?…](?:{CLOSERS}+|[,;:]+)?)[{_WHITE}]+(?=([^{_WHITE}]+))")
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(n, x.end(), x[1], x[2]) for n, text in enumerate(batch.column(len(keys)).to_pylist()) for x in pattern.finditer(text or "")]
-            row, at, raw, behind = zip(*found, strict=True) if found else [()] * 4
+            row, at, token, behind = zip(*found, strict=True) if found else [()] * 4
             row = pa.array(row, pa.int64())
-            made = pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(keys))), pa.array(at, pa.int32()), pa.array(raw, pa.string()), pa.array(behind, pa.string())], [*keys, "at", "raw", "next_raw"])
+            made = pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(keys))), pa.array(at, pa.int32()), bare(pa.array(token, pa.string())), bare(pa.array(behind, pa.string()))], [*keys, "at", "token", "next"])
             for k in range(0, len(made), ROWS):
                 yield made.slice(k, ROWS)
 
-    return docs.select(*keys, text_col).mapInArrow(run, f"{kinds}, at int, raw string, next_raw string")
+    return docs.select(*keys, text_col).mapInArrow(run, f"{kinds}, at int, token string, next string")
 
 
 class Boundaries(NamedTuple):
@@ -159,10 +165,10 @@ class Boundaries(NamedTuple):
     def learn(docs: DataFrame, text_col: str = "text") -> Boundaries:
         """From the texts of docs.
 
-        The texts are read once: seen() counts runs as they are written, and only distinct ones are made bare and typed. The only
+        The texts are read once: seen() counts tokens as they are written, and only distinct ones are typed. The only
         numbers that reach the driver are totals. Null and empty texts teach nothing; repeated ones count each."""
-        runs = keep(seen(docs, text_col), "runs")
-        types = keep(type_counts(runs), "types")
+        found = keep(seen(docs, text_col), "tokens")
+        types = keep(type_counts(found), "types")
         n, n_period = types.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_period"), F.lit(0))).first()
         n, n_period = F.lit(float(n)), F.lit(float(n_period))
         dots = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
@@ -170,7 +176,7 @@ class Boundaries(NamedTuple):
         score = bond(F.col("n"), F.col("n_period"), n_period, n) * F.exp(-letters) * (dots + 1) * F.pow(letters.cast("double"), -(F.col("n") - F.col("n_period")).cast("double"))
         score = F.when((F.col("n_period") > 0) & (F.col("word") != _NUMBER) & F.col("word").rlike(r"\p{L}"), score).otherwise(0.0)
         scored = types.withColumn("score", score).withColumn("abbreviation", F.col("score") >= ABBREVIATION)
-        pairs = described(runs.where("next_raw is not null")).where((F.col("mark") != "ellipsis") & (F.col("word") != "") & (F.col("next_word") != ""))
+        pairs = described(found.where(F.col("next").isNotNull() & _typed("token") & _typed("next"))).where("mark <> 'ellipsis'")
         lower = F.when(_lower(F.col("next")), F.col("n")).otherwise(0)
         pairs = keep(pairs.groupBy("mark", "word", "next_word").agg(F.sum("n").alias("n"), F.sum(lower).alias("lower")), "pairs")
         known = scored.select("word", F.col("n").alias("n_word"), "n_period", "abbreviation")
@@ -210,13 +216,13 @@ class Boundaries(NamedTuple):
     def sentences(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Id, sent (from 0), text: the sentences of each text, without white space around them.
 
-        Each distinct pair of a run that may end a sentence and the run behind it is decided once; the places of pairs that do come back to
+        Each distinct pair of a token that may end a sentence and the one behind it is decided once; the places of pairs that do come back to
         the text by id and a hash of it, and the text, which is shuffled once and not sorted, is cut there. Null and blank texts have no sentence. Rows
         of equal id and text are cut alike."""
         keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
         found = keep(places(keyed, ("_id", "_h"), "_text"), "places")
-        ending = self.decide(described(found.select("raw", "next_raw").distinct())).where("ends").select("raw", "next_raw")
-        ends = found.join(ending, ["raw", "next_raw"], "left_semi").groupBy(F.col("_id").alias("_i"), F.col("_h").alias("_j")).agg(F.array_sort(F.collect_set("at")).alias("_e"))
+        ending = self.decide(described(found.select("token", "next").distinct())).where("ends").select("token", "next")
+        ends = found.join(ending, ["token", "next"], "left_semi").groupBy(F.col("_id").alias("_i"), F.col("_h").alias("_j")).agg(F.collect_list("at").alias("_e"))
         joined = keyed.join(ends.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_j")), "left")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +230,7 @@ class Boundaries(NamedTuple):
                 row, sent, out = [], [], []
                 for n, (text, at) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                     if text.strip(_WHITES):
-                        at = [0, *(at or ()), len(text)]
+                        at = [0, *sorted(set(at or ())), len(text)]
                         row += [n] * (len(at) - 1)
                         sent += range(len(at) - 1)
                         out += [text[a:b].strip(_WHITES) for a, b in zip(at, at[1:], strict=False)]
