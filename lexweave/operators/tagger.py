@@ -3,11 +3,11 @@ words (after Brants 2000), and lemmas by word or by ending."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from lexweave.sources.scratch import keep
 
 #: Tags at most: transitions between them are held by the driver and every task.
 MOST_TAGS = 100
+#: Words of the texts that one task tags at a time.
+CHUNK_WORDS = 1_000_000
 _LEAST = 1e-12
 _ENTRY = "array<struct<t: int, p: double, lemma: string>>"
 
@@ -68,16 +70,26 @@ def interpolated(counts: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, _LEAST))
 
 
-def viterbi(transitions: np.ndarray, candidates: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+def viterbi(transitions: np.ndarray, candidates: list[tuple[np.ndarray, np.ndarray]], parts: dict | None = None) -> list[int]:
     """The likeliest tags of a sentence: of each word the numbers of its possible tags (ascending) and their log
-    probabilities. transitions: log P(t3 | t1, t2). Ties go to the smaller numbers."""
-    start = np.array([transitions.shape[0] - 1])
+    probabilities. transitions: log P(t3 | t1, t2). Ties go to the smaller numbers. parts: of calls whose arrays of tags live as long as it,
+    the parts of transitions that these have read, by the arrays' identity."""
+    parts = {} if parts is None else parts
+    start = parts.setdefault("start", np.array([transitions.shape[0] - 1]))
     one, two, best = start, start, np.zeros((1, 1))
     back = []
     for tags, p in candidates:
-        score = best[:, :, None] + transitions[np.ix_(one, two, tags)]
-        back.append((one, score.argmax(axis=0)))
-        one, two, best = two, tags, score.max(axis=0) + p
+        of = (id(one), id(two), id(tags))
+        if (part := parts.get(of)) is None:
+            part = parts[of] = transitions[np.ix_(one, two, tags)]
+        score = best[:, :, None] + part
+        if len(one) == 1:
+            back.append((one, None))
+            best = score[0] + p
+        else:
+            back.append((one, score.argmax(axis=0)))
+            best = score.max(axis=0) + p
+        one, two = two, tags
     if not candidates:
         return []
     i, j = np.unravel_index(best.argmax(), best.shape)
@@ -85,7 +97,7 @@ def viterbi(transitions: np.ndarray, candidates: list[tuple[np.ndarray, np.ndarr
     for k in range(len(back) - 1, 0, -1):
         tags = candidates[k - 1][0]
         out.append(int(tags[i]))
-        i, j = back[k][1][i, j], i
+        i, j = 0 if back[k][1] is None else back[k][1][i, j], i
     return out[::-1]
 
 
@@ -104,9 +116,9 @@ class Tagger(NamedTuple):
     suffix: int
 
     @staticmethod
-    def learn(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",), suffix: int = 5, rare: int = 10) -> Tagger:
+    def learn(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",), suffix: int = 5, rare: int = 10, transitions: DataFrame | None = None) -> Tagger:
         """From tokens: keys (of a sentence), pos, word, lemma, tag. Rows without word or tag are left out; a missing lemma is the
-        word.
+        word. transitions: transition_counts() of these rows, where there is a way to them without a window over all tokens.
 
         Words, suffixes and rules are counted and stay tables; the counts of three tags (10^6 at most, by MOST_TAGS) come to
         the driver. A word's probability under a tag is its share of the tag's tokens; that of an unknown word comes from
@@ -121,7 +133,7 @@ class Tagger(NamedTuple):
         tags = sorted(by_tag)
         at, total = {t: k for k, t in enumerate(tags)}, max(1, sum(by_tag.values()))
         cube = np.zeros((len(tags) + 1, len(tags) + 1, len(tags)))
-        for r in transition_counts(rows, keys).collect():
+        for r in (transition_counts(rows, keys) if transitions is None else transitions).collect():
             cube[at.get(r["t1"], len(tags)), at.get(r["t2"], len(tags)), at[r["t3"]]] += r["n"]
         prior = [by_tag[t] / total for t in tags]
         number = (F.array_position(F.lit(tags), F.col("tag")) - 1).cast("int")
@@ -164,34 +176,52 @@ class Tagger(NamedTuple):
     def tag(self, rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """keys, pos, word, lemma, tag of tokens (keys of a sentence, pos, word): the likeliest tags of each sentence.
 
-        Each distinct word is looked up once; sentences are put together by one shuffle and decoded in tasks. Null words are
-        left out; equal positions go by the word. A tagger that has learned nothing gives no rows."""
+        Sentences are put together by one shuffle; the rest is tag_texts(). Null words are left out; equal positions go by the word. A
+        tagger that has learned nothing gives no rows."""
         if not self.tags:
             return rows.select(*keys, "pos", "word", F.lit(None).cast("string").alias("lemma"), F.lit(None).cast("string").alias("tag")).where(F.lit(False))
-        rows = rows.where(F.col("word").isNotNull()).select(*keys, "pos", "word")
-        known = keep(self.emissions(rows.select("word").distinct()), "emissions")
-        sentences = rows.join(known, "word").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "e"))).alias("s"))
-        transitions, tags, n = self.transitions, self.tags, len(keys)
-        kinds = [f.dataType.simpleString() for f in sentences.schema][:n]
-        position = rows.schema["pos"].dataType.simpleString()
-
-        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, len(batch), 200):
-                    piece = batch.slice(at, 200)
-                    chosen: list[list] = [[], []]
-                    for sentence in piece.column(n):
-                        e = sentence.values.field("e")
-                        ends = e.offsets.to_numpy()
-                        flat = e.values
-                        t, p, lemma = flat.field("t").to_numpy(), flat.field("p").to_numpy(), flat.field("lemma")
-                        of = [(t[a:b], p[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                        best = viterbi(transitions, of)
-                        chosen[0].append([lemma[int(a + np.flatnonzero(c[0] == k)[0])].as_py() for a, c, k in zip(ends[:-1], of, best, strict=True)])
-                        chosen[1].append([tags[k] for k in best])
-                    yield pa.RecordBatch.from_arrays([*piece.columns[:n], *(pa.array(c, pa.list_(pa.string())) for c in chosen), piece.column(n + 1), piece.column(n + 2)], [*keys, "lemmas", "tags", "positions", "words"])
-
-        plain = sentences.withColumns({"positions": F.transform("s", lambda x: x["pos"]), "words": F.transform("s", lambda x: x["word"])})
-        schema = ", ".join([*(f"`{k}` {kind}" for k, kind in zip(keys, kinds, strict=True)), f"lemmas array<string>, tags array<string>, positions array<{position}>, words array<string>"])
-        out = plain.mapInArrow(decode, schema).select(*keys, F.explode(F.arrays_zip("positions", "words", "lemmas", "tags")).alias("x"))
+        sentences = rows.where(F.col("word").isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
+        out = self.tag_texts(sentences.select(*keys, F.col("s.pos").alias("positions"), F.col("s.word").alias("words")))
+        out = out.select(*keys, F.explode(F.arrays_zip("positions", "words", "lemmas", "tags")).alias("x"))
         return out.select(*keys, F.col("x.positions").alias("pos"), F.col("x.words").alias("word"), F.col("x.lemmas").alias("lemma"), F.col("x.tags").alias("tag"))
+
+    def tag_texts(self, texts: DataFrame) -> DataFrame:
+        """texts (words, an array without nulls, and any columns) with lemmas and tags, arrays of the likeliest ones.
+
+        Each distinct word is looked up once. Texts are written and dealt to chunks of about CHUNK_WORDS words; a chunk gets its distinct
+        words' tags, each once, and is decoded in a task: no token travels with its tags."""
+        kept = keep(texts, "texts")
+        names, transitions, tags = kept.columns, self.transitions, self.tags
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lemmas array<string>, tags array<string>"])
+        if not tags:
+            return kept.select("*", *(F.lit(None).cast("array<string>").alias(c) for c in ("lemmas", "tags"))).where(F.lit(False))
+        total = kept.agg(F.sum(F.size("words"))).first()[0] or 1
+        # All cores have a chunk before any is full.
+        chunks = max(-(-total // CHUNK_WORDS), min(kept.sparkSession.sparkContext.defaultParallelism, -(-20 * total // CHUNK_WORDS)))
+        dealt = kept.withColumn("_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)))
+        met = keep(dealt.select("_chunk", F.explode("words").alias("word")).distinct(), "met")
+        known = keep(self.emissions(met.select("word").distinct()), "emissions")
+
+        def decode(key: tuple, texts: pa.Table, entries: pa.Table) -> pa.Table:
+            texts, entries = texts.select(names).combine_chunks(), entries.combine_chunks()
+            e = entries.column("e").combine_chunks()
+            ends, flat = e.offsets.to_numpy(), e.flatten()
+            t, p, lemma = flat.field("t").to_numpy(), flat.field("p").to_numpy(), flat.field("lemma")
+            ends = ends - ends[0]
+            same, parts = {}, {}
+            each = [(same.setdefault(x.tobytes(), x), p[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True) for x in (t[a:b],)]
+            place = np.repeat(np.arange(len(each)), np.diff(ends)) * len(tags) + t
+            lists = texts.column("words").combine_chunks()
+            found = lists.flatten().dictionary_encode()
+            words = pc.index_in(found.dictionary, value_set=entries.column("word").combine_chunks()).take(found.indices).to_numpy()
+            offsets = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+            best = np.array([k for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for k in viterbi(transitions, [each[w] for w in words[a:b].tolist()], parts)], np.int64)
+            # Tags of a word ascend, so places in the table of all words' tags do.
+            at = np.searchsorted(place, words * np.int64(len(tags)) + best)
+            made = (lemma.take(pa.array(at)), pa.array(tags).take(pa.array(best)))
+            for name, x in zip(("lemmas", "tags"), made, strict=True):
+                texts = texts.append_column(name, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), x))
+            return texts
+
+        sent = met.join(known, "word").select("_chunk", "word", "e")
+        return dealt.groupBy("_chunk").cogroup(sent.groupBy("_chunk")).applyInArrow(decode, schema)
